@@ -1,0 +1,59 @@
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tracelode.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(text):
+        digits = re.sub("[ -]", "", m[0])
+        if 14 <= len(digits) <= 19 and pii.luhn(digits):
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(
+    st.text(alphabet="01259.@+- ()ab%é\n", max_size=60),
+    st.lists(st.sampled_from(["1.2.3.4", ".5", "4111 1111 1111 1111", "+1 (415) 555-0100", "a.b@c.de", "@", "x@y", ".z", " ", "300.1.1.1", "+49", "-", "é"]), max_size=8).map("".join),
+))
+def test_base_spans_equal_whole_text_patterns(text):
+    assert [s for s in pii.finder()(text) if s[1] < pii.BASE] == brute(text)
+
+
+def test_cued_kinds():
+    text = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", IBAN: DE89 3704 0044 0532 0130 00 ftp://me:pw@host.org/x'
+    found = {pii.KINDS[k]: text[s:e] for s, k, e in pii.finder()(text) if k >= pii.BASE}
+    assert found == {"secret": "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "iban": "DE89 3704 0044 0532 0130 00", "login": "ftp://me:pw@host.org"}
+
+
+def test_redaction_and_edge_rows(spark):
+    rows = [(1, "mail a@b.com now", 16, "x"), (2, None, None, "x"), (3, "", 0, None), (1, "mail a@b.com now", 16, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, pii string")
+    out = sorted(pii.redact_pii(docs).collect(), key=repr)
+    assert [(r.doc_id, r.text, r.n_chars) for r in out] == [(1, "mail [EMAIL] now", 16), (1, "mail [EMAIL] now", 16), (2, None, None), (3, "", 0)]
+    assert out[0].__fields__ == docs.columns
+    assert {r.doc_id: len(r.pii) for r in pii.find_pii(docs).collect()} == {1: 1, 2: 0, 3: 0}
+    assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_query_equals_brute_force(spark, sf, data):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/{sf}/documents.parquet").collect()}
+    rows = pii.op9_pii(spark, f"{data}/{sf}").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute(texts[r.doc_id])
+        assert r.base_sha256 == pii.digest(want)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[1] == k for s in want) for k in range(4))
