@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import chat
+from tracelode.llm import chat, decontam, pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_decontamination": decontam.op4_decontamination,
+        "op9_pii": pii.op9_pii,
         "op10_chat_formatting": chat.op10_chat_formatting,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_decontamination": decontam.OP4_SQL,
         "op10_chat_formatting": chat.OP10_SQL,
     }
