@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import chat, decontam, pii
+from tracelode.llm import chat, decontam, langid, pii, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": langid.op2_language_id,
         "op4_decontamination": decontam.op4_decontamination,
+        "op6_simhash": simhash.op6_simhash,
         "op9_pii": pii.op9_pii,
         "op10_chat_formatting": chat.op10_chat_formatting,
     }
