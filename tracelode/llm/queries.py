@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import chat, decontam, langid, pieces, pii, quality, simhash, token_files
+from tracelode.llm import chat, decontam, html_main, langid, pieces, pii, quality, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": pieces.op1_sentencepiece,
         "op2_language_id": langid.op2_language_id,
+        "op3_html_extraction": html_main.op3_html_extraction,
         "op4_decontamination": decontam.op4_decontamination,
         "op5_token_files": token_files.op5_token_files,
         "op6_simhash": simhash.op6_simhash,
