@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import chat, decontam, html_main, langid, pieces, pii, quality, simhash, token_files
+from tracelode.llm import chat, decontam, html_main, langid, lm, pieces, pii, quality, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": decontam.op4_decontamination,
         "op5_token_files": token_files.op5_token_files,
         "op6_simhash": simhash.op6_simhash,
+        "op7_lm_scoring": lm.op7_lm_scoring,
         "op8_quality": quality.op8_quality,
         "op9_pii": pii.op9_pii,
         "op10_chat_formatting": chat.op10_chat_formatting,
