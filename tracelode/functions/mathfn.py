@@ -40,8 +40,13 @@ def average(*parts: Column) -> Column:
     return total / len(parts)
 
 
+def nonnegative(c: Column) -> Column:
+    """c, or 0 where it is negative; null stays null, which greatest() would turn into 0."""
+    return F.when(c < 0, F.lit(0).cast("long")).otherwise(c)
+
+
 def saturating_delta(c: Column, before: Column) -> Column:
-    return F.greatest(c - before, F.lit(0).cast("long"))
+    return nonnegative(c - before)
 
 
 def complete_sum(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.functions.mathfn import nonnegative
 from tracelode.functions.timefn import gap_seconds, is_recent
 
 # Seconds.
@@ -33,12 +34,12 @@ def latest_state(events: DataFrame, key: list[str], at: str = "updated_at", tie:
 
 
 def freshness(updated_at: Column, now: Column) -> Column:
-    age = F.greatest(gap_seconds(now, updated_at), F.lit(0).cast("long"))
+    age = nonnegative(gap_seconds(now, updated_at))
     return F.when(age <= FRESH, "fresh").when(age <= AGING, "aging").otherwise("lost-update")
 
 
 def alive(status: Column, updated_at: Column, now: Column) -> Column:
-    age = F.greatest(gap_seconds(now, updated_at), F.lit(0).cast("long"))
+    age = nonnegative(gap_seconds(now, updated_at))
     return age <= F.when(status == "completed", COMPLETED_TTL).otherwise(OTHER_TTL)
 
 

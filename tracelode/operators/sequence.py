@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.functions.mathfn import saturating_delta
+from tracelode.functions.mathfn import nonnegative, saturating_delta
 from tracelode.functions.timefn import gap_seconds
 
 MAX_GAP_SECONDS = 600
@@ -45,7 +45,7 @@ def agent_runs(df: DataFrame, key: list[str], order: list[str], human: Column, t
     after = Window.partitionBy(*key).orderBy("run")
     closes = F.coalesce(F.lead("human_ts").over(after), F.max("latest").over(Window.partitionBy(*key)))
     out = runs.withColumn("ended", closes).where(F.col("started").isNotNull())
-    return out.select(*key, "run", "started", "ended", F.greatest(gap_seconds(F.col("ended"), F.col("started")), F.lit(0).cast("long")).alias("seconds"))
+    return out.select(*key, "run", "started", "ended", nonnegative(gap_seconds(F.col("ended"), F.col("started"))).alias("seconds"))
 
 
 def cumulative_delta(df: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -118,7 +118,7 @@ def first_tool(df: DataFrame, key: list[str], order: list[str], kind: str = "eve
     at = df.withColumn("__known", known)
     first = lambda k, c: F.min(F.when(F.col(kind) == k, F.struct(*order, F.col(c).alias("at")))).getField("at")
     out = at.groupBy(*key).agg(first("prompt", "__known").alias("first_prompt_at"), first("tool", ts).alias("first_tool_at"))
-    ms = F.greatest(((F.unix_micros("first_tool_at") - F.unix_micros("first_prompt_at")) / 1000).cast("long"), F.lit(0).cast("long"))
+    ms = nonnegative(((F.unix_micros("first_tool_at") - F.unix_micros("first_prompt_at")) / 1000).cast("long"))
     return out.withColumn("time_to_first_tool_ms", ms)
 
 
