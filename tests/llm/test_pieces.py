@@ -23,7 +23,7 @@ def test_ids_equal_the_library(text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="thein梦aos", min_size=30, max_size=150), st.integers(3, 40))
+@given(st.text(alphabet="thein梦aos", min_size=30, max_size=150), st.integers(16, 60))
 def test_chunks_settle_to_the_same_path(text, chunk):
     text = pieces.SPACE + text
     bounds = [0, *[p for p, _ in pieces.cut_points(text, chunk, False)], len(text)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that what a task derives from long texts at a time stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def add_columns(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., tuple]], ddl: str) -> DataFrame:
     """df plus columns of schema ddl: what make()(*inputs) returns for each row.
 
@@ -56,7 +63,7 @@ def add_columns(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..
 
     def run(batches):
         f = make()
-        for b in batches:
+        for b in slices(batches):
             rows = [f(*v) for v in zip(*[b.column(i).to_pylist() for i in where])]
             out = list(zip(*rows)) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(list(v), type=k) for v, k in zip(out, kinds)]], names=names)

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelode.llm.common import broadcast_value, shared_dir, written
+from tracelode.llm.common import broadcast_value, shared_dir, slices, written
 
 SPACE = "▁"
 CHUNK = 1 << 15
 CACHE = 200_000
-PAIRS = 600_000
+PAIRS = 400_000
 MODEL_BYTES = 64 << 20
-#: Boundary states: no piece yet, and a cut that no piece can cross.
+#: The boundary state before any piece, also after a cut that no piece can cross.
 START = (0, 0)
+#: Lengths to try where no longer piece begins with the next three characters.
+SHORT = (2, 1)
 RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -68,17 +71,28 @@ class Codec:
 
     def __init__(self, model: dict):
         kinds = model["kinds"]
-        self.ids = {p: i for i, p in enumerate(model["pieces"]) if kinds[i] == 1}
-        self.score = {p: model["scores"][i] for p, i in self.ids.items()}
+        self.names = ["", *model["pieces"]]
+        self.size = len(self.names)
+        self.packed = [b"", *[np.int32(i).tobytes() for i in range(len(model["pieces"]))]]
+        self.ids = {p: i + 1 for i, p in enumerate(model["pieces"]) if kinds[i] == 1}
+        self.ids_beyond: dict[str, int] = {}
+        self.score = {p: model["scores"][i - 1] for p, i in self.ids.items()}
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(model["pieces"]) if kinds[i] == 6}
         self.unk = next(i for i, k in enumerate(kinds) if k == 2)
         self.longest = max(map(len, self.ids), default=1)
         self.dummy = SPACE if model["dummy"] else ""
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.lines = self.cuts and not any("\n" in p for p in self.ids)
-        self.newline = self._id_bytes("\n")
         self.text_of = [b"" if k == 3 else b" \xe2\x81\x87 " if k == 2 else bytes([int(p[3:5], 16)]) if k == 6 else p.replace(SPACE, " ").encode() for p, k in zip(model["pieces"], kinds)]
-        self.pairs: dict[tuple[str, str], bool] = {}
+        heads: dict[str, set[int]] = defaultdict(set)
+        for p in self.ids:
+            if len(p) >= 3:
+                heads[p[:3]].add(len(p))
+        #: Two characters that no piece has side by side: text can be cut between them.
+        self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.by_head = {h: (*sorted(n, reverse=True), 2, 1) for h, n in heads.items()}
+        self.pairs: dict[int, bool] = {}
+        self.newline = self.packed[self.number("\n")]
         self.spaced, self.bare = Words(self, SPACE), Words(self, "")
 
     def merges(self, text: str) -> list[str]:
@@ -95,25 +109,34 @@ class Codec:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def follows(self, a: str, b: str) -> bool:
-        """The arc weight between neighbours: True for 0, False for minus infinity. a is empty at a text's start."""
-        key = (a, b)
+    def number(self, piece: str) -> int:
+        """A piece's number: its id plus 1, beyond all ids for a character without a piece; 0 is the start."""
+        known = self.ids.get(piece)
+        if known is None:
+            if len(self.names) > self.size + 200_000:
+                raise ValueError("more unknown characters than there are")
+            known = self.ids_beyond.get(piece)
+            if known is None:
+                known = self.ids_beyond[piece] = len(self.names)
+                self.names.append(piece)
+                got = [self.byte.get(x) for x in piece.encode()]
+                self.packed.append(np.array(got if None not in got else [self.unk], np.int32).tobytes())
+        return known
+
+    def follows(self, a: int, b: int) -> bool:
+        """The arc weight between neighbours: True for 0, False for minus infinity. a is 0 at a text's start."""
+        key = a << 32 | b
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merges(a + b) == ([a, b] if a else [b])
+            x, y = self.names[a], self.names[b]
+            found = self.pairs[key] = self.merges(x + y) == ([x, y] if a else [y])
         return found
 
-    def _id_bytes(self, piece: str) -> bytes:
-        i = self.ids.get(piece)
-        if i is not None:
-            return np.int32(i).tobytes()
-        got = [self.byte.get(x) for x in piece.encode()]
-        return np.array(got if None not in got else [self.unk], np.int32).tobytes()
-
-    def pack(self, pieces: list[str]) -> bytes:
-        return b"".join(map(self._id_bytes, pieces))
+    def pack(self, pieces: list[int]) -> bytes:
+        packed = self.packed
+        return b"".join([packed[i] for i in pieces])
 
     def transfer(self, left: str, body: str, start: bool, end: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
         """(entry states, [(exit offset, exit length, bits of the entries that reach it)]) of one chunk.
@@ -122,62 +145,80 @@ class Codec:
         (characters between the piece's end and the boundary, length of the piece).
         """
         text, b, longest = left + body, len(left), self.longest
+        if not end and len(body) < longest:
+            raise ValueError("a chunk must be longer than any piece")
         known = self.ids
         if start:
             entries = [START]
-            at: dict[int, list[tuple[str, int]]] = {b: [("", 1)]}
+            at: dict[int, list[tuple[int, int, int]]] = {b: [(0, 0, 1)]}
         else:
             entries, at = [], {}
             for p in range(max(1, b - longest + 1), b + 1):
                 for n in range(1, min(longest, p) + 1):
                     if n == 1 or text[p - n : p] in known:
-                        at.setdefault(p, []).append((text[p - n : p], 1 << len(entries)))
+                        at.setdefault(p, []).append((self.number(text[p - n : p]), n, 1 << len(entries)))
                         entries.append((b - p, n))
         for p in range(b + 1, len(text) + 1):
             found = []
             for n in range(1, min(longest, p) + 1):
                 piece = text[p - n : p]
                 if (n == 1 or piece in known) and (before := at.get(p - n)):
-                    mask = 0
-                    for other, bits in before:
-                        if bits & ~mask and self.follows(other, piece):
+                    mask, here = 0, self.number(piece)
+                    for other, _, bits in before:
+                        if bits & ~mask and self.follows(other, here):
                             mask |= bits
                     if mask:
-                        found.append((piece, mask))
+                        found.append((here, n, mask))
             if found:
                 at[p] = found
             if p - 2 * longest - 1 > b:
                 at.pop(p - 2 * longest - 1, None)
         stop = len(text)
         first = stop if end else max(b + 1, stop - longest + 1)
-        exits = [(stop - p, len(piece), mask) for p in range(first, stop + 1) for piece, mask in at.get(p, ()) if p > b]
-        if not end and stop - longest < b:  # a short chunk may be crossed by one piece: entries stay states
-            exits += [(o + stop - b, n, 1 << i) for i, (o, n) in enumerate(entries) if o + stop - b < longest and (o, n) != START]
+        exits = [(stop - p, n, mask) for p in range(first, stop + 1) for _, n, mask in at.get(p, ()) if p > b]
         return entries, exits
 
-    def path(self, left: str, body: str, entry: tuple[int, int], leave: tuple[int, int] | None) -> list[str]:
-        """The pieces after the entry state up to the exit state (None: the end of body)."""
-        text, b = left + body, len(left)
-        known, longest, follows = self.ids, self.longest, self.follows
-        if entry == START:
-            begin, last = b, {b: ""}
-        else:
-            begin = b - entry[0]
-            last = {begin: text[begin - entry[1] : begin]}
+    def path(self, left: str, body: str, entry: tuple[int, int], leave: tuple[int, int] | None) -> list[int]:
+        """The pieces (as numbers) after the entry state up to the exit state (None: the end of body).
+
+        At most one path of weight 0 leads from an entry state to any place, so the search goes depth first, longest
+        pieces first, and never returns to a place from which the end was not reached.
+        """
+        text, heads, ids, pairs, number = left + body, self.by_head, self.ids, self.pairs, self.number
+        place = len(left) if entry == START else len(left) - entry[0]
         stop = len(text) if leave is None else len(text) - leave[0]
-        for p in range(begin + 1, stop + 1):
-            for n in range(min(longest, p - begin), 0, -1):
-                before = last.get(p - n)
-                if before is not None:
-                    piece = text[p - n : p]
-                    if (n == 1 or piece in known) and follows(before, piece):
-                        last[p] = piece
-                        break
-        out = []
-        while stop > begin:
-            out.append(last[stop])
-            stop -= len(last[stop])
-        return out[::-1]
+        first = 0 if entry == START else number(text[place - entry[1] : place])
+        before, out, dead = first, [], None
+        limit = stop - place
+        while place < stop:
+            for n in heads.get(text[place : place + 3], SHORT):
+                if n > limit:
+                    continue
+                if n == 1:
+                    piece = number(text[place])
+                else:
+                    piece = ids.get(text[place : place + n])
+                    if piece is None:
+                        continue
+                if dead and place + n in dead:
+                    continue
+                good = pairs.get(before << 32 | piece)
+                if good is None:
+                    good = self.follows(before, piece)
+                if good:
+                    out.append((piece, n))
+                    before = piece
+                    place += n
+                    limit = stop - place
+                    break
+            else:
+                dead = dead or set()
+                dead.add(place)
+                place -= out.pop()[1]
+                limit = stop - place
+                before = out[-1][0] if out else first
+                # The place is tried again; what was dead stays dead.
+        return [piece for piece, _ in out]
 
     def encode_whole(self, text: str | None, head: bool = True) -> bytes:
         """Ids (int32) of text between cuts; head: text begins the document."""
@@ -206,6 +247,19 @@ class Codec:
         return b"".join(map(self.bare.__getitem__, RUNS.findall(text)))
 
 
+_CODECS: dict[int, Codec] = {}
+
+
+def codec_of(shared) -> Codec:
+    """The Codec of a broadcast model, kept with its caches for later tasks of the same Python process."""
+    model = shared.value
+    if id(model) not in _CODECS:
+        _CODECS.clear()
+        _CODECS[id(model)] = Codec(model)
+        _CODECS[id(model)].model = model  # kept alive, so that its id is not given to another
+    return _CODECS[id(model)]
+
+
 class Words(dict):
     """word -> its ids; words come with or without the space before them."""
 
@@ -214,10 +268,17 @@ class Words(dict):
         self.codec, self.before = codec, before
 
     def __missing__(self, word: str) -> bytes:
-        found = self.codec.pack(self.codec.path("", self.before + word, START, None))
+        beside = self.codec.beside
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in beside:
+                found = self[word[:i]] + self.codec.bare[word[i:]]
+                break
+        else:
+            found = self.codec.pack(self.codec.path("", self.before + word, START, None))
         if len(word) <= 48:
             if len(self) > CACHE:
-                self.clear()
+                for old in list(islice(self, CACHE // 2)):
+                    del self[old]
             self[word] = found
         return found
 
@@ -278,8 +339,8 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CH
     out = T.StructType([*docs.schema.fields, IDS])
 
     def whole(batches):
-        codec = Codec(shared.value)
-        for b in batches:
+        codec = codec_of(shared)
+        for b in slices(batches):
             parts = [codec.encode_whole(t) for t in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, _list_array(parts).cast(pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
 
@@ -294,13 +355,13 @@ def _encode_giants(giants: DataFrame, shared, text: str, chunk: int) -> DataFram
     pieces = T._parse_datatype_string("key long, no int, left string, body string, start boolean, end boolean, last boolean")
 
     def split(batches):
-        codec = Codec(shared.value)
-        reach = 2 * codec.longest
+        codec = codec_of(shared)
+        reach, size = 2 * codec.longest, max(chunk, 4 * codec.longest)
         for b in batches:
             rows = []
             for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 t = codec.dummy + t.replace(" ", SPACE)
-                bounds = [(0, True), *cut_points(t, chunk, codec.cuts), (len(t), True)]
+                bounds = [(0, True), *cut_points(t, size, codec.cuts), (len(t), True)]
                 for no, ((p, start), (q, end)) in enumerate(zip(bounds, bounds[1:])):
                     rows.append((key, no, "" if start else t[max(0, p - reach) : p], t[p:q], start, end, q == len(t)))
             cols = list(zip(*rows)) if rows else [[]] * 7
@@ -312,7 +373,7 @@ def _encode_giants(giants: DataFrame, shared, text: str, chunk: int) -> DataFram
     chunks = written(keyed.mapInArrow(split, pieces).repartition("key", "no"), "chunks")
 
     def transfers(batches):
-        codec = Codec(shared.value)
+        codec = codec_of(shared)
         for b in batches:
             rows = []
             for r in b.to_pylist():
@@ -353,7 +414,7 @@ def _encode_giants(giants: DataFrame, shared, text: str, chunk: int) -> DataFram
     found = matrices.groupBy("key").applyInArrow(states, "key long, no int, entry array<int>, leave array<int>")
 
     def trace(batches):
-        codec = Codec(shared.value)
+        codec = codec_of(shared)
         for b in batches:
             parts = []
             for r in b.to_pylist():
@@ -377,9 +438,9 @@ def decode(encoded: DataFrame, model_path: str, name: str = "decoded") -> DataFr
     where = encoded.columns.index("ids")
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = codec_of(shared)
         table = codec.text_of
-        for b in batches:
+        for b in slices(batches):
             column = b.column(where)
             flat, offsets = column.flatten().to_numpy(zero_copy_only=False), 0
             out = []
