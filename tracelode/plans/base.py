@@ -15,6 +15,10 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def _spark_frame(self, values: list, name: str) -> DataFrame:
+        """A small inline dimension of one column."""
+        return self.spark.createDataFrame([(v,) for v in values], [name])
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
