@@ -19,9 +19,12 @@ i64); rows with equal keys stay as they are, ordered by text; empty tables give
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import broadcast_value, shared_path
+from tracelode.llm.common import broadcast_value, shared_path, slices
 
 MAGIC = b"TOKIDX01"
 HEADER = "<8sIIQ"
 ENTRY = np.dtype([("key", "<i8"), ("offset", "<u8"), ("n", "<u4")])
-CACHE = 300_000
-#: A text is cut here for the word cache; no pre-token of the tokenizer reaches across white space.
+CACHE = 250_000
+#: Any other text is cut here for the word cache; no pre-token of the tokenizer reaches across white space.
 ASCII_SPACE = bytes(32 if b in b" \t\n\r\x0b\x0c" else b for b in range(256))
 
 
@@ -66,21 +69,70 @@ def unframe(data: memoryview, offset: int) -> tuple[memoryview, int]:
     return payload, end + 4
 
 
+def _letters_below(limit: int, kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(limit) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: Below this code point every text is its own NFC form and lower-cases character by character.
+PLAIN = 0x250
+BEYOND = re.compile(f"[^\\x00-{chr(PLAIN - 1)}]")
+_L, _N, _S = _letters_below(PLAIN, "L"), _letters_below(PLAIN, "N"), r"\t\n\x0b\x0c\r \x85\xa0"
+#: The tokenizer's own split into pre-tokens, over plain text.
+PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+
+
+def _byte_alphabet() -> list[str]:
+    """The visible character of each byte in byte-level vocabularies: printable ones as they are, others from 256 up."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class WordCache(dict):
-    """White-space-delimited piece of text (UTF-8) -> ids as bytes, from the tokenizer when first met."""
+    """Pre-token (str, plain and in lower case) or white-space-delimited piece (bytes) -> ids as bytes.
+
+    A pre-token that is not known goes to the tokenizer's merges, a piece of any other text to the whole tokenizer.
+    """
 
     def __init__(self, tokenizer, dtype: str):
         super().__init__()
         self.tokenizer, self.dtype = tokenizer, dtype
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        self.merge, self.alphabet = tokenizer.model.tokenize, _byte_alphabet()
+
+    def __missing__(self, word: str | bytes) -> bytes:
+        if isinstance(word, str):
+            alphabet = self.alphabet
+            found = [x.id for x in self.merge("".join([alphabet[b] for b in word.encode()]))]
+        else:
+            found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        ids = np.array(found, dtype=self.dtype).tobytes()
         if len(word) <= 64:
             if len(self) > CACHE:
-                self.clear()
+                for old in list(islice(self, CACHE // 2)):
+                    del self[old]
             self[word] = ids
         return ids
 
+    def encode(self, text: str) -> bytes:
+        if BEYOND.search(text):
+            return b"".join(map(self.__getitem__, text.encode().translate(ASCII_SPACE).split(b" ")))
+        return b"".join(map(self.__getitem__, PRE_TOKENS.findall(text.lower())))
+
+
+_CACHES: dict[str, WordCache] = {}
+
+
+def cache_of(definition: str, dtype: str) -> WordCache:
+    """The cache of a tokenizer, kept for later tasks of the same Python process."""
+    from tokenizers import Tokenizer
+
+    if definition not in _CACHES:
+        tokenizer = Tokenizer.from_str(definition)
+        tokenizer.encode_special_tokens = True
+        _CACHES.clear()
+        _CACHES[definition] = WordCache(tokenizer, dtype)
+    return _CACHES[definition]
+
 
 def _sequential(path: str):
     return fs.FileSystem.from_uri(path)
@@ -105,20 +157,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2
         context = TaskContext.get()
         shard = context.partitionId()
         system, folder = _sequential(out)
-        tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.encode_special_tokens = True
-        cache = WordCache(tokenizer, dtype)
+        cache = cache_of(shared.value, dtype)
         end = np.array([end_id], dtype=dtype).tobytes()
         width = len(end)
         name = f"{folder}/shard-{shard:06d}"
         attempt = f".{context.taskAttemptId()}.tmp"
         entries, offset, sink = [], 0, None
-        for b in batches:
+        for b in slices(batches):
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if sink is None:
                     system.create_dir(folder, recursive=True)
                     sink = system.open_output_stream(f"{name}.tok{attempt}")
-                payload = b"".join(map(cache.__getitem__, t.encode().translate(ASCII_SPACE).split(b" "))) + end
+                payload = cache.encode(t) + end
                 sink.write(frame(payload))
                 entries.append((-(1 << 63) if k is None else k, offset, len(payload) // width))
                 offset += len(payload) + 16
