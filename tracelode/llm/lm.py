@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelode.llm.common import LOWER_AZ, add_columns, broadcast_value, written
+from tracelode.llm.common import LOWER_AZ, add_columns, broadcast_value, slices, written
 
 #: The end of a text, as a word: no word is empty.
 END = ""
 REST_CLASS, END_CLASS = 0, 1
-FLUSH = 400_000
+FLUSH = 200_000
 HEAD_BYTES = 128 << 20
 
 
@@ -51,7 +51,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             counts.clear()
             return batch
 
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 counts.update(tokens(t))
                 counts[b""] += 1
@@ -69,7 +69,7 @@ def count_pairs(texts: DataFrame, classes: dict[bytes, int], n_classes: int) ->
     def run(batches):
         table = np.zeros(n_classes * n_classes, np.int64)
         get = classes.get
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 words = tokens(t)
                 ids = np.full(len(words) + 2, END_CLASS, np.int64)
