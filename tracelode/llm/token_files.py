@@ -114,9 +114,10 @@ class WordCache(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if BEYOND.search(text):
+        low = text.lower()
+        if BEYOND.search(text) or BEYOND.search(low):
             return b"".join(map(self.__getitem__, text.encode().translate(ASCII_SPACE).split(b" ")))
-        return b"".join(map(self.__getitem__, PRE_TOKENS.findall(text.lower())))
+        return b"".join(map(self.__getitem__, PRE_TOKENS.findall(low)))
 
 
 _CACHES: dict[str, WordCache] = {}
