@@ -148,9 +148,87 @@ def simhash_components(docs: DataFrame, size: int = 3, distance: int = 2, k: int
     return each.join(linked, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, distance: int = 2) -> DataFrame:
-    """One row of docs, that of the smallest doc_id, for each component; of rows that share that id, the first by text."""
-    found = simhash_components(docs, size, distance).select("component_id").distinct()
+#: Odd multipliers that make independent hashes of one: rounds of a common 64-bit mixer.
+_MIX_A, _MIX_B, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
+
+
+def word_fingerprints(text: str | None, n: int, seed: int = 42) -> list[int]:
+    """n independent fingerprints of text's distinct words, each word once: a few edits move few bits, whatever the order."""
+    words = set(text.encode().translate(LOWER_AZ).split()) if text else set()
+    if not words:
+        return [0] * n
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
+    out = []
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            x = h + np.uint64(_GOLDEN * (i + 1) & 0xFFFFFFFFFFFFFFFF)
+            x = (x ^ (x >> np.uint64(30))) * _MIX_A
+            x = (x ^ (x >> np.uint64(27))) * _MIX_B
+            total = _bit_counts(x ^ (x >> np.uint64(31)))
+            out.append(int(np.packbits(2 * total > len(h), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingle_hashes(text: str | None, size: int) -> list[int]:
+    """Distinct signed hashes of text's word shingles."""
+    words = text.encode().translate(LOWER_AZ).split() if text else []
+    if not words:
+        return []
+    digest = xxhash.xxh64_intdigest
+    return [_signed(x) for x in {digest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))}]
+
+
+def candidate_links(filed_under: DataFrame, distance: int = 2, k: int = 4, bucket: int = 32) -> DataFrame:
+    """Edges (a, b), a < b, between nodes that have a fingerprint of one number within distance; input (node, g, fp).
+
+    As close_links, for several fingerprints a node: g is part of every key.
+    """
+    masks = _block_masks(k)
+    tables = [sum(masks[i] for i in chosen) for chosen in combinations(range(k), k - distance)]
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(tables)])
+    filed = filed_under.select("node", "g", "fp", F.explode(keys).alias("f")).select("node", "g", "fp", "f.t", "f.key")
+    sizes = filed.groupBy("g", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = written(filed.join(sizes, ["g", "t", "key"]), "near-buckets")
+    small, large = sized.where(F.col("n") <= bucket), sized.where(F.col("n") > bucket)
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance
+    left = small.select("g", "t", "key", F.col("node").alias("a"), F.col("fp").alias("fa"))
+    pairs = left.join(small.select("g", "t", "key", F.col("node").alias("b"), F.col("fp").alias("fb")), ["g", "t", "key"]).where("a < b").where(near)
+    flips = [_signed(1 << i) for i in range(BITS)]
+    free = [F.array(F.lit(0).cast("long"), *[F.lit(f) for i, f in enumerate(flips) if not m >> i & 1]) for m in tables]
+    points = large.select("node", "g", "t", "fp", F.explode(F.element_at(F.array(*free), F.col("t") + 1)).alias("x")).select("node", "g", "t", F.col("fp").bitwiseXOR(F.col("x")).alias("point"))
+    least = points.groupBy("g", "t", "point").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = points.join(least, ["g", "t", "point"]).where("a < node").select("a", F.col("node").alias("b"))
+    return pairs.select("a", "b").unionByName(stars).distinct()
+
+
+def near_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, n_fingerprints: int = 8, distance: int = 2) -> DataFrame:
+    """(doc_id, component_id): components over links of word-shingle similarity (Jaccard) of at least `similarity`.
+
+    One 64-bit fingerprint of five-word shingles at that similarity differs in some ten bits, which no selective
+    blocks can serve. So candidates come from several independent fingerprints of the words themselves, of which a
+    near copy brings at least one within two bits, and each candidate link is verified on the shingles of both texts.
+    """
+    each = written(add_columns(docs.select("doc_id", "text"), ["text"], lambda: lambda t: (word_fingerprints(t, n_fingerprints),), "fps array<long>").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "fps"), "near-fingerprints")
+    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fps").alias("fps")), "near-nodes")
+    edges = written(candidate_links(nodes.select("node", F.posexplode("fps").alias("g", "fp")), distance), "near-candidates")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first_id").alias("doc_id"))
+    texts = docs.select("doc_id", "text").withColumn("node", F.xxhash64(F.coalesce("text", F.lit("")))).join(ends, ["doc_id", "node"], "left_semi").dropDuplicates(["node"])
+    sets = written(add_columns(texts, ["text"], lambda: lambda t: (shingle_hashes(t, size),), "s array<long>").select("node", "s"), "near-shingles")
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    # The bound on sizes spares most false candidates the intersection.
+    smaller, larger = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = both.where(smaller >= similarity * larger).where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    roots = components(links)
+    of_node = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    ids = of_node.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return each.join(of_node.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, n_fingerprints: int = 8) -> DataFrame:
+    """One row of docs, of the smallest doc_id, for each group of near copies; of rows with one doc_id one stays."""
+    found = near_components(docs, size, similarity, n_fingerprints).select("component_id").distinct()
     kept = docs.join(found, docs.doc_id.eqNullSafe(found.component_id), "left_semi")
     return kept.dropDuplicates(["doc_id"])
 
