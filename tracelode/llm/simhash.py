@@ -179,10 +179,11 @@ def shingle_hashes(text: str | None, size: int) -> list[int]:
     return [_signed(x) for x in {digest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))}]
 
 
-def candidate_links(filed_under: DataFrame, distance: int = 2, k: int = 4, bucket: int = 32) -> DataFrame:
+def candidate_links(filed_under: DataFrame, distance: int = 2, k: int = 4, bucket: int = 64, accepted: int = 8) -> DataFrame:
     """Edges (a, b), a < b, between nodes that have a fingerprint of one number within distance; input (node, g, fp).
 
-    As close_links, for several fingerprints a node: g is part of every key.
+    As close_links, for several fingerprints a node: g is part of every key. All pairs within distance share blocks
+    and are linked; of the pairs that share blocks, those up to `accepted` bits apart are candidates too.
     """
     masks = _block_masks(k)
     tables = [sum(masks[i] for i in chosen) for chosen in combinations(range(k), k - distance)]
@@ -191,7 +192,7 @@ def candidate_links(filed_under: DataFrame, distance: int = 2, k: int = 4, bucke
     sizes = filed.groupBy("g", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
     sized = written(filed.join(sizes, ["g", "t", "key"]), "near-buckets")
     small, large = sized.where(F.col("n") <= bucket), sized.where(F.col("n") > bucket)
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max(distance, accepted)
     left = small.select("g", "t", "key", F.col("node").alias("a"), F.col("fp").alias("fa"))
     pairs = left.join(small.select("g", "t", "key", F.col("node").alias("b"), F.col("fp").alias("fb")), ["g", "t", "key"]).where("a < b").where(near)
     flips = [_signed(1 << i) for i in range(BITS)]
@@ -202,7 +203,7 @@ def candidate_links(filed_under: DataFrame, distance: int = 2, k: int = 4, bucke
     return pairs.select("a", "b").unionByName(stars).distinct()
 
 
-def near_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, n_fingerprints: int = 8, distance: int = 2) -> DataFrame:
+def near_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, n_fingerprints: int = 12, distance: int = 2) -> DataFrame:
     """(doc_id, component_id): components over links of word-shingle similarity (Jaccard) of at least `similarity`.
 
     One 64-bit fingerprint of five-word shingles at that similarity differs in some ten bits, which no selective
@@ -226,7 +227,7 @@ def near_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, n_f
     return each.join(of_node.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, n_fingerprints: int = 8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, n_fingerprints: int = 12) -> DataFrame:
     """One row of docs, of the smallest doc_id, for each group of near copies; of rows with one doc_id one stays."""
     found = near_components(docs, size, similarity, n_fingerprints).select("component_id").distinct()
     kept = docs.join(found, docs.doc_id.eqNullSafe(found.component_id), "left_semi")
