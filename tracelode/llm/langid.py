@@ -21,7 +21,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tracelode.llm.common import add_columns, broadcast_value
 
@@ -45,8 +44,18 @@ def train(docs: DataFrame, usable: Column | None = None, max_train_docs: int = 2
     grams = words.select("lang", "c", F.explode(F.concat(*[gram(n) for n in ORDERS])).alias("w")).groupBy("lang", "w").agg(F.sum("c").alias("c"))
 
     def top(df: DataFrame, k: int) -> list:
-        best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "w"))
-        return df.where("c > 1").withColumn("best", best).where(F.col("best") <= k).select("lang", "w", "c").collect()
+        """Each language's rows above the least count that at most k rows reach; how many rows have each count tells it."""
+        seen = df.where("c > 1")
+        left: dict[str, int] = {}
+        least: dict[str, int] = {}
+        for r in sorted(seen.groupBy("lang", "c").agg(F.count("*").alias("n")).collect(), key=lambda r: (r.lang, -r.c)):
+            left[r.lang] = left.get(r.lang, k) - r.n
+            if left[r.lang] >= 0:
+                least[r.lang] = r.c
+        if not least:
+            return []
+        bound = F.element_at(F.create_map(*[F.lit(x) for lang in sorted(least) for x in (lang, least[lang])]), F.col("lang"))
+        return seen.where(F.col("lang").isin(*least)).where(F.col("c") >= bound).select("lang", "w", "c").collect()
 
     words = words.persist()
     try:
