@@ -16,6 +16,7 @@ from tracelode.functions import text as tx
 from tracelode.functions.hashing import event_fingerprint, stable_hash
 from tracelode.functions.timefn import instant
 from tracelode.operators.sequence import MAX_EVENTS, replay_free, same_id_delta
+from tracelode.sources.exec_wrapper import expanded
 
 EVENT = "struct<event_type:string,name:string,command:string,success:boolean,duration_ms:bigint,source_event_id:string,detail:string>"
 USAGE_FIELDS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "cache_write_1h_tokens", "reasoning_tokens")
@@ -142,11 +143,12 @@ def codex(b: DataFrame) -> DataFrame:
     known_item = ("custom_tool_call", "function_call", "custom_tool_call_output", "function_call_output", "agent_message", "message", "reasoning", "web_search_call")
     unknown = ~F.coalesce(kind, F.lit("unknown")).isin("session_meta", "turn_context", "event_msg", "response_item", "compacted") | (msg & ~F.coalesce(sub, F.lit("")).isin(*known_msg)) | (item & ~F.coalesce(sub, F.lit("")).isin(*known_item))
     said = F.coalesce(message_text(r, "$.payload.message"), message_text(r, "$.payload.text"))
-    return _row(
+    rows = _row(
         b, session_id=F.when(kind == "session_meta", F.nullif(p("id"), F.lit(""))), cwd=F.when(kind.isin("session_meta", "turn_context"), p("cwd")), ts_raw=get(r, "$.timestamp"), human=is_(msg, "user_message"),
         prompt=F.when(is_(msg, "user_message"), said), result=F.when(is_(msg, "agent_message"), said).when(is_(item, "message") & (p("role") == "assistant"), message_text(r, "$.payload.content")), model=F.when(kind == "turn_context", p("model")),
         usage=F.when(is_(msg, "token_count") & p("info.total_token_usage", "variant").isNotNull(), usage), cumulative=F.lit("total"), events=events, unknown=unknown,
     )
+    return expanded(rows, EVENT)
 
 
 def cursor(b: DataFrame) -> DataFrame:
