@@ -44,8 +44,8 @@ PAIRS = 400_000
 MODEL_BYTES = 64 << 20
 #: The boundary state before any piece, also after a cut that no piece can cross.
 START = (0, 0)
-#: Lengths to try where no longer piece begins with the next three characters.
-SHORT = (2, 1)
+#: Characters of a text that the table of beginnings tells apart.
+HEAD = 5
 RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -80,17 +80,23 @@ class Codec:
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(model["pieces"]) if kinds[i] == 6}
         self.unk = next(i for i, k in enumerate(kinds) if k == 2)
         self.longest = max(map(len, self.ids), default=1)
+        longer: dict[str, set[int]] = defaultdict(set)
+        for p in self.ids:
+            if len(p) > HEAD:
+                longer[p[:HEAD]].add(len(p))
+        #: Beginnings of pieces, of 2 to HEAD characters -> (length, number) of the pieces that a text with such a
+        #: beginning, and no longer one, has there; longest first, a number that has yet to be looked up as None.
+        heads = {p[:k] for p in self.ids for k in range(2, min(HEAD, len(p)) + 1)}
+        self.by_head = {}
+        for h in heads:
+            exact = [(k, self.ids[h[:k]]) for k in range(len(h), 1, -1) if h[:k] in self.ids]
+            self.by_head[h] = (*[(n, None) for n in sorted(longer.get(h, ()), reverse=True)], *exact, (1, self.number(h[0])))
         self.dummy = SPACE if model["dummy"] else ""
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.lines = self.cuts and not any("\n" in p for p in self.ids)
         self.text_of = [b"" if k == 3 else b" \xe2\x81\x87 " if k == 2 else bytes([int(p[3:5], 16)]) if k == 6 else p.replace(SPACE, " ").encode() for p, k in zip(model["pieces"], kinds)]
-        heads: dict[str, set[int]] = defaultdict(set)
-        for p in self.ids:
-            if len(p) >= 3:
-                heads[p[:3]].add(len(p))
         #: Two characters that no piece has side by side: text can be cut between them.
         self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.by_head = {h: (*sorted(n, reverse=True), 2, 1) for h, n in heads.items()}
         self.pairs: dict[int, bool] = {}
         self.newline = self.packed[self.number("\n")]
         self.spaced, self.bare = Words(self, SPACE), Words(self, "")
@@ -191,12 +197,12 @@ class Codec:
         before, out, dead = first, [], None
         limit = stop - place
         while place < stop:
-            for n in heads.get(text[place : place + 3], SHORT):
+            head = text[place : place + HEAD]
+            found = heads.get(head) or heads.get(head[:4]) or heads.get(head[:3]) or heads.get(head[:2]) or ((1, number(head[0])),)
+            for n, piece in found:
                 if n > limit:
                     continue
-                if n == 1:
-                    piece = number(text[place])
-                else:
+                if piece is None:
                     piece = ids.get(text[place : place + n])
                     if piece is None:
                         continue
