@@ -17,7 +17,6 @@ rows or no hits; other columns pass through, but those with the names of the res
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import pyarrow as pa
@@ -131,10 +130,6 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def items_digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w

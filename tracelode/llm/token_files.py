@@ -135,7 +135,8 @@ def cache_of(definition: str, dtype: str) -> WordCache:
     return _CACHES[definition]
 
 
-def _sequential(path: str):
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path inside it."""
     return fs.FileSystem.from_uri(path)
 
 
@@ -157,7 +158,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard = context.partitionId()
-        system, folder = _sequential(out)
+        system, folder = _file_system(out)
         cache = cache_of(shared.value, dtype)
         end = np.array([end_id], dtype=dtype).tobytes()
         width = len(end)
@@ -190,7 +191,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2
 
 def read_index(path: str) -> tuple[np.ndarray, int]:
     """(key, offset, n) of each record of the shard, and the bytes an id takes."""
-    system, name = _sequential(f"{path}.idx")
+    system, name = _file_system(f"{path}.idx")
     with system.open_input_stream(name) as f:
         data = f.read()
     magic, width, _, count = struct.unpack_from(HEADER, data)
@@ -201,7 +202,7 @@ def read_index(path: str) -> tuple[np.ndarray, int]:
 
 def read_record(path: str, offset: int, width: int) -> np.ndarray:
     """The ids of the record at offset, without reading the rest of the shard."""
-    system, name = _sequential(f"{path}.tok")
+    system, name = _file_system(f"{path}.tok")
     with system.open_input_file(name) as f:
         head = f.read_at(12, offset)
         size = struct.unpack("<Q", head[:8])[0]
@@ -224,7 +225,7 @@ def read_tokens(shards: DataFrame, with_ids: bool = True) -> DataFrame:
         for b in batches:
             for path, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 index, width = read_index(path)
-                system, name = _sequential(f"{path}.tok")
+                system, name = _file_system(f"{path}.tok")
                 with system.open_input_file(name) as f:
                     bound = f.size()
                     for lo in range(0, len(index), 4096):
