@@ -179,28 +179,36 @@ def shingle_hashes(text: str | None, size: int) -> list[int]:
     return [_signed(x) for x in {digest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))}]
 
 
-def candidate_links(filed_under: DataFrame, distance: int = 2, k: int = 4, bucket: int = 64, accepted: int = 8) -> DataFrame:
-    """Edges (a, b), a < b, between nodes that have a fingerprint of one number within distance; input (node, g, fp).
-
-    As close_links, for several fingerprints a node: g is part of every key. All pairs within distance share blocks
-    and are linked; of the pairs that share blocks, those up to `accepted` bits apart are candidates too.
-    """
+def file_under_blocks(fps: DataFrame, distance: int = 2, k: int = 4) -> DataFrame:
+    """(node, g, fp, t, key, n) of (node, g, fp): each fingerprint, g its number, under its keys that others share."""
     masks = _block_masks(k)
     tables = [sum(masks[i] for i in chosen) for chosen in combinations(range(k), k - distance)]
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(tables)])
-    filed = filed_under.select("node", "g", "fp", F.explode(keys).alias("f")).select("node", "g", "fp", "f.t", "f.key")
+    filed = fps.select("node", "g", "fp", F.explode(keys).alias("f")).select("node", "g", "fp", "f.t", "f.key")
     sizes = filed.groupBy("g", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = written(filed.join(sizes, ["g", "t", "key"]), "near-buckets")
-    small, large = sized.where(F.col("n") <= bucket), sized.where(F.col("n") > bucket)
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= max(distance, accepted)
-    left = small.select("g", "t", "key", F.col("node").alias("a"), F.col("fp").alias("fa"))
-    pairs = left.join(small.select("g", "t", "key", F.col("node").alias("b"), F.col("fp").alias("fb")), ["g", "t", "key"]).where("a < b").where(near)
-    flips = [_signed(1 << i) for i in range(BITS)]
-    free = [F.array(F.lit(0).cast("long"), *[F.lit(f) for i, f in enumerate(flips) if not m >> i & 1]) for m in tables]
-    points = large.select("node", "g", "t", "fp", F.explode(F.element_at(F.array(*free), F.col("t") + 1)).alias("x")).select("node", "g", "t", F.col("fp").bitwiseXOR(F.col("x")).alias("point"))
-    least = points.groupBy("g", "t", "point").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = points.join(least, ["g", "t", "point"]).where("a < node").select("a", F.col("node").alias("b"))
-    return pairs.select("a", "b").unionByName(stars).distinct()
+    return filed.join(sizes, ["g", "t", "key"])
+
+
+def star_links(filed: DataFrame) -> DataFrame:
+    """Candidates (a, b): the least node of each key with every other one of it, linear in the key's size."""
+    least = filed.groupBy("g", "t", "key").agg(F.min("node").alias("a"))
+    return filed.select("g", "t", "key", "node").join(least, ["g", "t", "key"]).where("a < node").select("a", F.col("node").alias("b")).distinct()
+
+
+def open_links(filed: DataFrame, roots: DataFrame, bucket: int = 64, accepted: int = 8) -> DataFrame:
+    """Candidates (a, b) of one key that no component joins yet and that are at most `accepted` bits apart.
+
+    Keys of more than `bucket` fingerprints are first reduced to one node of each component.
+    """
+    rooted = filed.join(roots, filed.node == roots.node, "left").select(filed.node, "g", "fp", "t", "key", "n", F.coalesce("root", filed.node).alias("root"))
+    small = rooted.where(F.col("n") <= bucket).drop("n")
+    large = rooted.where(F.col("n") > bucket).groupBy("g", "t", "key", "root").agg(F.min(F.struct("node", "fp")).alias("m")).select("m.node", "g", "m.fp", "t", "key", "root")
+    left_over = large.groupBy("g", "t", "key").agg(F.count("*").alias("n")).where(F.col("n").between(2, bucket)).drop("n")
+    rows = small.unionByName(large.join(left_over, ["g", "t", "key"], "left_semi"))
+    x, y = rows.alias("x"), rows.alias("y")
+    same = (F.col("x.g") == F.col("y.g")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key"))
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= accepted)
+    return x.join(y, same & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, n_fingerprints: int = 12, distance: int = 2) -> DataFrame:
@@ -212,15 +220,21 @@ def near_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, n_f
     """
     each = written(add_columns(docs.select("doc_id", "text"), ["text"], lambda: lambda t: (word_fingerprints(t, n_fingerprints),), "fps array<long>").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "fps"), "near-fingerprints")
     nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fps").alias("fps")), "near-nodes")
-    edges = written(candidate_links(nodes.select("node", F.posexplode("fps").alias("g", "fp")), distance), "near-candidates")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first_id").alias("doc_id"))
+    filed = written(file_under_blocks(nodes.select("node", F.posexplode("fps").alias("g", "fp")), distance), "near-filed")
+    ends = filed.select("node").distinct().join(nodes, "node").select("node", F.col("first_id").alias("doc_id"))
     texts = docs.select("doc_id", "text").withColumn("node", F.xxhash64(F.coalesce("text", F.lit("")))).join(ends, ["doc_id", "node"], "left_semi").dropDuplicates(["node"])
     sets = written(add_columns(texts, ["text"], lambda: lambda t: (shingle_hashes(t, size),), "s array<long>").select("node", "s"), "near-shingles")
-    both = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    # The bound on sizes spares most false candidates the intersection.
-    smaller, larger = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(smaller >= similarity * larger).where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+    def verified(edges: DataFrame, name: str) -> DataFrame:
+        both = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        # The bound on sizes spares most false candidates the intersection.
+        smaller, larger = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
+        common = F.size(F.array_intersect("sa", "sb"))
+        return written(both.where(smaller >= similarity * larger).where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), name)
+
+    # Stars first: most members of a group are then joined, and only pairs of different components are looked at.
+    stars = verified(star_links(filed), "near-stars")
+    links = stars.unionByName(verified(open_links(filed, components(stars)), "near-links"))
     roots = components(links)
     of_node = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     ids = of_node.groupBy("root").agg(F.min("first_id").alias("component_id"))
