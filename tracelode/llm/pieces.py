@@ -94,7 +94,6 @@ class Codec:
         self.dummy = SPACE if model["dummy"] else ""
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.lines = self.cuts and not any("\n" in p for p in self.ids)
-        self.text_of = [b"" if k == 3 else b" \xe2\x81\x87 " if k == 2 else bytes([int(p[3:5], 16)]) if k == 6 else p.replace(SPACE, " ").encode() for p, k in zip(model["pieces"], kinds)]
         #: Two characters that no piece has side by side: text can be cut between them.
         self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.pairs: dict[int, bool] = {}
@@ -253,6 +252,12 @@ class Codec:
         return b"".join(map(self.bare.__getitem__, RUNS.findall(text)))
 
 
+def piece_bytes(model: dict) -> list[bytes]:
+    """What each id stands for in a text: control ids nothing, byte pieces their byte."""
+    kinds = zip(model["pieces"], model["kinds"])
+    return [b"" if k == 3 else b" \xe2\x81\x87 " if k == 2 else bytes([int(p[3:5], 16)]) if k == 6 else p.replace(SPACE, " ").encode() for p, k in kinds]
+
+
 _CODECS: dict[int, Codec] = {}
 
 
@@ -444,8 +449,7 @@ def decode(encoded: DataFrame, model_path: str, name: str = "decoded") -> DataFr
     where = encoded.columns.index("ids")
 
     def run(batches):
-        codec = codec_of(shared)
-        table = codec.text_of
+        table, dummy = piece_bytes(shared.value), shared.value["dummy"]
         for b in slices(batches):
             column = b.column(where)
             flat, offsets = column.flatten().to_numpy(zero_copy_only=False), 0
@@ -456,7 +460,7 @@ def decode(encoded: DataFrame, model_path: str, name: str = "decoded") -> DataFr
                     continue
                 raw = b"".join(map(table.__getitem__, flat[offsets : offsets + n].tolist())).decode("utf-8", "replace")
                 offsets += n
-                out.append(raw[1:] if codec.dummy and raw.startswith(" ") else raw)
+                out.append(raw[1:] if dummy and raw.startswith(" ") else raw)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, name])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
