@@ -98,3 +98,22 @@ def test_shingle_verification_is_exact(spark):
     a = " ".join(f"w{i}" for i in range(100))
     docs = spark.createDataFrame([(1, a), (2, " ".join(reversed(a.split()))), (3, a.upper())], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in simhash.near_components(docs).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def jaccard(a, b, size=5):
+    x, y = ({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_texts_with_words_added_or_cut_are_found(spark):
+    rng = random.Random(3)
+    rows = []
+    for base in range(24):
+        words = [f"w{rng.randrange(30_000)}" for _ in range(rng.choice((160, 600, 1500)))]
+        n = len(words) - 4
+        tail = [f"w{rng.randrange(30_000)}" for _ in range(int(n * 0.245))]
+        rows += [(base * 10, " ".join(words)), (base * 10 + 1, " ".join(words + tail)), (base * 10 + 2, " ".join(words[: len(words) - int(n * 0.195)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    assert all(0.8 <= jaccard(text[i], text[i - i % 10]) < 0.82 for i in text if i % 10)
+    assert {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()} == {i: i - i % 10 for i in text}

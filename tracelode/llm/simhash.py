@@ -20,6 +20,7 @@ by `simhash_components` and pass through `drop_near_duplicates`.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import LOWER_AZ, add_columns, shared_dir, written
+from tracelode.llm.common import LOWER_AZ, add_columns, broadcast_value, shared_dir, written
 
 BITS = 64
 #: Shingles hashed at once; bounds a task's memory for any length of text.
@@ -148,102 +149,162 @@ def simhash_components(docs: DataFrame, size: int = 3, distance: int = 2, k: int
     return each.join(linked, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Odd multipliers that make independent hashes of one: rounds of a common 64-bit mixer.
-_MIX_A, _MIX_B, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
+#: Odd multipliers of a common 64-bit mixer.
+_MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Bits of a parity bitmap, a power of two.
+PARITY_BITS = 1024
+#: Documents whose shingles are counted for the order of shingles, and how many of those shingles are kept.
+ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
+HUBS = 3
 
 
-def word_fingerprints(text: str | None, n: int, seed: int = 42) -> list[int]:
-    """n independent fingerprints of text's distinct words, each word once: a few edits move few bits, whatever the order."""
-    words = set(text.encode().translate(LOWER_AZ).split()) if text else set()
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Distinct hashes of text's word shingles, ascending; a text of fewer words is one shingle."""
+    words = text.encode().translate(LOWER_AZ).split() if text else []
     if not words:
-        return [0] * n
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
-    out = []
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(h) - size + 1)
+    x = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(n):
-            x = h + np.uint64(_GOLDEN * (i + 1) & 0xFFFFFFFFFFFFFFFF)
-            x = (x ^ (x >> np.uint64(30))) * _MIX_A
-            x = (x ^ (x >> np.uint64(27))) * _MIX_B
-            total = _bit_counts(x ^ (x >> np.uint64(31)))
-            out.append(int(np.packbits(2 * total > len(h), bitorder="little").view("<i8")[0]))
-    return out
+        for i in range(min(size, len(h))):
+            x = (x ^ h[i : i + n]) * _MIX_A
+            x = (x ^ (x >> np.uint64(29))) * _MIX_B
+            x ^= x >> np.uint64(32)
+    return np.unique(x)
 
 
-def shingle_hashes(text: str | None, size: int) -> list[int]:
-    """Distinct signed hashes of text's word shingles."""
-    words = text.encode().translate(LOWER_AZ).split() if text else []
-    if not words:
-        return []
-    digest = xxhash.xxh64_intdigest
-    return [_signed(x) for x in {digest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))}]
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of h in one order of all shingles, rare ones first: sets of at least `similarity` share one of them.
 
+    `common` holds, ascending, shingles known to be frequent, with their counts. Any order is exact, a good one spares work.
+    """
+    if len(common) and len(h):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
+    return h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
 
-def file_under_blocks(fps: DataFrame, distance: int = 2, k: int = 4) -> DataFrame:
-    """(node, g, fp, t, key, n) of (node, g, fp): each fingerprint, g its number, under its keys that others share."""
-    masks = _block_masks(k)
-    tables = [sum(masks[i] for i in chosen) for chosen in combinations(range(k), k - distance)]
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(tables)])
-    filed = fps.select("node", "g", "fp", F.explode(keys).alias("f")).select("node", "g", "fp", "f.t", "f.key")
-    sizes = filed.groupBy("g", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return filed.join(sizes, ["g", "t", "key"])
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """How often, odd or even, each bit is hit by h: sets with d different members differ in at most d bits."""
+    hit = np.bincount((h & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(hit.astype(bool), bitorder="little").view("<i8")
 
-def star_links(filed: DataFrame) -> DataFrame:
-    """Candidates (a, b): the least node of each key with every other one of it, linear in the key's size."""
-    least = filed.groupBy("g", "t", "key").agg(F.min("node").alias("a"))
-    return filed.select("g", "t", "key", "node").join(least, ["g", "t", "key"]).where("a < node").select("a", F.col("node").alias("b")).distinct()
 
+def _node() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
-def open_links(filed: DataFrame, roots: DataFrame, bucket: int = 64, accepted: int = 8) -> DataFrame:
-    """Candidates (a, b) of one key that no component joins yet and that are at most `accepted` bits apart.
 
-    Keys of more than `bucket` fingerprints are first reduced to one node of each component.
-    """
-    rooted = filed.join(roots, filed.node == roots.node, "left").select(filed.node, "g", "fp", "t", "key", "n", F.coalesce("root", filed.node).alias("root"))
-    small = rooted.where(F.col("n") <= bucket).drop("n")
-    large = rooted.where(F.col("n") > bucket).groupBy("g", "t", "key", "root").agg(F.min(F.struct("node", "fp")).alias("m")).select("m.node", "g", "m.fp", "t", "key", "root")
-    left_over = large.groupBy("g", "t", "key").agg(F.count("*").alias("n")).where(F.col("n").between(2, bucket)).drop("n")
-    rows = small.unionByName(large.join(left_over, ["g", "t", "key"], "left_semi"))
-    x, y = rows.alias("x"), rows.alias("y")
-    same = (F.col("x.g") == F.col("y.g")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key"))
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= accepted)
-    return x.join(y, same & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-
-def near_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, n_fingerprints: int = 12, distance: int = 2) -> DataFrame:
-    """(doc_id, component_id): components over links of word-shingle similarity (Jaccard) of at least `similarity`.
+def _common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than two documents of a bounded sample, and their counts. Decides the order of shingles only."""
+    share = min(1.0, ORDER_DOCS / max(docs.count(), 1))
+    sample = docs.select("text").where(F.pmod(F.xxhash64(F.lit(3), _node()), F.lit(1_000_000)) < F.lit(share * 1_000_000))
+    each = add_columns(sample, ["text"], lambda: lambda t: (shingle_hashes(t, size).view(np.int64),), "s array<long>").select(F.explode("s").alias("x"))
+    rows = each.groupBy("x").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "x").limit(ORDER_SHINGLES).collect()
+    found = np.array([r.x for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r.c for r in rows], np.int64)[order]
+
+
+def _may_be_near(similarity: float, a: str, b: str) -> Column:
+    """False only for pairs below `similarity`: by their sizes, or by more odd bits than their sets may differ in."""
+    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    allowed = (1 - similarity) / (1 + similarity)
+    return (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b) - 1e-6) & (apart <= allowed * (size_a + size_b) + 1e-6)
+
 
-    One 64-bit fingerprint of five-word shingles at that similarity differs in some ten bits, which no selective
-    blocks can serve. So candidates come from several independent fingerprints of the words themselves, of which a
-    near copy brings at least one within two bits, and each candidate link is verified on the shingles of both texts.
+def file_under_prefixes(nodes: DataFrame) -> DataFrame:
+    """(key, node, n) of (node, keys): each node under those of its keys that others share, n of them."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def star_links(filed: DataFrame) -> DataFrame:
+    """Candidates (a, b): a few nodes of each key, chosen alike in all keys, with every other one of it; linear in its size."""
+    hubs = filed.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node")).alias(f"h{i}") for i in range(HUBS)])
+    hubs = hubs.select("key", F.array_distinct(F.array(*[F.col(f"h{i}.node") for i in range(HUBS)])).alias("hubs"))
+    pairs = filed.join(hubs, "key").select("node", F.explode("hubs").alias("hub")).where("node <> hub")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def open_links(filed: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b): all pairs of one key that no component joins yet and that sizes and parities leave possible.
+
+    Most members of a large group are in one component by now: pairs are formed from the other ones only. No key and
+    no member is left out.
     """
-    each = written(add_columns(docs.select("doc_id", "text"), ["text"], lambda: lambda t: (word_fingerprints(t, n_fingerprints),), "fps array<long>").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "fps"), "near-fingerprints")
-    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fps").alias("fps")), "near-nodes")
-    filed = written(file_under_blocks(nodes.select("node", F.posexplode("fps").alias("g", "fp")), distance), "near-filed")
-    ends = filed.select("node").distinct().join(nodes, "node").select("node", F.col("first_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").withColumn("node", F.xxhash64(F.coalesce("text", F.lit("")))).join(ends, ["doc_id", "node"], "left_semi").dropDuplicates(["node"])
-    sets = written(add_columns(texts, ["text"], lambda: lambda t: (shingle_hashes(t, size),), "s array<long>").select("node", "s"), "near-shingles")
+    # Keys of two nodes had their only pair looked at as a star.
+    rooted = filed.where("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("m.root").alias("main"))
+    rows = rooted.join(main, "key").join(nodes.select("node", "size", "bits"), "node")
+    rows = written(rows.select("key", "node", "root", (F.col("root") == F.col("main")).alias("in_main"), "size", "bits"), "near-open")
+    x, y = rows.where("not in_main").alias("x"), rows.alias("y")
+    once = F.col("y.in_main") | (F.col("x.node") < F.col("y.node"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & _may_be_near(similarity, "x", "y"))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _near_nodes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, first_id, root): each distinct text by its hash, its least doc_id, and the component of near copies it is in."""
+    spark, texts = docs.sparkSession, docs.select("doc_id", "text")
+    common, counts = _common_shingles(texts, size)
+    shared = broadcast_value(spark, (common, counts), 16 * ORDER_SHINGLES, common.nbytes + counts.nbytes, "order of shingles")
+
+    def sketch():
+        order = shared.value
+
+        def run(text):
+            h = shingle_hashes(text, size)
+            # Texts without words are alike: key 0 stands for the empty set.
+            keys = prefix(h, similarity, *order).view(np.int64) if len(h) else [0]
+            return len(h), parities(h), keys
+
+        return run
+
+    each = add_columns(texts, ["text"], sketch, "size long, bits array<long>, keys array<long>")
+    each = each.select(_node().alias("node"), "doc_id", "size", "bits", "keys")
+    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "bits", "keys")]), "near-nodes")
+    filed = written(file_under_prefixes(nodes), "near-filed")
 
     def verified(edges: DataFrame, name: str) -> DataFrame:
+        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = texts.select("text", _node().alias("node")).join(ends, "node", "left_semi").dropDuplicates(["node"])
+        sets = written(add_columns(wanted, ["text"], lambda: lambda t: (shingle_hashes(t, size).view(np.int64),), "s array<long>").select("node", "s"), f"{name}-shingles")
         both = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        # The bound on sizes spares most false candidates the intersection.
-        smaller, larger = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        return written(both.where(smaller >= similarity * larger).where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), name)
+        shared_count = F.size(F.array_intersect("sa", "sb"))
+        return written(both.where(shared_count >= similarity * (F.size("sa") + F.size("sb") - shared_count)).select("a", "b"), name)
+
+    def possible(edges: DataFrame, name: str) -> DataFrame:
+        side = nodes.select("node", "size", "bits")
+        x, y = side.alias("x"), side.alias("y")
+        return written(edges.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & _may_be_near(similarity, "x", "y")).select("a", "b"), name)
 
     # Stars first: most members of a group are then joined, and only pairs of different components are looked at.
-    stars = verified(star_links(filed), "near-stars")
-    links = stars.unionByName(verified(open_links(filed, components(stars)), "near-links"))
-    roots = components(links)
-    of_node = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    stars = verified(possible(star_links(filed), "near-star-candidates"), "near-stars")
+    more = written(open_links(filed, components(stars), nodes, similarity), "near-open-candidates")
+    roots = components(stars.unionByName(verified(more, "near-links")))
+    return nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+
+
+def near_components(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): components over links of word-shingle similarity (Jaccard) of at least `similarity`.
+
+    Candidates are exact: with all shingles in one order, sets of at least that similarity share one of the first
+    n - ceil(similarity n) + 1 shingles of each, whether words were changed, added or cut. The order (frequent shingles
+    last, by a sample) decides only how many false candidates there are; sizes and parities rule most of those out
+    without loss, and what is left is verified on the shingles of both texts.
+    """
+    of_node = _near_nodes(docs, size, similarity)
     ids = of_node.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    each = docs.select("doc_id", _node().alias("node"))
     return each.join(of_node.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, n_fingerprints: int = 12) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs, of the smallest doc_id, for each group of near copies; of rows with one doc_id one stays."""
-    found = near_components(docs, size, similarity, n_fingerprints).select("component_id").distinct()
+    found = near_components(docs, size, similarity).select("component_id").distinct()
     kept = docs.join(found, docs.doc_id.eqNullSafe(found.component_id), "left_semi")
     return kept.dropDuplicates(["doc_id"])
 
