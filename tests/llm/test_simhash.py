@@ -117,3 +117,23 @@ def test_texts_with_words_added_or_cut_are_found(spark):
     text = dict(rows)
     assert all(0.8 <= jaccard(text[i], text[i - i % 10]) < 0.82 for i in text if i % 10)
     assert {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()} == {i: i - i % 10 for i in text}
+
+
+def test_large_keys_leave_no_pair_out(spark, monkeypatch):
+    rng = random.Random(8)
+    form, rows = [f"form{i}" for i in range(120)], []
+    for base in range(80):
+        body = [f"w{rng.randrange(900)}" for _ in range(80)]
+        changed = list(body)
+        changed[40] = "changed"
+        rows += [(base * 10, " ".join(form + body)), (base * 10 + 1, " ".join(form + changed))]
+    # The same words in other orders: alike by words, not by shingles.
+    for base in range(80, 160):
+        words = rng.sample(form, len(form))
+        rows += [(base * 10, " ".join(words)), (base * 10 + 1, " ".join([*words, "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: i - i % 10 for i, _ in rows}
+    for kept in (simhash.ORDER_SHINGLES, 0):
+        # Without an order of shingles the form's own ones become keys of 160 texts.
+        monkeypatch.setattr(simhash, "ORDER_SHINGLES", kept)
+        assert {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()} == want
