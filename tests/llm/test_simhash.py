@@ -137,3 +137,14 @@ def test_large_keys_leave_no_pair_out(spark, monkeypatch):
         # Without an order of shingles the form's own ones become keys of 160 texts.
         monkeypatch.setattr(simhash, "ORDER_SHINGLES", kept)
         assert {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()} == want
+
+
+def test_rows_without_or_with_one_doc_id_stay_unless_copies(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(9_000)}" for _ in range(60)) for _ in range(6)]
+    rows = [(None, texts[0], "a"), (None, texts[1], "a"), (None, texts[1] + " more", "b"), (1, texts[2], "a"), (1, texts[3], "a"), (1, texts[3], "a"), (None, texts[3], "a"), (2, texts[4], "a"), (1, texts[4] + " more", "b"), (3, texts[5], "a"), (None, texts[5] + " more", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [(r.doc_id, r.text, r.source) for r in simhash.drop_near_duplicates(docs).collect()]
+    second = [x for x in kept if x[0] is None and x[1].startswith(texts[1])]
+    assert len(second) == 1
+    assert sorted((x for x in kept if x not in second), key=str) == sorted([rows[0], rows[3], rows[4], rows[8], rows[9]], key=str)

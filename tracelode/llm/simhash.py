@@ -303,10 +303,16 @@ def near_components(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of docs, of the smallest doc_id, for each group of near copies; of rows with one doc_id one stays."""
-    found = near_components(docs, size, similarity).select("component_id").distinct()
-    kept = docs.join(found, docs.doc_id.eqNullSafe(found.component_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of docs for each group of near copies: that of the smallest doc_id, null being the largest, then of the least hash.
+
+    Texts are told apart by their hash and not by doc_id: different texts with one doc_id, or without any, all stay.
+    """
+    of_node = _near_nodes(docs, size, similarity)
+    least = of_node.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("m"))
+    heads = least.select(F.col("m.node").alias("head_node"), F.col("m.first_id").alias("head_id"))
+    marked = docs.withColumn("near_node", _node())
+    kept = marked.join(heads, (F.col("near_node") == F.col("head_node")) & F.col("doc_id").eqNullSafe(F.col("head_id")), "left_semi")
+    return kept.dropDuplicates(["near_node"]).select(docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
