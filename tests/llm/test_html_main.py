@@ -41,3 +41,14 @@ def test_edge_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.n_chars) for r in html_main.extract(pages).collect()) == [(1, 0), (2, 0), (3, len(LONG) * 5000), (3, len(LONG) * 5000)]
     assert html_main.extract(pages.limit(0)).count() == 0
+
+
+def test_title_and_lead_beside_the_body_stay_at_any_length():
+    for n in (1, 3, 10, 100):
+        body = "".join(f"<p>{LONG}</p>" for _ in range(n))
+        text = " ".join([LONG] * n)
+        nav = "<nav><a href=x>Home</a></nav>"
+        assert html_main.main_text(f"<body>{nav}<article><h1>Title</h1><div>{body}</div></article></body>") == f"Title {text}"
+        assert html_main.main_text(f"<body>{nav}<article><header><h1>Title</h1><p>Lead.</p></header><div>{body}</div></article></body>") == f"Title Lead. {text}"
+        assert html_main.main_text(f"<body>{nav}<main><h1>Title</h1><section><div>{body}</div></section><p>End.</p></main></body>") == f"Title {text} End."
+        assert html_main.main_text(f"<body>{nav}<h1>Title</h1><div>{body}</div></body>") == f"Title {text}"

@@ -192,17 +192,25 @@ def main_text(page: str | None, spread: float = 0.5) -> str:
         path = found[i][0]
         for k in range(len(path) + 1):
             inside[path[:k]] = inside.get(path[:k], 0) + len(found[i][1])
-    container = max((p for p, n in inside.items() if n >= 0.9 * total), key=len)
+    # The common ancestor of all seeds; where that is the whole page, of nearly all of them.
+    container = max((p for p, n in inside.items() if n >= total), key=len)
+    if not container or container[-1] in ("html", "body"):
+        container = max((p for p, n in inside.items() if n >= 0.9 * total), key=len)
     # A leaf of running text is widened to what holds it, so that headings and short paragraphs beside it stay.
     while container and container[-1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "pre", "blockquote", "td", "th", "tr"):
         container = container[:-1]
+    # Title and lead of an article stand beside the element of its body as often as inside it.
+    for k in range(len(container), 0, -1):
+        if container[k - 1] in ("article", "main"):
+            container = container[:k]
+            break
     # The whole body as container says nothing about its parts: there the threshold itself decides.
     bare = not container or container[-1] in ("html", "body")
     chosen = set(seeds)
     kept = []
     for i in live:
         path, text, linked = found[i]
-        if path[: len(container)] != container:
+        if path[: len(container)] != container and i not in chosen and path[-1:] != ("h1",):
             continue
         if bare and i not in chosen and not (path and path[-1] in ("h1", "h2", "h3", "h4", "h5", "h6")):
             continue
