@@ -10,7 +10,8 @@ only order its merges, so a path of highest summed score would not be its encodi
   chunk ends there where it can, and its boundary has one state. Elsewhere (scripts without spaces, endless
   words) the states of a boundary are the pieces that may be the last to end at or before it.
 * Each chunk yields a transfer matrix: which exit states each entry state reaches, as bit sets over the entries.
-* Matrices are combined associatively (`compose`); forward and backward products leave one state a boundary.
+* Matrices combine associatively (`compose`), but one group for each text walks them in order (`settle`), forward and
+  backward, which leaves one state a boundary.
 * Each chunk is then backtraced on its own between its two states.
 
 Chunks of one text are spread over tasks; only its small matrices meet, one for each `chunk` characters. Texts of
