@@ -10,7 +10,7 @@ is resolved exactly without pairs for d<=2: each of its fingerprints is filed un
 neighbours inside the blocks that may differ, and two fingerprints are within distance 2 exactly if they share
 such a point, so linking every fingerprint to the smallest one at each of its points keeps all connections.
 
-Components come from alternating large-star and small-star steps on checkpointed tables; stars are reduced by
+Components come from alternating large-star and small-star steps on written tables; stars are reduced by
 partial minima, so that a hub costs its neighbours one row each.
 
 Defined cases: null or wordless texts have fingerprint zero and link like any other; repeated rows get one
@@ -24,11 +24,12 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import LOWER_AZ, add_columns, broadcast_value, shared_dir, written
+from tracelode.llm.common import LOWER_AZ, add_columns, broadcast_value, slices, written
 
 BITS = 64
 #: Shingles hashed at once; bounds a task's memory for any length of text.
@@ -117,8 +118,9 @@ def close_links(fps: DataFrame, distance: int = 2, k: int = 4, bucket: int = 32)
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each connected component of edges (a, b)."""
-    shared_dir(edges.sparkSession)
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    state = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")))
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
+    before = e.agg(state).first()
     for _ in range(max_rounds):
         # Large star: the larger neighbours of each node move to its least neighbour.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -127,11 +129,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: the smaller neighbours of each node move to the least of them.
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        after = small.where("u <> v").distinct().checkpoint()
-        same = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first() == e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        e = after
-        if same:
+        e = written(small.where("u <> v").distinct(), "components")
+        after = e.agg(state).first()
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -156,6 +158,10 @@ PARITY_BITS = 1024
 #: Documents whose shingles are counted for the order of shingles, and how many of those shingles are kept.
 ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 HUBS = 3
+#: Digests that may be broadcast at once (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+#: Members compared with one hub in one group; a hub of more members is copied to several groups.
+HUB_MEMBERS = 256
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -191,14 +197,20 @@ def parities(h: np.ndarray) -> np.ndarray:
     return np.packbits(hit.astype(bool), bitorder="little").view("<i8")
 
 
-def _node() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def majority(h: np.ndarray) -> int:
+    """The signed 64-bit SimHash of hashes h; 0 for none."""
+    return int(np.packbits(2 * _bit_counts(h) > len(h), bitorder="little").view("<i8")[0]) if len(h) else 0
+
+
+def _digest() -> Column:
+    """A text's identity, 128 bits wide; null texts are empty ones."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
 def _common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of more than two documents of a bounded sample, and their counts. Decides the order of shingles only."""
     share = min(1.0, ORDER_DOCS / max(docs.count(), 1))
-    sample = docs.select("text").where(F.pmod(F.xxhash64(F.lit(3), _node()), F.lit(1_000_000)) < F.lit(share * 1_000_000))
+    sample = docs.select("text").where(F.pmod(F.xxhash64(F.lit(3), F.coalesce("text", F.lit(""))), F.lit(1_000_000)) < F.lit(share * 1_000_000))
     each = add_columns(sample, ["text"], lambda: lambda t: (shingle_hashes(t, size).view(np.int64),), "s array<long>").select(F.explode("s").alias("x"))
     rows = each.groupBy("x").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "x").limit(ORDER_SHINGLES).collect()
     found = np.array([r.x for r in rows], np.int64).view(np.uint64)
@@ -206,48 +218,116 @@ def _common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray
     return found[order], np.array([r.c for r in rows], np.int64)[order]
 
 
-def _may_be_near(similarity: float, a: str, b: str) -> Column:
-    """False only for pairs below `similarity`: by their sizes, or by more odd bits than their sets may differ in."""
+def _near_by_size(similarity: float, a: str, b: str) -> Column:
+    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b) - 1e-6
+
+
+def _near_by_place(similarity: float, a: str, b: str) -> Column:
+    """False only if two sets of `similarity` cannot have their first common shingle at these places of their orders."""
     size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    left = F.least(size_a - F.col(f"{a}.pos"), size_b - F.col(f"{b}.pos"))
+    return _near_by_size(similarity, a, b) & (left >= similarity / (1 + similarity) * (size_a + size_b) - 1e-6)
+
+
+def _near_by_parity(similarity: float, a: str, b: str) -> Column:
+    """False only for sets with more odd bits apart than sets of `similarity` may differ in."""
     apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
-    allowed = (1 - similarity) / (1 + similarity)
-    return (F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b) - 1e-6) & (apart <= allowed * (size_a + size_b) + 1e-6)
+    return apart <= (1 - similarity) / (1 + similarity) * (F.col(f"{a}.size") + F.col(f"{b}.size")) + 1e-6
+
+
+def _unordered(a: Column | str, b: Column | str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def fingerprint_links(nodes: DataFrame, distance: int = 2) -> DataFrame:
+    """Candidates (a, b) by SimHash: nodes of one fingerprint with the least of them, and those of close fingerprints."""
+    hubs = written(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "near-fingerprints")
+    members = nodes.select("fp", "node").join(hubs, "fp").where("node <> hub").select(*_unordered("node", "hub"))
+    close = close_links(hubs.select("fp"), distance)
+    close = close.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
+    return members.unionByName(close.select(*_unordered("x", "y")))
 
 
 def file_under_prefixes(nodes: DataFrame) -> DataFrame:
-    """(key, node, n) of (node, keys): each node under those of its keys that others share, n of them."""
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    """(key, pos, node, size, n): each node under those of its keys that others share, n of them; pos is the key's place."""
+    keyed = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("key", "pos", "node", "size", "n")
 
 
-def star_links(filed: DataFrame) -> DataFrame:
+def star_links(filed: DataFrame, similarity: float) -> DataFrame:
     """Candidates (a, b): a few nodes of each key, chosen alike in all keys, with every other one of it; linear in its size."""
-    hubs = filed.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node")).alias(f"h{i}") for i in range(HUBS)])
-    hubs = hubs.select("key", F.array_distinct(F.array(*[F.col(f"h{i}.node") for i in range(HUBS)])).alias("hubs"))
-    pairs = filed.join(hubs, "key").select("node", F.explode("hubs").alias("hub")).where("node <> hub")
-    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    hubs = filed.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "pos", "size")).alias(f"h{i}") for i in range(HUBS)])
+    hubs = hubs.select("key", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("hub")).select("key", "hub.*").alias("h")
+    pairs = filed.alias("f").join(hubs, "key").where("f.node <> h.node").where(_near_by_place(similarity, "f", "h"))
+    return pairs.select(*_unordered("f.node", "h.node"))
 
 
 def open_links(filed: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b): all pairs of one key that no component joins yet and that sizes and parities leave possible.
+    """Candidates (a, b): all pairs of one key that no component joins yet and that sizes, places and parities leave possible.
 
     Most members of a large group are in one component by now: pairs are formed from the other ones only. No key and
     no member is left out.
     """
     # Keys of two nodes had their only pair looked at as a star.
-    rooted = filed.where("n > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = filed.where("n > 2").join(roots, "node", "left").select("key", "pos", "node", F.coalesce("root", "node").alias("root"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("m.root").alias("main"))
     rows = rooted.join(main, "key").join(nodes.select("node", "size", "bits"), "node")
-    rows = written(rows.select("key", "node", "root", (F.col("root") == F.col("main")).alias("in_main"), "size", "bits"), "near-open")
+    rows = written(rows.select("key", "pos", "node", "root", (F.col("root") == F.col("main")).alias("in_main"), "size", "bits"), "near-open")
     x, y = rows.where("not in_main").alias("x"), rows.alias("y")
     once = F.col("y.in_main") | (F.col("x.node") < F.col("y.node"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & _may_be_near(similarity, "x", "y"))
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    may = _near_by_place(similarity, "x", "y") & _near_by_parity(similarity, "x", "y")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & may).select(*_unordered("x.node", "y.node"))
+
+
+def _texts_of(edges: DataFrame, nodes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """(node, text) of the nodes of edges."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = written(nodes.select("node", "digest").join(ends, "node", "left_semi"), f"{name}-ends")
+    side = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+    found = texts.select(_digest().alias("digest"), F.coalesce("text", F.lit("")).alias("text")).join(side, "digest")
+    # Copies of a text meet in each task first, so that a text with many of them is sent once a task.
+    return written(found.groupBy("node").agg(F.first("text").alias("text")), f"{name}-texts")
+
+
+def near_pairs(edges: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those edges (a, b) whose texts, of (node, text), have at least `similarity` of their shingles in common.
+
+    The end with more edges is the hub. Rows are sorted by hub, the hub's own text first, and read as a stream: a task
+    holds one hub's shingles and one member's at a time. A hub of many members is copied to several groups.
+    """
+    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    both = edges.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
+    first = F.col("da") >= F.col("db")
+    stars = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("da", "db").alias("d"))
+    stars = stars.select("hub", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("d") / HUB_MEMBERS)).alias("part"))
+    members = stars.join(texts, "node").select("hub", "part", "node", "text")
+    hubs = stars.select("hub", "part").distinct().join(texts.select(F.col("node").alias("hub"), "text"), "hub").select("hub", "part", F.lit(None).cast("long").alias("node"), "text")
+
+    def check(batches):
+        hub, mine = None, np.zeros(0, np.uint64)
+        for b in slices(batches):
+            a, other = [], []
+            for h, node, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                got = shingle_hashes(text, size)
+                if node is None:
+                    hub, mine = h, got
+                    continue
+                if h != hub:
+                    raise ValueError("a member came before its hub")
+                common = len(np.intersect1d(mine, got, assume_unique=True))
+                if common >= similarity * (len(mine) + len(got) - common) - 1e-9:
+                    a.append(min(h, node))
+                    other.append(max(h, node))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(other, pa.int64())], names=["a", "b"])
+
+    # Null nodes, the hubs themselves, sort first.
+    return members.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", "node").mapInArrow(check, "a long, b long")
 
 
 def _near_nodes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(node, first_id, root): each distinct text by its hash, its least doc_id, and the component of near copies it is in."""
+    """(digest, first_id, root): each distinct text, its least doc_id, and the component of near copies it is in."""
     spark, texts = docs.sparkSession, docs.select("doc_id", "text")
     common, counts = _common_shingles(texts, size)
     shared = broadcast_value(spark, (common, counts), 16 * ORDER_SHINGLES, common.nbytes + counts.nbytes, "order of shingles")
@@ -259,60 +339,60 @@ def _near_nodes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
             h = shingle_hashes(text, size)
             # Texts without words are alike: key 0 stands for the empty set.
             keys = prefix(h, similarity, *order).view(np.int64) if len(h) else [0]
-            return len(h), parities(h), keys
+            return len(h), majority(h), parities(h), keys
 
         return run
 
-    each = add_columns(texts, ["text"], sketch, "size long, bits array<long>, keys array<long>")
-    each = each.select(_node().alias("node"), "doc_id", "size", "bits", "keys")
-    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "bits", "keys")]), "near-nodes")
+    each = add_columns(texts, ["text"], sketch, "size long, fp long, bits array<long>, keys array<long>")
+    each = each.select(_digest().alias("digest"), "doc_id", "size", "fp", "bits", "keys")
+    nodes = each.groupBy("digest").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "fp", "bits", "keys")])
+    # Written once, so that the numbers stay what they are.
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     filed = written(file_under_prefixes(nodes), "near-filed")
+    side = nodes.select("node", "size", "bits")
 
-    def verified(edges: DataFrame, name: str) -> DataFrame:
-        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = texts.select("text", _node().alias("node")).join(ends, "node", "left_semi").dropDuplicates(["node"])
-        sets = written(add_columns(wanted, ["text"], lambda: lambda t: (shingle_hashes(t, size).view(np.int64),), "s array<long>").select("node", "s"), f"{name}-shingles")
-        both = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        shared_count = F.size(F.array_intersect("sa", "sb"))
-        return written(both.where(shared_count >= similarity * (F.size("sa") + F.size("sb") - shared_count)).select("a", "b"), name)
-
-    def possible(edges: DataFrame, name: str) -> DataFrame:
-        side = nodes.select("node", "size", "bits")
+    def verified(candidates: DataFrame, name: str) -> DataFrame:
         x, y = side.alias("x"), side.alias("y")
-        return written(edges.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & _may_be_near(similarity, "x", "y")).select("a", "b"), name)
+        left = candidates.distinct().join(x, F.col("a") == F.col("x.node"))
+        may = _near_by_size(similarity, "x", "y") & _near_by_parity(similarity, "x", "y")
+        edges = written(left.join(y, (F.col("b") == F.col("y.node")) & may).select("a", "b"), f"{name}-candidates")
+        return written(near_pairs(edges, _texts_of(edges, nodes, texts, name), size, similarity), name)
 
-    # Stars first: most members of a group are then joined, and only pairs of different components are looked at.
-    stars = verified(possible(star_links(filed), "near-star-candidates"), "near-stars")
-    more = written(open_links(filed, components(stars), nodes, similarity), "near-open-candidates")
-    roots = components(stars.unionByName(verified(more, "near-links")))
-    return nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    # Close fingerprints and stars first: most members of a group are then joined, and only pairs of different components are left.
+    first = verified(fingerprint_links(nodes).unionByName(star_links(filed, similarity)), "near-first")
+    rest = verified(open_links(filed, components(first), nodes, similarity), "near-rest")
+    roots = components(first.unionByName(rest))
+    return nodes.select("digest", "node", "first_id").join(roots, "node", "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
 
 
 def near_components(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): components over links of word-shingle similarity (Jaccard) of at least `similarity`.
 
-    Candidates are exact: with all shingles in one order, sets of at least that similarity share one of the first
-    n - ceil(similarity n) + 1 shingles of each, whether words were changed, added or cut. The order (frequent shingles
-    last, by a sample) decides only how many false candidates there are; sizes and parities rule most of those out
-    without loss, and what is left is verified on the shingles of both texts.
+    SimHash fingerprints of the shingles, joined on blocks, give the first candidates. Near copies with words added or
+    cut often lie more than two bits apart, so the rest comes from an exact prefix join: with all shingles in one order,
+    sets of at least that similarity share one of the first n - ceil(similarity n) + 1 shingles of each. The order
+    (frequent shingles last, by a sample) decides only how many false candidates there are; sizes, places and parities
+    rule most of those out without loss, and what is left is verified on the shingles of both texts.
     """
-    of_node = _near_nodes(docs, size, similarity)
-    ids = of_node.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    each = docs.select("doc_id", _node().alias("node"))
-    return each.join(of_node.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    of_text = _near_nodes(docs, size, similarity)
+    ids = of_text.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    each = docs.select("doc_id", _digest().alias("digest"))
+    return each.join(of_text.join(ids, "root").select("digest", "component_id"), "digest").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of docs for each group of near copies: that of the smallest doc_id, null being the largest, then of the least hash.
+    """One row of docs for each group of near copies: that of the smallest doc_id, null being the largest, then of the least digest.
 
-    Texts are told apart by their hash and not by doc_id: different texts with one doc_id, or without any, all stay.
+    Texts are told apart by their digest and not by doc_id: different texts with one doc_id, or without any, all stay.
     """
-    of_node = _near_nodes(docs, size, similarity)
-    least = of_node.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("m"))
-    heads = least.select(F.col("m.node").alias("head_node"), F.col("m.first_id").alias("head_id"))
-    marked = docs.withColumn("near_node", _node())
-    kept = marked.join(heads, (F.col("near_node") == F.col("head_node")) & F.col("doc_id").eqNullSafe(F.col("head_id")), "left_semi")
-    return kept.dropDuplicates(["near_node"]).select(docs.columns)
+    of_text = _near_nodes(docs, size, similarity)
+    least = of_text.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "digest")).alias("m"))
+    # A row's key holds its doc_id, so that the rows of one text spread; a null one is told from any number by a column of its own.
+    key = ["near_digest", "near_none", "near_id"]
+    name = lambda digest, at: [digest.alias(key[0]), at.isNull().alias(key[1]), F.coalesce(at, F.lit(0)).alias(key[2])]
+    heads = least.select(*name(F.col("m.digest"), F.col("m.first_id")))
+    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in key], *name(_digest(), F.col("doc_id")))
+    return marked.join(heads, key, "left_semi").dropDuplicates(key).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
