@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 import pytest
 import sentencepiece
@@ -34,9 +36,18 @@ def test_chunks_settle_to_the_same_path(text, chunk):
         for o, n, bits in exits:
             for i, s in enumerate(entries):
                 if bits >> i & 1:
-                    m.setdefault(s, set()).add((-1, -1) if q == len(text) else (o, n))
+                    m.setdefault(s, set()).add(pieces.START if q == len(text) else (o, n))
         matrices.append(m)
-    states = pieces.settle(matrices)
+
+    def settle(part, entry, leave):
+        if len(part) == 1:
+            return [entry]
+        half = len(part) // 2
+        a, b = (functools.reduce(pieces.compose, x) for x in (part[:half], part[half:]))
+        mid = pieces.between(a, b, entry, leave)
+        return settle(part[:half], entry, mid) + settle(part[half:], mid, leave)
+
+    states = settle(matrices, pieces.START, pieces.START)
     whole = []
     for k, (p, q) in enumerate(zip(bounds, bounds[1:])):
         whole += CODEC.path(text[max(0, p - reach) : p], text[p:q], states[k], None if q == len(text) else states[k + 1])
@@ -46,6 +57,29 @@ def test_chunks_settle_to_the_same_path(text, chunk):
         assert pieces.compose(pieces.compose(a, b), c) == pieces.compose(a, pieces.compose(b, c))
 
 
+@pytest.mark.parametrize("text", ["梦里不知身是客一晌贪欢" * 500, "สวัสดีชาวโลกทุกคน" * 300, " " * 5000, "😀😃" * 2500, "\x01\x02" * 2500, "?!" * 2500, "\n" * 5000])
+def test_long_texts_without_words(text):
+    assert np.frombuffer(CODEC.encode_whole(text), np.int32).tolist() == LIBRARY.encode(text)
+
+
+def test_giants_combine_matrices_in_a_tree(spark, monkeypatch):
+    texts = {1: "words with spaces between them " * 400, 2: "梦thein" * 2500, 3: "x" * 9000 + " tail"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    seen, settle = [], pieces._settle
+
+    def spy(level, ends):
+        seen.append({(r.key, r.no): len(r.arcs) for r in level.collect()})
+        return settle(level, ends)
+
+    monkeypatch.setattr(pieces, "_settle", spy)
+    assert {r.doc_id: list(r.ids) for r in pieces.encode(docs, PATH, chunk=1000).collect()} == {i: LIBRARY.encode(t) for i, t in texts.items()}
+    by_text = {}
+    for (key, no), n in seen[0].items():
+        by_text.setdefault(key, []).append(n)
+    assert len(by_text) == 3 and all(len(x) >= 9 for x in by_text.values())
+    assert sorted(max(x) > 1 for x in by_text.values()) == [False, True, True]
+
+
 @pytest.fixture(scope="module")
 def rows():
     return [(1, None, "a"), (2, "", "b"), (3, "Hello  world\n\nfoo 😀", "c"), (3, "Hello  world\n\nfoo 😀", "c"), (4, "梦thein" * 900, None), (5, "some words and " * 700 + "x" * 3000 + " end", "d"), (6, " lead\ttab\x00 ", "e")]

@@ -10,13 +10,13 @@ only order its merges, so a path of highest summed score would not be its encodi
   chunk ends there where it can, and its boundary has one state. Elsewhere (scripts without spaces, endless
   words) the states of a boundary are the pieces that may be the last to end at or before it.
 * Each chunk yields a transfer matrix: which exit states each entry state reaches, as bit sets over the entries.
-* Matrices combine associatively (`compose`), but one group for each text walks them in order (`settle`), forward and
-  backward, which leaves one state a boundary.
+* Matrices combine associatively (`compose`) in a tree over tasks: neighbours by twos, level by level, up to one
+  matrix a text. On the way down each pair tells the one state between its two halves that lies on the path.
 * Each chunk is then backtraced on its own between its two states.
 
-Chunks of one text are spread over tasks; only its small matrices meet, one for each `chunk` characters. Texts of
-one chunk need no shuffle. Words are looked up in a bounded cache; a word that is not there goes through the
-lattice.
+Chunks of one text are spread over tasks, and no task holds more than two matrices of a text. Where no piece crosses
+a chunk's two ends its matrix has one entry, one exit and weight 0 without a look inside. Texts of one chunk need no
+shuffle. Words are looked up in a bounded cache; a word that is not there goes through the lattice.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded alike; characters without a piece
 become byte pieces; U+2581 in a text is taken for a space, as the format does; decoding drops control ids and
@@ -40,10 +40,10 @@ from tracelode.llm.common import broadcast_value, shared_dir, slices, written
 
 SPACE = "▁"
 CHUNK = 1 << 15
-CACHE = 200_000
-PAIRS = 400_000
+CACHE = 120_000
+PAIRS = 300_000
 MODEL_BYTES = 64 << 20
-#: The boundary state before any piece, also after a cut that no piece can cross.
+#: The boundary state where no piece crosses: before the first piece, at such a cut, and after the last piece.
 START = (0, 0)
 #: Characters of a text that the table of beginnings tells apart.
 HEAD = 5
@@ -280,11 +280,16 @@ class Words(dict):
         self.codec, self.before = codec, before
 
     def __missing__(self, word: str) -> bytes:
-        beside = self.codec.beside
+        beside, bare = self.codec.beside, self.codec.bare
+        parts, begin = [], 0
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in beside:
-                found = self[word[:i]] + self.codec.bare[word[i:]]
-                break
+                parts.append(word[begin:i])
+                begin = i
+        if parts:
+            parts.append(word[begin:])
+            # No part has a cut inside, so that looking one up goes no deeper.
+            found = b"".join([self[parts[0]], *map(bare.__getitem__, parts[1:])])
         else:
             found = self.codec.pack(self.codec.path("", self.before + word, START, None))
         if len(word) <= 48:
@@ -300,20 +305,12 @@ def compose(a: dict, b: dict) -> dict:
     return {i: got for i, mid in a.items() if (got := set().union(*[b.get(m, ()) for m in mid]))}
 
 
-def settle(matrices: list[dict]) -> list[tuple]:
-    """The one state of each boundary, first to last, on the path from START to the end (None) of the last chunk."""
-    reach = [{START}]
-    for m in matrices:
-        reach.append(set().union(*[m.get(s, ()) for s in reach[-1]]))
-    keep = [reach[-1]]
-    for m, before in zip(reversed(matrices), reversed(reach[:-1])):
-        keep.append({s for s in before if not keep[-1].isdisjoint(m.get(s, ()))})
-    out = []
-    for states in reversed(keep):
-        if len(states) != 1:
-            raise ValueError(f"a boundary has {len(states)} states")
-        out.append(next(iter(states)))
-    return out
+def between(a: dict, b: dict, entry: tuple, leave: tuple) -> tuple:
+    """The one state between two matrices on the path from entry to leave."""
+    states = [m for m in a.get(entry, ()) if leave in b.get(m, ())]
+    if len(states) != 1:
+        raise ValueError(f"a boundary has {len(states)} states")
+    return states[0]
 
 
 def cut_points(text: str, chunk: int, cuts: bool) -> list[tuple[int, bool]]:
@@ -361,6 +358,59 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CH
     return short.unionByName(_encode_giants(docs.where(giant), shared, text, chunk))
 
 
+ARCS = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
+ARCS_DDL = "array<struct<a:array<int>,b:array<int>>>"
+
+
+def _arcs(matrix: dict) -> list[dict]:
+    return [{"a": list(a), "b": list(b)} for a, found in matrix.items() for b in found]
+
+
+def _matrix(arcs: list[dict]) -> dict:
+    out = defaultdict(set)
+    for arc in arcs:
+        out[tuple(arc["a"])].add(tuple(arc["b"]))
+    return out
+
+
+def _settle(level: DataFrame, ends: tuple) -> DataFrame:
+    """(key, no, entry, leave) of (key, no, arcs): each chunk's two boundary states, by combining matrices in a tree."""
+
+    def up(batches):
+        for b in batches:
+            out = []
+            for kids in b.column(2).to_pylist():
+                both = [_matrix(k["arcs"]) for k in sorted(kids, key=lambda k: k["no"])]
+                out.append(_arcs(both[0] if len(both) == 1 else compose(*both)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, ARCS)], names=["key", "no", "arcs"])
+
+    def down(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                kids = sorted(r["kids"], key=lambda k: k["no"])
+                states = [r["entry"], r["leave"]]
+                if len(kids) == 2:
+                    states.insert(1, list(between(*[_matrix(k["arcs"]) for k in kids], tuple(r["entry"]), tuple(r["leave"]))))
+                rows += [(r["key"], k["no"], x, y) for k, x, y in zip(kids, states, states[1:])]
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(cols, kinds)], names=["key", "no", "entry", "leave"])
+
+    pairs = []
+    last = level.agg(F.max("no")).first()[0] or 0
+    while last > 0:
+        kids = level.groupBy("key", F.floor(F.col("no") / 2).cast("int").alias("no")).agg(F.collect_list(F.struct("no", "arcs")).alias("kids"))
+        pairs.append(written(kids, "matrix-pairs"))
+        level = pairs[-1].mapInArrow(up, f"key long, no int, arcs {ARCS_DDL}")
+        last //= 2
+    state = F.array(*[F.lit(x) for x in ends]).cast("array<int>")
+    found = level.select("key", "no", state.alias("entry"), state.alias("leave"))
+    for kids in reversed(pairs):
+        found = kids.join(found, ["key", "no"]).mapInArrow(down, "key long, no int, entry array<int>, leave array<int>")
+    return found
+
+
 def _encode_giants(giants: DataFrame, shared, text: str, chunk: int) -> DataFrame:
     """giants plus ids, each text in chunks that are spread over tasks."""
     shared_dir(giants.sparkSession)
@@ -390,41 +440,20 @@ def _encode_giants(giants: DataFrame, shared, text: str, chunk: int) -> DataFram
             rows = []
             for r in b.to_pylist():
                 if r["start"] and r["end"]:
-                    rows.append((r["key"], r["no"], [{"a": [0, 0], "b": [-1, -1]}]))
+                    rows.append((r["key"], r["no"], _arcs({START: {START}})))
                     continue
                 entries, exits = codec.transfer(r["left"], r["body"], r["start"], r["end"])
-                if r["end"]:
-                    mask = 0
-                    for _, _, m in exits:
-                        mask |= m
-                    exits = [(-1, -1, mask)]
-                rows.append((r["key"], r["no"], [{"a": list(s), "b": [o, n]} for o, n, m in exits for i, s in enumerate(entries) if m >> i & 1]))
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])))
+                matrix = defaultdict(set)
+                for o, n, mask in exits:
+                    for i, state in enumerate(entries):
+                        if mask >> i & 1:
+                            matrix[state].add(START if r["end"] else (o, n))
+                rows.append((r["key"], r["no"], _arcs(matrix)))
             cols = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(cols, kinds)], names=["key", "no", "arcs"])
-
-    matrices = chunks.mapInArrow(transfers, "key long, no int, arcs array<struct<a:array<int>,b:array<int>>>")
-
-    def states(key, table):
-        rows = sorted(table.select(["no", "arcs"]).to_pylist(), key=lambda r: r["no"])
-        numbers, entries, leaves = [], [], []
-        group: list[dict] = []
-        for r in rows:
-            m = defaultdict(set)
-            for arc in r["arcs"]:
-                m[tuple(arc["a"])].add(tuple(arc["b"]))
-            group.append(m)
-            if any((-1, -1) in x for x in m.values()):  # a clean cut: what follows starts anew
-                found = settle(group)
-                for k in range(len(group)):
-                    numbers.append(r["no"] - len(group) + 1 + k)
-                    entries.append(list(found[k]))
-                    leaves.append(list(found[k + 1]))
-                group = []
-        return pa.table({"key": pa.array([key[0].as_py()] * len(numbers), pa.int64()), "no": pa.array(numbers, pa.int32()), "entry": pa.array(entries, pa.list_(pa.int32())), "leave": pa.array(leaves, pa.list_(pa.int32()))})
-
-    found = matrices.groupBy("key").applyInArrow(states, "key long, no int, entry array<int>, leave array<int>")
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(cols, (pa.int64(), pa.int32(), ARCS))], names=["key", "no", "arcs"])
 
+    level = written(chunks.mapInArrow(transfers, f"key long, no int, arcs {ARCS_DDL}"), "matrices")
+    found = _settle(level, START)
     def trace(batches):
         codec = codec_of(shared)
         for b in batches:
@@ -433,8 +462,8 @@ def _encode_giants(giants: DataFrame, shared, text: str, chunk: int) -> DataFram
                 if r["start"] and r["end"]:
                     parts.append(codec._runs(r["body"]))
                 else:
-                    leave = None if r["leave"][0] < 0 else tuple(r["leave"])
-                    parts.append(codec.pack(codec.path(r["left"], r["body"], tuple(r["entry"]), leave)))
+                    leave = tuple(r["leave"])
+                    parts.append(codec.pack(codec.path(r["left"], r["body"], tuple(r["entry"]), None if leave == START else leave)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _list_array(parts).cast(pa.list_(pa.int32()))], names=["key", "no", "ids"])
 
     traced = chunks.join(found, ["key", "no"]).select("key", "no", "left", "body", "start", "end", "entry", "leave").mapInArrow(trace, "key long, no int, ids array<int>")
