@@ -6,11 +6,12 @@ kinds follow fixed patterns, leftmost and non-overlapping within a kind; three m
 
 * email, ip, card (Luhn), phone - the base kinds;
 * login - ``scheme://user:password@host``; iban - mod-97 account numbers; secret - a value of 16 or more
-  characters that a cue such as ``token =`` or ``password:`` introduces.
+  characters that a cue such as ``token =``, ``password:`` or ``Bearer`` introduces, an access key id, or a block
+  that holds a private key. Secrets do not overlap: cues inside one are passed over.
 
 Defined cases: null text is empty and has no spans; ties and repeated rows are answered alike, row by row; very
-long texts are scanned whole, in linear time; no rows give no rows; other columns pass through, but those with
-the names of the results are replaced.
+long texts are scanned whole, in linear time, also those of nothing but cues, digits or anchors; no rows give no
+rows; other columns pass through, but those with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -36,9 +37,17 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 LOGIN = re.compile(r"://[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+")
 IBAN = re.compile(r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_+/=-]{16,})")
+BEARER = re.compile(r"\s{1,3}([A-Za-z0-9_+/=.~-]{16,})")
+KEY_ID = re.compile(r"[0-9A-Z]{16}(?![0-9A-Za-z])")
+KEY_BLOCK = re.compile(r"[A-Z0-9 ]{0,40}PRIVATE KEY-----")
+KEY_END = "-----END "
 #: Cues that introduce an identifier.
-SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey")
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "access-key", "private_key", "credential")
+BEARER_CUES = ("bearer",)
 IBAN_CUES = ("iban",)
+#: Beginnings of access key ids and of key blocks, as they are written.
+KEY_ID_CUES = ("AKIA", "ASIA")
+BLOCK_CUES = ("-----BEGIN ",)
 
 
 def luhn(digits: str) -> bool:
@@ -64,18 +73,22 @@ def finder():
     machine.add_word("@", ("@", 1))
     machine.add_word("+", ("+", 1))
     machine.add_word("://", ("u", 3))
-    for cues, tag in ((SECRET_CUES, "s"), (IBAN_CUES, "i")):
+    for cues, tag in ((SECRET_CUES, "s"), (BEARER_CUES, "b"), (IBAN_CUES, "i")):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
+            for form in {cue, cue.upper(), cue.capitalize(), re.sub(r"(?:^|[_-])(.)", lambda m: m[0].upper(), cue)}:
                 machine.add_word(form, (tag, len(form)))
+    for cues, tag in ((KEY_ID_CUES, "k"), (BLOCK_CUES, "p")):
+        for cue in cues:
+            machine.add_word(cue, (tag, len(cue)))
     machine.make_automaton()
 
     def find(text: str) -> list[tuple[int, int, int]]:
         spans: list[tuple[int, int, int]] = []
         if not text:
             return spans
-        email_end = ip_end = card_end = phone_end = 0
+        email_end = ip_end = card_end = phone_end = secret_end = 0
         last_digit = -2
+        closed = True  # whether a key block may still end
         for end, (tag, size) in machine.iter(text):
             if tag == "d":
                 if end >= card_end and (m := CARD.match(text, end)):
@@ -86,7 +99,7 @@ def finder():
                 # Inside a run of digits a match begins at its first digit, or where the last match ended.
                 if (end != last_digit + 1 or end == ip_end) and end >= ip_end and (m := IP.match(text, end)):
                     ip_end = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(len(x := p.lstrip("0")) <= 3 and int(x or 0) <= 255 for p in m[0].split(".")):
                         spans.append((end, 1, ip_end))
                 last_digit = end
             elif tag == "@":
@@ -110,8 +123,23 @@ def finder():
             elif tag == "i":
                 if (m := IBAN.match(text, end + 1)) and (stop := _iban_end(m[1])):
                     spans.append((m.start(1), 5, m.start(1) + stop))
-            elif m := SECRET.match(text, end + 1):
-                spans.append((m.start(1), 6, m.end(1)))
+            elif end < secret_end:
+                continue
+            elif tag == "k":
+                if (end - size < 0 or not text[end - size].isalnum()) and (m := KEY_ID.match(text, end + 1)):
+                    secret_end = m.end()
+                    spans.append((end - size + 1, 6, secret_end))
+            elif tag == "p":
+                if closed and (m := KEY_BLOCK.match(text, end + 1)):
+                    stop = text.find(KEY_END, m.end())
+                    closed = stop >= 0
+                    if closed:
+                        line = text.find("\n", stop)
+                        secret_end = line if line >= 0 else len(text)
+                        spans.append((end - size + 1, 6, secret_end))
+            elif m := (SECRET if tag == "s" else BEARER).match(text, end + 1):
+                secret_end = m.end(1)
+                spans.append((m.start(1), 6, secret_end))
         spans.sort()
         return spans
 
@@ -166,7 +194,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("pii", lambda x: x["kind"].isin(*KINDS[:BASE]))
     count = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS[:BASE]], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("pii")).alias("spans"))
+    more = [count(k) for k in KINDS[BASE:]]
+    return found.select("doc_id", *[count(k) for k in KINDS[:BASE]], F.sha2(line(base), 256).alias("base_sha256"), line(F.col("pii")).alias("spans"), *more, F.size("pii").cast("long").alias("n_spans"))
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:
