@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -11,7 +12,8 @@ from tracelode.llm.common import shared_path
 
 PATH = tf.default_tokenizer()
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
+DEFINITION = LIBRARY.to_str()
+CACHE = tf.WordCache(DEFINITION, "<u2")
 
 
 def whole(text):
@@ -21,7 +23,23 @@ def whole(text):
 @settings(max_examples=500, deadline=None)
 @given(st.one_of(st.text(max_size=40), st.text(alphabet=[chr(c) for c in range(0x250)], max_size=30), st.text(alphabet="hKAa\u0331\u030a\u0307\u00c5İ1²'s. ", max_size=20), st.text(alphabet="aé \n\t\x0b\x1c\x85 　'sİΣé!<|endoftext|>", max_size=40)))
 def test_word_cache_equals_whole_text_encoding(text):
-    assert np.frombuffer(tf.WordCache(LIBRARY, "<u2").encode(text), "<u2").tolist() == whole(text)[:-1]
+    assert np.frombuffer(CACHE.encode(text), "<u2").tolist() == whole(text)[:-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "one", " ", "<|", "é²", "\n", "x"]), max_size=8).map("".join))
+def test_added_tokens_are_what_the_library_makes_of_them(text):
+    assert np.frombuffer(CACHE.encode(text), "<u2").tolist() == whole(text)[:-1]
+
+
+def test_other_rules_go_to_the_whole_tokenizer():
+    rules = json.loads(DEFINITION)
+    rules["normalizer"] = None
+    other = json.dumps(rules)
+    cache = tf.WordCache(other, "<u2")
+    assert not cache.by_words
+    for text in ("Hello World", "it's  two\nlines", "É"):
+        assert np.frombuffer(cache.encode(text), "<u2").tolist() == Tokenizer.from_str(other).encode(text, add_special_tokens=False).ids
 
 
 @given(st.binary(max_size=50), st.integers(0, 10**6), st.integers(1, 255))
@@ -34,7 +52,7 @@ def test_broken_records_are_noticed(payload, where, flip):
 
 
 def test_round_trip_and_edges(spark):
-    rows = [(5, "Hello World", 1), (None, "x", 2), (-3, None, 3), (9, "", 4), (5, "Hello World", 1), (7, "long text " * 20_000, 5), (5, "A", 6)]
+    rows = [(5, "Hello World", 1), (None, "x", 2), (-3, None, 3), (9, "", 4), (5, "Hello World", 1), (7, "long text " * 20_000, 5), (5, "A", 6), (6, "one <|endoftext|> two", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key long")
     shards = tf.write_tokens(docs, PATH, shared_path(spark, "t"), shard_rows=3)
     back = tf.read_tokens(shards).collect()

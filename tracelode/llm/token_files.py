@@ -14,11 +14,13 @@ one shard under a temporary name that it renames when complete, so a repeated ta
 Shards ascend by key. Files go through Arrow's file systems to a folder that all executors share.
 
 Defined cases: null or empty texts are records of the end id alone; null keys come first (stored as the least
-i64); rows with equal keys stay as they are, ordered by text; empty tables give no shard and no rows.
+i64); rows with equal keys stay as they are, ordered by text; added tokens that a text spells out become their ids, as the
+library does; empty tables give no shard and no rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -39,7 +41,7 @@ MAGIC = b"TOKIDX01"
 HEADER = "<8sIIQ"
 ENTRY = np.dtype([("key", "<i8"), ("offset", "<u8"), ("n", "<u4")])
 CACHE = 250_000
-#: Any other text is cut here for the word cache; no pre-token of the tokenizer reaches across white space.
+#: Any other text is cut here for the word cache; no pre-token of a tokenizer with SPLIT reaches across white space.
 ASCII_SPACE = bytes(32 if b in b" \t\n\r\x0b\x0c" else b for b in range(256))
 
 
@@ -77,7 +79,19 @@ def _letters_below(limit: int, kind: str) -> str:
 PLAIN = 0x250
 BEYOND = re.compile(f"[^\\x00-{chr(PLAIN - 1)}]")
 _L, _N, _S = _letters_below(PLAIN, "L"), _letters_below(PLAIN, "N"), r"\t\n\x0b\x0c\r \x85\xa0"
-#: The tokenizer's own split into pre-tokens, over plain text.
+#: What a tokenizer file says of its text rules where the word cache applies (fixed values of that format).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+#: SPLIT over plain text.
 PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
@@ -92,20 +106,29 @@ class WordCache(dict):
     """Pre-token (str, plain and in lower case) or white-space-delimited piece (bytes) -> ids as bytes.
 
     A pre-token that is not known goes to the tokenizer's merges, a piece of any other text to the whole tokenizer.
+    Texts with an added token, and all texts where the file's rules are not RULES, go to the whole tokenizer as they are.
     """
 
-    def __init__(self, tokenizer, dtype: str):
+    def __init__(self, definition: str, dtype: str):
+        from tokenizers import Tokenizer
+
         super().__init__()
-        self.tokenizer, self.dtype = tokenizer, dtype
-        self.merge, self.alphabet = tokenizer.model.tokenize, _byte_alphabet()
+        self.tokenizer, self.dtype = Tokenizer.from_str(definition), dtype
+        self.merge, self.alphabet = self.tokenizer.model.tokenize, _byte_alphabet()
+        rules = json.loads(definition)
+        self.by_words = rules["model"]["type"] == "BPE" and not rules["model"].get("dropout") and all(rules.get(k) == v for k, v in RULES.items())
+        added = {t["content"].lower() for t in rules.get("added_tokens", ())}
+        self.added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def __missing__(self, word: str | bytes) -> bytes:
         if isinstance(word, str):
             alphabet = self.alphabet
-            found = [x.id for x in self.merge("".join([alphabet[b] for b in word.encode()]))]
+            ids = np.array([x.id for x in self.merge("".join([alphabet[b] for b in word.encode()]))], dtype=self.dtype).tobytes()
         else:
-            found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        ids = np.array(found, dtype=self.dtype).tobytes()
+            ids = self.whole(word.decode())
         if len(word) <= 64:
             if len(self) > CACHE:
                 for old in list(islice(self, CACHE // 2)):
@@ -115,6 +138,8 @@ class WordCache(dict):
 
     def encode(self, text: str) -> bytes:
         low = text.lower()
+        if not self.by_words or (self.added and self.added.search(low)):
+            return self.whole(text)
         if BEYOND.search(text) or BEYOND.search(low):
             return b"".join(map(self.__getitem__, text.encode().translate(ASCII_SPACE).split(b" ")))
         return b"".join(map(self.__getitem__, PRE_TOKENS.findall(low)))
@@ -125,13 +150,9 @@ _CACHES: dict[str, WordCache] = {}
 
 def cache_of(definition: str, dtype: str) -> WordCache:
     """The cache of a tokenizer, kept for later tasks of the same Python process."""
-    from tokenizers import Tokenizer
-
     if definition not in _CACHES:
-        tokenizer = Tokenizer.from_str(definition)
-        tokenizer.encode_special_tokens = True
         _CACHES.clear()
-        _CACHES[definition] = WordCache(tokenizer, dtype)
+        _CACHES[definition] = WordCache(definition, dtype)
     return _CACHES[definition]
 
 
