@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from tracelode.llm import html_main
 
@@ -52,3 +55,38 @@ def test_title_and_lead_beside_the_body_stay_at_any_length():
         assert html_main.main_text(f"<body>{nav}<article><header><h1>Title</h1><p>Lead.</p></header><div>{body}</div></article></body>") == f"Title Lead. {text}"
         assert html_main.main_text(f"<body>{nav}<main><h1>Title</h1><section><div>{body}</div></section><p>End.</p></main></body>") == f"Title {text} End."
         assert html_main.main_text(f"<body>{nav}<h1>Title</h1><div>{body}</div></body>") == f"Title {text}"
+
+
+def test_parts_of_other_kinds_inside_an_article_go():
+    for name in ("post-comments", "article-sidebar", "main-newsletter", "entry-footer", "content-ads", "story_share"):
+        other = f'<div class="{name}"><p>Nice post, bob says hello! {LONG}</p></div>'
+        page = f"<body><article><h1>Title</h1><p>{LONG}</p>{other}<p>{LONG}</p></article></body>"
+        assert html_main.main_text(page) == f"Title {LONG} {LONG}", name
+    links = "".join(f"<li><a href=x>Another story {i}</a></li>" for i in range(8))
+    assert html_main.main_text(f"<body><article><h1>Title</h1><p>{LONG}</p><ul>{links}</ul><p>{LONG}</p></article></body>") == f"Title {LONG} {LONG}"
+    for name in ("post-header", "content-sidebar-wrap", "has-sidebar"):
+        assert html_main.main_text(f'<body><div class="{name}"><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div></body>') == f"Title {LONG} {LONG}", name
+
+
+def test_pages_without_an_article_element():
+    menu = "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(12))
+    for wrap in ("<div id=page><div class=text>{}</div></div>", "<table><tr><td>{}</td></tr></table>", "<div><div><section>{}</section></div></div>"):
+        body = "".join(f"<p>{LONG} Part {i} ends here.</p>" for i in range(6))
+        page = f"<html><body><ul>{menu}</ul><div class=ad>Buy now!</div>{wrap.format('<h2>Head</h2>' + body)}<div class=legal>All rights.</div></body></html>"
+        assert html_main.main_text(page) == "Head " + " ".join(f"{LONG} Part {i} ends here." for i in range(6)), wrap
+
+
+@pytest.mark.parametrize("unit, n", [("<div>x", 5000), ("<x>y", 5000), ("<a href=\"", 20_000), ("<p title='", 20_000), ("</y>", 20_000), ("<!x", 20_000), ("<p>x</b>", 5000), ("<script</script", 5000), ("<td><p>x", 5000)])
+def test_odd_pages_are_read_in_linear_time(unit, n):
+    took = []
+    for k in (n // 4, n):
+        began = time.perf_counter()
+        html_main.main_text("<div>" * (2000 if unit == "</y>" else 1) + unit * k)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_unclosed_quotes_and_quotes_in_values():
+    assert html_main.main_text(f"<p class=it's>{LONG}</p><p title='a > b'>{LONG}</p>") == f"{LONG} {LONG}"
+    assert html_main.main_text(f'<p title="open>{LONG}</p>') == LONG
+    assert html_main.main_text("<p>" + LONG + " 1 < 2 and a <b") == LONG + " 1 < 2 and a <b"

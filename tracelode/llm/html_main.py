@@ -5,14 +5,18 @@ the length of text, the punctuation marks, the linked text and the number of blo
 text a block, weighted by punctuation a block and by the share that is not linked. Ratios are smoothed along the
 page (a Gaussian over neighbouring blocks), fused with the path's own by their geometric mean, and thresholded
 relative to their spread. Paths over the threshold are seeds; the deepest path that holds nearly all seed text is
-the content's container, and its blocks are the result, except those that lie in boilerplate.
+the content's container. The result are its blocks, except those of paths that lie in boilerplate or are mostly links.
 
 Boilerplate is told by tag (nav, footer, aside, form ...) or by words of class, id and role (ad, menu, comments,
 cookie ...); such a mark is part of the path, and marked paths have ratio zero.
 
+Paths are nodes of a tree that is built while the page is read once, so the work grows with the page and not with
+its depth.
+
 Defined cases: null html is empty; a page without content gives the empty string; unclosed and crossed tags, a
-'>' inside quoted attributes, and text outside any tag are read as browsers do; repeated rows are answered alike;
-no rows give no rows; other columns pass through, but those with the names of the results are replaced.
+'>' inside quoted attributes, and text outside any tag are read as browsers do; a quote that is never closed is an
+ordinary character; a tag that is never closed by '>' is text; repeated rows are answered alike; no rows give no
+rows; other columns pass through, but those with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -20,14 +24,18 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelode.llm.common import add_columns
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+MARKUP = re.compile(r"<(?:(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|[!?]|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*))")
+#: Inside a tag: its end, or the beginning of a quoted value.
+TAG_PART = re.compile(r">|=\s*([\"'])")
 HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
+HEADING = re.compile(r"h[1-6]")
 #: Fixed lists of the HTML vocabulary.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,124 +46,172 @@ BOUNDS = frozenset("ul ol dl table article section div body html nav aside foote
 #: Tags and words of class, id and role that mark boilerplate.
 BOILER_TAGS = frozenset("head nav footer aside form script style noscript template button select option textarea svg canvas iframe object dialog menu title fieldset legend".split())
 BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus reply replies respond widget toolbar pagination pager search copyright legal disclaimer".split()
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside footer footers header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter newsletters subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus reply replies respond widget toolbar pagination pager search copyright legal disclaimer".split()
 )
+#: With one of these words, a header is the content's own; with a word of layout, a mark names what the element is beside.
 CONTENT = frozenset(("article", "main", "content", "post", "entry", "story"))
+LAYOUT = frozenset(("wrap", "wrapper", "container", "layout", "with", "has"))
 PUNCT = str.maketrans("", "", ",.;:!?…、。，；：！？¿¡—")
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text with white space collapsed, characters inside links) of each text block in order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[str] = []
-    parts: list[str] = []
-    linked = depth_a = 0
+class Paths:
+    """The distinct tag paths of a page as a tree; path 0 is the root, and a path's number is larger than its parent's."""
+
+    def __init__(self):
+        self.tags, self.parents, self.depths, self.boiler = [""], [0], [0], [False]
+        self.children: dict[tuple[int, str, bool], int] = {}
+
+    def child(self, parent: int, tag: str, mark: bool) -> int:
+        key = parent, tag, mark
+        if key not in self.children:
+            self.children[key] = len(self.tags)
+            self.tags.append(tag)
+            self.parents.append(parent)
+            self.depths.append(self.depths[parent] + 1)
+            self.boiler.append(mark or self.boiler[parent])
+        return self.children[key]
+
+
+class Page:
+    """Reads a page once: `found` holds (path, text with white space collapsed, characters inside links) of its text blocks in order."""
 
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
+    def __init__(self, page: str):
+        self.paths, self.found = Paths(), []
+        #: Open elements as (tag, path), and how many of each tag are open.
+        self.stack: list[tuple[str, int]] = [("", 0)]
+        self.open: Counter = Counter()
+        self.parts: list[str] = []
+        self.linked = self.links = 0
+        self.read(page)
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
             if text:
-                out.append((tuple(stack), text, min(linked, len(text))))
-            parts.clear()
-        linked = 0
+                self.found.append((self.stack[-1][1], text, min(self.linked, len(text))))
+            self.parts.clear()
+        self.linked = 0
 
-    def say(raw: str) -> None:
-        nonlocal linked
+    def say(self, raw: str) -> None:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if depth_a:
-                linked += len(text.strip())
-
-    at, size = 0, len(page)
-    while at < size:
-        m = MARKUP.search(page, at)
-        if not m:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["cdata"]:
-                parts.append(m["cdata"])
-            continue
-        tag = tag.lower()
-        if m["end"]:
-            if tag == "a":
-                depth_a = max(0, depth_a - 1)
-            if tag in INLINE:
-                continue
-            flush()
-            if tag in VOID:
-                continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].split("!")[0] == tag:
-                    del stack[i:]
-                    break
-                if tag == "p" and stack[i].split("!")[0] in BOUNDS:
-                    break
-            continue
-        if tag in RAW:
-            flush_end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = flush_end.end() if flush_end else size
-            if tag != "title":
-                parts.append("")
-            continue
+            self.parts.append(text)
+            if self.links:
+                self.linked += len(text.strip())
+
+    def pop_to(self, i: int) -> None:
+        for tag, _ in self.stack[i:]:
+            self.open[tag] -= 1
+        del self.stack[i:]
+
+    def close(self, tags: set[str]) -> None:
+        """Ends the innermost open element of tags, unless another container has begun inside it."""
+        if any(self.open[t] for t in tags):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i][0] in tags:
+                    self.pop_to(i)
+                    return
+                if self.stack[i][0] in BOUNDS:
+                    return
+
+    def end(self, tag: str) -> None:
+        if tag == "a":
+            self.links = max(0, self.links - 1)
+        if tag in INLINE:
+            return
+        self.flush()
+        if tag not in VOID and self.open[tag]:
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i][0] == tag:
+                    self.pop_to(i)
+                    return
+                if tag == "p" and self.stack[i][0] in BOUNDS:
+                    return
+
+    def begin(self, tag: str, attrs: str) -> None:
         if tag == "br":
-            parts.append(" ")
-            continue
+            self.parts.append(" ")
+            return
         if tag in INLINE:
-            if tag == "a":
-                depth_a += 1
-            continue
-        flush()
+            self.links += tag == "a"
+            return
+        self.flush()
         if tag in VOID:
-            continue
+            return
         if tag in CLOSES_P:
-            _close(stack, {"p"})
+            self.close({"p"})
         if tag in SIBLINGS:
-            _close(stack, SIBLINGS[tag])
+            self.close(SIBLINGS[tag])
         if tag == "body":
-            _close(stack, {"head"})
-        mark = tag in BOILER_TAGS or (tag == "header" and not any(s.split("!")[0] in ("article", "main") for s in stack))
-        if not mark and m["attrs"] and tag not in ("html", "body", "article", "main"):
-            for hint in HINT.finditer(m["attrs"]):
-                words = set(WORD.findall((hint[1] or hint[2] or hint[3] or "").lower()))
-                if words & BOILER_WORDS and not words & CONTENT:
-                    mark = True
-                    break
-        if not m["attrs"].endswith("/") or tag in ("p", "div", "li"):
-            stack.append(f"{tag}!" if mark else tag)
-    flush()
-    return out
+            self.close({"head"})
+        if not attrs.endswith("/") or tag in ("p", "div", "li"):
+            self.stack.append((tag, self.paths.child(self.stack[-1][1], tag, self.marked(tag, attrs))))
+            self.open[tag] += 1
 
+    def marked(self, tag: str, attrs: str) -> bool:
+        if tag in BOILER_TAGS or (tag == "header" and not self.open["article"] and not self.open["main"]):
+            return True
+        if attrs and tag not in ("html", "body", "article", "main"):
+            for hint in HINT.finditer(attrs):
+                words = set(WORD.findall((hint[1] or hint[2] or hint[3] or "").lower()))
+                if words & BOILER_WORDS and not words & LAYOUT and not (words & CONTENT and words & BOILER_WORDS == {"header"}):
+                    return True
+        return False
 
-def _close(stack: list[str], tags: set[str]) -> None:
-    """Ends the innermost open element of tags, unless another container has begun inside it."""
-    for i in range(len(stack) - 1, -1, -1):
-        name = stack[i].split("!")[0]
-        if name in tags:
-            del stack[i:]
-            return
-        if name in BOUNDS:
-            return
+    def read(self, page: str) -> None:
+        at, size, unclosed = 0, len(page), set()
+        while m := MARKUP.search(page, at):
+            self.say(page[at : m.start()])
+            if m["comment"] or m["cdata"]:
+                close = "-->" if m["comment"] else "]]>"
+                stop = page.find(close, m.end())
+                stop = size if stop < 0 else stop
+                if m["cdata"]:
+                    self.parts.append(page[m.end() : stop])
+                at = min(size, stop + 3)
+                continue
+            stop = m.end()
+            while part := TAG_PART.search(page, stop):
+                stop, quote = part.end(), part[1]
+                if not quote:
+                    break
+                if quote not in unclosed:
+                    end = page.find(quote, stop)
+                    if end < 0:
+                        unclosed.add(quote)  # nor is any later one
+                    else:
+                        stop = end + 1
+            else:
+                self.say(page[m.start() :])
+                at = size
+                break
+            at = stop
+            if m["tag"] is None:
+                continue
+            tag = m["tag"].lower()
+            if m["end"]:
+                self.end(tag)
+            elif tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+                stop = page.find(">", end.end()) if end else -1
+                at = stop + 1 if stop >= 0 else size
+            else:
+                self.begin(tag, page[m.end() : stop - 1])
+        self.say(page[at:])
+        self.flush()
 
 
-def path_ratios(found: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str, ...], float]:
-    """Text a block of each path, by punctuation a block and the share of text that is not linked; 0 in boilerplate."""
-    sums: dict[tuple[str, ...], list[int]] = {}
-    for path, text, linked in found:
+def path_ratios(page: Page) -> tuple[dict[int, float], dict[int, float]]:
+    """Of each path with text: text a block, by punctuation a block and the share of text that is not linked; and that share."""
+    sums: dict[int, list[int]] = {}
+    for path, text, linked in page.found:
         s = sums.setdefault(path, [0, 0, 0, 0])
         s[0] += len(text)
         s[1] += len(text) - len(text.translate(PUNCT))
         s[2] += linked
         s[3] += 1
-    return {
-        path: 0.0 if any(x.endswith("!") for x in path) else chars / n * (1 + math.log1p(punct / n)) * max(0.0, 1 - linked / max(chars, 1))
-        for path, (chars, punct, linked, n) in sums.items()
-    }
+    own = {path: max(0.0, 1 - linked / max(chars, 1)) for path, (chars, _, linked, _) in sums.items()}
+    return {path: 0.0 if page.paths.boiler[path] else chars / n * (1 + math.log1p(punct / n)) * own[path] for path, (chars, punct, _, n) in sums.items()}, own
 
 
 def smooth(values: list[float], radius: int = 2) -> list[float]:
@@ -172,48 +228,67 @@ def smooth(values: list[float], radius: int = 2) -> list[float]:
     return out
 
 
-def main_text(page: str | None, spread: float = 0.5) -> str:
+#: A leaf of running text is widened to what holds it, so that headings and short paragraphs beside it stay.
+LEAVES = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "pre", "blockquote", "td", "th", "tr"))
+WHOLE = frozenset(("", "html", "body"))
+
+
+def container(page: Page, seeds: list[int]) -> int:
+    """The deepest path that holds all text of seeds (numbers of blocks), or nearly all where that is the whole page; an article is whole."""
+    paths = page.paths
+    inside = [0] * len(paths.tags)
+    for i in seeds:
+        inside[page.found[i][0]] += len(page.found[i][1])
+    for path in range(len(inside) - 1, 0, -1):
+        inside[paths.parents[path]] += inside[path]
+
+    def deepest(least: float) -> int:
+        return max((p for p, n in enumerate(inside) if n >= least), key=lambda p: paths.depths[p])
+
+    found = deepest(inside[0])
+    if paths.tags[found] in WHOLE:
+        found = deepest(0.9 * inside[0])
+    while paths.tags[found] in LEAVES:
+        found = paths.parents[found]
+    # Title and lead of an article stand beside the element of its body as often as inside it.
+    up = found
+    while up and paths.tags[up] not in ("article", "main"):
+        up = paths.parents[up]
+    return up or found
+
+
+def main_text(page: str | None, spread: float = 0.5, own_share: float = 0.35) -> str:
     """The content blocks of page, joined by spaces."""
     if not page:
         return ""
-    found = blocks(page)
-    ratios = path_ratios(found)
-    live = [i for i, (path, _, _) in enumerate(found) if not any(x.endswith("!") for x in path)]
+    read = Page(page)
+    found, paths = read.found, read.paths
+    live = [i for i, (path, _, _) in enumerate(found) if not paths.boiler[path]]
     if not live:
         return ""
+    ratios, unlinked = path_ratios(read)
     own = [ratios[found[i][0]] for i in live]
     fused = [math.sqrt(a * b) for a, b in zip(own, smooth(own))]
     mean = sum(fused) / len(fused)
     limit = spread * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     seeds = [i for i, x in zip(live, fused) if x >= limit and x > 0] or [max(zip(fused, live))[1]]
-    total = sum(len(found[i][1]) for i in seeds)
-    inside: dict[tuple[str, ...], int] = {}
-    for i in seeds:
-        path = found[i][0]
-        for k in range(len(path) + 1):
-            inside[path[:k]] = inside.get(path[:k], 0) + len(found[i][1])
-    # The common ancestor of all seeds; where that is the whole page, of nearly all of them.
-    container = max((p for p, n in inside.items() if n >= total), key=len)
-    if not container or container[-1] in ("html", "body"):
-        container = max((p for p, n in inside.items() if n >= 0.9 * total), key=len)
-    # A leaf of running text is widened to what holds it, so that headings and short paragraphs beside it stay.
-    while container and container[-1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "pre", "blockquote", "td", "th", "tr"):
-        container = container[:-1]
-    # Title and lead of an article stand beside the element of its body as often as inside it.
-    for k in range(len(container), 0, -1):
-        if container[k - 1] in ("article", "main"):
-            container = container[:k]
-            break
+    root = container(read, seeds)
+    within = [False] * len(paths.tags)
+    for path in range(len(within)):
+        within[path] = path == root or (path > 0 and within[paths.parents[path]])
     # The whole body as container says nothing about its parts: there the threshold itself decides.
-    bare = not container or container[-1] in ("html", "body")
+    bare = paths.tags[root] in WHOLE
     chosen = set(seeds)
     kept = []
     for i in live:
-        path, text, linked = found[i]
-        if path[: len(container)] != container and i not in chosen and path[-1:] != ("h1",):
-            continue
-        if bare and i not in chosen and not (path and path[-1] in ("h1", "h2", "h3", "h4", "h5", "h6")):
-            continue
+        path, text, _ = found[i]
+        if i not in chosen:
+            heading = HEADING.fullmatch(paths.tags[path])
+            if not within[path]:
+                if paths.tags[path] != "h1":
+                    continue
+            elif not heading and (bare or unlinked[path] < own_share):
+                continue
         kept.append(text)
     return " ".join(kept)
 
