@@ -30,7 +30,7 @@ def test_query_against_plain_counts_and_on_held_out_texts(spark, data):
 
 def test_small_head_gives_the_same_scores(spark, data):
     docs = spark.read.parquet(f"{data}/sf0.001/documents.parquet").select("doc_id", "text")
-    a, b = ({r.doc_id: r for r in lm.score(docs, lm.fit(docs.select("text"), vocabulary=50, head=h)).collect()} for h in (100_000, 60))
+    a, b = ({r.doc_id: r for r in lm.score(docs, lm.fit(docs.select("text"), growth=1.5, head=h)).collect()} for h in (100_000, 60))
     for i in a:
         assert a[i].n_known == b[i].n_known and abs(a[i].score - b[i].score) < 1e-6 * abs(a[i].score) and abs(a[i].base_score - b[i].base_score) < 1e-6 * abs(a[i].base_score)
 
@@ -57,3 +57,48 @@ def test_edges(spark):
     nothing = lm.fit(docs.limit(0).select("text"))
     assert {(r.n_known, r.train_tokens, r.base_score) for r in lm.score(docs, nothing).collect()} == {(0, 0, 0.0)}
     assert lm.score(docs.limit(0), model).count() == 0
+
+
+def test_score_equals_the_definition(spark):
+    """Every probability from plain counts and the class table, and all of them sum to 1 in any context."""
+    texts = ["the cat sat on the mat", "a cat and a dog sat", "dogs and cats é été", "The dog ate the cats mat", "x y z sitting", ""] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = lm.fit(docs.select("text"), growth=1.2)
+    counts = Counter(w for t in texts for w in brute_tokens(t))
+    own = {w.decode(): c for w, c in zip(model["words"], model["class"].tolist()) if c > lm.SUFFIXES}
+    assert 0 < len(own) < len(counts) - 1
+    of = lambda w: lm.END_CLASS if w == "" else own.get(w) or lm.suffix_class(w.encode())
+    rest = [w for w in counts if w and w not in own]
+    once, twice = sum(counts[w] == 1 for w in rest), sum(counts[w] == 2 for w in rest)
+    d = min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)
+    share = d * len(rest) / sum(counts[w] for w in rest)
+
+    def within(w):
+        if w == "" or w in own:
+            return 1.0
+        mates = [x for x in rest if of(x) == of(w)]
+        if w in counts:
+            return (counts[w] - d) / sum(counts[x] - d for x in mates) * (1 - share)
+        return share if mates else 1.0
+
+    p = lambda h, w: 10 ** float(model["log_p"][of(h), of(w)]) * within(w)
+    classes = {of(w) for w in counts}
+    for h in ("", "the", "cat", "unheard"):
+        seen = sum(p(h, w) for w in counts)
+        unseen = sum(10 ** float(model["log_p"][of(h), k]) * (share if k in classes else 1.0) for k in range(1, lm.SUFFIXES + 1))
+        assert abs(seen + unseen - 1) < 1e-5
+    probes = ["the cat ate", "unheard words été", "", "x sitting bull a", "Z"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(probes)], "doc_id long, text string")
+    for head in (100_000, 5):
+        got = {r.doc_id: r.score for r in lm.score(table, lm.fit(docs.select("text"), growth=1.2, head=head)).collect()}
+        for i, t in enumerate(probes):
+            words = brute_tokens(t)
+            assert abs(got[i] - sum(math.log10(p(h, w)) for h, w in zip(["", *words], words))) < 1e-5
+
+
+def test_what_is_gathered_grows_with_the_corpus(spark):
+    sizes = []
+    for n in (50, 5000):
+        docs = spark.range(n).selectExpr("concat_ws(' ', transform(sequence(1, 40), i -> concat('w', cast(pmod(xxhash64(id * 1000 + i), 3000) as string)))) text")
+        sizes.append(len(lm.fit(docs, growth=20)["log_p"]))
+    assert sizes[1] > sizes[0]

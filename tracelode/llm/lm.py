@@ -1,12 +1,14 @@
 """Language-model scoring with a log-bilinear neural model.
 
-A token's class is itself for the `vocabulary` most frequent words and the end, else `rest`. The log-bilinear model
-gives P(class | class before): score(w | h) = (R_h C) . Q_w + b_w, trained in numpy by noise-contrastive
-estimation. As the model sees pairs of classes only, their counts over all training texts are sufficient for its
-objective; Spark gathers them (at most classes squared), and the expectation over the noise distribution is taken
+A token's class is itself for the most frequent words and the end; all other words are classed by their last two
+characters (`SUFFIXES` classes), so that rare and unseen words give and take context too. How many words have a class
+of their own grows with the corpus, as the fourth root of its tokens, so that the table of class pairs grows as their
+square root. The log-bilinear model gives P(class | class before): score(w | h) = (R_h C) . Q_w + b_w, trained in
+numpy by noise-contrastive estimation. As the model sees pairs of classes only, their counts over all training texts
+are sufficient for its objective; Spark gathers them, and the expectation over the noise distribution is taken
 exactly instead of by samples, so training is deterministic. One batched matrix product then yields the normalised
-log-probabilities of every class after every class, and scoring a text is a lookup for each token. Words of the
-class `rest` are spread by absolutely discounted counts, all unseen words sharing the discounted mass as one event.
+log-probabilities of every class after every class, and scoring a text is a lookup for each token. The words of a
+suffix class share its probability by absolutely discounted counts, with one event for all unseen words.
 
 Counts cover all training texts. Only the head of the count table (at most `head` words) is broadcast; counts of
 rarer words reach their documents by a join on the word, exactly.
@@ -22,6 +24,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +33,9 @@ from tracelode.llm.common import LOWER_AZ, add_columns, broadcast_value, slices,
 
 #: The end of a text, as a word: no word is empty.
 END = ""
-REST_CLASS, END_CLASS = 0, 1
+END_CLASS = 0
+#: Classes 1 to SUFFIXES hold the words without a class of their own, by a hash of their ends. A power of two.
+SUFFIXES = 128
 FLUSH = 200_000
 HEAD_BYTES = 128 << 20
 
@@ -40,6 +45,31 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER_AZ).split() if text else []
 
 
+def suffix_class(word: bytes) -> int:
+    end = word[-2:] if word[-2:].isascii() else word[-8:].decode("utf-8", "ignore")[-2:].encode()
+    return 1 + xxhash.xxh64_intdigest(end, 42) % SUFFIXES
+
+
+def suffix_class_of(word: str) -> Column:
+    """suffix_class over a column."""
+    return (F.pmod(F.xxhash64(F.substring(word, -2, 2)), F.lit(SUFFIXES)) + 1).cast("int")
+
+
+class Classes(dict):
+    """word -> class; words without one of their own are looked at once in a while."""
+
+    def __init__(self, own: dict[bytes, int], most: int = 200_000):
+        super().__init__(own)
+        self.own, self.most = own, len(own) + most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.own)
+        found = self[word] = suffix_class(word)
+        return found
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) over all rows of texts (one column); the end is the empty word."""
 
@@ -68,12 +98,12 @@ def count_pairs(texts: DataFrame, classes: dict[bytes, int], n_classes: int) ->
 
     def run(batches):
         table = np.zeros(n_classes * n_classes, np.int64)
-        get = classes.get
+        known = Classes(classes)
         for b in slices(batches):
             for t in b.column(0).to_pylist():
                 words = tokens(t)
                 ids = np.full(len(words) + 2, END_CLASS, np.int64)
-                ids[1:-1] = np.fromiter((get(w, REST_CLASS) for w in words), np.int64, len(words))
+                ids[1:-1] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 pairs, c = np.unique(ids[:-1] * n_classes + ids[1:], return_counts=True)
                 table[pairs] += c
         at = np.flatnonzero(table)
@@ -119,8 +149,11 @@ def train_log_bilinear(pairs: np.ndarray, dim: int = 24, noise: int = 16, steps:
     return logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
 
 
-def fit(texts: DataFrame, vocabulary: int = 768, head: int = 100_000) -> dict:
-    """Counts and model from the one column of texts: a dict with the count table as a DataFrame and the driver's part."""
+def fit(texts: DataFrame, growth: float = 10.0, head: int = 100_000) -> dict:
+    """Counts and model from the one column of texts: a dict with the count table as a DataFrame and the driver's part.
+
+    About `growth` times the fourth root of the tokens is how many words have a class of their own.
+    """
     counts = written(count_words(texts), "lm-counts")
     # How many words have each count: a short table that gives totals, discounts and thresholds.
     shape = {r.c: r.n for r in counts.where(F.col("word") != END).groupBy("c").agg(F.count("*").alias("n")).collect()}
@@ -128,7 +161,7 @@ def fit(texts: DataFrame, vocabulary: int = 768, head: int = 100_000) -> dict:
     n_tokens = sum(c * n for c, n in shape.items()) + ends
     n_types = sum(shape.values()) + bool(ends)
 
-    def above(most: int) -> int:
+    def above(most: float) -> int:
         """The least count such that at most `most` words have it or a larger one."""
         got, least = 0, max(shape, default=0) + 1
         for c in sorted(shape, reverse=True):
@@ -138,19 +171,24 @@ def fit(texts: DataFrame, vocabulary: int = 768, head: int = 100_000) -> dict:
             least = c
         return least
 
-    in_model, in_head = above(vocabulary), above(head)
+    in_model, in_head = above(growth * n_tokens**0.25), above(head)
     top = sorted(((r.word, r.c) for r in counts.where((F.col("word") != END) & (F.col("c") >= in_head)).collect()), key=lambda x: (-x[1], x[0]))
-    classes = {w.encode(): i + 2 for i, (w, c) in enumerate(top) if c >= in_model}
-    n_classes = len(classes) + 2
+    own = {w.encode(): SUFFIXES + 1 + i for i, (w, c) in enumerate(top) if c >= in_model}
+    n_classes = SUFFIXES + 1 + len(own)
     pairs = np.zeros(n_classes * n_classes, np.int64)
-    gathered = count_pairs(texts, classes, n_classes).toArrow()
+    gathered = count_pairs(texts, own, n_classes).toArrow()
     pairs[gathered.column("pair").to_numpy()] = gathered.column("c").to_numpy()
     log_p = train_log_bilinear(pairs.reshape(n_classes, n_classes)) / np.log(10)
-    rest = {c: n for c, n in shape.items() if c < in_model}
-    n_rest, v_rest = sum(c * n for c, n in rest.items()), sum(rest.values())
-    once, twice = rest.get(1, 0), rest.get(2, 0)
-    discount = once / (once + 2 * twice) if once else 0.5
-    discount = min(max(discount, 0.05), 0.95)
+    # Tokens and types of each suffix class.
+    rest = counts.where((F.col("word") != END) & (F.col("c") < in_model)).groupBy(suffix_class_of("word").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    n_rest, v_rest = np.zeros(SUFFIXES + 1), np.zeros(SUFFIXES + 1)
+    for r in rest:
+        n_rest[r.k], v_rest[r.k] = r.n, r.v
+    once, twice = (shape.get(c, 0) if c < in_model else 0 for c in (1, 2))
+    discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)
+    # All classes spare the same share for unseen words, but those that have no other.
+    share = discount * v_rest.sum() / n_rest.sum() if n_rest.sum() else 1.0
+    seen = np.log10(np.where(v_rest > 0, (1 - share) / np.maximum(n_rest - discount * v_rest, 1e-9), 1.0))
     return {
         "counts": counts,
         "in_head": in_head,
@@ -158,11 +196,11 @@ def fit(texts: DataFrame, vocabulary: int = 768, head: int = 100_000) -> dict:
         "n_types": n_types,
         "ends": ends,
         "discount": discount,
-        "n_rest": max(n_rest, 1),
-        "unseen": float(np.log10(discount * v_rest / n_rest)) if n_rest else 0.0,
+        "seen": seen,
+        "unseen": np.where(v_rest > 0, np.log10(share), 0.0),
         "words": {w.encode(): i for i, (w, _) in enumerate(top)},
         "c": np.array([c for _, c in top], np.int64),
-        "class": np.array([i + 2 if c >= in_model else REST_CLASS for i, (_, c) in enumerate(top)], np.int64),
+        "class": np.array([SUFFIXES + 1 + i if c >= in_model else suffix_class(w.encode()) for i, (w, c) in enumerate(top)], np.int64),
         "log_p": log_p.astype(np.float32),
     }
 
@@ -175,12 +213,14 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     def make():
         m = shared.value
-        words, log_p, n_rest, discount = m["words"], m["log_p"].astype(np.float64), m["n_rest"], m["discount"]
-        # Position -1 stands for a word outside the head: of class rest, its count unknown here.
+        words, log_p = m["words"], m["log_p"].astype(np.float64)
+        # Position -1 stands for a word outside the head: its class comes from its end, its count is unknown here.
         base_of = np.append(np.log10(m["c"] + 1.0), 0.0)
-        class_of = np.append(m["class"], REST_CLASS)
-        rest_of = np.append(np.where(m["class"] == REST_CLASS, np.log10(np.maximum(m["c"] - discount, 1e-9) / n_rest), 0.0), 0.0)
+        class_of = np.append(m["class"], 0)
+        in_rest = m["class"] <= SUFFIXES
+        rest_of = np.append(np.where(in_rest, np.log10(np.maximum(m["c"] - m["discount"], 1e-9)) + m["seen"][np.where(in_rest, m["class"], 0)], 0.0), 0.0)
         end_base = float(np.log10(m["ends"] + 1.0))
+        outside = Classes({})
 
         def one(t):
             w = tokens(t)
@@ -188,9 +228,12 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             at = np.fromiter((words.get(x, -1) for x in w), np.int64, n)
             ids = np.full(n + 2, END_CLASS, np.int64)
             ids[1:-1] = class_of[at]
+            unknown = np.flatnonzero(at < 0)
+            others = [w[i] for i in unknown.tolist()]
+            ids[1 + unknown] = np.fromiter(map(outside.__getitem__, others), np.int64, len(others))
             base = float(base_of[at].sum()) + end_base
             s = float(log_p[ids[:-1], ids[1:]].sum() + rest_of[at].sum())
-            rare = Counter([w[i] for i in np.flatnonzero(at < 0).tolist()])
+            rare = Counter(others)
             known = n - sum(rare.values()) + (m["ends"] > 0)
             return n + 1, int(known), base, s, [{"w": x.decode(), "k": k} for x, k in rare.items()]
 
@@ -204,12 +247,13 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     tail = model["counts"].where((F.col("c") < model["in_head"]) & (F.col("word") != END)).withColumnRenamed("word", "w")
     joined = flat.select("key", "doc_id", "r.w", "r.k", "n", "known", "base", "lbl").join(tail, "w", "left")
     k, c = F.col("k"), F.col("c")
-    seen = F.log10((c - model["discount"]) / model["n_rest"])
+    by_class = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values[1:]]), suffix_class_of("w"))
+    spread = F.when(c.isNotNull(), F.log10(c - model["discount"]) + by_class(model["seen"])).otherwise(by_class(model["unseen"]))
     sums = joined.groupBy("key", "doc_id").agg(
         F.sum("n").alias("n_tokens"),
         (F.sum("known") + F.sum(F.when(c.isNotNull(), k).otherwise(0))).alias("n_known"),
         (F.sum("base") + F.sum(k * F.log10(F.coalesce(c, F.lit(0)) + 1))).alias("base"),
-        (F.sum("lbl") + F.sum(k * F.coalesce(seen, F.lit(model["unseen"])))).alias("score"),
+        (F.sum("lbl") + F.sum(F.when(k > 0, k * spread).otherwise(0.0))).alias("score"),
     )
     each = float(np.log10(model["n_tokens"] + model["n_types"] + 1))
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(model["n_tokens"]).cast("long").alias("train_tokens"), (F.col("base") - each * F.col("n_tokens")).alias("base_score"), "score")
