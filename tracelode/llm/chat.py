@@ -5,6 +5,10 @@ Template, one block for each run of turns of the same role:
 becomes ``&lt;|`` (and a line break in a role ``&nl;``), so that no control string can come from a text and
 the original turns can be read back.
 
+The loss mask is one entry for each part between control strings, in their order: how many code points to skip (the
+role and its line break), how many follow, and whether they count for the loss. Both the string and the mask are made
+and read in one pass over the turns, so that the work on a conversation grows with its length.
+
 Defined cases: null text or role is empty; null turn sorts first, ties by role, then text; repeated rows are
 turns of their own; a null conv_id is a conversation; no rows give no rows; other columns are dropped.
 A conversation becomes one string, so its turns meet in one row by definition; conversations spread by id.
@@ -28,7 +32,7 @@ def _unescape(c: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """(conv_id, formatted string, loss_spans array<struct<start, end>>): spans are code points, end exclusive."""
+    """(conv_id, formatted string, loss_mask array<struct<skip, chars, loss>>), one mask entry for each part of split_parts."""
     empty = F.lit("")
     rows = turns.select(
         "conv_id",
@@ -57,26 +61,20 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
             ),
         ),
     ).select("conv_id", "blocks")
-    step = lambda pos, x: pos + len(TURN) + F.length(x)
-    spans = F.aggregate(
-        "blocks",
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, b: F.aggregate(
-            b["texts"],
-            F.struct((acc["pos"] + len(START) + F.length(b["role"]) + 1 - len(TURN)).alias("pos"), acc["spans"].alias("spans")),
-            lambda a, x: F.struct(
-                step(a["pos"], x).alias("pos"),
-                F.when(
-                    b["role"] == F.lit(loss_role),
-                    F.array_append(a["spans"], F.struct((a["pos"] + len(TURN)).alias("start"), step(a["pos"], x).alias("end"))),
-                ).otherwise(a["spans"]).alias("spans"),
-            ),
-            lambda a: F.struct((a["pos"] + len(END)).alias("pos"), a["spans"].alias("spans")),
-        ),
-        lambda acc: acc["spans"],
+    entry = lambda skip, chars, loss: F.struct(skip.cast("int").alias("skip"), chars.cast("int").alias("chars"), loss.alias("loss"))
+    nothing = F.array(entry(F.lit(0), F.lit(0), F.lit(False)))
+    of_block = lambda b: F.concat(
+        F.transform(b["texts"], lambda x, i: entry(F.when(i == 0, F.length(b["role"]) + 1).otherwise(0), F.length(x), b["role"] == F.lit(loss_role))),
+        nothing,
     )
+    mask = F.concat(nothing, F.flatten(F.transform("blocks", of_block)))
     text = F.array_join(F.transform("blocks", lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], TURN), F.lit(END))), "")
-    return blocks.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
+    return blocks.select("conv_id", text.alias("formatted"), mask.alias("loss_mask"))
+
+
+def split_parts(formatted: Column | str) -> Column:
+    """What stands between the control strings of formatted, in order."""
+    return F.split(formatted, r"<\|im_start\|>|<\|turn\|>|<\|im_end\|>\n", -1)
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -92,7 +90,8 @@ def read_chats(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.array_join(F.transform("loss_spans", lambda s: _unescape(F.substr("formatted", s["start"] + 1, s["end"] - s["start"]))), "")
+    under = F.zip_with(split_parts("formatted"), "loss_mask", lambda part, m: F.when(m["loss"], _unescape(F.substr(part, m["skip"] + 1, m["chars"]))))
+    loss = F.array_join(under, "")
     return formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_text"))
 
 
