@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import add_columns
+from tracelode.llm.common import add_columns, written
 
 #: Word characters are 0-9, A-Z, a-z and all beyond ASCII; in UTF-8 that is a class of bytes.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -99,14 +99,19 @@ def find_windows(documents: DataFrame, benchmark: DataFrame, size: int = 10, tex
         parts.append(make)
     if len(parts) == 1:
         return add_columns(documents, [text], parts[0], RESULT)
-    keyed = documents.withColumn("__row", F.monotonically_increasing_id())
+    row = "row"
+    while row in documents.columns:
+        row += "_"
+    own = [F.col(f"`{c}`") for c in documents.columns if c not in ("n_words", "hit", "items")]
+    # Written with their numbers, which are then the same in every block's reading.
+    keyed = written(documents.select(*own, F.monotonically_increasing_id().alias(row)), "decontam-rows")
     rows = None
     for make in parts:
-        part = add_columns(keyed.select("__row", text), [text], make, RESULT).select("__row", "n_words", "hit", "items")
+        part = add_columns(keyed.select(row, text), [text], make, RESULT).select(row, "n_words", "hit", "items")
         rows = part if rows is None else rows.unionByName(part)
     merge = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    merged = rows.groupBy("__row").agg(F.max("n_words").alias("n_words"), merge("hit"), merge("items"))
-    return keyed.drop("n_words", "hit", "items").join(merged, "__row").drop("__row")
+    merged = rows.groupBy(row).agg(F.max("n_words").alias("n_words"), merge("hit"), merge("items"))
+    return keyed.join(merged, row).drop(row)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, size: int = 10) -> DataFrame:
