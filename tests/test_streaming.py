@@ -41,6 +41,39 @@ def test_every_order_of_arrival_gives_one_state():
     assert machine.fold({}, rows)["status"] == "error"
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_late_and_repeated_events_change_nothing(seed):
+    rng = random.Random(seed)
+    weights = [("running", "waiting", "completed", "error"), ("running",) * 30 + ("waiting",), ("waiting", "error"), ("running",)][seed % 4]
+    rows = [E(str(i), rng.randrange(300), rng.choice(weights), f"l{i}") for i in range(400)]
+    want = machine.fold({}, rows)
+    for _ in range(5):
+        # Some events arrive after hundreds of later ones, and all of them once more at some time.
+        arrivals = rng.sample(rows, len(rows)) + rng.sample(rows, len(rows))
+        if rng.random() < 0.5:
+            arrivals = sorted(rows, key=machine.place) + arrivals
+        s = {"base": {}, "events": [], "horizon": None, "seen": None}
+        while arrivals:
+            n = rng.randrange(1, 60)
+            s = machine.arrive(json.loads(json.dumps(s)), arrivals[:n], machine.KEPT)
+            del arrivals[:n]
+        assert machine.fold(s["base"], s["events"]) == want
+    if seed % 4 == 0:
+        assert len(s["events"]) < 60
+
+
+def test_the_bound_of_lateness():
+    rows = [E(f"{i:04d}", i, "running", f"l{i}") for i in range(1, 101)]
+    s = machine.arrive({"base": {}, "events": [], "horizon": None, "seen": None}, rows, 64)
+    assert len(s["events"]) == 64 and s["horizon"][0] == 36
+    # An old event again, one before the bound, and one just inside it.
+    again = machine.arrive(json.loads(json.dumps(s)), [rows[0], E("late", 35, "waiting", "x")], 64)
+    assert machine.fold(again["base"], again["events"]) == machine.fold({}, rows)
+    inside = E("inside", 36.5, "waiting", "y")
+    got = machine.arrive(json.loads(json.dumps(s)), [inside], 65)
+    assert machine.fold(got["base"], got["events"]) == machine.fold({}, [*rows, inside]) and machine.fold(got["base"], got["events"])["started"] == 37
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_stream_equals_batch(spark, tmp_path, seed):
     rng = random.Random(seed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,18 +64,42 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def _let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
+#: What a text must hold, in lower case, before a pattern is tried on it.
+HINTS = (
+    (ABSOLUTE_PATH, "[path]", ("/users/", "/home/", ":\\users\\")),
+    (EMAIL, "[email]", ("@",)),
+    (SECRET, "[secret]", ("sk-", "api", "authorization:", "-----begin ")),
+    (REPOSITORY_URL, "[url]", ("http://", "https://", "git@")),
+)
+
+
 def redact(c: Column) -> Column:
     """Paths, then e-mail addresses, secrets and repository addresses replaced by their kind."""
-    for pattern, kind in ((ABSOLUTE_PATH, "[path]"), (EMAIL, "[email]"), (SECRET, "[secret]"), (REPOSITORY_URL, "[url]")):
-        c = F.regexp_replace(c, pattern, kind)
-    return c
+
+    def replaced(hinted: Column, pattern: str, kind: str) -> Callable[[Column], Column]:
+        return lambda y: F.when(hinted, F.regexp_replace(y, pattern, kind)).otherwise(y)
+
+    def all_kinds(x: Column) -> Column:
+        low, out = F.lower(x), x
+        for pattern, kind, hints in HINTS:
+            hinted = F.lit(False)
+            for h in hints:
+                hinted = hinted | F.contains(low, F.lit(h))
+            out = _let(out, replaced(hinted, pattern, kind))
+        return out
+
+    return _let(c, all_kinds)
 
 
 def bounded_text(c: Column, limit: int) -> Column:
     """Squeezed, redacted and cut to `limit` characters with an ellipsis; null if nothing is left."""
-    shown = redact(squeeze(c))
-    cut = F.when(F.length(shown) > limit, F.concat(F.substring(shown, 1, limit), F.lit("…"))).otherwise(shown)
-    return F.when(squeeze(c) != "", cut)
+    cut = lambda shown: F.when(F.length(shown) > limit, F.concat(F.substring(shown, 1, limit), F.lit("…"))).otherwise(shown)
+    return _let(squeeze(c), lambda x: F.when(x != "", _let(redact(x), cut)))
 
 
 def clean_title(c: Column) -> Column:
@@ -108,7 +134,7 @@ def project_path(root: Column, raw: Column) -> Column:
     relative = F.when(inside, F.substr(p, F.length(base) + 2)).when(~F.startswith(p, F.lit("/")), p)
     parts = F.filter(F.split(relative, "/"), lambda x: (x != "") & (x != "."))
     inner = F.when(~F.array_contains(parts, "..") & (F.size(parts) > 0), F.array_join(parts, "/"))
-    name = F.element_at(F.filter(F.split(p, "/"), lambda x: x != ""), -1)
+    name = F.try_element_at(F.filter(F.split(p, "/"), lambda x: x != ""), F.lit(-1))
     outside = F.concat(F.lit("[external]/"), name)
     return F.when((p == "") | p.rlike(SECRET), F.lit(None)).when(F.startswith(p, F.lit("/")) & ~inside, outside).otherwise(inner)
 
@@ -221,7 +247,7 @@ def diff_counts(diff: Column) -> Column:
 
 
 def project_label(cwd: Column) -> Column:
-    leaf = F.substring(F.element_at(F.filter(F.split(cwd, "/"), lambda x: x != ""), -1), 1, 80)
+    leaf = F.substring(F.try_element_at(F.filter(F.split(cwd, "/"), lambda x: x != ""), F.lit(-1)), 1, 80)
     return F.coalesce(F.nullif(leaf, F.lit("")), F.lit("Unknown project"))
 
 

@@ -72,9 +72,9 @@ def union_hetero(t):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@plan("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@plan("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 7 = 0")
 def set_difference(t):
-    return t.customer.select(F.col("c_custkey").alias("id")).subtract(t.orders.select(F.col("o_custkey").alias("id")))
+    return t.customer.select(F.col("c_custkey").alias("id")).subtract(t.orders.where("o_orderstatus = 'P' AND o_orderkey % 7 = 0").select(F.col("o_custkey").alias("id")))
 
 
 @plan("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
@@ -138,11 +138,11 @@ def prompt_structure_rates(t):
 
 
 @plan("""
-WITH e AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type = 'error')
-SELECT event_id, user_id, n AS failures FROM e WHERE n >= 3""")
+WITH e AS (SELECT *, user_id % 3 AS g, count(*) OVER (PARTITION BY user_id % 3 ORDER BY epoch_us(ts) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS n FROM events)
+SELECT event_id, g, n AS failures FROM e WHERE n >= 3""")
 def stuck_rule_10m(t):
-    rows = t.events.where("event_type = 'error'").select("event_id", "user_id", "ts")
-    return attention.repeated(rows, ["user_id"], "ts", 600, 3).select("event_id", "user_id", F.col("repeats").alias("failures"))
+    rows = t.events.select("event_id", (F.col("user_id") % 3).alias("g"), "ts")
+    return attention.repeated(rows, ["g"], "ts", 600, 3).select("event_id", "g", F.col("repeats").alias("failures"))
 
 
 @plan("""

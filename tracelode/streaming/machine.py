@@ -1,9 +1,11 @@
 """The live session state machine on keyed state.
 
-Events of a session are kept in their total order (instant, order key), the latest `KEPT` of them; what falls out at
-the old end is folded into a base. The visible state is the fold over base and kept events, so it is the same for
-every order of arrival, duplicates included, as long as events are not later than `KEPT` others. No watermark: late
-events are taken. Timers end the state: 45 s after completion, 6 h after anything else.
+Events of a session are kept in their total order (instant, order key). The visible state is the fold over them, so it
+is the same for every order of arrival, duplicates included. What lies before the last stop that was followed by a
+resume can no longer change that state, nor can events that arrive late for it: it is folded into a base, and later
+arrivals before its end are passed over. Only a run of more than `KEPT` events without a stop and a resume is folded
+at its old end for want of room; events later than that bound are refused. No watermark: late events are taken. Timers
+end the state: 45 s after completion, 6 h after anything else.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracelode.operators.live import COMPLETED_TTL, OTHER_TTL
 
-KEPT = 64
+KEPT = 4096
+#: The labels that a card shows.
+SHOWN = 3
 STOPPED = ("waiting", "error", "completed")
 OUTPUT = "id string, agent string, status string, phase string, started_at timestamp, updated_at timestamp, activity_ended_at timestamp, actions array<string>, transition string"
 INPUT = ("id", "agent", "status", "phase", "label", "updated_at", "order_key", "event_id")
@@ -31,39 +35,60 @@ def step(state: dict, e: dict) -> dict:
         "agent": e["agent"], "status": e["status"], "phase": e["phase"], "updated": e["ts"],
         "started": e["ts"] if resumed or state.get("started") is None else state["started"],
         "ended": (state.get("ended") or e["ts"]) if stopped else None,
-        "actions": [*state.get("actions", []), e["label"]][-3:],
+        "actions": [*state.get("actions", []), e["label"]][-SHOWN:],
     }
 
 
 def fold(base: dict, events: list[dict]) -> dict:
-    for e in sorted(events, key=lambda x: (x["ts"], x["key"])):
+    for e in sorted(events, key=place):
         base = step(base, e)
     return base
 
 
+def place(e: dict) -> tuple:
+    return e["ts"], e["key"]
+
+
+def settled(events: list[dict], kept: int) -> int:
+    """How many of the first of events, which are in order, no further event can make matter to the visible state."""
+    n = 0
+    for i in range(len(events) - 1, 1, -1):
+        if events[i]["status"] not in STOPPED and events[i - 1]["status"] in STOPPED:
+            n = min(i - 1, len(events) - SHOWN)
+            break
+    return max(n, len(events) - kept, 0)
+
+
+def arrive(s: dict, new: list[dict], kept: int) -> dict:
+    """The stored state s with new events: each once, in order, what is settled folded into the base."""
+    known, horizon = {e["id"] for e in s["events"]}, s["horizon"] and tuple(s["horizon"])
+    for e in new:
+        if e["id"] not in known and (horizon is None or place(e) > horizon):
+            known.add(e["id"])
+            s["events"].append(e)
+    s["events"].sort(key=place)
+    if n := settled(s["events"], kept):
+        s["horizon"] = list(place(s["events"][n - 1]))
+        s["base"] = fold(s["base"], s["events"][:n])
+        del s["events"][:n]
+    return s
+
+
 class LiveSessions(StatefulProcessor):
-    def __init__(self, expire: bool = True):
-        self.expire = expire
+    def __init__(self, expire: bool = True, kept: int = KEPT):
+        self.expire, self.kept = expire, kept
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("session", "body string")
 
     def _load(self) -> dict:
-        return json.loads(self.state.get()[0]) if self.state.exists() else {"base": {}, "events": [], "seen": None}
+        return json.loads(self.state.get()[0]) if self.state.exists() else {"base": {}, "events": [], "horizon": None, "seen": None}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = self._load()
-        known = {e["id"] for e in s["events"]}
         for pdf in rows:
-            for r in pdf.to_dict("records"):
-                if r["event_id"] in known:
-                    continue
-                known.add(r["event_id"])
-                s["events"].append({"id": r["event_id"], "ts": r["updated_at"].value // 1000, "key": r["order_key"], "agent": r["agent"], "status": r["status"], "phase": r["phase"], "label": r["label"]})
-        s["events"].sort(key=lambda x: (x["ts"], x["key"]))
-        while len(s["events"]) > KEPT:
-            s["base"] = step(s["base"], s["events"].pop(0))
+            s = arrive(s, [{"id": r["event_id"], "ts": r["updated_at"].value // 1000, "key": r["order_key"], "agent": r["agent"], "status": r["status"], "phase": r["phase"], "label": r["label"]} for r in pdf.to_dict("records")], self.kept)
         now = fold(s["base"], s["events"])
         shown = [now["status"], now["updated"], now["phase"], now["actions"], now["started"], now["ended"]]
         if shown == s["seen"]:
@@ -91,13 +116,13 @@ class LiveSessions(StatefulProcessor):
         pass
 
 
-def live_sessions(events: DataFrame, expire: bool = True) -> DataFrame:
+def live_sessions(events: DataFrame, expire: bool = True, kept: int = KEPT) -> DataFrame:
     """Changed session cards from a stream of canonical events; needs the RocksDB state store.
 
     Without expire there are no timers: a stream that has timers always has a next batch, so a replay to its end has none.
     """
     mode = "ProcessingTime" if expire else "None"
-    return events.select(*INPUT).groupBy("id").transformWithStateInPandas(statefulProcessor=LiveSessions(expire), outputStructType=OUTPUT, outputMode="Update", timeMode=mode)
+    return events.select(*INPUT).groupBy("id").transformWithStateInPandas(statefulProcessor=LiveSessions(expire, kept), outputStructType=OUTPUT, outputMode="Update", timeMode=mode)
 
 
 def latest_cards(changes: DataFrame) -> DataFrame:
@@ -111,7 +136,9 @@ def latest_cards(changes: DataFrame) -> DataFrame:
 def replay(stream: DataFrame, folder: str) -> DataFrame:
     """Runs all that a stream has now through the machine and returns the cards; folder is one that executors share."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
     def keep(batch: DataFrame, number: int) -> None:
         from pyspark.sql import functions as F
@@ -119,8 +146,11 @@ def replay(stream: DataFrame, folder: str) -> DataFrame:
         # A batch that is run again replaces its own folder.
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/changes/batch_no={number}")
 
-    query = live_sessions(stream, expire=False).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    try:
+        query = live_sessions(stream, expire=False).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return latest_cards(spark.read.parquet(f"{folder}/changes").drop("batch_no"))
 
 
