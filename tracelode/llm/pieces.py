@@ -40,11 +40,13 @@ from tracelode.llm.common import broadcast_value, shared_dir, slices, written
 
 SPACE = "▁"
 CHUNK = 1 << 15
-CACHE = 120_000
-PAIRS = 300_000
+CACHE = 200_000
+PAIRS = 400_000
 MODEL_BYTES = 64 << 20
 #: The boundary state where no piece crosses: before the first piece, at such a cut, and after the last piece.
 START = (0, 0)
+#: Giant texts or chunks that a task holds as Python objects at once.
+GIANTS = 8
 #: Characters of a text that the table of beginnings tells apart.
 HEAD = 5
 RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -349,7 +351,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CH
 
     def whole(batches):
         codec = codec_of(shared)
-        for b in slices(batches):
+        for b in slices(batches, 128):
             parts = [codec.encode_whole(t) for t in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, _list_array(parts).cast(pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
 
@@ -419,7 +421,7 @@ def _encode_giants(giants: DataFrame, shared, text: str, chunk: int) -> DataFram
     def split(batches):
         codec = codec_of(shared)
         reach, size = 2 * codec.longest, max(chunk, 4 * codec.longest)
-        for b in batches:
+        for b in slices(batches, GIANTS):
             rows = []
             for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 t = codec.dummy + t.replace(" ", SPACE)
@@ -436,7 +438,7 @@ def _encode_giants(giants: DataFrame, shared, text: str, chunk: int) -> DataFram
 
     def transfers(batches):
         codec = codec_of(shared)
-        for b in batches:
+        for b in slices(batches, GIANTS):
             rows = []
             for r in b.to_pylist():
                 if r["start"] and r["end"]:
@@ -456,7 +458,7 @@ def _encode_giants(giants: DataFrame, shared, text: str, chunk: int) -> DataFram
     found = _settle(level, START)
     def trace(batches):
         codec = codec_of(shared)
-        for b in batches:
+        for b in slices(batches, GIANTS):
             parts = []
             for r in b.to_pylist():
                 if r["start"] and r["end"]:
@@ -480,7 +482,7 @@ def decode(encoded: DataFrame, model_path: str, name: str = "decoded") -> DataFr
 
     def run(batches):
         table, dummy = piece_bytes(shared.value), shared.value["dummy"]
-        for b in slices(batches):
+        for b in slices(batches, 128):
             column = b.column(where)
             flat, offsets = column.flatten().to_numpy(zero_copy_only=False), 0
             out = []
