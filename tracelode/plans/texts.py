@@ -90,7 +90,7 @@ IDENTS = ("", "a/b-", "c\\d-", "line\nbreak-", "é-", "y" * 130)
 WITH i AS (SELECT c_custkey, {picked_sql('c_custkey', IDENTS)} || c_name AS x FROM customer)
 SELECT c_custkey, CASE WHEN contains(x, '/') OR contains(x, '\\') OR contains(x, chr(10)) OR length(x) > 128 THEN 'private-' || substr(sha256(x), 1, 16) ELSE x END AS shown,
   NOT contains(x, chr(10)) AND length(x) BETWEEN 1 AND 256 AS valid, substr(sha256('codex:' || x), 1, 16) AS live_id FROM i""")
-def opaque_identifiers(t):
+def shown_identifiers(t):
     x = F.concat(picked("c_custkey", IDENTS), F.col("c_name"))
     return t.customer.select("c_custkey", text.opaque_identifier(x).alias("shown"), text.valid_identifier(x).alias("valid"), hashing.live_session_id(F.lit("codex"), x).alias("live_id"))
 
