@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.operators import assembly
 from tracelode.plans.base import plan
 from tracelode.sources import adapters, files, live_logs
 from tracelode.streaming import envelopes
@@ -283,3 +284,39 @@ def account_usage_pages(t):
     pages = rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("e")))), lambda x: x["e"]), ",").alias("b"))
     found = live_logs.account_pages(pages.select(F.col("page").cast("long").alias("page"), F.concat(F.lit('{"usageEventsDisplay":['), "b", F.lit("]}")).alias("body")))
     return found.groupBy("page").agg(F.count("*").alias("events"), F.sum(F.get_json_object("event", "$.id").cast("long")).alias("ids"))
+
+
+#: Events of a session in the log's order, with milliseconds as the log has them.
+LOGGED = "(SELECT 's' || CAST(user_id AS VARCHAR) AS session_id, event_id, event_type, value, (epoch_us(ts) // 1000) AS ms, lag((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY event_id) AS before, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS run FROM events)"
+FAILED = "event_type = 'error' OR (event_type = 'view' AND event_id % 2 = 0)"
+
+
+@plan(f"""
+WITH e AS (SELECT *, CAST(trunc((ms - before) / 1000.0) AS BIGINT) AS gap FROM {LOGGED}),
+runs AS (SELECT session_id, run, arg_min(ms, event_id) FILTER (event_type <> 'signup') AS began, max(ms) FILTER (event_type = 'signup') AS asked FROM e GROUP BY 1, 2),
+closed AS (SELECT session_id, began, coalesce(lead(asked) OVER (PARTITION BY session_id ORDER BY run), (SELECT max(ms) FROM e WHERE e.session_id = runs.session_id)) AS ended FROM runs),
+longest AS (SELECT session_id, max(greatest(CAST(trunc((ended - began) / 1000.0) AS BIGINT), 0)) AS longest_uninterrupted_seconds FROM closed WHERE began IS NOT NULL GROUP BY 1),
+s AS (SELECT session_id, min(ms) AS started, max(ms) AS ended, CAST(sum(CASE WHEN gap BETWEEN 0 AND 600 THEN gap ELSE 0 END) AS BIGINT) AS active_seconds,
+  count(*) FILTER (event_type = 'signup') AS prompt_count, CAST(coalesce(sum(length('Prompt ' || event_id)) FILTER (event_type = 'signup'), 0) AS BIGINT) AS prompt_characters,
+  count(*) FILTER (event_type = 'click') AS tool_calls, count(*) FILTER (event_type = 'click') AS test_events, count(*) FILTER (event_type = 'click') AS verification_events,
+  count(*) FILTER (event_type = 'view' AND event_id % 2 = 1) AS successful_tools, count(*) FILTER (event_type = 'view' AND event_id % 2 = 0) AS failed_tools, count(*) FILTER ({FAILED}) AS errors,
+  count(*) FILTER (event_type = 'purchase') AS task_completions, 7 * count(*) FILTER (event_type = 'purchase') AS completed_task_duration_ms, CAST(coalesce(sum(1 + {TOKENS}) FILTER (event_type = 'click'), 0) AS BIGINT) AS total_tokens,
+  greatest(arg_min(ms, event_id) FILTER (event_type = 'click') - arg_min(ms, event_id) FILTER (event_type = 'signup'), 0) AS time_to_first_tool_ms, 'Prompt ' || min(event_id) FILTER (event_type = 'signup') AS title FROM e GROUP BY 1)
+SELECT s.*, coalesce(longest_uninterrupted_seconds, 0) AS longest_uninterrupted_seconds FROM s LEFT JOIN longest USING (session_id)""".replace("greatest(arg_min(ms, event_id) FILTER (event_type = 'click') - arg_min(ms, event_id) FILTER (event_type = 'signup'), 0)", "CASE WHEN count(*) FILTER (event_type = 'click') > 0 AND count(*) FILTER (event_type = 'signup') > 0 THEN greatest(arg_min(ms, event_id) FILTER (event_type = 'click') - arg_min(ms, event_id) FILTER (event_type = 'signup'), 0) END"))
+def session_records_of_log(t):
+    s = adapters.sessions(CLAUDE.rows(t).persist())
+    at = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    counters = ("prompt_count", "prompt_characters", "tool_calls", "test_events", "verification_events", "successful_tools", "failed_tools", "errors", "task_completions", "completed_task_duration_ms", "total_tokens")
+    return s.select("session_id", at("started_at").alias("started"), at("ended_at").alias("ended"), "active_seconds", "longest_uninterrupted_seconds", "time_to_first_tool_ms", "title", *counters)
+
+
+@plan(f"""
+WITH e AS (SELECT *, CAST(trunc((ms - before) / 1000.0) AS BIGINT) AS gap FROM {LOGGED}),
+d AS (SELECT session_id, CAST(make_timestamp(before * 1000) AS DATE) AS date, gap AS active_seconds, 0 AS tool_calls, 0 AS errors, 0 AS verification_events, 0 AS total_tokens FROM e WHERE gap BETWEEN 1 AND 600
+  UNION ALL SELECT session_id, CAST(make_timestamp(ms * 1000) AS DATE), 0, CAST(event_type = 'click' AS INTEGER), CAST(({FAILED}) AS INTEGER), CAST(event_type = 'click' AS INTEGER), CASE WHEN event_type = 'click' THEN 1 + {TOKENS} ELSE 0 END FROM e)
+SELECT session_id, date, CAST(sum(active_seconds) AS BIGINT) AS active_seconds, CAST(sum(tool_calls) AS BIGINT) AS tool_calls, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(verification_events) AS BIGINT) AS verification_events, CAST(sum(total_tokens) AS BIGINT) AS total_tokens
+FROM d GROUP BY 1, 2 HAVING sum(active_seconds) + sum(tool_calls) + sum(errors) + sum(total_tokens) > 0""")
+def session_days_of_log(t):
+    rows = CLAUDE.rows(t).persist()
+    days = assembly.session_days(rows, adapters.events(rows, limit=2**31 - 1), adapters.usage(rows))
+    return days.select("session_id", F.col("date").cast("date").alias("date"), "active_seconds", "tool_calls", "errors", "verification_events", "total_tokens")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracelode.functions import text as tx
 from tracelode.functions.hashing import event_fingerprint, stable_hash
 from tracelode.functions.timefn import instant
+from tracelode.operators.assembly import session_records
 from tracelode.operators.sequence import MAX_EVENTS, replay_free, same_id_delta
 from tracelode.sources.exec_wrapper import expanded
 
@@ -270,7 +271,8 @@ ADAPTERS = {"claude": claude, "codex": codex, "cursor": cursor, "deepseek": deep
 
 def normalised(bronze: dict[str, DataFrame]) -> DataFrame:
     """All agents' records in the common columns, with session and model carried along each file."""
-    rows = reduce(DataFrame.unionByName, [ADAPTERS[name](df) for name, df in bronze.items()])
+    made = [ADAPTERS[name](df) for name, df in bronze.items()]
+    rows = reduce(DataFrame.unionByName, [df if "parallel" in df.columns else df.withColumn("parallel", F.lit(False)) for df in made])
     w = Window.partitionBy("path").orderBy("ordinal")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("path").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -303,6 +305,15 @@ def events(rows: DataFrame, limit: int = MAX_EVENTS) -> DataFrame:
     return e.withColumn("sequence", F.row_number().over(w)).where(F.col("sequence") <= limit).drop("__a", "base", "i", "command")
 
 
+def sessions(rows: DataFrame, structure: bool = True, committed: DataFrame | None = None) -> DataFrame:
+    """Session records of normalised rows, ready for the ledger and the profile.
+
+    The rows are read by several branches: give a written table (or a persisted one), so that logs are parsed once.
+    """
+    every = events(rows, limit=2**31 - 1)
+    return session_records(rows, every, prompts(rows), usage(rows), patches(rows), structure=structure, committed=committed)
+
+
 def prompts(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("human") & tx.prompt_eligible(F.coalesce("prompt", F.lit("")))).select("path", "agent", "ordinal", "session_id", "ts_raw", "ts", "prompt")
 

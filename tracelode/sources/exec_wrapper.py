@@ -87,7 +87,8 @@ def expanded(rows: DataFrame, event_type: str) -> DataFrame:
         ),
     ).cast(f"array<{event_type}>")
     events = F.when(F.size("__c") > 0, F.concat(F.filter("events", lambda e: ~F.coalesce(is_exec(e), F.lit(False))), inner)).otherwise(F.col("events"))
-    return rows.where(~F.coalesce(has, F.lit(False))).unionByName(wrapped.withColumn("events", events).drop("__e", "__c"))
+    plain = rows.where(~F.coalesce(has, F.lit(False))).withColumn("parallel", F.lit(False))
+    return plain.unionByName(wrapped.withColumn("events", events).withColumn("parallel", F.coalesce(parallel_batches(F.col("__e.detail")), F.lit(False))).drop("__e", "__c"))
 
 
 def parallel_batches(script: Column) -> Column:
