@@ -211,6 +211,36 @@ def valid_identifier(c: Column) -> Column:
     return F.length(c).between(1, 256) & ~c.rlike(r"\p{Cntrl}")
 
 
+def live_identifier(c: Column) -> Column:
+    """Whether c can stand for a session of a live source."""
+    return c.rlike(r"\A[A-Za-z0-9_:.-]{1,160}\z")
+
+
+def target_identifier(c: Column) -> Column:
+    """Whether c can name a terminal to jump to."""
+    return c.rlike(r"\A[A-Za-z0-9_:.%-]{1,160}\z")
+
+
+def terminal_pane(c: Column) -> Column:
+    return c.rlike(r"\A%[0-9]+\z")
+
+
+def terminal_device(c: Column) -> Column:
+    return c.rlike(r"\A/dev/tty[A-Za-z0-9/_]*\z") & (F.length(c) <= 64)
+
+
+def safe_label(c: Column) -> Column:
+    """c without outer white space if it is short and plain, else null."""
+    t = F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.when(t.rlike(r"\A[A-Za-z0-9_. -]{1,80}\z"), t)
+
+
+def safe_tool_name(c: Column) -> Column:
+    """As a label, without spaces inside."""
+    t = F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.when(t.rlike(r"\A[A-Za-z0-9_.-]{1,80}\z"), t)
+
+
 def file_kinds(path: Column) -> dict[str, Column]:
     """Six labels that a path can have at once."""
     low = F.lower(path)

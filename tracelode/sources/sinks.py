@@ -63,5 +63,24 @@ def pruned(rows: DataFrame, date: str, today: str, retention_days: int) -> DataF
     return rows.where(F.col(date) > F.date_format(F.date_sub(F.lit(today).cast("date"), retention_days), "yyyy-MM-dd"))
 
 
+def stage(rows: DataFrame, path: str, order: list[str]) -> DataFrame:
+    """rows written with an ordinal that follows order, and read back: the rows of a publication, settled before it begins.
+
+    Ranges of the order are sorted apart and numbered by range, so ordinals rise but have gaps.
+    """
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_rows.withColumn("ordinal", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def export(rows: DataFrame, folder: str, kind: str, template: str, at: Column) -> DataFrame:
+    """Writes rows as JSON, CSV or Parquet and gives the audit row of it: (template, kind, n_rows, exported_at), from what was written."""
+    if kind not in ("json", "csv", "parquet"):
+        raise ValueError(f"no export of kind {kind!r}")
+    rows.write.mode("overwrite").format(kind).save(f"{folder}/{template}")
+    found = rows.sparkSession.read.format(kind).schema(rows.schema).load(f"{folder}/{template}")
+    return found.agg(F.count("*").alias("n_rows")).select(F.lit(template).alias("template"), F.lit(kind).alias("kind"), "n_rows", at.alias("exported_at"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as tx
@@ -68,6 +68,11 @@ def canonical(envelopes: DataFrame, raw: str = "value", now: Column | None = Non
     )
 
 
+def landed(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
+    """Envelopes as a stream (value): one file is one JSON document, as a listener puts them down. Cut ones are no JSON and drop out later."""
+    return spark.readStream.format("text").schema("value string").option("wholetext", True).option("maxFilesPerTrigger", files_a_batch).load(folder)
+
+
 def deduplicated(events: DataFrame) -> DataFrame:
     """Events once each. Late ones are never refused, so identities are kept without a watermark."""
     return events.dropDuplicates(["agent", "source_session_id", "event_id"])
