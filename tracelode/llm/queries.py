@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import chat, decontam, html_main, langid, lm, pieces, pii, quality, simhash, token_files
+from tracelode.llm import chat, collocations, decontam, html_main, langid, lm, pieces, pii, quality, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_pii": pii.op9_pii,
         "op10_chat_formatting": chat.op10_chat_formatting,
+        "op11_collocations": collocations.op11_collocations,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontamination": decontam.OP4_SQL,
         "op10_chat_formatting": chat.OP10_SQL,
+        "op11_collocations": collocations.OP11_SQL,
     }
