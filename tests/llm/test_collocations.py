@@ -77,27 +77,42 @@ def test_empty_tables_and_tables_without_frequent_phrases(spark):
     assert mined(spark, [("alone here", "en"), (None, None)], 3) == {}
 
 
-def test_blocks_and_handed_on_stripes_cut_no_phrase(monkeypatch):
+def test_blocks_cut_no_phrase(monkeypatch):
     text = ("a b c d e f, " * 30 + "x" * 90 + " a b\tc " * 20).encode()
+    texts = (text, b"a b", b"c d e", text)
     monkeypatch.setattr(co, "BLOCK", 16)
+    every = co.np.full(1 << 10, 2**64 - 1, co.np.uint64)
 
-    def counted(tokens):
+    def counted(tokens, k):
         monkeypatch.setattr(co, "TOKENS", tokens)
-        total = Counter()
-        stripes = co._Stripes("en", 3, 1, co.np.full(1 << 10, 2**64 - 1, co.np.uint64))
-        for batch in [b for t in (text, b"a b", b"c d e", text) for b in stripes.add(t)] + list(stripes.flush()):
-            for r in batch.to_pylist():
-                for w, n in zip(r["nexts"], r["counts"]):
-                    total[r["prefix"], w] += n
+        total, block = Counter(), co._Block("en", 5)
+        rows = [r for t in texts for r in block.add(t)] + list(block.flush())
+        assert tokens > 100 or len(rows) > 20
+        for lang, words, ids, carried in rows:
+            found = co._Counted(lang, co.pa.array(words, co.pa.string()), co.np.frombuffer(ids, co.np.int32), carried, k, every)
+            for batch in co._stripe_rows(found, lang, every):
+                for r in batch.to_pylist():
+                    for w, n in zip(r["nexts"], r["counts"]):
+                        total[r["prefix"], w] += n
         return total
 
-    want = Counter()
-    for t in (text, b"a b", b"c d e", text):
-        for piece in t.decode().split(","):
-            w = piece.split()
-            want.update((f"{w[i]} {w[i + 1]}", w[i + 2]) for i in range(len(w) - 2))
-    assert counted(10**6) == want
-    assert counted(9) == want
+    for k in (1, 2, 3, 5):
+        want = Counter()
+        for t in texts:
+            for piece in t.decode().split(","):
+                w = piece.split()
+                want.update((" ".join(w[i : i + k - 1]), w[i + k - 1]) for i in range(len(w) - k + 1))
+        if k == 1:
+            want[None, ""] = sum(want.values())
+        assert counted(10**6, k) == want
+        assert counted(9, k) == want
+
+
+def test_hot_prefixes_are_dealt_and_add_up(spark):
+    rows = texts(4, 60)
+    docs = spark.createDataFrame([(t, l, 0, "", 1) for t, l in rows], SCHEMA)
+    lists = [sorted(map(tuple, co.count_phrases(docs, 3, hot=hot)[1].collect())) for hot in (1, 10**9)]
+    assert lists[0] == lists[1]
 
 
 def test_scores_beyond_64_bits_are_exact(spark):

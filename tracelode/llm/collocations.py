@@ -1,13 +1,14 @@
 """Phrase collocation mining with stripes: each prefix of words keys a counter of the words that follow it.
 
-A task counts what it reads as stripes, (lang, prefix) -> {next word: count}, which meet at their prefix and are merged
+Texts become blocks of numbered words once. A block is counted as stripes, (lang, prefix) -> {next word: count}, which meet at their prefix and are merged
 elementwise. The empty prefix holds the words themselves, so stripes of 0 to 4 words give every count that is needed: a
 phrase's own (its extension of its prefix), the totals of both parts of a cut, and the largest count of a phrase with one
 more word on either side, which is all that subsumption asks, as a longer phrase is never more frequent than a part of it.
 
-Stripes of k words are counted only where both phrases of k - 1 words inside are frequent themselves. Tasks know these by
-a bitmap of hashes of a bounded size: a false alarm is counted and then dropped by its exact count, nothing frequent is
-missed, and where a corpus has more frequent phrases than the bitmap has room for, only the pruning grows weaker.
+Stripes of k words are counted only where both phrases of k - 1 words inside are frequent, and where all phrases of their
+own hash together are. Tasks know both by bitmaps of a bounded size, the second one from a first count of hashes alone,
+which is far smaller than stripes. A false alarm is counted and then dropped by its exact count, and nothing frequent is
+missed; where a corpus has more phrases than a bitmap has room for, only the pruning grows weaker.
 
 Nulls: a null text has no words, a null language is `und`. Empty tables give no rows. Repeated rows count as often as they
 stand. Only the two named columns are read, so others may have any name. Long texts are read in blocks with the last words
@@ -30,11 +31,16 @@ from tracelode.llm.common import LOWER_AZ, broadcast_value, slices, written
 
 #: A-Z lowered, the characters that end a piece as one, both kinds of space as one.
 _PLAIN = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else LOWER_AZ[b] for b in range(256))
-#: Bytes of a text read at a time, and words and distinct words a task counts before it hands its stripes on.
-BLOCK, TOKENS, DISTINCT = 1 << 20, 2_000_000, 500_000
-#: Bits of the bitmap of frequent phrases: 16 a phrase, at most this many.
-MOST_BITS = 1 << 27
+#: Bytes of a text read at a time, and words and distinct words of a block.
+BLOCK, TOKENS, DISTINCT = 1 << 20, 1_000_000, 250_000
+#: Bits of a bitmap: 16 a phrase, or one for LOAD words of the corpus, at most this many.
+MOST_BITS, LOAD = 1 << 27, 16
+#: Places of a bitmap whose counts are one row.
+LOW = 4096
+#: Prefixes of so many occurrences have their stripes dealt to so many parts.
+HOT, PARTS = 1 << 20, 64
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+TOKENISED = "lang string, words array<string>, ids binary, carried int"
 STRIPES = "lang string, prefix string, part int, nexts array<string>, counts array<long>"
 
 
@@ -61,6 +67,11 @@ def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (mixed >> np.uint64(32)) & np.uint64(bits - 1)
 
 
+def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slots = _slots(hashes, len(bitmap) * 64)
+    return (bitmap[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) != 0
+
+
 def _joined_hash(columns: list[np.ndarray]) -> np.ndarray:
     """Hashes of phrases from those of their words, one array a place."""
     out = columns[0]
@@ -69,123 +80,200 @@ def _joined_hash(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-class _Stripes:
-    """Counts phrases of k words of one language in one task."""
+class _Block:
+    """Words of one language in one task, numbered, as they are read; handed on as rows of TOKENISED."""
 
-    def __init__(self, lang: str, k: int, parts: int, bitmap: np.ndarray | None):
-        self.lang, self.k, self.parts, self.bitmap = lang, k, parts, bitmap
-        self.words, self.read, self.size = _Words(), [], 0
+    def __init__(self, lang: str, most_words: int):
+        self.lang, self.most_words = lang, most_words
+        self.words, self.read, self.size, self.carried = _Words(), [], 0, 0
 
-    def add(self, text: bytes) -> Iterator[pa.RecordBatch]:
+    def add(self, text: bytes) -> Iterator[tuple]:
         data = text.translate(_PLAIN)
         at = 0
         while at < len(data):
             cut = data.find(b" ", at + BLOCK) if len(data) - at > 2 * BLOCK else -1
-            block = data[at:] if cut < 0 else data[at:cut]
+            part = data[at:] if cut < 0 else data[at:cut]
             at = len(data) if cut < 0 else cut
-            split = block.replace(b"\n", b" \n ").split(b" ")
+            split = part.replace(b"\n", b" \n ").split(b" ")
             ids = np.fromiter(map(self.words.__getitem__, split), np.int32, len(split))
             self.read.append(ids[ids != 0])
             self.size += len(self.read[-1])
             if self.size >= TOKENS or len(self.words.names) >= DISTINCT:
-                yield from self.flush(self.k - 1)
+                yield from self.flush(self.most_words - 1)
         self.read.append(np.ones(1, np.int32))
 
-    def flush(self, carry: int = 0) -> Iterator[pa.RecordBatch]:
-        """The stripes of what was read; the last `carry` words stay, as phrases begin in them that have not ended."""
+    def flush(self, carry: int = 0) -> Iterator[tuple]:
+        """What was read; the last `carry` words begin the next block too, as phrases begin in them that have not ended."""
         ids = np.concatenate(self.read) if self.read else np.zeros(0, np.int32)
         names = self.words.names
+        if len(ids):
+            yield self.lang, names, ids.tobytes(), self.carried
         kept = [names[i] for i in ids[len(ids) - min(carry, len(ids)) :]]
-        yield from self._count(ids, names, len(ids) - len(kept))
-        self.words, self.size = _Words(), 0
+        self.words, self.size, self.carried = _Words(), 0, len(kept)
         self.read = [np.array([self.words[w] for w in kept], np.int32)] if kept else []
 
-    def _count(self, ids: np.ndarray, names: list[bytes], new: int) -> Iterator[pa.RecordBatch]:
-        k, width, seed = self.k, len(names), _seed(self.lang)
+
+def tokenised(docs: DataFrame, most_words: int) -> DataFrame:
+    """docs (lang, text) as blocks of numbered words, so that texts are cut into words once and not at every level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows):
+            columns = [list(c) for c in zip(*rows)]
+            kinds = (pa.string(), pa.list_(pa.string()), pa.binary(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "words", "ids", "carried"])
+
+        blocks: dict[str, _Block] = {}
+        for b in slices(batches):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+                if lang not in blocks:
+                    blocks[lang] = _Block(lang, most_words)
+                for row in blocks[lang].add(text.as_py()):
+                    yield batch([row])
+            if sum(c.size for c in blocks.values()) > 2 * TOKENS:
+                for block in blocks.values():
+                    for row in block.flush():
+                        yield batch([row])
+        for block in blocks.values():
+            for row in block.flush():
+                yield batch([row])
+
+    return docs.mapInArrow(run, TOKENISED)
+
+
+class _Counted:
+    """The phrases of k words of one block that may be frequent: their places and the hashes of words and phrases."""
+
+    def __init__(self, lang: str, words: pa.Array, ids: np.ndarray, carried: int, k: int, inside: np.ndarray | None):
+        # Phrases that lie in the carried words alone were counted with the block before.
+        self.ids = ids = ids[max(0, carried - k + 1) :]
+        self.words, self.k = words, k
+        seed = _seed(lang)
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
         word = ids > 1
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, width)
         if k == 1:
-            at = np.flatnonzero(word[:new])
-            if len(at):
-                yield self._batch([None], [0, 1], [0], pa.array([""]), np.array([len(at)]))
-            prefix = np.zeros(len(at), np.int64)
-        else:
-            n = len(ids) - k + 2  # places of phrases of k - 1 words
-            if n < 2:
-                return
-            frequent = np.logical_and.reduce([word[j : j + n] for j in range(k - 1)])
-            slots = _slots(_joined_hash([hashes[ids[j : j + n]] for j in range(k - 1)]), len(self.bitmap) * 64)
-            frequent &= (self.bitmap[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) != 0
-            at = np.flatnonzero(frequent[:-1] & frequent[1:])
-            prefix = ids[at].astype(np.int64)
-            for j in range(1, k - 1):
-                prefix = np.unique(prefix * width + ids[at + j], return_inverse=True)[1]
-        if not len(at):
+            self.at = np.flatnonzero(word)
+            return
+        n = len(ids) - k + 2  # places of phrases of k - 1 words
+        if n < 2:
+            self.at = np.zeros(0, np.int64)
             return
-        part = (hashes % np.uint64(self.parts)).astype(np.int64)
-        following = ids[at + k - 1].astype(np.int64)
-        entry, first, counts = np.unique((prefix * self.parts + part[following]) * width + following, return_index=True, return_counts=True)
-        stripe = entry // width
-        starts = np.flatnonzero(np.concatenate([[True], stripe[1:] != stripe[:-1]]))
-        ends = np.concatenate([starts[1:], [len(entry)]])
-        text = pa.array(names, pa.binary()).cast(pa.string())
-        nexts = text.take(pa.array(entry % width))
-        for lo in range(0, len(starts), 8192):
-            some, last = starts[lo : lo + 8192], int(ends[min(lo + 8192, len(starts)) - 1])
-            begin = int(some[0])
-            heads = [text.take(pa.array(ids[at[first[some]] + j])) for j in range(k - 1)]
-            prefixes = pc.binary_join_element_wise(*heads, " ") if k > 1 else pa.array([""] * len(some))
-            yield self._batch(prefixes, np.append(some, last) - begin, stripe[some] % self.parts, nexts.slice(begin, last - begin), counts[begin:last])
-
-    def _batch(self, prefixes, offsets, parts, nexts, counts) -> pa.RecordBatch:
-        offsets = pa.array(offsets, pa.int32())
-        columns = [
-            pa.array([self.lang] * len(prefixes)),
-            prefixes if isinstance(prefixes, pa.Array) else pa.array(prefixes, pa.string()),
-            pa.array(parts, pa.int32()),
-            pa.ListArray.from_arrays(offsets, nexts),
-            pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "part", "nexts", "counts"])
-
-
-def stripe_counts(docs: DataFrame, k: int, bitmap=None) -> DataFrame:
-    """(lang, prefix, next, f) of phrases of k words, from docs (lang, text); for k = 1 a row with a null prefix counts all words.
-
-    Long stripes are dealt by the hash of their next words, so that no key grows with the vocabulary; equal stripes of a task
-    are one row, so that no key grows with the rows. The merge adds up in the same exchange that gathers a prefix.
+        frequent = np.logical_and.reduce([word[j : j + n] for j in range(k - 1)])
+        frequent &= _marked(inside, _joined_hash([self.hashes[ids[j : j + n]] for j in range(k - 1)]))
+        self.at = np.flatnonzero(frequent[:-1] & frequent[1:])
+
+    def phrase_hashes(self, size: int) -> np.ndarray:
+        """Of the first `size` words at each place."""
+        return _joined_hash([self.hashes[self.ids[self.at + j]] for j in range(size)])
+
+    def keep(self, which: np.ndarray) -> None:
+        self.at = self.at[which]
+
+
+def _slot_rows(found: _Counted, bits: int) -> Iterator[pa.RecordBatch]:
+    """How often each place of a bitmap of so many bits is hit by the block's phrases, places of a run of LOW together."""
+    slots, counts = np.unique(_slots(found.phrase_hashes(found.k), bits).astype(np.int64), return_counts=True)
+    if len(slots):
+        high = slots // LOW
+        starts = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]]))
+        offsets = pa.array(np.append(starts, len(slots)), pa.int32())
+        columns = [pa.array(high[starts]), pa.ListArray.from_arrays(offsets, pa.array(slots % LOW, pa.int16())), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32()))]
+        whole = pa.RecordBatch.from_arrays(columns, names=["high", "low", "counts"])
+        yield from slices([whole], 8192)
+
+
+def _stripe_rows(found: _Counted, lang: str, hot: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Stripes of a block; for k = 1 a row without a prefix holds the number of words."""
+    at, ids, words, k = found.at, found.ids, found.words, found.k
+    if not len(at):
+        return
+    width, following = len(words), ids[at + k - 1].astype(np.int64)
+    if k == 1:
+        yield _stripe_batch(lang, pa.array([None], pa.string()), [0, 1], [0], pa.array([""]), np.array([len(at)]))
+        prefix, long = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+    else:
+        prefix, long = ids[at].astype(np.int64), _marked(hot, found.phrase_hashes(k - 1))
+        for j in range(1, k - 1):
+            prefix = np.unique(prefix * width + ids[at + j], return_inverse=True)[1]
+    part = np.where(long, (found.hashes[following] % np.uint64(PARTS)).astype(np.int64), 0)
+    entry, first, counts = np.unique((prefix * PARTS + part) * width + following, return_index=True, return_counts=True)
+    stripe = entry // width
+    starts = np.flatnonzero(np.concatenate([[True], stripe[1:] != stripe[:-1]]))
+    ends = np.concatenate([starts[1:], [len(entry)]])
+    nexts = words.take(pa.array(entry % width))
+    for lo in range(0, len(starts), 8192):
+        some, last = starts[lo : lo + 8192], int(ends[min(lo + 8192, len(starts)) - 1])
+        begin = int(some[0])
+        heads = [words.take(pa.array(ids[at[first[some]] + j])) for j in range(k - 1)]
+        prefixes = pc.binary_join_element_wise(*heads, " ") if k > 1 else pa.array([""] * len(some))
+        yield _stripe_batch(lang, prefixes, np.append(some, last) - begin, stripe[some] % PARTS, nexts.slice(begin, last - begin), counts[begin:last])
+
+
+def _stripe_batch(lang, prefixes, offsets, parts, nexts, counts) -> pa.RecordBatch:
+    offsets = pa.array(offsets, pa.int32())
+    columns = [pa.array([lang] * len(prefixes)), prefixes, pa.array(parts, pa.int32()), pa.ListArray.from_arrays(offsets, nexts), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "part", "nexts", "counts"])
+
+
+def _each_block(batches: Iterator[pa.RecordBatch], k: int, inside) -> Iterator[tuple[str, _Counted]]:
+    for b in batches:
+        for i, (lang, carried) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
+            yield lang, _Counted(lang, b.column(1)[i].values, np.frombuffer(b.column(2)[i].as_buffer(), np.int32), carried, k, None if inside is None else inside.value)
+
+
+def stripe_counts(blocks: DataFrame, k: int, inside=None, sketch=None, hot=None) -> DataFrame:
+    """(lang, prefix, next, f) of phrases of k words, from blocks; for k = 1 a row with a null prefix counts all words.
+
+    Stripes of hot prefixes are dealt by the hash of their next words, so that no key grows with the vocabulary; equal
+    stripes of a block are one row, so that no key grows with the rows. The merge adds up in the same exchange that gathers
+    a prefix.
     """
-    parts = max(1, 256 >> 4 * (k - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters: dict[str, _Stripes] = {}
-        for b in slices(batches):
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
-                if lang not in counters:
-                    counters[lang] = _Stripes(lang, k, parts, None if bitmap is None else bitmap.value)
-                yield from counters[lang].add(text.as_py())
-            if sum(c.size for c in counters.values()) > TOKENS:
-                for c in counters.values():
-                    yield from c.flush()
-        for c in counters.values():
-            yield from c.flush()
-
-    stripes = docs.mapInArrow(run, STRIPES).repartition("lang", "prefix", "part")
+        for lang, found in _each_block(batches, k, inside):
+            if sketch is not None:
+                found.keep(_marked(sketch.value, found.phrase_hashes(k)))
+            yield from _stripe_rows(found, lang, None if hot is None else hot.value)
+
+    stripes = blocks.mapInArrow(run, STRIPES).repartition("lang", "prefix", "part")
     entries = stripes.select("lang", "prefix", "part", F.inline(F.arrays_zip("nexts", "counts")).alias("next", "f"))
     return entries.groupBy("lang", "prefix", "part", "next").agg(F.sum("f").alias("f")).drop("part")
 
 
+def _collected(rows: DataFrame, bits: int, most_bits: int):
+    """The broadcast bitmap of rows (slot): at most most_bits / 64 rows of 64 bits come to the driver."""
+    words = rows.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return broadcast_value(rows.sparkSession, bitmap, most_bits // 8, bitmap.nbytes, "bitmap of phrases")
+
+
+def _bits(wanted: int, most_bits: int) -> int:
+    bits = 1 << 16
+    while bits < wanted and bits < most_bits:
+        bits *= 2
+    return bits
+
+
+def sketch_bitmap(blocks: DataFrame, k: int, inside, least: int, n_words: int, most_bits: int = MOST_BITS):
+    """A broadcast bitmap of the hashes whose phrases of k words occur least times or more together: all frequent ones are among them."""
+    bits = _bits(n_words // LOAD, most_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _each_block(batches, k, inside):
+            yield from _slot_rows(found, bits)
+
+    hits = blocks.mapInArrow(run, "high long, low array<short>, counts array<int>").repartition("high")
+    each = hits.select("high", F.inline(F.arrays_zip("low", "counts")).alias("low", "n")).groupBy("high", "low").agg(F.sum("n").alias("n"))
+    return _collected(each.where(F.col("n") >= least).select((F.col("high") * LOW + F.col("low")).alias("slot")), bits, most_bits)
+
+
 def _phrase() -> Column:
     return F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
 
 
-def frequent_bitmap(phrases: DataFrame, most_bits: int = MOST_BITS):
+def phrase_bitmap(phrases: DataFrame, most_bits: int = MOST_BITS):
     """A broadcast bitmap of the hashes of phrases (lang, phrase); its size is bounded by most_bits, whatever their number."""
-    spark = phrases.sparkSession
-    bits = 1 << 16
-    n = phrases.count()
-    while bits < 16 * n and bits < most_bits:
-        bits *= 2
+    bits = _bits(16 * phrases.count(), most_bits)
 
     def run(batches):
         for b in slices(batches, 8192):
@@ -193,26 +281,25 @@ def frequent_bitmap(phrases: DataFrame, most_bits: int = MOST_BITS):
             for i, (lang, phrase) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 seed = _seed(lang)
                 out[i] = _joined_hash([np.array([xxhash.xxh64_intdigest(w, seed)], np.uint64) for w in phrase.encode().split(b" ")])[0]
-            slots = _slots(out, bits).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slots >> 6), pa.array((np.uint64(1) << (slots & 63).astype(np.uint64)).view(np.int64))], names=["at", "bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(out, bits).astype(np.int64))], names=["slot"])
 
-    rows = phrases.select("lang", "phrase").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(bits // 64, np.uint64)
-    bitmap[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return broadcast_value(spark, bitmap, most_bits // 8, bitmap.nbytes, "bitmap of frequent phrases")
+    return _collected(phrases.select("lang", "phrase").mapInArrow(run, "slot long"), bits, most_bits)
 
 
-def count_phrases(docs: DataFrame, least: int = 100, most_words: int = 5, text: str = "text", lang: str = "lang", most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+def count_phrases(docs: DataFrame, least: int = 100, most_words: int = 5, text: str = "text", lang: str = "lang", most_bits: int = MOST_BITS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """((lang, n) of all words, (lang, k, prefix, next, phrase, f) of all phrases of 1 to most_words words found least times or more)."""
     plain = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    frequent = (F.col("f") >= least) | F.col("prefix").isNull()
-    words = written(stripe_counts(plain, 1).where(frequent), "phrases-1")
+    blocks = written(tokenised(plain, most_words), "phrases-blocks")
+    words = written(stripe_counts(blocks, 1).where((F.col("f") >= least) | F.col("prefix").isNull()), "phrases-1")
     totals = written(words.where(F.col("prefix").isNull()).select("lang", F.col("f").alias("n")), "phrases-totals")
+    n_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = level = words.where(F.col("prefix").isNotNull()).select("lang", F.lit(1).alias("k"), "prefix", "next", _phrase().alias("phrase"), "f")
     for k in range(2, most_words + 1):
         if level.isEmpty():
             break
-        counts = stripe_counts(plain, k, frequent_bitmap(level, most_bits)).where(F.col("f") >= least)
+        inside = phrase_bitmap(level, most_bits)
+        sketch = sketch_bitmap(blocks, k, inside, least, n_words, most_bits)
+        counts = stripe_counts(blocks, k, inside, sketch, phrase_bitmap(level.where(F.col("f") >= hot), most_bits)).where(F.col("f") >= least)
         level = written(counts.select("lang", F.lit(k).alias("k"), "prefix", "next", _phrase().alias("phrase"), "f"), f"phrases-{k}")
         found = found.unionByName(level)
     return totals, found
