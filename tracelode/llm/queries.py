@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import chat, collocations, decontam, html_main, langid, lm, pieces, pii, quality, simhash, token_files
+from tracelode.llm import chat, collocations, decontam, filter_audit, html_main, langid, lm, pieces, pii, quality, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": pii.op9_pii,
         "op10_chat_formatting": chat.op10_chat_formatting,
         "op11_collocations": collocations.op11_collocations,
+        "op12_warc": warc.op12_warc,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
@@ -30,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontam.OP4_SQL,
         "op10_chat_formatting": chat.OP10_SQL,
         "op11_collocations": collocations.OP11_SQL,
+        "op12_warc": warc.OP12_SQL,
+        "op13_filter_audit": filter_audit.OP13_SQL,
     }
