@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -62,6 +63,9 @@ def add_columns(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..
     df = df.select(*[f"`{c}`" for c in df.columns if c not in clash])
     where = [df.columns.index(c) for c in inputs]
     names = [*df.columns, *[f.name for f in new.fields]]
+    # mapInArrow looks columns up by name, which fails for names with dots.
+    df = numbered(df)
+    passed = [*df.columns, *[f"new_{i}" for i in range(len(new.fields))]]
     kinds = [to_arrow_type(f.dataType) for f in new.fields]
 
     def run(batches):
@@ -69,9 +73,21 @@ def add_columns(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..
         for b in slices(batches):
             rows = [f(*v) for v in zip(*[b.column(i).to_pylist() for i in where])]
             out = list(zip(*rows)) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(list(v), type=k) for v, k in zip(out, kinds)]], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(list(v), type=k) for v, k in zip(out, kinds)]], names=passed)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, f.dataType) for n, f in zip(passed[len(df.columns) :], new.fields)]])
+    return df.mapInArrow(run, schema).toDF(*names)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named d_0, d_1, ..., so that what an operator adds clashes with none of them."""
+    return df.toDF(*[f"d_{i}" for i in range(len(df.columns))])
+
+
+def renamed(df: DataFrame, names: list[str], instead: dict[str, str] | None = None) -> DataFrame:
+    """The columns d_0, d_1, ... of df under their names again; `instead` names the column to take for one of them."""
+    instead = instead or {}
+    return df.select(*[F.col(instead.get(c, f"d_{i}")).alias(c) for i, c in enumerate(names)])
 
 
 def broadcast_value(spark: SparkSession, value, limit_bytes: int, size_bytes: int, what: str):

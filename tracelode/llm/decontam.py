@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import add_columns, written
+from tracelode.llm.common import add_columns, numbered, renamed, written
 
 #: Word characters are 0-9, A-Z, a-z and all beyond ASCII; in UTF-8 that is a class of bytes.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -116,10 +116,9 @@ def find_windows(documents: DataFrame, benchmark: DataFrame, size: int = 10, tex
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, size: int = 10) -> DataFrame:
     """docs of which at most max_share of the words are inside benchmark windows, with their own columns."""
-    mine = docs.select(*[F.col(c).alias(f"d_{i}") for i, c in enumerate(docs.columns)])
-    found = find_windows(mine, benchmark, size, text=f"d_{docs.columns.index('text')}")
+    found = find_windows(numbered(docs), benchmark, size, text=f"d_{docs.columns.index('text')}")
     kept = found.where(F.size("hit") <= F.lit(max_share) * F.col("n_words"))
-    return kept.select(*[F.col(f"d_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return renamed(kept, docs.columns)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

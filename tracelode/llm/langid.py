@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelode.llm.common import add_columns, broadcast_value, written
+from tracelode.llm.common import add_columns, broadcast_value, numbered, renamed, written
 
 LETTERS = regex.compile(r"\p{L}+")
 ORDERS = (4, 3, 2, 1)
@@ -177,9 +177,8 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 def keep_known(docs: DataFrame, model: dict, min_score: float = 0.5) -> DataFrame:
     """docs whose language is known well enough, with their own columns and lang as predicted."""
     cols = docs.columns
-    mine = docs.select(*[F.col(c).alias(f"d_{i}") for i, c in enumerate(cols)])
-    found = predict(mine, model, text=f"d_{cols.index('text')}").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return found.select(*[(F.col("lang_pred") if c == "lang" else F.col(f"d_{i}")).alias(c) for i, c in enumerate(cols)])
+    found = predict(numbered(docs), model, text=f"d_{cols.index('text')}").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return renamed(found, cols, {"lang": "lang_pred"})
 
 
 def held_out() -> Column:

@@ -36,12 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelode.llm.common import broadcast_value, shared_dir, slices, written
+from tracelode.llm.common import broadcast_value, numbered, shared_dir, slices, written
 
 SPACE = "▁"
 CHUNK = 1 << 15
 CACHE = 200_000
 PAIRS = 400_000
+#: Characters without a piece that are kept between texts; a text of more has them all while it is read.
+UNKNOWN = 50_000
 MODEL_BYTES = 64 << 20
 #: The boundary state where no piece crosses: before the first piece, at such a cut, and after the last piece.
 START = (0, 0)
@@ -102,6 +104,8 @@ class Codec:
         self.pairs: dict[int, bool] = {}
         self.newline = self.packed[self.number("\n")]
         self.spaced, self.bare = Words(self, SPACE), Words(self, "")
+        #: Numbers from here on are of characters met in texts; those before are part of the tables.
+        self.first_beyond = len(self.names)
 
     def merges(self, text: str) -> list[str]:
         """The merges themselves, for a few pieces' text: best score first, leftmost among equals."""
@@ -121,8 +125,6 @@ class Codec:
         """A piece's number: its id plus 1, beyond all ids for a character without a piece; 0 is the start."""
         known = self.ids.get(piece)
         if known is None:
-            if len(self.names) > self.size + 200_000:
-                raise ValueError("more unknown characters than there are")
             known = self.ids_beyond.get(piece)
             if known is None:
                 known = self.ids_beyond[piece] = len(self.names)
@@ -131,6 +133,14 @@ class Codec:
                 self.packed.append(np.array(got if None not in got else [self.unk], np.int32).tobytes())
         return known
 
+    def trim(self) -> None:
+        """Forgets characters without a piece, once there are many of them, and what is kept under their numbers; called between texts."""
+        if len(self.names) > self.first_beyond + UNKNOWN:
+            for piece in self.names[self.first_beyond :]:
+                del self.ids_beyond[piece]
+            del self.names[self.first_beyond :], self.packed[self.first_beyond :]
+            self.pairs.clear()
+
     def follows(self, a: int, b: int) -> bool:
         """The arc weight between neighbours: True for 0, False for minus infinity. a is 0 at a text's start."""
         key = a << 32 | b
@@ -271,6 +281,7 @@ def codec_of(shared) -> Codec:
         _CODECS.clear()
         _CODECS[id(model)] = Codec(model)
         _CODECS[id(model)].model = model  # kept alive, so that its id is not given to another
+    _CODECS[id(model)].trim()
     return _CODECS[id(model)]
 
 
@@ -345,19 +356,24 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CH
     spark = docs.sparkSession
     model = load_model(model_path)
     shared = broadcast_value(spark, model, MODEL_BYTES, sum(len(p) + 100 for p in model["pieces"]), "pieces")
-    docs = docs.select(*[c for c in docs.columns if c != "ids"])
-    where = docs.columns.index(text)
+    names = [c for c in docs.columns if c != "ids"]
+    docs = numbered(docs.select(*[F.col(f"`{c}`") for c in names]))
+    where, text = names.index(text), f"d_{names.index(text)}"
     out = T.StructType([*docs.schema.fields, IDS])
 
     def whole(batches):
         codec = codec_of(shared)
         for b in slices(batches, 128):
-            parts = [codec.encode_whole(t) for t in b.column(where).to_pylist()]
+            parts = []
+            for t in b.column(where).to_pylist():
+                codec.trim()
+                parts.append(codec.encode_whole(t))
             yield pa.RecordBatch.from_arrays([*b.columns, _list_array(parts).cast(pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
 
     giant = F.length(text) > chunk
     short = docs.where(F.coalesce(~giant, F.lit(True))).mapInArrow(whole, out)
-    return short.unionByName(_encode_giants(docs.where(giant), shared, text, chunk))
+    both = short.unionByName(_encode_giants(docs.where(giant), shared, text, chunk))
+    return both.toDF(*names, "ids")
 
 
 ARCS = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
@@ -441,6 +457,7 @@ def _encode_giants(giants: DataFrame, shared, text: str, chunk: int) -> DataFram
         for b in slices(batches, GIANTS):
             rows = []
             for r in b.to_pylist():
+                codec.trim()
                 if r["start"] and r["end"]:
                     rows.append((r["key"], r["no"], _arcs({START: {START}})))
                     continue
@@ -461,6 +478,7 @@ def _encode_giants(giants: DataFrame, shared, text: str, chunk: int) -> DataFram
         for b in slices(batches, GIANTS):
             parts = []
             for r in b.to_pylist():
+                codec.trim()
                 if r["start"] and r["end"]:
                     parts.append(codec._runs(r["body"]))
                 else:
@@ -477,8 +495,9 @@ def decode(encoded: DataFrame, model_path: str, name: str = "decoded") -> DataFr
     """encoded plus the text of its ids."""
     model = load_model(model_path)
     shared = broadcast_value(encoded.sparkSession, model, MODEL_BYTES, sum(len(p) + 100 for p in model["pieces"]), "pieces")
-    encoded = encoded.select(*[c for c in encoded.columns if c != name])
-    where = encoded.columns.index("ids")
+    names = [c for c in encoded.columns if c != name]
+    encoded = numbered(encoded.select(*[F.col(f"`{c}`") for c in names]))
+    where = names.index("ids")
 
     def run(batches):
         table, dummy = piece_bytes(shared.value), shared.value["dummy"]
@@ -493,9 +512,9 @@ def decode(encoded: DataFrame, model_path: str, name: str = "decoded") -> DataFr
                 raw = b"".join(map(table.__getitem__, flat[offsets : offsets + n].tolist())).decode("utf-8", "replace")
                 offsets += n
                 out.append(raw[1:] if dummy and raw.startswith(" ") else raw)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "text"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())])).toDF(*names, name)
 
 
 def default_model() -> str:

@@ -23,7 +23,7 @@ import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import add_columns
+from tracelode.llm.common import add_columns, numbered, renamed
 
 #: Kinds in the order that breaks ties between spans with one start; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "login", "iban", "secret")
@@ -164,7 +164,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     return add_columns(docs, [text], make, "pii array<struct<start:int,end:int,kind:string>>")
 
 
-def redact_pii(docs: DataFrame, text: str = "text", keep_url: bool = True) -> DataFrame:
+def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span (overlapping ones as one) replaced by [KIND], and n_chars, where there is one, counted again."""
 
     def make():
@@ -182,10 +182,10 @@ def redact_pii(docs: DataFrame, text: str = "text", keep_url: bool = True) -> Da
 
         return clean
 
-    out = add_columns(docs.withColumn("__raw", F.col(text)).drop(text), ["__raw"], make, f"`{text}` string").drop("__raw")
+    out, instead = add_columns(numbered(docs), [f"d_{docs.columns.index(text)}"], make, "clean string"), {text: "clean"}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+        out, instead = out.withColumn("counted", F.length("clean").cast(docs.schema["n_chars"].dataType)), instead | {"n_chars": "counted"}
+    return renamed(out, docs.columns, instead)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,7 +126,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, start: f
 def judge(docs: DataFrame, text: str = "text", votes: Callable[[], dict[str, Column]] = rules, threshold: float = 0.5, max_patterns: int = 60_000) -> DataFrame:
     """docs (without the text) plus the features, base_failed, p_good and kept."""
     spark = docs.sparkSession
-    slim = docs.select(*[c for c in docs.columns if c not in ("votes", "p_good", "base_failed", "kept")])
+    slim = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("votes", "p_good", "base_failed", "kept")])
     measured = add_columns(slim, [text], lambda: lambda t: measure(t), FEATURES).drop(text)
     chosen = votes()
     if 3 ** len(chosen) > max_patterns:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import LOWER_AZ, add_columns, broadcast_value, slices, written
+from tracelode.llm.common import LOWER_AZ, add_columns, broadcast_value, numbered, renamed, slices, written
 
 BITS = 64
 #: Shingles hashed at once; bounds a task's memory for any length of text.
@@ -202,9 +202,9 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * _bit_counts(h) > len(h), bitorder="little").view("<i8")[0]) if len(h) else 0
 
 
-def _digest() -> Column:
+def _digest(text: str | Column = "text") -> Column:
     """A text's identity, 128 bits wide; null texts are empty ones."""
-    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def _common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -388,11 +388,12 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     of_text = _near_nodes(docs, size, similarity)
     least = of_text.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "digest")).alias("m"))
     # A row's key holds its doc_id, so that the rows of one text spread; a null one is told from any number by a column of its own.
-    key = ["near_digest", "near_none", "near_id"]
+    key, mine = ["digest", "none", "id"], numbered(docs)
+    doc_id, text = (F.col(f"d_{docs.columns.index(c)}") for c in ("doc_id", "text"))
     name = lambda digest, at: [digest.alias(key[0]), at.isNull().alias(key[1]), F.coalesce(at, F.lit(0)).alias(key[2])]
     heads = least.select(*name(F.col("m.digest"), F.col("m.first_id")))
-    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in key], *name(_digest(), F.col("doc_id")))
-    return marked.join(heads, key, "left_semi").dropDuplicates(key).select(*[f"`{c}`" for c in docs.columns])
+    marked = mine.select("*", *name(_digest(text), doc_id))
+    return renamed(marked.join(heads, key, "left_semi").dropDuplicates(key), docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
