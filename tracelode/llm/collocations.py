@@ -5,10 +5,9 @@ elementwise. The empty prefix holds the words themselves, so stripes of 0 to 4 w
 phrase's own (its extension of its prefix), the totals of both parts of a cut, and the largest count of a phrase with one
 more word on either side, which is all that subsumption asks, as a longer phrase is never more frequent than a part of it.
 
-Stripes of k words are counted only where both phrases of k - 1 words inside are frequent, and where all phrases of their
-own hash together are. Tasks know both by bitmaps of a bounded size, the second one from a first count of hashes alone,
-which is far smaller than stripes. A false alarm is counted and then dropped by its exact count, and nothing frequent is
-missed; where a corpus has more phrases than a bitmap has room for, only the pruning grows weaker.
+Stripes of k words are counted only where both phrases of k - 1 words inside are frequent. Tasks know these by a bitmap of
+hashes of a bounded size: a false alarm is counted and then dropped by its exact count, and nothing frequent is missed;
+where a corpus has more phrases than the bitmap has room for, only the pruning grows weaker.
 
 Nulls: a null text has no words, a null language is `und`. Empty tables give no rows. Repeated rows count as often as they
 stand. Only the two named columns are read, so others may have any name. Long texts are read in blocks with the last words
@@ -33,10 +32,8 @@ from tracelode.llm.common import LOWER_AZ, broadcast_value, slices, written
 _PLAIN = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else LOWER_AZ[b] for b in range(256))
 #: Bytes of a text read at a time, and words and distinct words of a block.
 BLOCK, TOKENS, DISTINCT = 1 << 20, 1_000_000, 250_000
-#: Bits of a bitmap: 16 a phrase, or one for LOAD words of the corpus, at most this many.
-MOST_BITS, LOAD = 1 << 27, 16
-#: Places of a bitmap whose counts are one row.
-LOW = 4096
+#: Bits of a bitmap: 16 a phrase, at most this many.
+MOST_BITS = 1 << 27
 #: Prefixes of so many occurrences have their stripes dealt to so many parts.
 HOT, PARTS = 1 << 20, 64
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -141,7 +138,7 @@ def tokenised(docs: DataFrame, most_words: int) -> DataFrame:
 
 
 class _Counted:
-    """The phrases of k words of one block that may be frequent: their places and the hashes of words and phrases."""
+    """The phrases of k words of one block that may be frequent, by their places, and the hashes of words."""
 
     def __init__(self, lang: str, words: pa.Array, ids: np.ndarray, carried: int, k: int, inside: np.ndarray | None):
         # Phrases that lie in the carried words alone were counted with the block before.
@@ -165,21 +162,6 @@ class _Counted:
         """Of the first `size` words at each place."""
         return _joined_hash([self.hashes[self.ids[self.at + j]] for j in range(size)])
 
-    def keep(self, which: np.ndarray) -> None:
-        self.at = self.at[which]
-
-
-def _slot_rows(found: _Counted, bits: int) -> Iterator[pa.RecordBatch]:
-    """How often each place of a bitmap of so many bits is hit by the block's phrases, places of a run of LOW together."""
-    slots, counts = np.unique(_slots(found.phrase_hashes(found.k), bits).astype(np.int64), return_counts=True)
-    if len(slots):
-        high = slots // LOW
-        starts = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]]))
-        offsets = pa.array(np.append(starts, len(slots)), pa.int32())
-        columns = [pa.array(high[starts]), pa.ListArray.from_arrays(offsets, pa.array(slots % LOW, pa.int16())), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32()))]
-        whole = pa.RecordBatch.from_arrays(columns, names=["high", "low", "counts"])
-        yield from slices([whole], 8192)
-
 
 def _stripe_rows(found: _Counted, lang: str, hot: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Stripes of a block; for k = 1 a row without a prefix holds the number of words."""
@@ -220,7 +202,7 @@ def _each_block(batches: Iterator[pa.RecordBatch], k: int, inside) -> Iterator[t
             yield lang, _Counted(lang, b.column(1)[i].values, np.frombuffer(b.column(2)[i].as_buffer(), np.int32), carried, k, None if inside is None else inside.value)
 
 
-def stripe_counts(blocks: DataFrame, k: int, inside=None, sketch=None, hot=None) -> DataFrame:
+def stripe_counts(blocks: DataFrame, k: int, inside=None, hot=None) -> DataFrame:
     """(lang, prefix, next, f) of phrases of k words, from blocks; for k = 1 a row with a null prefix counts all words.
 
     Stripes of hot prefixes are dealt by the hash of their next words, so that no key grows with the vocabulary; equal
@@ -230,8 +212,6 @@ def stripe_counts(blocks: DataFrame, k: int, inside=None, sketch=None, hot=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, found in _each_block(batches, k, inside):
-            if sketch is not None:
-                found.keep(_marked(sketch.value, found.phrase_hashes(k)))
             yield from _stripe_rows(found, lang, None if hot is None else hot.value)
 
     stripes = blocks.mapInArrow(run, STRIPES).repartition("lang", "prefix", "part")
@@ -239,41 +219,15 @@ def stripe_counts(blocks: DataFrame, k: int, inside=None, sketch=None, hot=None)
     return entries.groupBy("lang", "prefix", "part", "next").agg(F.sum("f").alias("f")).drop("part")
 
 
-def _collected(rows: DataFrame, bits: int, most_bits: int):
-    """The broadcast bitmap of rows (slot): at most most_bits / 64 rows of 64 bits come to the driver."""
-    words = rows.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(bits // 64, np.uint64)
-    bitmap[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return broadcast_value(rows.sparkSession, bitmap, most_bits // 8, bitmap.nbytes, "bitmap of phrases")
-
-
-def _bits(wanted: int, most_bits: int) -> int:
-    bits = 1 << 16
-    while bits < wanted and bits < most_bits:
-        bits *= 2
-    return bits
-
-
-def sketch_bitmap(blocks: DataFrame, k: int, inside, least: int, n_words: int, most_bits: int = MOST_BITS):
-    """A broadcast bitmap of the hashes whose phrases of k words occur least times or more together: all frequent ones are among them."""
-    bits = _bits(n_words // LOAD, most_bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _each_block(batches, k, inside):
-            yield from _slot_rows(found, bits)
-
-    hits = blocks.mapInArrow(run, "high long, low array<short>, counts array<int>").repartition("high")
-    each = hits.select("high", F.inline(F.arrays_zip("low", "counts")).alias("low", "n")).groupBy("high", "low").agg(F.sum("n").alias("n"))
-    return _collected(each.where(F.col("n") >= least).select((F.col("high") * LOW + F.col("low")).alias("slot")), bits, most_bits)
-
-
 def _phrase() -> Column:
     return F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
 
 
 def phrase_bitmap(phrases: DataFrame, most_bits: int = MOST_BITS):
     """A broadcast bitmap of the hashes of phrases (lang, phrase); its size is bounded by most_bits, whatever their number."""
-    bits = _bits(16 * phrases.count(), most_bits)
+    bits, wanted = 1 << 16, 16 * phrases.count()
+    while bits < wanted and bits < most_bits:
+        bits *= 2
 
     def run(batches):
         for b in slices(batches, 8192):
@@ -283,7 +237,11 @@ def phrase_bitmap(phrases: DataFrame, most_bits: int = MOST_BITS):
                 out[i] = _joined_hash([np.array([xxhash.xxh64_intdigest(w, seed)], np.uint64) for w in phrase.encode().split(b" ")])[0]
             yield pa.RecordBatch.from_arrays([pa.array(_slots(out, bits).astype(np.int64))], names=["slot"])
 
-    return _collected(phrases.select("lang", "phrase").mapInArrow(run, "slot long"), bits, most_bits)
+    slots = phrases.select("lang", "phrase").mapInArrow(run, "slot long")
+    rows = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return broadcast_value(phrases.sparkSession, bitmap, most_bits // 8, bitmap.nbytes, "bitmap of phrases")
 
 
 def count_phrases(docs: DataFrame, least: int = 100, most_words: int = 5, text: str = "text", lang: str = "lang", most_bits: int = MOST_BITS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -292,14 +250,12 @@ def count_phrases(docs: DataFrame, least: int = 100, most_words: int = 5, text:
     blocks = written(tokenised(plain, most_words), "phrases-blocks")
     words = written(stripe_counts(blocks, 1).where((F.col("f") >= least) | F.col("prefix").isNull()), "phrases-1")
     totals = written(words.where(F.col("prefix").isNull()).select("lang", F.col("f").alias("n")), "phrases-totals")
-    n_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = level = words.where(F.col("prefix").isNotNull()).select("lang", F.lit(1).alias("k"), "prefix", "next", _phrase().alias("phrase"), "f")
     for k in range(2, most_words + 1):
         if level.isEmpty():
             break
         inside = phrase_bitmap(level, most_bits)
-        sketch = sketch_bitmap(blocks, k, inside, least, n_words, most_bits)
-        counts = stripe_counts(blocks, k, inside, sketch, phrase_bitmap(level.where(F.col("f") >= hot), most_bits)).where(F.col("f") >= least)
+        counts = stripe_counts(blocks, k, inside, phrase_bitmap(level.where(F.col("f") >= hot), most_bits)).where(F.col("f") >= least)
         level = written(counts.select("lang", F.lit(k).alias("k"), "prefix", "next", _phrase().alias("phrase"), "f"), f"phrases-{k}")
         found = found.unionByName(level)
     return totals, found
