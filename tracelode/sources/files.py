@@ -6,7 +6,7 @@ import io
 import os
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions.hashing import stable_hash
@@ -56,12 +56,22 @@ def without_superseded(snapshots: DataFrame, model_io: DataFrame, ident: str = "
 def json_lines(spark: SparkSession, folder: str, agent: str, pattern: str = "*.jsonl") -> DataFrame:
     """Bronze records (path, agent, ordinal, raw text, record VARIANT, malformed) of JSON-line files.
 
-    ordinal orders a file's records as they stand in it. An unterminated last line that is no JSON stays for the next
-    pass; other lines that are no JSON, or longer than a record may be, are malformed. One file is one task's work at
-    most; files spread over tasks.
+    ordinal is a line's number in its file. A file is read in ranges of bytes (spark.sql.files.maxPartitionBytes) by several
+    tasks, one line at a time. A first pass counts the lines and bytes of each range; their sums before a range give its
+    first ordinal, and the file's size tells whether its last line has an end. An unterminated last line that is no JSON
+    stays for the next pass; other lines that are no JSON, or longer than a record may be, are malformed.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return split_lines(files.select("path", F.decode("content", "UTF-8").alias("text")), agent)
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(folder)
+    # Ids rise along the lines of a range, without gaps: ranges of one task follow one another.
+    lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
+    ranges = lines.groupBy("path", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("raw") + 1).alias("bytes"), F.max("size").alias("size"))
+    whole = Window.partitionBy("path")
+    before = whole.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("path", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("lines"), (F.sum("bytes").over(whole) <= F.col("size")).alias("ended"))
+    rows = lines.drop("size").join(ranges, ["path", "start"]).withColumn("ordinal", F.col("before") + F.col("id") - F.col("first"))
+    parsed = F.when(F.octet_length("raw") <= MAX_RECORD, F.try_parse_json("raw"))
+    rows = rows.where(F.trim("raw") != "").withColumn("record", parsed).where(F.col("ended") | (F.col("ordinal") < F.col("lines") - 1) | F.col("record").isNotNull())
+    return rows.select("path", F.lit(agent).alias("agent"), "ordinal", "raw", "record", F.col("record").isNull().alias("malformed"))
 
 
 def split_lines(texts: DataFrame, agent: str, path: str = "path", text: str = "text") -> DataFrame:
@@ -140,7 +150,6 @@ def skill_files(texts: DataFrame) -> DataFrame:
 
 def git_log(texts: DataFrame, most: int = 24) -> DataFrame:
     """(path, commit, committed_at, subject, file, added, removed) from `git log --numstat` texts with header lines `\\x1e hash \\x1f time \\x1f subject`."""
-    from pyspark.sql import Window
 
     lines = texts.select("path", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     head = F.startswith("line", F.lit("\x1e"))

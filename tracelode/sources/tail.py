@@ -12,6 +12,7 @@ Defined cases: an unterminated last line waits in a stream and is given in a bat
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from fnmatch import fnmatch
@@ -111,10 +112,13 @@ class TailReader(DataSourceReader):
 
 class FollowReader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.folder, self.pattern = options["path"], options.get("pattern", "*.jsonl")
+        self.folder, self.pattern, self.begin = options["path"], options.get("pattern", "*.jsonl"), options.get("begin")
 
     def initialOffset(self) -> dict:
-        return {}
+        if self.begin is None:
+            return {}
+        with open(self.begin, encoding="utf-8") as f:
+            return json.load(f)
 
     def latestOffset(self) -> dict:
         return {p: whole_lines(p) for p in files_below(self.folder, self.pattern)}
@@ -158,7 +162,11 @@ def tail(spark: SparkSession, folder: str, pattern: str = "*.jsonl", last_bytes:
     return spark.read.format("tailed_lines").option("pattern", pattern).option("lastbytes", str(last_bytes)).load(folder)
 
 
-def follow(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, at, raw) as a stream: every whole line of the files below folder, and those they gain."""
+def follow(spark: SparkSession, folder: str, pattern: str = "*.jsonl", begin: str | None = None) -> DataFrame:
+    """(path, at, raw) as a stream: every whole line of the files below folder, and those they gain.
+
+    begin names a JSON file of the bytes, by path, at which a new query begins in files that were read before.
+    """
     spark.dataSource.register(TailedLines)
-    return spark.readStream.format("tailed_lines").option("pattern", pattern).load(folder)
+    stream = spark.readStream.format("tailed_lines").option("pattern", pattern)
+    return (stream if begin is None else stream.option("begin", begin)).load(folder)
