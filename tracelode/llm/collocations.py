@@ -37,8 +37,10 @@ MOST_BITS = 1 << 27
 #: Prefixes of so many occurrences have their stripes dealt to so many parts.
 HOT, PARTS = 1 << 20, 64
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-TOKENISED = "lang string, words array<string>, ids binary, carried int"
-STRIPES = "lang string, prefix string, part int, nexts array<string>, counts array<long>"
+#: Words (joined by spaces) and their numbers in the text, both compressed; the first of them were carried over.
+TOKENISED = "lang string, words binary, ids binary, carried int"
+#: The words that follow a prefix and how often, both joined by spaces; no counts where all are 1.
+STRIPES = "lang string, prefix string, part int, nexts string, counts string"
 
 
 class _Words(dict):
@@ -104,7 +106,7 @@ class _Block:
         ids = np.concatenate(self.read) if self.read else np.zeros(0, np.int32)
         names = self.words.names
         if len(ids):
-            yield self.lang, names, ids.tobytes(), self.carried
+            yield self.lang, zlib.compress(b" ".join(names[2:]), 1), zlib.compress(ids.tobytes(), 1), self.carried
         kept = [names[i] for i in ids[len(ids) - min(carry, len(ids)) :]]
         self.words, self.size, self.carried = _Words(), 0, len(kept)
         self.read = [np.array([self.words[w] for w in kept], np.int32)] if kept else []
@@ -116,7 +118,7 @@ def tokenised(docs: DataFrame, most_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows):
             columns = [list(c) for c in zip(*rows)]
-            kinds = (pa.string(), pa.list_(pa.string()), pa.binary(), pa.int32())
+            kinds = (pa.string(), pa.binary(), pa.binary(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "words", "ids", "carried"])
 
         blocks: dict[str, _Block] = {}
@@ -140,12 +142,13 @@ def tokenised(docs: DataFrame, most_words: int) -> DataFrame:
 class _Counted:
     """The phrases of k words of one block that may be frequent, by their places, and the hashes of words."""
 
-    def __init__(self, lang: str, words: pa.Array, ids: np.ndarray, carried: int, k: int, inside: np.ndarray | None):
+    def __init__(self, lang: str, words: bytes, ids: bytes, carried: int, k: int, inside: np.ndarray | None):
+        names = [b"", b"\n", *zlib.decompress(words).split(b" ")]
         # Phrases that lie in the carried words alone were counted with the block before.
-        self.ids = ids = ids[max(0, carried - k + 1) :]
-        self.words, self.k = words, k
+        self.ids = ids = np.frombuffer(zlib.decompress(ids), np.int32)[max(0, carried - k + 1) :]
+        self.words, self.k = pa.array(names, pa.binary()).cast(pa.string()), k
         seed = _seed(lang)
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, len(names))
         word = ids > 1
         if k == 1:
             self.at = np.flatnonzero(word)
@@ -191,15 +194,18 @@ def _stripe_rows(found: _Counted, lang: str, hot: np.ndarray | None) -> Iterator
 
 
 def _stripe_batch(lang, prefixes, offsets, parts, nexts, counts) -> pa.RecordBatch:
-    offsets = pa.array(offsets, pa.int32())
-    columns = [pa.array([lang] * len(prefixes)), prefixes, pa.array(parts, pa.int32()), pa.ListArray.from_arrays(offsets, nexts), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))]
+    offsets = np.asarray(offsets)
+    joined = lambda values: pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), " ")
+    single = pa.array(np.maximum.reduceat(counts, offsets[:-1]) == 1)
+    numbers = pc.if_else(single, pa.scalar(None, pa.string()), joined(pa.array(counts, pa.int64()).cast(pa.string())))
+    columns = [pa.array([lang] * len(prefixes)), prefixes, pa.array(parts, pa.int32()), joined(nexts), numbers]
     return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "part", "nexts", "counts"])
 
 
 def _each_block(batches: Iterator[pa.RecordBatch], k: int, inside) -> Iterator[tuple[str, _Counted]]:
     for b in batches:
         for i, (lang, carried) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
-            yield lang, _Counted(lang, b.column(1)[i].values, np.frombuffer(b.column(2)[i].as_buffer(), np.int32), carried, k, None if inside is None else inside.value)
+            yield lang, _Counted(lang, b.column(1)[i].as_py(), b.column(2)[i].as_py(), carried, k, None if inside is None else inside.value)
 
 
 def stripe_counts(blocks: DataFrame, k: int, inside=None, hot=None) -> DataFrame:
@@ -215,8 +221,11 @@ def stripe_counts(blocks: DataFrame, k: int, inside=None, hot=None) -> DataFrame
             yield from _stripe_rows(found, lang, None if hot is None else hot.value)
 
     stripes = blocks.mapInArrow(run, STRIPES).repartition("lang", "prefix", "part")
-    entries = stripes.select("lang", "prefix", "part", F.inline(F.arrays_zip("nexts", "counts")).alias("next", "f"))
-    return entries.groupBy("lang", "prefix", "part", "next").agg(F.sum("f").alias("f")).drop("part")
+    # Where counts is missing, an empty array is filled up with nulls.
+    counts = F.coalesce(F.split("counts", " ").cast("array<long>"), F.array().cast("array<long>"))
+    zipped = F.arrays_zip(F.split("nexts", " ").alias("next"), counts.alias("f"))
+    entries = stripes.select("lang", "prefix", "part", F.inline(zipped).alias("next", "f"))
+    return entries.groupBy("lang", "prefix", "part", "next").agg(F.sum(F.coalesce("f", F.lit(1))).alias("f")).drop("part")
 
 
 def _phrase() -> Column:
