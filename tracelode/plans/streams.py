@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from tracelode.operators.graph import shared_folder
 from tracelode.plans.base import plan
 from tracelode.sources import tail
 from tracelode.streaming import attention, envelopes, fusion, machine
@@ -23,13 +20,7 @@ def _canonical(df):
 
 
 def _shared(spark) -> str:
-    """A fresh folder that driver and executors share; a temporary one only where they are one process."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tracelode-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    return shared_folder(spark, "stream")
 
 
 @plan("""
