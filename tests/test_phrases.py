@@ -1,3 +1,7 @@
+import itertools
+import math
+import random
+
 from tracelode.operators import phrases
 
 
@@ -31,3 +35,31 @@ def test_cloud(spark):
     rows = [("s1", "user", "codex", "m1", "keep it small", 3), ("s2", "user", "codex", "m2", "keep it small", 1), ("s1", "user", "codex", "m1", "keep it", 3), ("s2", "user", "codex", "m1", "keep it", 1), ("s1", "user", "kimi", None, "only here", 9)]
     out = phrases.cloud(spark.createDataFrame(rows, "session_id string, role string, agent string, model string, phrase string, occurrences long")).collect()
     assert [(r.phrase, r.occurrences, r.sessions, r.dominant_model) for r in out] == [("keep it small", 4, 2, "m1")]
+
+
+def test_a_phrase_inside_many_others_is_found_without_a_cap(spark):
+    rows = [(s, "user", "codex", None, f"word{i} tail", 5) for i in range(900) for s in ("s1", "s2")] + [(s, "user", "codex", None, "tail", 6) for s in ("s1", "s2")]
+    rows += [(s, "user", "codex", None, p, 1) for p in ("very rare phrase", "rare phrase") for s in ("s1", "s2")] + [(s, "user", "codex", None, p, 2) for p in ("运行测试", "行测试") for s in ("s1", "s2")]
+    out = {r.phrase for r in phrases.cloud(spark.createDataFrame(rows, "session_id string, role string, agent string, model string, phrase string, occurrences long"), most=10_000).collect()}
+    assert "tail" not in out and "very rare phrase" in out and "rare phrase" not in out and len(out) == 902
+    assert "运行测试" in out and "行测试" not in out
+
+
+def test_best_path_equals_trying_every_cut():
+    rng = random.Random(1)
+    for _ in range(60):
+        run = "".join(rng.choice("项目运行") for _ in range(rng.randrange(1, 9)))
+        lexicon = {"".join(rng.choice("项目运行") for _ in range(rng.randrange(1, 4))): -rng.random() * 9 for _ in range(8)}
+        segmenter = phrases.Segmenter(lexicon)
+        weigh = lambda words: sum(lexicon.get(w, segmenter.unknown if len(w) == 1 else -math.inf) for w in words)  # noqa: B023, E731
+        cuts = [[run[a:b] for a, b in itertools.pairwise((0, *c, len(run)))] for n in range(len(run)) for c in itertools.combinations(range(1, len(run)), n)]
+        assert math.isclose(weigh(segmenter(run)), max(map(weigh, cuts)))
+
+
+def test_chinese_phrases_begin_at_every_character_or_at_words(spark):
+    df = spark.createDataFrame([(1, "请运行测试项目")], "id long, text string")
+    without = {r.phrase: r.segmentation for r in phrases.message_phrases(df, ["id"]).collect()}
+    assert {"请运行", "运行测试", "行测试", "测试项目"} <= set(without) and set(without.values()) == {"fallback"}
+    words = {"运行": -1.0, "测试": -1.0, "项目": -3.0, "请": -2.0}
+    cut = {r.phrase: r.segmentation for r in phrases.message_phrases(df, ["id"], lexicon=words).collect()}
+    assert {"运行测试", "请运行"} <= set(cut) and "行测试" not in cut and set(cut.values()) == {"lexicon"}

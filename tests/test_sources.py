@@ -146,3 +146,55 @@ def test_literal_calls_only():
     assert tool_calls("const p = `*** Begin`; await tools.apply_patch(p); // tools.exec_command({cmd: 'no'})") == [("apply_patch", "*** Begin")]
     assert tool_calls("tools.exec_command({cmd: `a ${b}`}); tools.exec_command({timeout: f({cmd: 'x'}), cmd}); 'tools.exec_command({cmd: 1})'") == []
     assert tool_calls("let cmd = 'ls \\'x\\''; tools.exec_command({cmd, n: 1})") == [("exec_command", "ls 'x'")]
+
+
+def _numbers(path, rows, tail=""):
+    with sqlite3.connect(path) as c:
+        c.execute(f"CREATE TABLE t (a TEXT, b INTEGER, v INTEGER, PRIMARY KEY (a, b)){tail}")
+        c.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+    c.close()
+
+
+def test_all_tasks_read_one_state_of_a_database_that_is_written_to(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "live.db")
+    _numbers(path, [("x", i, i) for i in range(100)])
+    reader = sqlite._Reader(spark.createDataFrame([], "b long, v long, missing string").schema, {"path": path, "dbtable": "t", "partitions": "4", "snapshots": str(tmp_path / "sqlite-a")})
+    got = []
+    for part in reader.partitions():
+        got += list(reader.read(part))
+        with sqlite3.connect(path) as c:  # a writer between the tasks
+            c.execute("UPDATE t SET v = -1")
+            c.execute("DELETE FROM t WHERE b % 3 = 0")
+        c.close()
+    assert sorted(got) == [(i, i, None) for i in range(100)]
+
+
+def test_ranges_hold_the_same_number_of_rows_wherever_the_keys_lie(spark, tmp_path):
+    gaps = [("x", i, i) for i in range(90)] + [("x", 10**12 + i, i) for i in range(10)]
+    for name, tail in (("plain", ""), ("keyed", " WITHOUT ROWID")):
+        path = str(tmp_path / f"{name}.db")
+        _numbers(path, gaps + [("y", i, i) for i in range(100)], tail)
+        reader = sqlite._Reader(spark.createDataFrame([], "a string, b long").schema, {"path": path, "dbtable": "t", "partitions": "8", "snapshots": str(tmp_path / f"sqlite-{name}")})
+        parts = [list(reader.read(p)) for p in reader.partitions()]
+        assert [len(p) for p in parts] == [25] * 8 and len({r for p in parts for r in p}) == 200
+        assert sqlite.read_table(spark, path, "t", "a string, b long", partitions=300).distinct().count() == 200
+    _numbers(str(tmp_path / "none.db"), [])
+    assert sqlite.read_table(spark, str(tmp_path / "none.db"), "t", "a string", partitions=3).count() == 0
+
+
+def test_frozen_copies_go_at_once_and_abandoned_ones_after_a_day(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "f.db")
+    _numbers(path, [("x", i, i) for i in range(5)])
+    with sqlite.frozen(spark, path) as copy:
+        with sqlite3.connect(path) as c:
+            c.execute("DELETE FROM t")
+        c.close()
+        assert [sqlite.read_table(spark, copy, "t", "v long", partitions=n).count() for n in (1, 2)] == [5, 5]
+    assert not os.path.exists(copy.removesuffix(sqlite.FROZEN))
+    for name, age in (("sqlite-old", 2 * sqlite.DAY), ("sqlite-new", 60), ("other", 9 * sqlite.DAY)):
+        (tmp_path / "base" / name).mkdir(parents=True)
+        os.utime(tmp_path / "base" / name, (0, __import__("time").time() - age))
+    assert [os.path.basename(p) for p in sqlite.remove_abandoned(str(tmp_path / "base"))] == ["sqlite-old"]
+    assert sorted(os.listdir(tmp_path / "base")) == ["other", "sqlite-new"]

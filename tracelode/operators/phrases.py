@@ -1,7 +1,7 @@
 """Phrase mining: prompts are cleaned and framed in expressions, tokenised and counted in an Arrow map, ranked in windows.
 
-Chinese runs are cut by forward n-grams of their characters (no dictionary is at hand), which is tagged in
-`segmentation`; English follows its tokens exactly.
+With a lexicon, Chinese runs are cut along the most probable path of the lattice of its words; without one, every run of
+characters that is long enough is a phrase. `segmentation` tells which it was; English follows its tokens exactly.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from tracelode.functions.hashing import stable_hash
 MAX_TOKENS, MAX_PER_MESSAGE, MAX_PER_ROLE_DATE, MAX_CLOUD = 5, 180, 240, 8
 ZH_CHARS, EN_TOKENS, EN_BYTES, ZH_TOKEN, EN_TOKEN = (3, 12), (2, 5), 72, 12, 28
 
+#: Words of a lexicon that may be sent to every task.
+LEXICON_WORDS = 1_000_000
+
 # What is removed from a prompt, in this order.
 REMOVED = (
     r"(?ims)^\s*#\s*Files mentioned by the user:\s*.*?^\s*##\s*My request for Codex:\s*",
@@ -35,10 +38,18 @@ REMOVED = (
 ZH_FRAME = r"你(?:是否)?(\p{IsHan}{2})([^。！？!?\n]{1,48})吗\s*[？?]?"
 EN_FRAME = r"(?i)\b(?:do|would|will|can)\s+you\s+([a-z]{3,16})\b[^.!?\n]{1,80}\?"
 # Words that carry no phrase alone.
-EN_STOP = frozenset(
-    "a about after again all also am an and any are as at be because been before being but by can code could did do does doing done each file files for from get got had has have here how i if in into is it its just let like may me more most my need no not now of on one only or our out please project same session should so some than that the their them then there these they this those to tool up use used using very want was we were what when where which who why will with would you your".split()
-)
-ZH_STOP = frozenset("一个 一些 以及 但是 不是 不要 不能 不过 为什么 为了 之前 之后 他们 你们 使用 可以 可能 同时 因为 如果 它们 对于 已经 应该 怎么 我们 或者 所以 文件 是否 有些 没有 然后 现在 用户 项目 代码 自己 这个 这些 这里 这样 那个 那些 还是 进行 通过 需要".split())
+EN_STOP = frozenset((
+    "a", "about", "after", "again", "all", "also", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "but",
+    "by", "can", "code", "could", "did", "do", "does", "doing", "done", "each", "file", "files", "for", "from", "get", "got", "had", "has", "have",
+    "here", "how", "i", "if", "in", "into", "is", "it", "its", "just", "let", "like", "may", "me", "more", "most", "my", "need", "no", "not", "now",
+    "of", "on", "one", "only", "or", "our", "out", "please", "project", "same", "session", "should", "so", "some", "than", "that", "the", "their",
+    "them", "then", "there", "these", "they", "this", "those", "to", "tool", "up", "use", "used", "using", "very", "want", "was", "we", "were",
+    "what", "when", "where", "which", "who", "why", "will", "with", "would", "you", "your",
+))
+ZH_STOP = frozenset((
+    "一个", "一些", "以及", "但是", "不是", "不要", "不能", "不过", "为什么", "为了", "之前", "之后", "他们", "你们", "使用", "可以", "可能", "同时", "因为", "如果", "它们", "对于", "已经", "应该",
+    "怎么", "我们", "或者", "所以", "文件", "是否", "有些", "没有", "然后", "现在", "用户", "项目", "代码", "自己", "这个", "这些", "这里", "这样", "那个", "那些", "还是", "进行", "通过", "需要",
+))
 
 PART = re.compile(r"[㐀-䶿一-鿿]+|[^\s㐀-䶿一-鿿]+")
 HAN = re.compile(r"[㐀-䶿一-鿿]+\Z")
@@ -77,7 +88,43 @@ def _token(raw: str) -> tuple[str, str, bool] | None:
     return None
 
 
-def ngrams(text: str) -> Counter:
+def best_path(run: str, lexicon: dict[str, float], longest: int, unknown: float) -> list[str]:
+    """The words of run with the largest sum of weights; a character that no word covers weighs `unknown`. Of equal paths the one whose last words are longer."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for end in range(1, len(run) + 1):
+        options = []
+        for size in range(1, min(longest, end) + 1):
+            weight = lexicon.get(run[end - size : end])
+            if weight is not None or size == 1:
+                options.append((best[end - size][0] + (unknown if weight is None else weight), size))
+        best.append(max(options))
+    out, at = [], len(run)
+    while at:
+        out.append(run[at - best[at][1] : at])
+        at -= best[at][1]
+    return out[::-1]
+
+
+class Segmenter:
+    """Words of Chinese runs by a lexicon: word -> weight, the logarithm of its probability."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = {w: v for w, v in lexicon.items() if w}
+        self.longest = max(map(len, self.lexicon), default=1)
+        # An unknown character costs more than any known word.
+        self.unknown = min(self.lexicon.values(), default=0.0) - 1.0
+
+    def __call__(self, run: str) -> list[str]:
+        return best_path(run, self.lexicon, self.longest, self.unknown)
+
+
+def characters(run: str) -> Counter:
+    """Every run of characters inside run that is as long as a phrase may be, but words that carry none alone."""
+    found = (run[i : i + n] for n in range(ZH_CHARS[0], ZH_CHARS[1] + 1) for i in range(len(run) - n + 1))
+    return Counter(p for p in found if p not in ZH_STOP)
+
+
+def ngrams(text: str, segmenter: Segmenter | None = None) -> Counter:
     """Phrases of one message with their occurrences."""
     counts: Counter = Counter()
     segment: list[tuple[str, str, bool]] = []
@@ -102,7 +149,11 @@ def ngrams(text: str) -> Counter:
         segment.clear()
 
     for raw in PART.findall(text):
-        for piece in [raw[i : i + 2] for i in range(0, len(raw), 2)] if HAN.match(raw) else [raw]:
+        if segmenter is None and HAN.match(raw):
+            close()
+            counts.update(characters(raw))
+            continue
+        for piece in segmenter(raw) if HAN.match(raw) else [raw]:
             token = _token(piece)
             if token is None or (segment and segment[-1][1] != token[1]):
                 close()
@@ -114,23 +165,29 @@ def ngrams(text: str) -> Counter:
     return counts
 
 
-def message_phrases(messages: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key, phrase, occurrences): at most MAX_PER_MESSAGE phrases of each message, frequent, then long ones first."""
+def message_phrases(messages: DataFrame, key: list[str], text: str = "text", lexicon: dict[str, float] | None = None) -> DataFrame:
+    """(key, phrase, occurrences): at most MAX_PER_MESSAGE phrases of each message, frequent, then long ones first.
+
+    lexicon: Chinese words with their weights, at most LEXICON_WORDS, as they go to every task.
+    """
+    if lexicon is not None and len(lexicon) > LEXICON_WORDS:
+        raise ValueError(f"a lexicon of {len(lexicon)} words is too large to send to every task")
+    shared = None if lexicon is None else messages.sparkSession.sparkContext.broadcast(lexicon)
     ready = messages.withColumn("__c", cleaned(F.trim(text))).where(F.length(F.trim(text)) >= 2)
     ready = ready.select(*key, frames(F.col("__c")).alias("__f"), unframed(F.col("__c")).alias("__t"))
 
     @F.pandas_udf("array<struct<phrase:string,occurrences:long>>")
     def count(found: pd.Series, rest: pd.Series) -> pd.Series:
-        out = []
+        out, segmenter = [], None if shared is None else Segmenter(shared.value)
         for fs, t in zip(found, rest):
-            counts = ngrams(t)
+            counts = ngrams(t, segmenter)
             counts.update(fs)
             best = sorted(counts.items(), key=lambda x: (-x[1], -len(x[0]), x[0]))[:MAX_PER_MESSAGE]
             out.append([{"phrase": p, "occurrences": n} for p, n in best])
         return pd.Series(out)
 
     rows = ready.select(*key, F.explode(count("__f", "__t")).alias("p"))
-    return rows.select(*key, "p.phrase", "p.occurrences", F.when(F.col("p.phrase").rlike(r"\p{IsHan}"), "fallback").otherwise("exact").alias("segmentation"))
+    return rows.select(*key, "p.phrase", "p.occurrences", F.when(F.col("p.phrase").rlike(r"\p{IsHan}"), "fallback" if lexicon is None else "lexicon").otherwise("exact").alias("segmentation"))
 
 
 def without_replays(messages: DataFrame, session: str, order: str, role: str = "role", text: str = "text") -> DataFrame:
@@ -147,26 +204,35 @@ def daily_phrases(found: DataFrame, key: list[str]) -> DataFrame:
     return sums.withColumn("rank", rank).where(F.col("rank") <= MAX_PER_ROLE_DATE)
 
 
-def cloud(found: DataFrame, minimum_sessions: int = 2, most: int = MAX_CLOUD) -> DataFrame:
+def parts_of(phrase: Column) -> Column:
+    """The shorter phrases inside a phrase: runs of its words, or of its characters where it is Chinese."""
+    han = phrase.rlike(r"\p{IsHan}") & ~phrase.contains(" ")
+    tokens = F.when(han, F.split(phrase, "")).otherwise(F.split(phrase, " "))
+    tokens = F.filter(tokens, lambda x: x != "")
+    joined = lambda i, n: F.when(han, F.array_join(F.slice(tokens, i, n), "")).otherwise(F.array_join(F.slice(tokens, i, n), " "))
+    size = F.size(tokens)
+    runs = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: joined(i, n)))
+    return F.array_remove(F.array_distinct(F.flatten(runs)), phrase)
+
+
+def cloud(found: DataFrame, minimum_sessions: int = 2, most: int = MAX_CLOUD, share: float = 0.8) -> DataFrame:
     """Per role the phrases of two or more sessions, with weight, dominant agent and model, without those inside a longer one.
 
     found: session_id, role, agent, model, phrase, occurrences. Decisions: weight is occurrences over the role's
-    largest; a phrase goes if a longer one of the role holds it with at least 80 percent of its occurrences.
+    largest; a phrase goes if a longer one of the role holds it with at least `share` of its occurrences. Each phrase names
+    the phrases inside it and they meet by equality, so all phrases take part; tasks hand on the first of each role.
     """
     by = ["role", "phrase"]
     sums = found.groupBy(*by).agg(F.sum("occurrences").alias("occurrences"), F.count_distinct("session_id").alias("sessions")).where(F.col("sessions") >= minimum_sessions)
+    longer = sums.select("role", F.explode(parts_of(F.col("phrase"))).alias("phrase"), "occurrences").groupBy(*by).agg(F.max("occurrences").alias("longer"))
+    kept = sums.join(longer, by, "left").where(F.coalesce(F.col("longer") < share * F.col("occurrences"), F.lit(True)))
+    best = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("occurrences"), F.desc(F.length("phrase")), F.asc("phrase")))
+    final = kept.withColumn("rank", best).where(F.col("rank") <= most)
 
     def dominant(c: str) -> DataFrame:
         n = found.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.sum("occurrences").alias("n"))
         return n.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(c).alias("v"))).getField("v").alias(f"dominant_{c}"))
 
-    best = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("occurrences"), F.desc(F.length("phrase")), F.asc("phrase")))
-    # Candidates for containment are bounded: the best 40 times `most` of each role.
-    top = sums.withColumn("r", best).where(F.col("r") <= 40 * most)
-    inner, outer = top.alias("i"), top.alias("o")
-    inside = (F.length("o.phrase") > F.length("i.phrase")) & F.contains(F.col("o.phrase"), F.col("i.phrase")) & (F.col("o.occurrences") >= 0.8 * F.col("i.occurrences"))
-    kept = inner.join(outer, (F.col("i.role") == F.col("o.role")) & inside, "left_anti")
-    final = kept.withColumn("rank", F.row_number().over(Window.partitionBy("role").orderBy(F.desc("occurrences"), F.desc(F.length("phrase")), F.asc("phrase")))).where(F.col("rank") <= most)
     weight = F.col("occurrences") / F.max("occurrences").over(Window.partitionBy("role"))
     out = final.join(dominant("agent"), by, "left").join(dominant("model"), by, "left")
     return out.select(*by, "occurrences", "sessions", weight.alias("weight"), "dominant_agent", "dominant_model", "rank")
