@@ -98,3 +98,24 @@ def test_math(one):
     assert one(lambda a: mathfn.inverse(a), 130.0) == 0 and one(lambda a: mathfn.weighted((a, 0.5), (a, 0.25)), 200.0) == 75
     assert one(mathfn.tolerant_long, "12.7") == 12 and one(mathfn.tolerant_long, "-1") is None and one(mathfn.tolerant_double, "x") is None
     assert abs(one(lambda a: mathfn.half_life_weight(a), 45.0) - 0.5) < 1e-12
+
+
+def test_addresses_are_found_as_by_the_plain_pattern_in_time_that_grows_with_the_text(spark):
+    import random
+    import re
+    import time
+
+    rng = random.Random(4)
+    parts = ["a", "B1", ".", "-", "_", "%", "+", "@", "@b.cc", "x@y.org", " ", "é", ",", ".co", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(3000)] + ["a@b.cc.d@e.ff", ".%x@y.zz", "a@b.cc-d@e.ff@g.hh"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    got = rows.select(F.regexp_replace("t", text.EMAIL_ONCE, "$1[email]"), F.col("t").rlike(text.EMAIL_ONCE)).collect()
+    plain = re.compile(text.EMAIL, re.ASCII)
+    want = {t: (plain.sub("[email]", t), bool(plain.search(t))) for t in texts if t.isascii()}
+    for t, r in zip([r.t for r in rows.collect()], got):
+        if t in want:
+            assert tuple(r) == want[t], t
+    hostile = spark.createDataFrame([("x@ " + "a." * 32_000,), ("x@" + "a." * 32_000,), ("@" * 64_000,), ("a@" * 32_000,)], "t string")
+    began = time.perf_counter()
+    hostile.select(text.bounded_text(F.col("t"), 100), text.sensitive(F.col("t"))).collect()
+    assert time.perf_counter() - began < 20

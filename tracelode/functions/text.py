@@ -12,6 +12,9 @@ from tracelode.functions.hashing import stable_hash
 # Patterns of what must not be shown.
 ABSOLUTE_PATH = r"(?i)(?:/Users/[^\s]+|/home/[^\s]+|[A-Z]:\\Users\\[^\s]+)"
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+#: EMAIL in time that grows with the text: it begins at the first word of a run of its characters, or where the one before ended.
+#: The marks that the run begins with, which no address includes, are group 1.
+EMAIL_ONCE = r"(?i)(?:(?<![A-Z0-9._%+-])([.%+-]*+)|\G)\b[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 SECRET = r"(?i)(?:sk-[a-z0-9_-]{12,}|api[_-]?key\s*[:=]\s*\S+|authorization:\s*bearer\s+\S+|-----BEGIN [A-Z ]*PRIVATE KEY-----)"
 REPOSITORY_URL = r"(?i)(?:https?://|git@)[^\s]+(?:\.git)?"
 
@@ -72,7 +75,7 @@ def _let(c: Column, use: Callable[[Column], Column]) -> Column:
 #: What a text must hold, in lower case, before a pattern is tried on it.
 HINTS = (
     (ABSOLUTE_PATH, "[path]", ("/users/", "/home/", ":\\users\\")),
-    (EMAIL, "[email]", ("@",)),
+    (EMAIL_ONCE, "$1[email]", ("@",)),
     (SECRET, "[secret]", ("sk-", "api", "authorization:", "-----begin ")),
     (REPOSITORY_URL, "[url]", ("http://", "https://", "git@")),
 )
@@ -113,7 +116,7 @@ def title(c: Column) -> Column:
 
 
 def sensitive(c: Column) -> Column:
-    return c.rlike(ABSOLUTE_PATH) | c.rlike(EMAIL) | c.rlike(SECRET) | c.rlike(REPOSITORY_URL)
+    return c.rlike(ABSOLUTE_PATH) | c.rlike(EMAIL_ONCE) | c.rlike(SECRET) | c.rlike(REPOSITORY_URL)
 
 
 def tool_name(c: Column) -> Column:
@@ -291,7 +294,7 @@ def normal_model(c: Column) -> Column:
 
 def share_findings(c: Column) -> Column:
     """What keeps a text from being shared as it is."""
-    found = F.array(*[F.when(c.rlike(p), F.lit(k)) for p, k in ((SECRET, "secret"), (ABSOLUTE_PATH, "path"), (EMAIL, "email"), (REPOSITORY_URL, "repository"))])
+    found = F.array(*[F.when(c.rlike(p), F.lit(k)) for p, k in ((SECRET, "secret"), (ABSOLUTE_PATH, "path"), (EMAIL_ONCE, "email"), (REPOSITORY_URL, "repository"))])
     return F.array_compact(found)
 
 

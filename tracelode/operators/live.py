@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.functions.mathfn import nonnegative
@@ -54,9 +54,25 @@ def ordered(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.orderBy(status_rank(F.col("status")), F.asc("started_at"), F.asc(key))
 
 
+def numbered(rows: DataFrame, name: str = "n") -> DataFrame:
+    """Sorted rows with their number in the order, from 1: each partition is counted, then numbered behind those before it.
+
+    The partitions of a sort are ranges in order, so one number a partition is all that goes between them.
+    """
+    from tracelode.operators.graph import kept
+
+    # Written once, so that the ranges are the same when they are counted and when they are numbered.
+    placed = kept(rows.withColumn("__id", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__id", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("__before"))
+    return placed.withColumn("__part", part).join(starts, "__part").withColumn(name, F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__id", "__before")
+
+
 def pulse(rows: DataFrame, capabilities: DataFrame, now: Column) -> DataFrame:
     """rows plus four independent dimensions; one that the source cannot tell is unknown. capabilities: one row an agent."""
-    c = rows.join(F.broadcast(capabilities), "agent", "left")
+    c = rows.join(capabilities, "agent", "left")
     known = lambda flag, value: F.when(F.coalesce(F.col(flag), F.lit(False)), value).otherwise(F.lit("unknown"))
     return c.withColumn(
         "pulse",
@@ -77,8 +93,6 @@ def last_actions(rows: DataFrame, key: list[str], order: list[str], label: str,
 
 
 def _desc(key: list[str], order: list[str]):
-    from pyspark.sql import Window
-
     return Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
 
 
@@ -107,8 +121,6 @@ def wing(rows: DataFrame, now: Column) -> DataFrame:
 
 def concurrency(spans: DataFrame, key: str = "agent") -> DataFrame:
     """(agent, at, running): how many sessions run after each start or end, by one running sum."""
-    from pyspark.sql import Window
-
     edges = spans.select(key, F.explode(F.array(F.struct(F.col("started_at").alias("at"), F.lit(1).alias("d")), F.struct(F.col("ended_at").alias("at"), F.lit(-1).alias("d")))).alias("e")).select(key, "e.at", "e.d")
     steps = edges.where(F.col("at").isNotNull()).groupBy(key, "at").agg(F.sum("d").alias("d"))
     return steps.select(key, "at", F.sum("d").over(Window.partitionBy(key).orderBy("at")).alias("running"))

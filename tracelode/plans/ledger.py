@@ -213,10 +213,10 @@ def live_counters(t):
 RANK = "CASE status WHEN 'waiting' THEN 0 WHEN 'error' THEN 1 WHEN 'stuck' THEN 2 WHEN 'running' THEN 3 WHEN 'completed' THEN 4 ELSE 6 END"
 
 
-@plan(f"SELECT session_id, status, {RANK} AS place FROM {CARDS} ORDER BY place, updated_at, session_id LIMIT 40")
+@plan(f"SELECT session_id, status, {RANK} AS place, row_number() OVER (ORDER BY {RANK}, updated_at, session_id) AS n FROM {CARDS}")
 def live_order(t):
-    rows = live.ordered(_cards(t).withColumn("started_at", F.col("updated_at")), "session_id").limit(40)
-    return rows.select("session_id", "status", live.status_rank(F.col("status")).alias("place"))
+    rows = live.ordered(_cards(t).withColumn("started_at", F.col("updated_at")), "session_id")
+    return live.numbered(rows).select("session_id", "status", live.status_rank(F.col("status")).alias("place"), "n")
 
 
 @plan(f"""
@@ -265,9 +265,10 @@ def _episodes(t):
 
 
 @plan(f"""
-SELECT episode_id, kind, CASE kind WHEN 'waiting' THEN 0 WHEN 'error' THEN 1 WHEN 'stuck' THEN 2 ELSE 3 END AS rank FROM {EPISODES} WHERE resolved_at IS NULL AND epoch(TIMESTAMP '{NOW}') - floor(epoch(opened_at)) <= 86400 AND (snoozed_until IS NULL OR snoozed_until <= TIMESTAMP '{NOW}') ORDER BY rank, opened_at, episode_id LIMIT 50""")
+SELECT *, row_number() OVER (ORDER BY rank, opened_at, episode_id) AS n FROM (SELECT episode_id, kind, opened_at, CASE kind WHEN 'waiting' THEN 0 WHEN 'error' THEN 1 WHEN 'stuck' THEN 2 ELSE 3 END AS rank FROM {EPISODES} WHERE resolved_at IS NULL AND epoch(TIMESTAMP '{NOW}') - floor(epoch(opened_at)) <= 86400 AND (snoozed_until IS NULL OR snoozed_until <= TIMESTAMP '{NOW}'))""")
 def attention_queue(t):
-    return attention.queue(_episodes(t), F.lit(NOW).cast("timestamp")).select("episode_id", "kind", "rank").limit(50)
+    queued = live.numbered(attention.queue(_episodes(t), F.lit(NOW).cast("timestamp")))
+    return queued.select("episode_id", "kind", F.col("opened_at").cast("timestamp_ntz").alias("opened_at"), "rank", "n")
 
 
 @plan(f"""
