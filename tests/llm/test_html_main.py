@@ -90,3 +90,46 @@ def test_unclosed_quotes_and_quotes_in_values():
     assert html_main.main_text(f"<p class=it's>{LONG}</p><p title='a > b'>{LONG}</p>") == f"{LONG} {LONG}"
     assert html_main.main_text(f'<p title="open>{LONG}</p>') == LONG
     assert html_main.main_text("<p>" + LONG + " 1 < 2 and a <b") == LONG + " 1 < 2 and a <b"
+
+
+def test_marked_parts_inside_an_article_go_whatever_layout_words_they_have():
+    for name in ("comments-container", "comments-wrap", "sidebar-wrapper", "with-sidebar", "ad-container", "cookie-wrapper", "nav-container", "related", "share login"):
+        other = f'<div class="{name}"><p>{LONG}</p></div>'
+        for body in (f"<article><h1>Title</h1><p>{LONG}</p>{other}<p>{LONG}</p></article>", f"<div><h1>Title</h1><p>{LONG}</p>{other}<p>{LONG}</p></div>"):
+            assert html_main.main_text(f"<body><nav><a href=x>Home</a></nav>{body}</body>") == f"Title {LONG} {LONG}", name
+
+
+def test_articles_stay_whatever_their_class_says():
+    text = " ".join([LONG] * 4)
+    body = f"<p>{LONG}</p>" * 4
+    for name in ("entry-content search", "post related", "story alert", "content legal", "login-guide", "share-price", "notice-period-article", "copyright-law", "content-sidebar-wrap", "no-sidebar", "comments-container"):
+        for page in ('<h1>Title</h1><div class="{}">{}</div>', '<div class="{}"><h1>Title</h1>{}</div>', '<article><h1>Title</h1><div class="{}">{}</div></article>', '<h1>Title</h1><div class="{0}"><div class="{0}">{1}</div></div>'):
+            around = "<nav><a href=x>Home</a></nav>{}<div class=ad>Buy it now!</div><footer>All rights, reserved.</footer>"
+            assert html_main.main_text(f"<body>{around.format(page.format(name, body))}</body>") == f"Title {text}", (name, page)
+
+
+def test_marks_inside_a_void_one_count():
+    page = f'<body><div class="layout with-sidebar"><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div class="sidebar"><p>{LONG}</p></div><div class="comments"><p>{LONG * 3}</p></div></div></body>'
+    assert html_main.main_text(page) == f"Title {LONG} {LONG}"
+    assert html_main.main_text(f"<body><form action=x><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></form></body>") == f"Title {LONG} {LONG} {LONG}"
+
+
+def test_long_comments_do_not_replace_a_short_article():
+    assert html_main.main_text(f'<body><div class=text><h1>Title</h1><p>{LONG}</p></div><div class=comments>{f"<p>{LONG}</p>" * 12}</div></body>') == f"Title {LONG}"
+    assert html_main.main_text('<body><nav><a>Home</a></nav><div class="cookie-banner">We use cookies, as you know. Accept them.</div></body>') == ""
+
+
+def test_lists_of_linked_sources_stay():
+    sources = "".join(f"<li><a href=/{i}>Author, A. ({2000 + i}): On the matter, part {i}. A journal.</a></li>" for i in range(4))
+    want = " ".join(f"Author, A. ({2000 + i}): On the matter, part {i}. A journal." for i in range(4))
+    assert html_main.main_text(f"<body><article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><h2>Sources</h2><ol>{sources}</ol></article></body>") == f"Title {LONG} {LONG} Sources {want}"
+
+
+def test_pages_without_an_article_element_by_ratios():
+    menu = "".join(f"<div><a href=/{i}>Section {i}</a></div>" for i in range(9))
+    teasers = "".join(f"<div><a href=/t{i}>Read about thing {i}</a></div>" for i in range(9))
+    paras = [f"{LONG} Part {i}, it ends here." for i in range(5)]
+    for wrap in ("<div>{}</div>", "<section><div>{}</div></section>", "<table><tr><td>{}</table>", "{}"):
+        for block in ("<p>{}</p>", "<div>{}</div>"):
+            page = f"<body><div>{menu}</div>{wrap.format(''.join(block.format(p) for p in paras))}<div>{teasers}</div></body>"
+            assert html_main.main_text(page) == " ".join(paras), (wrap, block)

@@ -8,7 +8,10 @@ relative to their spread. Paths over the threshold are seeds; the deepest path t
 the content's container. The result are its blocks, except those of paths that lie in boilerplate or are mostly links.
 
 Boilerplate is told by tag (nav, footer, aside, form ...) or by words of class, id and role (ad, menu, comments,
-cookie ...); such a mark is part of the path, and marked paths have ratio zero.
+cookie ...); such a mark is part of the path and takes its ratio away. A mark names what an element is, what it is beside
+or what it is about, so it does not decide alone: where a marked element holds nearly all of the page's running text
+(unlinked sentences), it is the article or its wrapper, and the mark is void; marks inside it are then looked at alike.
+Linked text inside the content stays where its blocks are sentences, as lists of sources are, and goes where they are menus.
 
 Paths are nodes of a tree that is built while the page is read once, so the work grows with the page and not with
 its depth.
@@ -43,34 +46,78 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = frozenset("ul ol dl table article section div body html nav aside footer header main form td th li blockquote".split())
-#: Tags and words of class, id and role that mark boilerplate.
-BOILER_TAGS = frozenset("head nav footer aside form script style noscript template button select option textarea svg canvas iframe object dialog menu title fieldset legend".split())
-BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside footer footers header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter newsletters subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus reply replies respond widget toolbar pagination pager search copyright legal disclaimer".split()
-)
-#: With one of these words, a header is the content's own; with a word of layout, a mark names what the element is beside.
+#: Tags that never hold content, and those that mark boilerplate.
+NO_CONTENT = frozenset(("head", "script", "style", "noscript", "template", "button", "select", "option", "textarea", "svg", "canvas", "iframe", "object", "menu", "title", "legend"))
+BOILER_TAGS = frozenset(("nav", "footer", "aside", "form", "dialog", "fieldset"))
+#: Words of class, id and role that mark boilerplate, and those of them that as often say what an article is about.
+BOILER_WORDS = frozenset((
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "aside", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments", "consent", "cookie", "cookies", "disqus",
+    "footer", "footers", "gdpr", "header", "masthead", "menu", "menus", "nav", "navbar", "navigation", "newsletter", "newsletters", "pager", "pagination", "popup", "promo", "respond", "sidebar", "sidebars",
+    "sponsor", "sponsored", "toolbar", "topbar", "widget",
+))
+TOPIC_WORDS = frozenset((
+    "alert", "copyright", "disclaimer", "legal", "login", "modal", "notice", "notices", "overlay", "promotion", "recommended", "related", "replies", "reply", "search", "share", "sharing", "signup", "social",
+    "subscribe", "subscription",
+))
+#: With one of these words, a header is the content's own.
 CONTENT = frozenset(("article", "main", "content", "post", "entry", "story"))
-LAYOUT = frozenset(("wrap", "wrapper", "container", "layout", "with", "has"))
+#: A mark is void where the element has so many times the running text of all unmarked ones; a certain one needs a heading or so many characters, too.
+VOID_TOPIC, VOID_CERTAIN, CERTAIN_CHARS = 3, 20, 200
+#: Linked blocks of so many characters with a mark of punctuation each are sentences.
+CITED_CHARS = 30
+#: So many linked blocks without a sentence, one after the other on one path, are a menu.
+MENU_RUN = 3
 PUNCT = str.maketrans("", "", ",.;:!?…、。，；：！？¿¡—")
 
 
+#: Kinds of marks on an element: none, a word that may be a topic, a certain one, and a tag without content.
+PLAIN, TOPIC, CERTAIN, NEVER = range(4)
+
+
 class Paths:
-    """The distinct tag paths of a page as a tree; path 0 is the root, and a path's number is larger than its parent's."""
+    """The distinct tag paths of a page as a tree; path 0 is the root, and a path's number is larger than its parent's.
+
+    A path also tells the marks of its elements (mark, words); `boiler` holds the strongest mark at or above it.
+    """
 
     def __init__(self):
-        self.tags, self.parents, self.depths, self.boiler = [""], [0], [0], [False]
-        self.children: dict[tuple[int, str, bool], int] = {}
+        self.tags, self.parents, self.depths, self.marks, self.boiler = [""], [0], [0], [PLAIN], [PLAIN]
+        self.children: dict[tuple, int] = {}
 
-    def child(self, parent: int, tag: str, mark: bool) -> int:
+    def child(self, parent: int, tag: str, mark: tuple) -> int:
         key = parent, tag, mark
         if key not in self.children:
             self.children[key] = len(self.tags)
             self.tags.append(tag)
             self.parents.append(parent)
             self.depths.append(self.depths[parent] + 1)
-            self.boiler.append(mark or self.boiler[parent])
+            self.marks.append(mark[0])
+            self.boiler.append(max(mark[0], self.boiler[parent]))
         return self.children[key]
 
+    def below(self, own: list[int]) -> list[int]:
+        """The sums of own (by path) over each path and all below it."""
+        total = list(own)
+        for path in range(len(total) - 1, 0, -1):
+            total[self.parents[path]] += total[path]
+        return total
+
+    def settle(self, running: list[int]) -> None:
+        """Voids marks of elements that hold nearly all of the running text, which is given by path, the largest first."""
+        while True:
+            rest = sum(n for n, b in zip(running, self.boiler) if b == PLAIN)
+            inside, headed = self.below(running), self.below([bool(HEADING.fullmatch(t)) for t in self.tags])
+            found = []
+            for path, mark in enumerate(self.marks):
+                if mark in (TOPIC, CERTAIN) and self.boiler[self.parents[path]] == PLAIN and inside[path]:
+                    if inside[path] >= (VOID_TOPIC if mark == TOPIC else VOID_CERTAIN) * rest and (mark == TOPIC or headed[path] or inside[path] >= CERTAIN_CHARS):
+                        found.append((inside[path], path))
+            if not found:
+                return
+            self.marks[max(found)[1]] = PLAIN
+            for path in range(1, len(self.marks)):
+                self.boiler[path] = max(self.marks[path], self.boiler[self.parents[path]])
+
 
 class Page:
     """Reads a page once: `found` holds (path, text with white space collapsed, characters inside links) of its text blocks in order."""
@@ -148,15 +195,22 @@ class Page:
             self.stack.append((tag, self.paths.child(self.stack[-1][1], tag, self.marked(tag, attrs))))
             self.open[tag] += 1
 
-    def marked(self, tag: str, attrs: str) -> bool:
+    def marked(self, tag: str, attrs: str) -> tuple:
+        """The kind of an element's mark and the words that say so."""
+        if tag in NO_CONTENT:
+            return (NEVER,)
         if tag in BOILER_TAGS or (tag == "header" and not self.open["article"] and not self.open["main"]):
-            return True
+            return (CERTAIN,)
         if attrs and tag not in ("html", "body", "article", "main"):
+            words: set[str] = set()
             for hint in HINT.finditer(attrs):
-                words = set(WORD.findall((hint[1] or hint[2] or hint[3] or "").lower()))
-                if words & BOILER_WORDS and not words & LAYOUT and not (words & CONTENT and words & BOILER_WORDS == {"header"}):
-                    return True
-        return False
+                words.update(WORD.findall((hint[1] or hint[2] or hint[3] or "").lower()))
+            certain, topic = words & BOILER_WORDS, words & TOPIC_WORDS
+            if certain and not (words & CONTENT and certain == {"header"}):
+                return (CERTAIN, *sorted(certain))
+            if topic:
+                return (TOPIC, *sorted(topic))
+        return (PLAIN,)
 
     def read(self, page: str) -> None:
         at, size, unclosed = 0, len(page), set()
@@ -201,8 +255,17 @@ class Page:
         self.flush()
 
 
-def path_ratios(page: Page) -> tuple[dict[int, float], dict[int, float]]:
-    """Of each path with text: text a block, by punctuation a block and the share of text that is not linked; and that share."""
+def running_text(page: Page) -> list[int]:
+    """Characters of unlinked sentences by path: those that can be an article."""
+    out = [0] * len(page.paths.tags)
+    for path, text, linked in page.found:
+        if len(text) >= CITED_CHARS and 2 * linked <= len(text) and not HEADING.fullmatch(page.paths.tags[path]) and len(text) > len(text.translate(PUNCT)):
+            out[path] += len(text) - linked
+    return out
+
+
+def path_ratios(page: Page) -> tuple[dict[int, float], dict[int, float], set[int]]:
+    """Of each path with text: text a block, by punctuation a block and the share of text that is not linked; that share; and paths of sentences."""
     sums: dict[int, list[int]] = {}
     for path, text, linked in page.found:
         s = sums.setdefault(path, [0, 0, 0, 0])
@@ -211,7 +274,8 @@ def path_ratios(page: Page) -> tuple[dict[int, float], dict[int, float]]:
         s[2] += linked
         s[3] += 1
     own = {path: max(0.0, 1 - linked / max(chars, 1)) for path, (chars, _, linked, _) in sums.items()}
-    return {path: 0.0 if page.paths.boiler[path] else chars / n * (1 + math.log1p(punct / n)) * own[path] for path, (chars, punct, _, n) in sums.items()}, own
+    ratios = {path: 0.0 if page.paths.boiler[path] else chars / n * (1 + math.log1p(punct / n)) * own[path] for path, (chars, punct, _, n) in sums.items()}
+    return ratios, own, {path for path, (chars, punct, _, n) in sums.items() if chars >= CITED_CHARS * n and punct >= n}
 
 
 def smooth(values: list[float], radius: int = 2) -> list[float]:
@@ -236,11 +300,10 @@ WHOLE = frozenset(("", "html", "body"))
 def container(page: Page, seeds: list[int]) -> int:
     """The deepest path that holds all text of seeds (numbers of blocks), or nearly all where that is the whole page; an article is whole."""
     paths = page.paths
-    inside = [0] * len(paths.tags)
+    own = [0] * len(paths.tags)
     for i in seeds:
-        inside[page.found[i][0]] += len(page.found[i][1])
-    for path in range(len(inside) - 1, 0, -1):
-        inside[paths.parents[path]] += inside[path]
+        own[page.found[i][0]] += len(page.found[i][1])
+    inside = paths.below(own)
 
     def deepest(least: float) -> int:
         return max((p for p, n in enumerate(inside) if n >= least), key=lambda p: paths.depths[p])
@@ -257,16 +320,31 @@ def container(page: Page, seeds: list[int]) -> int:
     return up or found
 
 
+def menu_runs(found: list[tuple[int, str, int]]) -> list[bool]:
+    """Which blocks are in a run of MENU_RUN or more of one path that are links and no sentences, as paths alone may not tell a menu from text."""
+    out, begin = [False] * len(found), 0
+    for i in range(len(found) + 1):
+        path, text, linked = found[i] if i < len(found) else (-1, "", 0)
+        link = 2 * linked > len(text) and (len(text) < CITED_CHARS or len(text) == len(text.translate(PUNCT)))
+        if not link or (i > begin and path != found[begin][0]):
+            if i - begin >= MENU_RUN:
+                out[begin:i] = [True] * (i - begin)
+            begin = i if link else i + 1
+    return out
+
+
 def main_text(page: str | None, spread: float = 0.5, own_share: float = 0.35) -> str:
     """The content blocks of page, joined by spaces."""
     if not page:
         return ""
     read = Page(page)
     found, paths = read.found, read.paths
-    live = [i for i, (path, _, _) in enumerate(found) if not paths.boiler[path]]
+    paths.settle(running_text(read))
+    menus = menu_runs(found)
+    live = [i for i, (path, _, _) in enumerate(found) if not paths.boiler[path] and not menus[i]]
     if not live:
         return ""
-    ratios, unlinked = path_ratios(read)
+    ratios, unlinked, sentences = path_ratios(read)
     own = [ratios[found[i][0]] for i in live]
     fused = [math.sqrt(a * b) for a, b in zip(own, smooth(own))]
     mean = sum(fused) / len(fused)
@@ -287,7 +365,7 @@ def main_text(page: str | None, spread: float = 0.5, own_share: float = 0.35) ->
             if not within[path]:
                 if paths.tags[path] != "h1":
                     continue
-            elif not heading and (bare or unlinked[path] < own_share):
+            elif not heading and (bare or (unlinked[path] < own_share and path not in sentences)):
                 continue
         kept.append(text)
     return " ".join(kept)
