@@ -75,6 +75,47 @@ def overview(sessions: DataFrame) -> DataFrame:
     )
 
 
+def overview_parts(usage: DataFrame, tools: DataFrame, tz: str = "UTC") -> DataFrame:
+    """(part, key, agent, tokens, cost, calls, sessions, share, place): what stands beside the totals of an overview.
+
+    usage: session_id, agent, model, ts, total_tokens, cost; tools: session_id, agent, tool, ts. Parts are daily and hourly (by
+    agent, times that can be read), agents, models (both by tokens) and tools (by calls), the last three with share and place,
+    largest first. Both tables are read once: the parts are grouping sets of one aggregation.
+    """
+    none = lambda kind="string": F.lit(None).cast(kind)
+    used = usage.select("session_id", "agent", "model", none().alias("tool"), "ts", F.col("total_tokens").alias("tokens"), "cost", F.lit(0).alias("call"))
+    called = tools.select("session_id", "agent", none().alias("model"), "tool", "ts", F.lit(0).cast("long").alias("tokens"), none("double").alias("cost"), F.lit(1).alias("call"))
+    rows = used.unionByName(called).withColumn("date", local_date(F.col("ts"), tz)).withColumn("hour", local_hour(F.col("ts"), tz))
+    sets = {"daily": ["date", "agent"], "hourly": ["hour", "agent"], "agents": ["agent"], "models": ["model"], "tools": ["tool"]}
+    keys = ["date", "hour", "agent", "model", "tool"]
+    grouped = rows.groupingSets([[F.col(c) for c in by] for by in sets.values()], *keys).agg(
+        F.grouping_id().alias("g"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.sum("call").alias("calls"), F.count_distinct("session_id").alias("sessions"),
+    )
+    part, key = none(), none()
+    for name, by in sets.items():
+        number = sum(1 << (len(keys) - 1 - i) for i, c in enumerate(keys) if c not in by)
+        part, key = F.when(F.col("g") == number, name).otherwise(part), F.when(F.col("g") == number, F.col(by[0])).otherwise(key)
+    out = grouped.select(part.alias("part"), key.alias("key"), F.when(F.col("date").isNotNull() | F.col("hour").isNotNull(), F.col("agent")).alias("agent"), "tokens", "cost", "calls", "sessions").where("key IS NOT NULL")
+    # Labels of a part are few, dates and hours those of a range.
+    value = F.when(F.col("part") == "tools", F.col("calls")).otherwise(F.col("tokens"))
+    ranked = ~F.col("part").isin("daily", "hourly")
+    total = F.sum(value).over(Window.partitionBy("part"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc(value), "key"))
+    return out.select("*", F.when(ranked & (total > 0), value / total).alias("share"), F.when(ranked, place).alias("place"))
+
+
+def overview_response(totals: DataFrame, parts: DataFrame) -> DataFrame:
+    """The one row of totals with daily, hourly, agents, models and tools as arrays, times in order and labels by place."""
+    def listed(name: str, order: list[str], *fields: str) -> Column:
+        found = F.collect_list(F.when(F.col("part") == name, F.struct(*order, *fields)))
+        return F.transform(F.array_sort(found), lambda x: F.struct(*[x[c].alias(c) for c in (*[o for o in order if o != "place"], *fields)])).alias(name)
+
+    points = ("tokens", "cost", "calls", "sessions")
+    nested = parts.agg(*[listed(n, ["key", "agent"], *points) for n in ("daily", "hourly")], *[listed(n, ["place"], "key", *points, "share") for n in ("agents", "models", "tools")])
+    # Two tables of one row each.
+    return totals.withColumn("__one", F.lit(1)).join(nested.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
 def behavior_summary(s: DataFrame) -> DataFrame:
     """Rates over sessions and the share of sessions that can show them; null where nothing was seen."""
     rate = lambda a, b: F.when(b > 0, a / b)

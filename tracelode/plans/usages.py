@@ -28,6 +28,45 @@ def overview_totals(t):
     )
 
 
+def _overview_rows(t):
+    """Usage and tool rows of the events: half of them use tokens, the clicks call tools; some costs and models are unknown."""
+    e = t.events.withColumns({"agent": F.concat(F.lit("a"), (F.col("user_id") % 4).cast("string")), "session_id": F.col("user_id")})
+    used = e.where("event_type <> 'click'").select("session_id", "agent", F.when(F.col("event_id") % 6 != 0, F.concat(F.lit("m"), (F.col("event_id") % 5).cast("string"))).alias("model"), F.when(F.col("event_id") % 19 != 0, F.col("ts")).alias("ts"), F.floor("value").alias("total_tokens"), F.when(F.col("event_id") % 3 != 0, F.floor("value") / 4).alias("cost"))
+    called = e.where("event_type = 'click'").select("session_id", "agent", F.concat(F.lit("t"), (F.col("event_id") % 7).cast("string")).alias("tool"), "ts")
+    return used, called
+
+
+OVERVIEW_ROWS = """
+e AS (SELECT *, 'a' || user_id % 4 AS agent FROM events),
+r AS (SELECT user_id, agent, CASE WHEN event_id % 6 <> 0 THEN 'm' || event_id % 5 END AS model, NULL AS tool, CASE WHEN event_id % 19 <> 0 THEN ts END AS ts, CAST(floor(value) AS BIGINT) AS tokens, CASE WHEN event_id % 3 <> 0 THEN floor(value) / 4 END AS cost, 0 AS call FROM e WHERE event_type <> 'click'
+  UNION ALL SELECT user_id, agent, NULL, 't' || event_id % 7, ts, 0, NULL, 1 FROM e WHERE event_type = 'click'),
+g AS (
+  SELECT 'daily' AS part, strftime(ts, '%Y-%m-%d') AS key, agent, user_id, tokens, cost, call FROM r UNION ALL SELECT 'hourly', strftime(ts, '%Y-%m-%dT%H:00'), agent, user_id, tokens, cost, call FROM r
+  UNION ALL SELECT 'agents', agent, NULL, user_id, tokens, cost, call FROM r UNION ALL SELECT 'models', model, NULL, user_id, tokens, cost, call FROM r UNION ALL SELECT 'tools', tool, NULL, user_id, tokens, cost, call FROM r
+), p AS (SELECT part, key, agent, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost, CAST(sum(call) AS BIGINT) AS calls, count(DISTINCT user_id) AS sessions, CASE part WHEN 'tools' THEN sum(call) ELSE sum(tokens) END AS v FROM g WHERE key IS NOT NULL GROUP BY part, key, agent)"""
+
+
+@plan(f"""WITH {OVERVIEW_ROWS}
+SELECT part, key, agent, tokens, cost, calls, sessions, CASE WHEN part NOT IN ('daily', 'hourly') THEN v / sum(v) OVER (PARTITION BY part) END AS share,
+  CASE WHEN part NOT IN ('daily', 'hourly') THEN CAST(row_number() OVER (PARTITION BY part ORDER BY v DESC, key) AS INTEGER) END AS place FROM p""")
+def overview_parts(t):
+    return usage.overview_parts(*_overview_rows(t))
+
+
+@plan(f"""WITH {OVERVIEW_ROWS}
+SELECT (SELECT count(*) FROM r) AS rows_counted, (SELECT string_agg(key || '/' || agent || '=' || tokens, ',' ORDER BY key, agent) FROM p WHERE part = 'daily') AS daily, (SELECT count(*) FROM p WHERE part = 'hourly') AS hours,
+  (SELECT string_agg(key, ',' ORDER BY v DESC, key) FROM p WHERE part = 'agents') AS agents, (SELECT string_agg(key, ',' ORDER BY v DESC, key) FROM p WHERE part = 'models') AS models, (SELECT string_agg(key || '=' || calls, ',' ORDER BY v DESC, key) FROM p WHERE part = 'tools') AS tools""")
+def overview_nested(t):
+    used, called = _overview_rows(t)
+    totals = used.select("session_id").unionByName(called.select("session_id")).agg(F.count("*").alias("rows_counted"))
+    whole = usage.overview_response(totals, usage.overview_parts(used, called))
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
+    return whole.select(
+        "rows_counted", joined("daily", lambda x: F.concat(x["key"], F.lit("/"), x["agent"], F.lit("="), x["tokens"].cast("string"))), F.size("hourly").cast("long").alias("hours"), joined("agents", lambda x: x["key"]), joined("models", lambda x: x["key"]),
+        joined("tools", lambda x: F.concat(x["key"], F.lit("="), x["calls"].cast("string"))),
+    )
+
+
 @plan("SELECT strftime(ts, '%Y-%m-%d') AS date, event_type, CAST(sum(floor(value)) AS BIGINT) AS tokens, count(*) AS events FROM events GROUP BY 1, 2")
 def usage_daily(t):
     return t.events.groupBy(timefn.local_date(F.col("ts")).alias("date"), "event_type").agg(F.sum(F.floor("value")).cast("long").alias("tokens"), F.count("*").alias("events"))
