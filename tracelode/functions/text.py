@@ -129,6 +129,11 @@ def opaque_identifier(c: Column) -> Column:
     return F.when(unsafe, F.concat(F.lit("private-"), stable_hash(c))).otherwise(c)
 
 
+def line_count(c: Column) -> Column:
+    """Lines of a text; an end of line at its end begins no further one."""
+    return F.when(c == "", 0).otherwise(F.size(F.split(F.regexp_replace(c, "\n$", ""), "\n"))).cast("long")
+
+
 def project_path(root: Column, raw: Column) -> Column:
     """A path inside the project, `[external]/name` for one outside, null if it climbs out or holds a secret."""
     p = F.regexp_replace(F.trim(raw), r"^['\"]+|['\"]+$", "")

@@ -320,3 +320,22 @@ def session_days_of_log(t):
     rows = CLAUDE.rows(t).persist()
     days = assembly.session_days(rows, adapters.events(rows, limit=2**31 - 1), adapters.usage(rows))
     return days.select("session_id", F.col("date").cast("date").alias("date"), "active_seconds", "tool_calls", "errors", "verification_events", "total_tokens")
+
+
+@plan("""
+SELECT 's' || user_id AS session_id, CASE event_id % 4 WHEN 0 THEN 'src/f' || CAST(floor(value) AS BIGINT) % 9 || '.py' WHEN 1 THEN '[external]/x' || CAST(floor(value) AS BIGINT) % 3 || '.md' ELSE 'doc.md' END AS path, count(*) AS changes,
+  CAST(sum(CASE WHEN event_id % 4 = 2 THEN 1 ELSE 2 END) AS BIGINT) AS added, CAST(sum(CASE WHEN event_id % 4 = 2 THEN 0 ELSE 3 END) AS BIGINT) AS removed
+FROM events WHERE event_type IN ('click', 'view') AND event_id % 4 <> 3 GROUP BY 1, 2""")
+def files_that_edit_tools_name(t):
+    """Edits of two agents: arguments as an object and as text, files inside, outside and above the project."""
+    i, v = F.col("event_id"), F.floor("value")
+    name = F.when(i % 4 == 0, F.concat(F.lit("/w/p/src/f"), (v % 9).cast("string"), F.lit(".py"))).when(i % 4 == 1, F.concat(F.lit("/other/x"), (v % 3).cast("string"), F.lit(".md"))).when(i % 4 == 2, F.lit("./doc.md")).otherwise(F.lit("../up.md"))
+    given = F.when(i % 4 == 2, F.to_json(F.struct(name.alias("path"), F.lit("one line").alias("content")))).otherwise(F.to_json(F.struct(name.alias("file_path"), F.lit("a\nb").alias("new_string"), F.lit("1\n2\n3\n").alias("old_string"))))
+    session, ts = F.concat(F.lit("s"), F.col("user_id").cast("string")), F.date_format("ts", ISO)
+    # One record a path keeps sessions of both agents apart from their order.
+    claude = F.to_json(F.struct(F.lit("assistant").alias("type"), session.alias("sessionId"), F.lit("/w/p").alias("cwd"), ts.alias("timestamp"), F.struct(F.array(F.struct(F.lit("tool_use").alias("type"), i.cast("string").alias("id"), F.lit("Edit").alias("name"), F.try_parse_json(given).alias("input"))).alias("content")).alias("message")))
+    kimi = F.to_json(F.struct(F.lit("context.append_loop_event").alias("type"), i.cast("string").alias("id"), session.alias("sessionId"), F.lit("/w/p").alias("cwd"), ts.alias("timestamp"), F.struct(F.lit("tool.call").alias("type"), F.lit("WriteFile").alias("name"), given.alias("args")).alias("event")))
+    rows = t.events.select(F.concat_ws("-", session, "event_type").alias("path"), i.alias("n"), "event_type", F.when(F.col("event_type") == "click", claude).otherwise(kimi).alias("line"))
+    made = [adapters.normalised({name: files.split_lines(_texts(rows.where(F.col("event_type") == kind).drop("event_type")), agent)}) for name, agent, kind in (("claude", "claude-code", "click"), ("kimi", "kimi-code", "view"))]
+    found = adapters.edits(made[0].unionByName(made[1]))
+    return found.groupBy("session_id", "path").agg(F.count("*").alias("changes"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))

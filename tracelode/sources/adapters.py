@@ -196,7 +196,7 @@ def kimi(b: DataFrame) -> DataFrame:
     u = lambda n: get(r, f"$.usage.{n}", "bigint")
     usage = usage_struct(input_tokens=u("inputOther"), output_tokens=u("output"), cache_read_tokens=u("inputCacheRead"), cache_write_tokens=u("inputCacheCreation"))
     events = only(
-        (kind == "turn.prompt", event("start")), (loop & (inner == "tool.call"), event("tool", F.coalesce(get(r, "$.event.name"), F.lit("other")), command_of(get(r, "$.event.args", "variant")), source_id=first_of(r, "$.event.id", "$.event.toolCallId", "$.id"))),
+        (kind == "turn.prompt", event("start")), (loop & (inner == "tool.call"), event("tool", F.coalesce(get(r, "$.event.name"), F.lit("other")), command_of(get(r, "$.event.args", "variant")), source_id=first_of(r, "$.event.id", "$.event.toolCallId", "$.id"), detail=F.to_json(get(r, "$.event.args", "variant")))),
         (loop & (inner == "tool.result"), event("tool-result", success=~F.coalesce(first_of(r, "$.event.result.isError", "$.event.result.is_error", kind="boolean"), F.lit(False)))),
         (loop & (inner == "step.end") & (get(r, "$.event.finishReason") == "end_turn"), event("complete", success=True)), (kind == "turn.steer", event("goal-change")), (kind == "turn.cancel", event("abort")),
         (kind.isin("full_compaction.begin", "context.apply_compaction"), event("compaction")),
@@ -311,13 +311,30 @@ def sessions(rows: DataFrame, structure: bool = True, committed: DataFrame | Non
     The rows are read by several branches: give a written table (or a persisted one), so that logs are parsed once.
     """
     every = events(rows, limit=2**31 - 1)
-    return session_records(rows, every, prompts(rows), usage(rows), patches(rows), structure=structure, committed=committed)
+    return session_records(rows, every, prompts(rows), usage(rows), patches(rows).unionByName(edits(rows)), structure=structure, committed=committed)
 
 
 def prompts(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("human") & tx.prompt_eligible(F.coalesce("prompt", F.lit("")))).select("path", "agent", "ordinal", "session_id", "ts_raw", "ts", "prompt")
 
 
+def edits(rows: DataFrame) -> DataFrame:
+    """File changes that edit tools of any agent name in their arguments: the file, and lines of the new and the old text.
+
+    A path becomes one inside the project, of the record's folder or the session's first one; those that climb out or hold a secret go.
+    """
+    first = F.first("cwd", ignorenulls=True).over(Window.partitionBy("session_id").orderBy("path", "ordinal").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    e = rows.select("session_id", "ordinal", "ts", "events", "path", F.coalesce("cwd", first).alias("cwd")).select("session_id", "ordinal", "ts", "cwd", F.explode("events").alias("e"))
+    tool = (F.col("e.event_type") == "tool") & (tx.tool_category(F.coalesce("e.name", F.lit(""))) == "edit")
+    given = e.where(tool).withColumn("j", F.try_parse_json("e.detail")).where(F.col("j").isNotNull())
+    # Arguments may be an object or its text.
+    given = given.withColumn("j", F.coalesce(F.try_parse_json(get("j", "$")), F.col("j")))
+    lines = lambda *paths: F.coalesce(tx.line_count(first_of("j", *paths)), F.lit(0))
+    path = tx.project_path(F.coalesce("cwd", F.lit("")), first_of("j", "$.file_path", "$.path", "$.filePath"))
+    out = given.select("session_id", "ordinal", "ts", path.alias("path"), F.lit("modified").alias("kind"), lines("$.new_string", "$.content").alias("added"), lines("$.old_string").alias("removed"))
+    return out.where(F.col("path").isNotNull())
+
+
 def patches(rows: DataFrame) -> DataFrame:
     """File changes of codex sessions: requests count only where the session has no patch result; failed results change nothing."""
     e = rows.select("session_id", "path", "ordinal", "ts", F.explode("events").alias("e")).select("session_id", "path", "ordinal", "ts", "e.*")

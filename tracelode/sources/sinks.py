@@ -43,18 +43,24 @@ def new_events(batch: DataFrame, stored: DataFrame, identity: tuple[str, ...] =
     return batch.dropDuplicates(list(identity)).join(stored.select(*identity), list(identity), "left_anti")
 
 
+def _with_key(rows: DataFrame, key: bytes) -> DataFrame:
+    """rows with the key as a column. It comes from a table of one row, as a literal would stand in plans, the UI and event logs."""
+    one = rows.sparkSession.createDataFrame([(1, bytearray(key))], "__one int, __key binary")
+    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
+
+
 def sealed(envelopes: DataFrame, key: bytes, now: Column, days: int = ENVELOPE_DAYS, body: str = "value", ident: str = "event_id") -> DataFrame:
     """(event_id, sealed, expires_at): bodies under AES-256-GCM, bound to their id, for at most seven days."""
     if len(key) != 32 or not 0 < days <= ENVELOPE_DAYS:
         raise ValueError("a key of 32 bytes and 1 to 7 days")
-    text = F.aes_encrypt(F.col(body), F.unhex(F.lit(key.hex())), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.col(ident))
-    return envelopes.select(ident, text.alias("sealed"), (now + F.make_interval(days=F.lit(days))).alias("expires_at"))
+    text = F.aes_encrypt(F.col(body), F.col("__key"), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.col(ident))
+    return _with_key(envelopes, key).select(ident, text.alias("sealed"), (now + F.make_interval(days=F.lit(days))).alias("expires_at"))
 
 
 def opened(rows: DataFrame, key: bytes, now: Column, ident: str = "event_id") -> DataFrame:
     """Bodies that have not expired; a row whose id was changed is null."""
-    text = F.try_aes_decrypt(F.col("sealed"), F.unhex(F.lit(key.hex())), F.lit("GCM"), F.lit("DEFAULT"), F.col(ident)).cast("string")
-    return rows.where(F.col("expires_at") > now).select(ident, text.alias("value"))
+    text = F.try_aes_decrypt(F.col("sealed"), F.col("__key"), F.lit("GCM"), F.lit("DEFAULT"), F.col(ident)).cast("string")
+    return _with_key(rows.where(F.col("expires_at") > now), key).select(ident, text.alias("value"))
 
 
 def pruned(rows: DataFrame, date: str, today: str, retention_days: int) -> DataFrame:
