@@ -102,3 +102,41 @@ def test_what_is_gathered_grows_with_the_corpus(spark):
         docs = spark.range(n).selectExpr("concat_ws(' ', transform(sequence(1, 40), i -> concat('w', cast(pmod(xxhash64(id * 1000 + i), 3000) as string)))) text")
         sizes.append(len(lm.fit(docs, growth=20)["log_p"]))
     assert sizes[1] > sizes[0]
+
+
+def test_many_classes_stay_under_the_bound_of_the_broadcast():
+    """At as many classes as 1e12 tokens give, tables of all pairs would pass the bound; the factors are far below it."""
+    n = int(10 * 1e12**0.25)
+    assert n * n * 4 > lm.HEAD_BYTES
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, n * n, 50_000))
+    model = lm.train_factors(keys, rng.integers(1, 9, len(keys)), n, steps=1)
+    assert model.nbytes < lm.HEAD_BYTES / 20 and len(model) == n
+    for h in (0, n // 2, n - 1):
+        assert abs((10.0 ** model[np.full(n, h), np.arange(n)]).sum() - 1) < 1e-9
+
+
+def test_blocks_of_rows_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 400, 150))
+    counts = rng.integers(1, 50, len(keys))
+    whole = lm.train_factors(keys, counts, 20)
+    monkeypatch.setattr(lm, "row_blocks", lambda n: [(i, min(i + 3, n)) for i in range(0, n, 3)])
+    cut = lm.train_factors(keys, counts, 20)
+    a, b = np.repeat(np.arange(20), 20), np.tile(np.arange(20), 20)
+    assert np.allclose(whole[a, b], cut[a, b], atol=1e-3)
+    ids = rng.integers(0, 20, 5000)
+    monkeypatch.setattr(lm, "PART", 7)
+    assert abs(whole.total(ids) - whole[ids[:-1], ids[1:]].sum()) < 1e-6
+    assert whole.total(ids[:1]) == 0.0
+
+
+def test_pairs_are_counted_whatever_is_merged_when(monkeypatch):
+    monkeypatch.setattr(lm, "PAIRS", 10)
+    rng = np.random.default_rng(3)
+    kept, want = lm.Pairs(), Counter()
+    for _ in range(30):
+        some = rng.integers(0, 40, rng.integers(0, 9))
+        kept.add(some)
+        want.update(some.tolist())
+    assert dict(zip(*[c.to_pylist() for c in kept.batch().columns])) == dict(want)

@@ -6,8 +6,9 @@ of their own grows with the corpus, as the fourth root of its tokens, so that th
 square root. The log-bilinear model gives P(class | class before): score(w | h) = (R_h C) . Q_w + b_w, trained in
 numpy by noise-contrastive estimation. As the model sees pairs of classes only, their counts over all training texts
 are sufficient for its objective; Spark gathers them, and the expectation over the noise distribution is taken
-exactly instead of by samples, so training is deterministic. One batched matrix product then yields the normalised
-log-probabilities of every class after every class, and scoring a text is a lookup for each token. The words of a
+exactly instead of by samples, so training is deterministic. Tasks get the factors and a normaliser for each class
+before, whose size grows with the classes and not with their pairs; batched matrix products normalise, and scoring a
+text multiplies the factors of each token and the one before. The words of a
 suffix class share its probability by absolutely discounted counts, with one event for all unseen words.
 
 Counts cover all training texts. Only the head of the count table (at most `head` words) is broadcast; counts of
@@ -38,6 +39,8 @@ END_CLASS = 0
 SUFFIXES = 128
 FLUSH = 200_000
 HEAD_BYTES = 128 << 20
+#: Pairs of classes that a task gathers before it merges or hands them on, and pairs scored at a time.
+PAIRS, PART = 1_000_000, 1 << 16
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -97,25 +100,101 @@ def count_pairs(texts: DataFrame, classes: dict[bytes, int], n_classes: int) ->
     """(pair, c): how often class pair // n_classes is followed by class pair % n_classes; texts begin after the end."""
 
     def run(batches):
-        table = np.zeros(n_classes * n_classes, np.int64)
-        known = Classes(classes)
+        known, kept = Classes(classes), Pairs()
         for b in slices(batches):
             for t in b.column(0).to_pylist():
                 words = tokens(t)
                 ids = np.full(len(words) + 2, END_CLASS, np.int64)
                 ids[1:-1] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                pairs, c = np.unique(ids[:-1] * n_classes + ids[1:], return_counts=True)
-                table[pairs] += c
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["pair", "c"])
+                kept.add(ids[:-1] * n_classes + ids[1:])
+            if len(kept) > PAIRS:
+                yield kept.batch()
+                kept = Pairs()
+        yield kept.batch()
 
-    return texts.mapInArrow(run, "pair int, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
 
 
-def train_log_bilinear(pairs: np.ndarray, dim: int = 24, noise: int = 16, steps: int = 120, rate: float = 0.05, seed: int = 7) -> np.ndarray:
-    """Normalised natural-log probabilities [before, class] from counts pairs[before, class]."""
+class Pairs:
+    """Counts of the pairs that occur; those added are merged in once they are many."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, pairs: np.ndarray) -> None:
+        self.new.append(pairs)
+        self.size += len(pairs)
+        if self.size >= PAIRS:
+            self.merge()
+
+    def merge(self) -> None:
+        keys, counts = np.unique(np.concatenate([*self.new, np.zeros(0, np.int64)]), return_counts=True)
+        both, where = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        self.counts = np.bincount(where, np.concatenate([self.counts, counts]), len(both)).astype(np.int64)
+        self.keys, self.new, self.size = both, [], 0
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def batch(self) -> pa.RecordBatch:
+        self.merge()
+        return pa.RecordBatch.from_arrays([pa.array(self.keys), pa.array(self.counts)], names=["pair", "c"])
+
+
+class LogBilinear:
+    """log10 P(class | class before) out of factors and one normaliser a context, so that its size grows with the classes."""
+
+    def __init__(self, hidden: np.ndarray, output: np.ndarray, bias: np.ndarray):
+        self.hidden, self.output, self.bias = hidden.astype(np.float64), output.astype(np.float64), bias.astype(np.float64)
+        self.norm = np.zeros(len(bias))
+        for lo, hi in row_blocks(len(bias)):
+            logits = self.hidden[lo:hi] @ self.output.T + self.bias
+            top = logits.max(axis=1)
+            self.norm[lo:hi] = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+
+    @property
+    def nbytes(self) -> int:
+        return self.hidden.nbytes + self.output.nbytes + self.bias.nbytes + self.norm.nbytes
+
+    def __len__(self) -> int:
+        return len(self.bias)
+
+    def __getitem__(self, at: tuple) -> np.ndarray:
+        """Log-probabilities [before, class] of two arrays of classes, one for each pair, or of two classes."""
+        before, after = at
+        return ((self.hidden[before] * self.output[after]).sum(axis=-1) + self.bias[after] - self.norm[before]) / np.log(10)
+
+    def total(self, ids: np.ndarray) -> float:
+        """The sum over a text's classes, each after the one before, in parts of bounded size."""
+        return float(sum(self[ids[i : i + PART][: len(ids) - 1 - i], ids[i + 1 : i + 1 + PART]].sum() for i in range(0, len(ids) - 1, PART)))
+
+
+def row_blocks(n: int, most: int = 1 << 22) -> list[tuple[int, int]]:
+    """Rows of an n by n matrix in blocks of bounded size."""
+    step = max(1, most // max(n, 1))
+    return [(lo, min(lo + step, n)) for lo in range(0, n, step)]
+
+
+def train_log_bilinear(pairs: np.ndarray, **options) -> np.ndarray:
+    """Normalised natural-log probabilities [before, class] from a small table of counts pairs[before, class]."""
     n = len(pairs)
-    unigram = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * n)
+    keys = np.flatnonzero(pairs)
+    model = train_factors(keys, pairs.reshape(-1)[keys], n, **options)
+    every = np.arange(n)
+    return model[np.repeat(every, n), np.tile(every, n)].reshape(n, n) * np.log(10)
+
+
+def train_factors(keys: np.ndarray, counts: np.ndarray, n: int, dim: int = 24, noise: int = 16, steps: int = 120, rate: float = 0.05, seed: int = 7) -> LogBilinear:
+    """The model of n classes from the counts of pairs that occur (keys = before * n + class, rising).
+
+    The objective looks at all n * n pairs; they are gone through in blocks of rows, so that memory grows with the classes and
+    the pairs that occur.
+    """
+    total = max(float(counts.sum()), 1.0)
+    rows = np.bincount(keys // n, counts, n) / total
+    unigram = (np.bincount(keys % n, counts, n) + 0.5) / (counts.sum() + 0.5 * n)
     rng = np.random.default_rng(seed)
     p = {
         "R": rng.normal(0, 0.1, (n, dim)).astype(np.float32),
@@ -123,30 +202,34 @@ def train_log_bilinear(pairs: np.ndarray, dim: int = 24, noise: int = 16, steps:
         "Q": rng.normal(0, 0.1, (n, dim)).astype(np.float32),
         "b": np.log(unigram).astype(np.float32),
     }
-    total = max(float(pairs.sum()), 1.0)
-    data = (pairs / total).astype(np.float32)
-    contrast = (pairs.sum(axis=1, keepdims=True) / total * unigram * noise).astype(np.float32)
     shift = np.log(noise * unigram).astype(np.float32)
+    noisy = (unigram * noise).astype(np.float32)
+    blocks = [(lo, hi, *np.searchsorted(keys, (lo * n, hi * n))) for lo, hi in row_blocks(n)]
+    share = (counts / total).astype(np.float32)
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
     for step in range(1, steps + 1):
         hidden = p["R"] @ p["C"]
-        delta = np.clip(hidden @ p["Q"].T + p["b"] - shift, -30, 30)
-        real = 1 / (1 + np.exp(-delta))
-        # Gradient of the expected NCE objective: data pull up by 1 - real, noise pushes down by real.
-        g = data * (1 - real) - contrast * real
-        grads = {"Q": g.T @ hidden, "b": g.sum(axis=0)}
-        back = g @ p["Q"]
-        grads["R"], grads["C"] = back @ p["C"].T, p["R"].T @ back
+        grads = {k: np.zeros_like(v) for k, v in p.items()}
+        for lo, hi, start, stop in blocks:
+            delta = np.clip(hidden[lo:hi] @ p["Q"].T + p["b"] - shift, -30, 30)
+            real = 1 / (1 + np.exp(-delta))
+            # Gradient of the expected NCE objective: data pull up by 1 - real, noise pushes down by real.
+            g = -(rows[lo:hi, None].astype(np.float32) * noisy) * real
+            flat = keys[start:stop] - lo * n
+            g.reshape(-1)[flat] += share[start:stop] * (1 - real.reshape(-1)[flat])
+            grads["Q"] += g.T @ hidden[lo:hi]
+            grads["b"] += g.sum(axis=0)
+            back = g @ p["Q"]
+            grads["R"][lo:hi] = back @ p["C"].T
+            grads["C"] += p["R"][lo:hi].T @ back
         for k in p:
             grads[k] -= 1e-7 * p[k]
             first[k] = 0.9 * first[k] + 0.1 * grads[k]
             second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2
             move = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
             p[k] = p[k] + rate * (1 - step / (steps + 1)) * move
-    logits = (p["R"] @ p["C"]).astype(np.float64) @ p["Q"].T + p["b"]
-    top = logits.max(axis=1, keepdims=True)
-    return logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
+    return LogBilinear(p["R"] @ p["C"], p["Q"], p["b"])
 
 
 def fit(texts: DataFrame, growth: float = 10.0, head: int = 100_000) -> dict:
@@ -175,10 +258,11 @@ def fit(texts: DataFrame, growth: float = 10.0, head: int = 100_000) -> dict:
     top = sorted(((r.word, r.c) for r in counts.where((F.col("word") != END) & (F.col("c") >= in_head)).collect()), key=lambda x: (-x[1], x[0]))
     own = {w.encode(): SUFFIXES + 1 + i for i, (w, c) in enumerate(top) if c >= in_model}
     n_classes = SUFFIXES + 1 + len(own)
-    pairs = np.zeros(n_classes * n_classes, np.int64)
+    # Pairs that occur; their number is bounded by the square of the classes, that is by the square root of the tokens.
     gathered = count_pairs(texts, own, n_classes).toArrow()
-    pairs[gathered.column("pair").to_numpy()] = gathered.column("c").to_numpy()
-    log_p = train_log_bilinear(pairs.reshape(n_classes, n_classes)) / np.log(10)
+    pairs, c = gathered.column("pair").to_numpy(), gathered.column("c").to_numpy()
+    order = np.argsort(pairs)
+    log_p = train_factors(pairs[order], c[order], n_classes)
     # Tokens and types of each suffix class.
     rest = counts.where((F.col("word") != END) & (F.col("c") < in_model)).groupBy(suffix_class_of("word").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     n_rest, v_rest = np.zeros(SUFFIXES + 1), np.zeros(SUFFIXES + 1)
@@ -201,19 +285,19 @@ def fit(texts: DataFrame, growth: float = 10.0, head: int = 100_000) -> dict:
         "words": {w.encode(): i for i, (w, _) in enumerate(top)},
         "c": np.array([c for _, c in top], np.int64),
         "class": np.array([SUFFIXES + 1 + i if c >= in_model else suffix_class(w.encode()) for i, (w, c) in enumerate(top)], np.int64),
-        "log_p": log_p.astype(np.float32),
+        "log_p": log_p,
     }
 
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """One row a row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     small = {k: v for k, v in model.items() if k != "counts"}
-    size = sum(len(w) + 120 for w in small["words"]) + sum(v.nbytes for v in small.values() if isinstance(v, np.ndarray))
+    size = sum(len(w) + 120 for w in small["words"]) + sum(v.nbytes for v in small.values() if hasattr(v, "nbytes"))
     shared = broadcast_value(docs.sparkSession, small, HEAD_BYTES, size, "head of the word counts")
 
     def make():
         m = shared.value
-        words, log_p = m["words"], m["log_p"].astype(np.float64)
+        words, log_p = m["words"], m["log_p"]
         # Position -1 stands for a word outside the head: its class comes from its end, its count is unknown here.
         base_of = np.append(np.log10(m["c"] + 1.0), 0.0)
         class_of = np.append(m["class"], 0)
@@ -232,7 +316,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             others = [w[i] for i in unknown.tolist()]
             ids[1 + unknown] = np.fromiter(map(outside.__getitem__, others), np.int64, len(others))
             base = float(base_of[at].sum()) + end_base
-            s = float(log_p[ids[:-1], ids[1:]].sum() + rest_of[at].sum())
+            s = log_p.total(ids) + float(rest_of[at].sum())
             rare = Counter(others)
             known = n - sum(rare.values()) + (m["ends"] > 0)
             return n + 1, int(known), base, s, [{"w": x.decode(), "k": k} for x, k in rare.items()]
