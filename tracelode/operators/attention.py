@@ -67,3 +67,20 @@ def completed_tray(completed: DataFrame, tombstones: DataFrame, active: DataFram
     latest = completed.groupBy("session_id").agg(F.max("completed_at").alias("completed_at"), F.max_by("seen", "completed_at").alias("seen"))
     left = latest.join(gone, "session_id", "left").where(F.col("__gone").isNull() | (F.col("__gone") < F.col("completed_at"))).drop("__gone")
     return left.join(active.select("session_id").distinct(), "session_id", "left_anti")
+
+
+def tray_after(completed: DataFrame, actions: DataFrame, active: DataFrame) -> DataFrame:
+    """The completed tray after what users did: (session_id, completed_at, seen).
+
+    actions: (kind, session_id, token, at). `delete` takes one session's completions up to then, `clear` those of all under a
+    token, `undo` gives back what its token's clear took, `seen` marks. A clear counts unless it was undone later; clears are
+    few, and only the latest one that counts matters.
+    """
+    latest = completed.groupBy("session_id").agg(F.max("completed_at").alias("completed_at"))
+    mine = actions.where(F.col("kind").isin("delete", "seen")).groupBy("session_id").agg(F.max(F.when(F.col("kind") == "delete", F.col("at"))).alias("__deleted"), F.max(F.when(F.col("kind") == "seen", F.col("at"))).alias("__seen"))
+    tokens = actions.where(F.col("kind").isin("clear", "undo")).groupBy("token").agg(F.max(F.when(F.col("kind") == "clear", F.col("at"))).alias("cleared"), F.max(F.when(F.col("kind") == "undo", F.col("at"))).alias("undone"))
+    last = tokens.where("cleared IS NOT NULL AND (undone IS NULL OR undone < cleared)").agg(F.max("cleared").alias("__cleared"))
+    rows = latest.join(mine, "session_id", "left").withColumn("__one", F.lit(1)).join(F.broadcast(last.withColumn("__one", F.lit(1))), "__one")  # one row
+    kept = lambda c: F.col(c).isNull() | (F.col(c) < F.col("completed_at"))
+    left = rows.where(kept("__deleted") & kept("__cleared")).select("session_id", "completed_at", F.coalesce(F.col("__seen") >= F.col("completed_at"), F.lit(False)).alias("seen"))
+    return left.join(active.select("session_id").distinct(), "session_id", "left_anti")

@@ -124,3 +124,32 @@ def concurrency(spans: DataFrame, key: str = "agent") -> DataFrame:
     edges = spans.select(key, F.explode(F.array(F.struct(F.col("started_at").alias("at"), F.lit(1).alias("d")), F.struct(F.col("ended_at").alias("at"), F.lit(-1).alias("d")))).alias("e")).select(key, "e.at", "e.d")
     steps = edges.where(F.col("at").isNotNull()).groupBy(key, "at").agg(F.sum("d").alias("d"))
     return steps.select(key, "at", F.sum("d").over(Window.partitionBy(key).orderBy("at")).alias("running"))
+
+
+# Fields of a point of the timeline; none of them holds what a person or a tool said.
+POINT = ("event_id", "occurred_at", "agent", "project_label", "event_name", "status", "source_session_id")
+
+
+def timeline(events: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The points of a period, each stored event once: the earliest of its identity (agent, session, event id)."""
+    inside = events.where(F.col("occurred_at").between(start, end)).select(*POINT)
+    rest = [c for c in POINT if c not in ("agent", "source_session_id", "event_id")]
+    first = inside.groupBy("agent", "source_session_id", "event_id").agg(F.min(F.struct(*rest)).alias("p"))
+    return first.select("agent", "source_session_id", "event_id", "p.*").select(*POINT)
+
+
+def history(points: DataFrame, skip: int = 0, take: int | None = None) -> DataFrame:
+    """The last point of each session, newest first, with its place; a page of it where skip or take say so."""
+    rest = [c for c in POINT if c not in ("agent", "source_session_id")]
+    last = points.groupBy("agent", "source_session_id").agg(F.max(F.struct("occurred_at", "event_id", *[c for c in rest if c not in ("occurred_at", "event_id")])).alias("p"))
+    rows = numbered(last.select("agent", "source_session_id", "p.*").orderBy(F.desc("occurred_at"), "agent", "source_session_id"), "place")
+    return rows.where((F.col("place") > skip) & (F.lit(True) if take is None else F.col("place") <= skip + take))
+
+
+def lanes(points: DataFrame) -> DataFrame:
+    """Per agent the sessions of a period by what they last were, and their projects in order."""
+    last = points.groupBy("agent", "source_session_id").agg(F.max(F.struct("occurred_at", "event_id", "status", "project_label")).alias("p"))
+    of = lambda status: F.count_if(F.col("p.status") == status)
+    return last.groupBy("agent").agg(
+        F.count("*").alias("session_count"), *[of(s).alias(f"{s}_count") for s in ("waiting", "error", "running", "completed")], F.array_sort(F.collect_set("p.project_label")).alias("projects"),
+    )

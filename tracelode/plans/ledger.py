@@ -419,3 +419,60 @@ def changed_files(t):
 @plan("SELECT c_custkey AS session_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def snapshots_not_superseded(t):
     return files.without_superseded(t.customer.select(F.col("c_custkey").alias("session_id")), t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("session_id")))
+
+
+@plan("""
+WITH c AS (SELECT user_id AS session_id, max(ts) AS completed_at FROM events WHERE event_type = 'purchase' GROUP BY 1),
+m AS (SELECT user_id AS session_id, max(ts) FILTER (event_id % 9 = 0) AS deleted, max(ts) FILTER (event_id % 2 = 0) AS seen FROM events WHERE event_type = 'error' GROUP BY 1),
+k AS (SELECT 't' || user_id % 40 AS token, max(ts) FILTER (event_id % 2 = 0) AS cleared, max(ts) FILTER (event_id % 2 = 1) AS undone FROM events WHERE event_type = 'view' AND ts < (SELECT max(ts) FROM events) - INTERVAL 3 DAYS GROUP BY 1),
+l AS (SELECT max(cleared) AS cleared FROM k WHERE undone IS NULL OR undone < cleared)
+SELECT session_id, completed_at, coalesce(seen >= completed_at, false) AS seen FROM c LEFT JOIN m USING (session_id), l
+WHERE (deleted IS NULL OR deleted < completed_at) AND (cleared IS NULL OR cleared < completed_at) AND session_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND user_id % 11 = 0)""")
+def tray_with_undo(t):
+    """Deletes and seen marks of sessions, clears of all under forty tokens, half of them undone, in the tray of completions."""
+    e = t.events.select(F.col("user_id").alias("session_id"), "ts", "event_id", "event_type")
+    even = F.col("event_id") % 2 == 0
+    mine = e.where("event_type = 'error'")
+    act = lambda rows, kind, token: rows.select(kind.alias("kind"), "session_id", token.alias("token"), F.col("ts").alias("at"))
+    none = F.lit(None).cast("string")
+    end = e.agg((F.max("ts") - F.expr("INTERVAL 3 DAYS")).alias("end")).first().end
+    clears = e.where("event_type = 'view'").where(F.col("ts") < F.lit(end))
+    actions = act(mine.where("event_id % 9 = 0"), F.lit("delete"), none).unionByName(act(mine.where(even), F.lit("seen"), none))
+    actions = actions.unionByName(act(clears, F.when(even, "clear").otherwise("undo"), F.concat(F.lit("t"), (F.col("session_id") % 40).cast("string"))))
+    done = e.where("event_type = 'purchase'").select("session_id", F.col("ts").alias("completed_at"))
+    out = attention.tray_after(done, actions, e.where("event_type = 'click' AND session_id % 11 = 0"))
+    return out.withColumn("completed_at", F.col("completed_at").cast("timestamp_ntz"))
+
+
+POINTS = """p AS (
+  SELECT 'a' || user_id % 3 AS agent, 's' || user_id AS source_session_id, 'e' || CAST(floor(value) AS BIGINT) % 40 AS event_id, min({'occurred_at': ts, 'project_label': 'p' || event_id % 5, 'event_name': event_type,
+    'status': CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'waiting' WHEN 'purchase' THEN 'completed' ELSE 'running' END}) AS p FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' GROUP BY 1, 2, 3),
+q AS (SELECT agent, source_session_id, event_id, p.occurred_at AS occurred_at, p.project_label AS project_label, p.event_name AS event_name, p.status AS status FROM p),
+l AS (SELECT *, row_number() OVER (PARTITION BY agent, source_session_id ORDER BY occurred_at DESC, event_id DESC) AS r FROM q)"""
+
+
+def _points(t):
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "error").when(kind == "signup", "waiting").when(kind == "purchase", "completed").otherwise("running")
+    named = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    events = t.events.select(
+        named("e", F.floor("value") % 40).alias("event_id"), F.col("ts").alias("occurred_at"), named("a", F.col("user_id") % 3).alias("agent"), named("p", F.col("event_id") % 5).alias("project_label"), kind.alias("event_name"), status.alias("status"), named("s", F.col("user_id")).alias("source_session_id"),
+    )
+    day = lambda d: F.lit(d).cast("timestamp")
+    return live.timeline(events, day("2024-01-05"), day("2024-01-25"))
+
+
+@plan(f"WITH {POINTS} SELECT agent, source_session_id, event_id, occurred_at, project_label, event_name, status FROM q")
+def live_timeline(t):
+    return _points(t).withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
+
+
+@plan(f"WITH {POINTS}, h AS (SELECT * EXCLUDE (r), row_number() OVER (ORDER BY occurred_at DESC, agent, source_session_id) AS place FROM l WHERE r = 1) SELECT * FROM h WHERE place > 5")
+def live_history(t):
+    return live.history(_points(t), skip=5).withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
+
+
+@plan(f"""WITH {POINTS} SELECT agent, count(*) AS session_count, count(*) FILTER (status = 'waiting') AS waiting_count, count(*) FILTER (status = 'error') AS error_count, count(*) FILTER (status = 'running') AS running_count,
+  count(*) FILTER (status = 'completed') AS completed_count, array_to_string(list_sort(list(DISTINCT project_label)), ',') AS projects FROM l WHERE r = 1 GROUP BY agent""")
+def live_lanes(t):
+    return live.lanes(_points(t)).withColumn("projects", F.array_join("projects", ","))
