@@ -29,6 +29,38 @@ def details(sessions: DataFrame, tasks: DataFrame, episodes: DataFrame) -> DataF
     return sessions.join(named, "task_id", "left").join(open_, "session_id", "left").withColumn("open_episodes", F.coalesce("open_episodes", F.lit(0)))
 
 
+#: Events of a session that its detail shows, as its replay does.
+SHOWN_EVENTS = 4000
+
+
+def session_detail(sessions: DataFrame, events: DataFrame, files: DataFrame, usage: DataFrame, commits: DataFrame, most_events: int = SHOWN_EVENTS) -> DataFrame:
+    """sessions with what happened in each: arrays of events, files, usage by model and commits, empty where there is nothing.
+
+    events: session_id, sequence, ts, event_type, category, name, success; files: session_id, path, kind, added, removed,
+    changes; usage: session_id, model, total_tokens, cost; commits: session_id, committed_at, commit, subject. Give the sessions
+    that are asked for: the other tables are cut to them before anything is gathered. The first events in order are shown,
+    and tasks hand on no more than those; `event_count` counts all. Costs are null where one of a model's is.
+    """
+    asked = sessions.select("session_id").distinct()
+    of = lambda rows: rows.join(asked, "session_id", "left_semi")
+
+    def listed(rows: DataFrame, name: str, *fields: str) -> DataFrame:
+        return rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("sequence"))
+    first = of(events).withColumn("__n", place).where(F.col("__n") <= most_events)
+    counted = of(events).groupBy("session_id").agg(F.count("*").alias("event_count"))
+    spent = of(usage).groupBy("session_id", F.coalesce("model", F.lit("unknown")).alias("model")).agg(F.sum("total_tokens").alias("total_tokens"), F.when(F.count("cost") == F.count("*"), F.sum("cost")).alias("cost"))
+    parts = {
+        "events": listed(first, "events", "sequence", "ts", "event_type", "category", "name", "success"), "files": listed(of(files), "files", "path", "kind", "added", "removed", "changes"),
+        "usage": listed(spent, "usage", "model", "total_tokens", "cost"), "commits": listed(of(commits).dropDuplicates(["session_id", "commit"]), "commits", "committed_at", "commit", "subject"),
+    }
+    out = sessions.join(counted, "session_id", "left").withColumn("event_count", F.coalesce("event_count", F.lit(0)))
+    for name, rows in parts.items():
+        out = out.join(rows, "session_id", "left").withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
+    return out
+
+
 def with_feedback(episodes: DataFrame, feedback: DataFrame, snooze_seconds: int = 3600) -> DataFrame:
     """Episodes with their latest feedback of the four known kinds: a snoozed one sleeps for a while, any other ends it.
 

@@ -204,3 +204,29 @@ def last_lines(t):
     record = F.try_parse_json("raw")
     user = F.regexp_extract("path", r"user_id=(\d+)", 1).cast("long")
     return rows.where(record.isNotNull()).groupBy(user.alias("user_id")).agg(F.count("*").alias("n"), F.min(F.try_variant_get(record, "$.id", "bigint")).alias("first_id"))
+
+
+@plan("""
+WITH s AS (SELECT DISTINCT user_id FROM events WHERE user_id % 3 <> 1),
+e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+ev AS (SELECT user_id, count(*) AS n, string_agg(event_type, ',' ORDER BY event_id) FILTER (r <= 20) AS names FROM e GROUP BY 1),
+f AS (SELECT user_id, 'f' || CAST(floor(value) AS BIGINT) % 9 AS path, sum(event_id % 5) AS added, count(*) AS changes FROM events WHERE event_type = 'click' GROUP BY 1, 2),
+fl AS (SELECT user_id, string_agg(path || ':' || CAST(added AS BIGINT) || ':' || changes, ',' ORDER BY path) AS files FROM f GROUP BY 1),
+m AS (SELECT user_id, CASE WHEN event_id % 4 = 0 THEN 'unknown' ELSE 'm' || event_id % 3 END AS model, CAST(sum(floor(value)) AS BIGINT) AS tokens, bool_and(event_id % 10 <> 0) AS known FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+ml AS (SELECT user_id, string_agg(model || ':' || tokens || ':' || CASE WHEN known THEN 'known' ELSE '?' END, ',' ORDER BY model) AS usage FROM m GROUP BY 1),
+c AS (SELECT user_id, count(DISTINCT CAST(floor(value) AS BIGINT) % 50) AS commits FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT s.user_id AS session_id, coalesce(n, 0) AS event_count, coalesce(names, '') AS names, coalesce(files, '') AS files, coalesce(usage, '') AS usage, coalesce(commits, 0) AS commits
+FROM s LEFT JOIN ev USING (user_id) LEFT JOIN fl USING (user_id) LEFT JOIN ml USING (user_id) LEFT JOIN c USING (user_id)""")
+def details_of_sessions(t):
+    e, i, v = t.events.withColumnRenamed("user_id", "session_id"), F.col("event_id"), F.floor("value")
+    none = F.lit(None)
+    events = e.select("session_id", i.alias("sequence"), "ts", "event_type", none.cast("string").alias("category"), none.cast("string").alias("name"), none.cast("boolean").alias("success"))
+    files = e.where("event_type = 'click'").groupBy("session_id", F.concat(F.lit("f"), (v % 9).cast("string")).alias("path")).agg(F.lit("modified").alias("kind"), F.sum(i % 5).alias("added"), F.lit(0).cast("long").alias("removed"), F.count("*").alias("changes"))
+    used = e.where("event_type = 'view'").select("session_id", F.when(i % 4 != 0, F.concat(F.lit("m"), (i % 3).cast("string"))).alias("model"), v.alias("total_tokens"), F.when(i % 10 != 0, v / 4).alias("cost"))
+    commits = e.where("event_type = 'purchase'").select("session_id", F.col("ts").alias("committed_at"), (v % 50).cast("string").alias("commit"), F.lit("s").alias("subject"))
+    out = lookups.session_detail(e.where("session_id % 3 <> 1").select("session_id").distinct(), events, files, used, commits, most_events=20)
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return out.select(
+        "session_id", "event_count", joined("events", lambda x: x["event_type"]).alias("names"), joined("files", lambda x: F.concat_ws(":", x["path"], x["added"].cast("string"), x["changes"].cast("string"))).alias("files"),
+        joined("usage", lambda x: F.concat_ws(":", x["model"], x["total_tokens"].cast("string"), F.when(x["cost"].isNull(), "?").otherwise("known"))).alias("usage"), F.size("commits").cast("long").alias("commits"),
+    )
