@@ -526,6 +526,8 @@ def default_model() -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding the ids gives the text back."""
     path = model_path or default_model()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    back = decode(encode(docs, path), path)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    digest = lambda c: F.unhex(F.sha2(F.coalesce(c, F.lit("")), 256))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", digest("text").alias("said"))
+    # Texts do not go through the second map beside their ids: their digests stand for them.
+    back = decode(encode(docs, path).drop("text"), path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (digest("decoded") == F.col("said")).alias("round_trip"))
