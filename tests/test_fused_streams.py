@@ -205,3 +205,25 @@ def test_a_day_ends_an_episode(after, state, closed):
     got, p = episodes([([said("waiting", 1, 1), said("feedback", 2, 2, "waiting", "handled")], 0), ([], after)])
     assert got == [("waiting", "waiting", 1, 1, "handled", state, closed)]
     assert (state == "open") == bool(p.handle.timers)
+
+
+def test_streams_of_both_kinds_go_on_where_they_ended(spark, tmp_path):
+    """Two runs over one checkpoint each: a late fact, feedback and a day's end by the watermark; a disappearance and its late row."""
+    from pyspark.sql import functions as F
+
+    schema = "id string, kind string, name string, category string, at timestamp, order_key string, fact_id string"
+
+    def land(name, rows):
+        spark.createDataFrame(rows, schema.replace("at timestamp", "at long")).withColumn("at", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+
+    def run():
+        streams = [spark.readStream.schema(schema).parquet(f"{tmp_path}/{n}") for n in ("facts", "feedback")]
+        changes = fusion.run_to_end(attention.attention_episodes(*streams, delay="1 hour"), f"file://{tmp_path}/run")
+        return sorted((r.id, r.kind, int(r.opened_at.timestamp()), r.facts, r.feedback, r.state) for r in attention.latest_episodes(changes).collect())
+
+    said = lambda id_, kind, at, n: (id_, kind, "x", "tool", at, f"{n:03d}", f"f{n}")
+    land("facts", [said("s", "waiting", 10_000, 1), said("s", "waiting", 10_100, 2), said("t", "waiting", 10_000, 3)])
+    land("feedback", [("s", "feedback", "waiting", "handled", 10_050, "fb", "g1")])
+    assert run() == [("s", "waiting", 10_000, 2, "handled", "open"), ("t", "waiting", 10_000, 1, None, "open")]
+    land("facts", [said("s", "start", 9_900, 4), said("s", "progress", 10_060, 5), said("s", "waiting", 10_000, 1), said("u", "progress", 200_000, 6)])
+    assert run() == [("s", "waiting", 10_000, 1, "handled", "resolved"), ("s", "waiting", 10_100, 1, None, "expired"), ("t", "waiting", 10_000, 1, None, "expired")]

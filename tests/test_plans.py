@@ -29,7 +29,11 @@ def plain(v):
     return v.replace(tzinfo=None) if isinstance(v, datetime.datetime) else v
 
 
-@pytest.mark.parametrize("name", [n for n, p in REGISTRY.items() if p.sql is not None and n != "live_stream_equivalence"])
+#: Plans that run streams several times over; the state logic and short streams are tested in test_fused_streams.py and test_streaming.py.
+LONG = ("live_stream_equivalence", "three_sources_in_one_state", "attention_in_a_stream")
+
+
+@pytest.mark.parametrize("name", [n for n, p in REGISTRY.items() if p.sql is not None and n not in LONG])
 def test_plan_equals_sql(spark, duck, name):
     df = plans.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
