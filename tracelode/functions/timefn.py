@@ -62,9 +62,10 @@ def work_period(hour: Column) -> Column:
     return F.when(hour <= 5, "night").when(hour <= 11, "morning").when(hour <= 17, "afternoon").otherwise("evening")
 
 
-def is_recent(ts: Column, now: Column, seconds: int) -> Column:
-    age = gap_seconds(now, ts)
-    return F.coalesce(age.between(0, seconds), F.lit(False))
+def is_recent(ts: Column, now: Column, seconds: int | Column) -> Column:
+    """Whether ts lies in the seconds before now, to the microsecond; later instants do not."""
+    age = F.unix_micros(now) - F.unix_micros(ts)
+    return F.coalesce(age.between(F.lit(0), F.lit(seconds).cast("long") * 1_000_000), F.lit(False))
 
 
 def in_range(date: Column, today: str, days: int) -> Column:
