@@ -225,8 +225,9 @@ SELECT 'u' || CAST(user_id AS VARCHAR) AS path, status FROM s WHERE age >= 0 AND
 
 @plan(RUNTIME_SQL)
 def runtime_states(t):
-    # Times are brought 3600 times nearer to now, as the events lie a month apart.
-    near = F.unix_millis(F.lit(NOW).cast("timestamp")) - F.floor((F.unix_seconds(F.lit(NOW).cast("timestamp")) - F.unix_seconds("ts")) / 3.6)
+    # Times are brought 3600 times nearer to now, as the events lie a month apart; parts of a millisecond away from now, so that none crosses a bound.
+    age = F.unix_seconds(F.lit(NOW).cast("timestamp")) - F.unix_seconds("ts")
+    near = F.unix_millis(F.lit(NOW).cast("timestamp")) - F.sign(age).cast("long") * F.ceil(F.abs(age) * 10 / 36)
     values = {"ms": near.cast("string"), "i": F.col("event_id").cast("string"), "u": F.col("user_id").cast("string")}
     line = F.when(F.col("event_type") == "signup", _fill(KIMI.records["signup"][0], values)).otherwise(_fill(KIMI.records["error"][0], values))
     lines = t.events.where("event_type IN ('signup', 'error')").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("n"), line.alias("line"))

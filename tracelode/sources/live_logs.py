@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.functions.timefn import instant
+from tracelode.functions.timefn import instant, is_recent
 from tracelode.operators.live import COMPLETED_WINDOW, LIVE_WINDOW
 from tracelode.sources.adapters import first_of, get, millis
 
@@ -74,8 +74,7 @@ def runtime_sessions(bronze: DataFrame, agent: str, now: Column) -> DataFrame:
         raise ValueError(f"no runtime log of {agent!r}")
     rows = bronze.where(~F.col("malformed")).select("path", "ordinal", status.alias("status"), instant(at).alias("updated_at")).where(F.col("status").isNotNull())
     last = rows.groupBy("path").agg(F.max(F.struct("ordinal", "status", "updated_at")).alias("s")).select("path", F.lit(agent).alias("agent"), "s.status", "s.updated_at")
-    age = F.unix_seconds(now) - F.unix_seconds("updated_at")
-    return last.where(age.between(0, F.when(F.col("status") == "completed", COMPLETED_WINDOW).otherwise(LIVE_WINDOW)))
+    return last.where(is_recent(F.col("updated_at"), now, F.when(F.col("status") == "completed", COMPLETED_WINDOW).otherwise(LIVE_WINDOW)))
 
 
 def latest_turns(sessions: DataFrame, turns: DataFrame) -> DataFrame:
