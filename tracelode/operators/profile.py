@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelode.functions.mathfn import average, cap, clamp, half_life_weight, inverse, nonnegative, ratio, weighted
+from tracelode.functions.mathfn import EPSILON, average, cap, clamp, half_life_weight, inverse, nonnegative, ratio, weighted
 from tracelode.functions.timefn import instant, iso_week, local, work_period
 
 CANONICAL_DAYS = 90
@@ -65,6 +65,8 @@ class Setting:
     tool_result_coverage: float = 1.0
     orchestration_coverage: float = 1.0
     process_control_coverage: float = 1.0
+    #: Weighted sums up to this are no signal.
+    nothing: float = EPSILON
 
 
 def sums(records: DataFrame, now: Column, days: int, group: list[str] | None = None, tz: str = "UTC") -> DataFrame:
@@ -112,7 +114,7 @@ def features(s: DataFrame, setting: Setting) -> DataFrame:
     per = lambda a: ratio(c(a), ws)
     mod = lambda a: ratio(c(a), ms)
     half = lambda signal, x: F.when(signal, x).otherwise(F.lit(50.0))
-    eps = 2.220446049250313e-16
+    eps = setting.nothing
     s = s.withColumns({
         "prompt_signal": c("prompt_count") > eps, "modification_signal": ms > eps, "lifecycle_signal": c("task_completions") + c("task_aborts") > eps,
         "first_tool_signal": c("first_tool_w") > eps, "token_signal": c("total_tokens") > eps,
