@@ -92,11 +92,15 @@ def disappeared(known: DataFrame, found: DataFrame, key: str = "id") -> DataFram
 def account_pages(pages: DataFrame) -> DataFrame:
     """Events of paged account usage (page long, body string): each page's events without those that repeat the end of the page before.
 
-    Pages are few (200 at most); their overlap is found by comparing ends of whole pages.
+    Only the numbers of pages are put in order; bodies meet by the number of the page before. An overlap can be so long only where
+    the end of the page before begins with the page's first event, so few ends are compared as a whole.
     """
     events = F.from_json(F.get_json_object("body", "$.usageEventsDisplay"), "array<string>")
-    rows = pages.select("page", events.alias("e")).withColumn("b", F.lag("e").over(Window.orderBy("page")))
+    numbers = pages.select("page").withColumn("before", F.lag("page").over(Window.orderBy("page")))
+    parsed = pages.select("page", events.alias("e"))
+    rows = parsed.join(numbers, "page").join(parsed.select(F.col("page").alias("before"), F.col("e").alias("b")), "before", "left")
     sizes = F.sequence(F.lit(0), F.least(F.size("e"), F.coalesce(F.size("b"), F.lit(0))))
-    fits = F.filter(sizes, lambda n: (n == 0) | (F.slice("b", F.size("b") - n + 1, n) == F.slice("e", F.lit(1), n)))
+    first = F.try_element_at("e", F.lit(1))
+    fits = F.filter(sizes, lambda n: F.when(n == 0, True).when(F.try_element_at("b", F.size("b") - n + 1) == first, F.slice("b", F.size("b") - n + 1, n) == F.slice("e", F.lit(1), n)))
     fresh = F.when(F.col("b").isNull(), F.col("e")).otherwise(F.slice("e", F.array_max(fits) + 1, F.size("e") - F.array_max(fits)))
     return rows.select("page", F.posexplode(fresh).alias("position", "event"))
