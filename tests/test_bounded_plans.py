@@ -15,3 +15,19 @@ def test_overlaps_of_pages_order_numbers_only(spark):
     found = live_logs.account_pages(pages)
     assert "lag(e" not in optimised(found)
     assert sorted((r.page, r.position, r.event) for r in found.collect()) == [(1, 0, '{"id":1}'), (1, 1, '{"id":1}'), (1, 2, '{"id":2}'), (1, 3, '{"id":1}'), (4, 0, '{"id":1}'), (4, 1, '{"id":3}'), (5, 0, '{"id":3}')]
+
+
+def test_helpers_form_no_pairs_within_a_key(spark):
+    from tracelode.operators import workspace
+
+    at = lambda n: F.timestamp_micros(n * 60_000_000)
+    spans = spark.range(40).select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("id"), F.lit("o").alias("origin"), at(F.col("id")).alias("at"), F.when(F.col("id") % 3 == 0, at(F.col("id") + 2)).alias("until"), (F.col("id") % 5 != 0).alias("accepts"))
+    events = spark.range(70).select(F.col("id").alias("event"), F.lit("o").alias("origin"), at(F.col("id")).alias("at"))
+    found = workspace._latest_accepting(events, spans, "origin", 600)
+    assert "Join" not in optimised(found)
+    want = {}
+    for e in range(70):
+        open_ = [s for s in range(40) if s % 5 and s <= e <= s + 10 and (s % 3 or s + 2 > e)]
+        if open_:
+            want[e] = f"s{max(open_):02d}"
+    assert {r.event: r.parent for r in found.collect()} == want

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tracelode.operators.graph import components, kept
 from tracelode.operators.joins import as_of
@@ -82,8 +84,9 @@ def folded_helpers(helpers: DataFrame, parents: DataFrame, tolerance_seconds: in
 def _latest_accepting(events: DataFrame, spans: DataFrame, key: str, tolerance_seconds: int) -> DataFrame:
     """(event, seen, parent): of sessions with that key the one with the latest accepting event that is still its state at the event.
 
-    Spans [at, until) are cut to the tolerance and laid on equal buckets of time, as wide as it, so that an event meets those of
-    its own bucket by equality.
+    Spans [at, until) are cut to the tolerance and laid on equal buckets of time, as wide as it. Each bucket of a key is one walk
+    in time over its spans and events: spans that began are a stack, whose top is the latest, and those that ended leave it for
+    good when they come to the top. So no pairs are formed, however many sessions share a key.
     """
     us = tolerance_seconds * 1_000_000
     bucket = lambda c: F.floor(F.unix_micros(c) / us)
@@ -91,9 +94,27 @@ def _latest_accepting(events: DataFrame, spans: DataFrame, key: str, tolerance_s
     laid = spans.where("accepts").withColumn("ends", ends).where(F.col(key).isNotNull())
     laid = laid.select(F.col(key).alias("k"), F.col("id").alias("parent"), F.col("at").alias("seen"), "until", F.explode(F.sequence(bucket(F.col("at")), bucket(F.col("ends")))).alias("b"))
     asked = events.where(F.col(key).isNotNull()).select("event", "at", F.col(key).alias("k"), bucket(F.col("at")).alias("b"))
-    met = asked.join(laid, ["k", "b"])
-    inside = (F.col("seen") <= F.col("at")) & (F.unix_micros("at") - F.unix_micros("seen") <= us) & (F.col("until").isNull() | (F.col("until") > F.col("at")))
-    return met.where(inside).groupBy("event").agg(F.max(F.struct("seen", "parent")).alias("p")).select("event", "p.seen", "p.parent")
+    kind, parent = asked.schema["event"].dataType, laid.schema["parent"].dataType
+    rows = laid.select("k", "b", F.unix_micros("seen").alias("at"), F.unix_micros("until").alias("until"), "parent", F.lit(None).cast(kind).alias("event"))
+    rows = rows.unionByName(asked.select("k", "b", F.unix_micros("at").alias("at"), F.lit(None).cast("long").alias("until"), F.lit(None).cast(parent).alias("parent"), "event"))
+
+    def walk(table: pa.Table) -> pa.Table:
+        # Spans before events of one instant; null parents are events and come last.
+        table = table.sort_by([("at", "ascending"), ("parent", "ascending")])
+        stack, found = [], []
+        for at, until, name, event in zip(*(table.column(c).to_pylist() for c in ("at", "until", "parent", "event"))):
+            if name is not None:
+                stack.append((at, until, name))
+                continue
+            while stack and stack[-1][1] is not None and stack[-1][1] <= at:
+                stack.pop()
+            if stack and at - stack[-1][0] <= us:
+                found.append((event, stack[-1][0], stack[-1][2]))
+        columns = list(zip(*found)) or [[], [], []]
+        return pa.table([pa.array(columns[0], table.schema.field("event").type), pa.array(columns[1], pa.int64()), pa.array(columns[2], table.schema.field("parent").type)], names=["event", "seen", "parent"])
+
+    out = StructType([StructField("event", kind), StructField("seen", LongType()), StructField("parent", parent)])
+    return rows.groupBy("k", "b").applyInArrow(walk, out).withColumn("seen", F.timestamp_micros("seen"))
 
 
 def _chained(rows: DataFrame, by: list[str], gap_seconds: int, reason: str) -> DataFrame:
