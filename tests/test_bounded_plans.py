@@ -31,3 +31,12 @@ def test_helpers_form_no_pairs_within_a_key(spark):
         if open_:
             want[e] = f"s{max(open_):02d}"
     assert {r.event: r.parent for r in found.collect()} == want
+
+
+def test_commits_of_a_log_need_no_window(spark):
+    from tracelode.sources import files
+
+    log = "lost\t1\t2\n1\t1\tbefore\n" + "".join(f"\x1e h{i} \x1f 2024-01-0{i} 00:00:00 \x1f S{i}\n\n{i}\t-\tf{i} \x1e x\n3\t4\tg\n" for i in range(1, 5))
+    found = files.git_log(spark.createDataFrame([("r", log), ("empty", "")], "path string, text string"), most=3)
+    assert "Window" not in optimised(found)
+    assert sorted((r.commit, r.subject, r.file, r.added, r.removed) for r in found.collect()) == sorted(x for i in (1, 2, 3) for x in ((f"h{i}", f"S{i}", f"f{i} \x1e x", i, 0), (f"h{i}", f"S{i}", "g", 3, 4)))

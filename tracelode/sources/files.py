@@ -150,14 +150,12 @@ def skill_files(texts: DataFrame) -> DataFrame:
 
 def git_log(texts: DataFrame, most: int = 24) -> DataFrame:
     """(path, commit, committed_at, subject, file, added, removed) from `git log --numstat` texts with header lines `\\x1e hash \\x1f time \\x1f subject`."""
-
-    lines = texts.select("path", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    head = F.startswith("line", F.lit("\x1e"))
-    w = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    carried = lines.withColumn("header", F.last(F.when(head, F.col("line")), ignorenulls=True).over(w)).withColumn("n", F.sum(head.cast("int")).over(w))
-    parts = F.split(F.substr("header", F.lit(2)), "\x1f")
+    # A line's start with \x1e begins a commit; what stands before the first is none. Commits need no order among them but their place.
+    commits = texts.select("path", F.explode(F.slice(F.split("text", "(?:\\A|\n)\x1e", most + 2), 2, most)).alias("body"))
+    lines = commits.select("path", F.substring_index("body", "\n", 1).alias("header"), F.explode(F.split("body", "\n")).alias("line"))
+    parts = F.split("header", "\x1f")
     stat = F.split("line", "\t")
-    files = carried.where(F.col("n").between(1, most)).withColumn("is_stat", ~head & (F.size(stat) == 3))
+    files = lines.withColumn("is_stat", (F.col("line") != F.col("header")) & (F.size(stat) == 3))
     number = lambda i: F.element_at(stat, i).try_cast("long")
     return files.where("is_stat").select(
         "path", F.trim(parts[0]).alias("commit"), F.try_to_timestamp(F.trim(parts[1])).alias("committed_at"), F.trim(parts[2]).alias("subject"),
