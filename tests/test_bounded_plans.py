@@ -40,3 +40,15 @@ def test_commits_of_a_log_need_no_window(spark):
     found = files.git_log(spark.createDataFrame([("r", log), ("empty", "")], "path string, text string"), most=3)
     assert "Window" not in optimised(found)
     assert sorted((r.commit, r.subject, r.file, r.added, r.removed) for r in found.collect()) == sorted(x for i in (1, 2, 3) for x in ((f"h{i}", f"S{i}", f"f{i} \x1e x", i, 0), (f"h{i}", f"S{i}", "g", 3, 4)))
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    from tracelode.sources import sinks, tail
+
+    rows = spark.range(3000).select((F.col("id") % 900).alias("k"), "id", F.concat(F.lit("é"), F.col("id").cast("string")).alias("value"))
+    assert sinks.log_files(rows, f"file://{tmp_path}", "k", ["id"]) == 900
+    for parts in (tail.TailReader({"path": str(tmp_path), "pattern": "*.txt"}).partitions(), tail.FollowReader({"path": str(tmp_path), "pattern": "*.txt"}).partitions({}, tail.FollowReader({"path": str(tmp_path), "pattern": "*.txt"}).latestOffset())):
+        assert len(parts) <= 3
+    got = tail.tail(spark, str(tmp_path), "*.txt").withColumn("k", F.regexp_extract("path", r"k=(\d+)/", 1).cast("long"))
+    lines = [(r.k, r.raw) for r in got.orderBy("k", "at").collect()]
+    assert lines == [(k, f"é{i}") for k in range(900) for i in range(k, 3000, 900)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelode.operators import increments
 from tracelode.plans.base import plan
 from tracelode.plans.streams import _ISO, _pick, _shared
-from tracelode.sources import files, tail
+from tracelode.sources import files, sinks, tail
 from tracelode.streaming import fusion, handover
 
 
@@ -91,7 +91,7 @@ def transcripts_handed_over(t):
     said = F.to_json(F.struct(F.lit("event_msg").alias("type"), stamp, F.struct(kind.alias("type")).alias("payload")))
     turn = F.to_json(F.struct(F.lit("turn_context").alias("type"), stamp, F.struct(F.concat(F.lit("m"), (F.col("event_id") % 4).cast("string")).alias("collaboration_mode")).alias("payload")))
     lines = t.events.select(F.col("user_id").alias("session"), "event_id", F.when(F.col("event_type") == "view", turn).otherwise(said).alias("value"))
-    lines.repartition("session").sortWithinPartitions("session", "event_id").select("session", "value").write.partitionBy("session").text(f"{folder}/logs")
+    sinks.log_files(lines, f"{folder}/logs", "session", ["event_id"])
     logs = f"{folder}/logs".removeprefix("file://")
     whole = tail.tail(spark, logs, "*.txt", last_bytes=1 << 62)
     place = F.row_number().over(Window.partitionBy("path").orderBy("at"))

@@ -181,7 +181,7 @@ def _grown_logs(t) -> str:
     if not folder.startswith("file:") and "://" in folder:
         raise ValueError("logs are followed in a file system that driver and executors have in common")
     line = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit("}"))
-    t.events.select("user_id", "event_id", line.alias("value")).repartition("user_id").sortWithinPartitions("user_id", "event_id").drop("event_id").write.partitionBy("user_id").text(folder)
+    sinks.log_files(t.events.select("user_id", "event_id", line.alias("value")), folder, "user_id", ["event_id"])
     return folder.removeprefix("file://")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelode.operators.graph import shared_folder
 from tracelode.plans.base import plan
-from tracelode.sources import tail
+from tracelode.sources import sinks, tail
 from tracelode.streaming import attention, envelopes, fusion, machine
 
 
@@ -116,7 +116,7 @@ def three_sources_in_one_state(t):
     for turn in (0, 1):
         # What the first run had comes again in part; snapshots of odd half days come before the even ones.
         hooks.where((landed == turn) | (F.col("event_id") % 20 == 0)).select("value").write.mode("append").text(f"{folder}/hooks")
-        lines.where(landed == turn).select("session", "value").repartition("session").write.mode("append").partitionBy("session").text(f"{folder}/lines")
+        sinks.log_files(lines.where(landed == turn), f"{folder}/lines", "session", ["event_id"], f"part-{turn}.txt")
         polls.where(F.pmod("half", F.lit(2)) == 1 - turn).withColumn("name", F.format_string(f"{turn}-%012d", "half")).drop("half").repartition("name").write.mode("append").partitionBy("name").json(f"{folder}/polls")
         facts = (
             fusion.hook_facts(envelopes.canonical(spark.readStream.text(f"{folder}/hooks")))

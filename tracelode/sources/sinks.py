@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,5 +91,37 @@ def export(rows: DataFrame, folder: str, kind: str, template: str, at: Column) -
     return found.agg(F.count("*").alias("n_rows")).select(F.lit(template).alias("template"), F.lit(kind).alias("kind"), "n_rows", at.alias("exported_at"))
 
 
+def log_files(rows: DataFrame, folder: str, key: str, order: list[str], name: str = "lines.txt", line: str = "value") -> int:
+    """Writes each key's lines in their order as the file key=.../name below folder; returns how many files there are.
+
+    The folder lies in a file system that driver and executors have in common. A task writes its files one after the other, and
+    a file appears when it is whole, so a task that runs again replaces what it wrote.
+    """
+    root = folder.removeprefix("file://")
+
+    def run(batches):
+        at, out, temporary, files = None, None, None, 0
+
+        def close():
+            if out is not None:
+                out.close()
+                os.replace(temporary, os.path.join(root, f"{key}={at}", name))
+
+        for b in batches:
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if out is None or k != at:
+                    close()
+                    at, files = k, files + 1
+                    os.makedirs(os.path.join(root, f"{key}={at}"), exist_ok=True)
+                    temporary = os.path.join(root, f"{key}={at}", f".{name}-{uuid.uuid4().hex}")
+                    out = open(temporary, "w", encoding="utf-8", newline="")
+                out.write(text + "\n")
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    placed = rows.repartition(key).sortWithinPartitions(key, *order).select(key, line)
+    return placed.mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

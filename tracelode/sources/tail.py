@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fnmatch import fnmatch
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -25,6 +26,8 @@ from pyspark.sql.types import StructType
 MAX_LINE, TAIL_BYTES, FOLLOW_BYTES = 256 << 10, 768 << 10, 1 << 20
 #: Bytes of one file that one task reads.
 RANGE_BYTES = 32 << 20
+#: What opening a file costs a task, in bytes that it could read instead.
+OPEN_BYTES = 64 << 10
 BLOCK = 64 << 10
 
 
@@ -35,6 +38,26 @@ class Range(InputPartition):
         self.path, self.low, self.high, self.whole = path, low, high, whole
 
 
+class Ranges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
+def packed(found: Iterable[Range]) -> list[Ranges]:
+    """found in as few tasks as their bytes and files ask for: many small files are one task."""
+    packs, free = [], 0
+    for r in found:
+        cost = r.high - r.low + OPEN_BYTES
+        if cost > free:
+            packs.append(Ranges([]))
+            free = RANGE_BYTES + OPEN_BYTES
+        packs[-1].ranges.append(r)
+        free -= cost
+    return packs
+
+
 def files_below(folder: str, pattern: str) -> Iterator[str]:
     for at, _, names in os.walk(folder):
         yield from (os.path.join(at, n) for n in sorted(names) if fnmatch(n, pattern))
@@ -104,10 +127,10 @@ class TailReader(DataSourceReader):
 
     def partitions(self):
         sizes = [(p, size_of(p)) for p in files_below(self.folder, self.pattern)]
-        return [r for p, n in sizes for r in ranges(p, max(0, n - self.last), n, n <= self.last)]
+        return packed(r for p, n in sizes for r in ranges(p, max(0, n - self.last), n, n <= self.last))
 
     def read(self, partition):
-        return lines_of(partition)
+        return chain.from_iterable(map(lines_of, partition.ranges))
 
 
 class FollowReader(DataSourceStreamReader):
@@ -132,10 +155,10 @@ class FollowReader(DataSourceStreamReader):
                 found += ranges(path, begin, high, begin == 0)
             else:
                 found += ranges(path, low, high, True)
-        return found
+        return packed(found)
 
     def read(self, partition):
-        return lines_of(partition)
+        return chain.from_iterable(map(lines_of, partition.ranges))
 
     def commit(self, end: dict) -> None:
         pass
