@@ -2,6 +2,8 @@ import itertools
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from tracelode.operators import phrases
 
 
@@ -63,3 +65,15 @@ def test_chinese_phrases_begin_at_every_character_or_at_words(spark):
     words = {"运行": -1.0, "测试": -1.0, "项目": -3.0, "请": -2.0}
     cut = {r.phrase: r.segmentation for r in phrases.message_phrases(df, ["id"], lexicon=words).collect()}
     assert {"运行测试", "请运行"} <= set(cut) and "行测试" not in cut and set(cut.values()) == {"lexicon"}
+
+
+def test_counts_do_not_depend_on_how_many_a_task_holds(spark, monkeypatch):
+    texts = spark.createDataFrame([("中文分词中文分 x 中文分词",), (None,), ("",), ("运行测试",)], "text string").coalesce(1)
+    want = {"中文分": 3, "文分词": 2, "分词中": 1, "词中文": 1, "中文分词": 2, "文分词中": 1, "分词中文": 1, "词中文分": 1, "运行测": 1, "行测试": 1, "运行测试": 1}
+    for held in (1, 100):
+        monkeypatch.setattr(phrases, "PHRASES_AT_ONCE", held)
+        monkeypatch.setattr(phrases, "MESSAGES_AT_ONCE", held)
+        assert {r.phrase: r.occurrences for r in phrases.character_phrases(texts, 4).collect()} == want
+        rows = spark.range(5).select("id", F.concat(F.lit("green apple pie number"), F.lit(" ok")).alias("text")).coalesce(1)
+        found = phrases.message_phrases(rows, ["id"]).where("phrase = 'apple pie'").collect()
+        assert sorted(r.id for r in found) == [0, 1, 2, 3, 4]

@@ -6,12 +6,15 @@ characters that is long enough is a phrase. `segmentation` tells which it was; E
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tracelode.functions.hashing import stable_hash
 
@@ -19,6 +22,8 @@ from tracelode.functions.hashing import stable_hash
 MAX_TOKENS, MAX_PER_MESSAGE, MAX_PER_ROLE_DATE, MAX_CLOUD = 5, 180, 240, 8
 ZH_CHARS, EN_TOKENS, EN_BYTES, ZH_TOKEN, EN_TOKEN = (3, 12), (2, 5), 72, 12, 28
 
+#: Messages, and phrases of counted texts, that a task holds as Python values at once.
+MESSAGES_AT_ONCE, PHRASES_AT_ONCE = 64, 100_000
 #: Words of a lexicon that may be sent to every task.
 LEXICON_WORDS = 1_000_000
 
@@ -118,12 +123,35 @@ class Segmenter:
         return best_path(run, self.lexicon, self.longest, self.unknown)
 
 
-def characters(run: str) -> Counter:
+def characters(run: str, longest: int = ZH_CHARS[1]) -> Counter:
     """Every run of characters inside run that is as long as a phrase may be, but words that carry none alone."""
-    found = (run[i : i + n] for n in range(ZH_CHARS[0], ZH_CHARS[1] + 1) for i in range(len(run) - n + 1))
+    found = (run[i : i + n] for n in range(ZH_CHARS[0], longest + 1) for i in range(len(run) - n + 1))
     return Counter(p for p in found if p not in ZH_STOP)
 
 
+def character_phrases(texts: DataFrame, longest: int, text: str = "text") -> DataFrame:
+    """(phrase, occurrences) of the Chinese runs of all texts, phrases of up to `longest` characters.
+
+    A task adds up what it has counted and hands it on when it holds PHRASES_AT_ONCE phrases; a text is counted on its own.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        given = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["phrase", "occurrences"])
+        for batch in batches:
+            for t in batch.column(0):
+                for run in PART.findall(t.as_py() or ""):
+                    if HAN.match(run):
+                        counts.update(characters(run, longest))
+                if len(counts) >= PHRASES_AT_ONCE:
+                    yield given()
+                    counts.clear()
+        yield given()
+
+    found = texts.select(text).mapInArrow(count, "phrase string, occurrences long")
+    return found.groupBy("phrase").agg(F.sum("occurrences").alias("occurrences"))
+
+
 def ngrams(text: str, segmenter: Segmenter | None = None) -> Counter:
     """Phrases of one message with their occurrences."""
     counts: Counter = Counter()
@@ -176,18 +204,25 @@ def message_phrases(messages: DataFrame, key: list[str], text: str = "text", lex
     ready = messages.withColumn("__c", cleaned(F.trim(text))).where(F.length(F.trim(text)) >= 2)
     ready = ready.select(*key, frames(F.col("__c")).alias("__f"), unframed(F.col("__c")).alias("__t"))
 
-    @F.pandas_udf("array<struct<phrase:string,occurrences:long>>")
-    def count(found: pd.Series, rest: pd.Series) -> pd.Series:
-        out, segmenter = [], None if shared is None else Segmenter(shared.value)
-        for fs, t in zip(found, rest):
-            counts = ngrams(t, segmenter)
-            counts.update(fs)
-            best = sorted(counts.items(), key=lambda x: (-x[1], -len(x[0]), x[0]))[:MAX_PER_MESSAGE]
-            out.append([{"phrase": p, "occurrences": n} for p, n in best])
-        return pd.Series(out)
-
-    rows = ready.select(*key, F.explode(count("__f", "__t")).alias("p"))
-    return rows.select(*key, "p.phrase", "p.occurrences", F.when(F.col("p.phrase").rlike(r"\p{IsHan}"), "fallback" if lexicon is None else "lexicon").otherwise("exact").alias("segmentation"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = None if shared is None else Segmenter(shared.value)
+        for whole in batches:
+            # A few messages at a time: neither texts nor phrases of a whole batch become Python values at once.
+            for at in range(0, whole.num_rows, MESSAGES_AT_ONCE):
+                batch = whole.slice(at, MESSAGES_AT_ONCE)
+                rows, phrases, occurrences = [], [], []
+                for i, (fs, t) in enumerate(zip(batch.column("__f").to_pylist(), batch.column("__t").to_pylist())):
+                    counts = ngrams(t, segmenter)
+                    counts.update(fs)
+                    for p, n in heapq.nsmallest(MAX_PER_MESSAGE, counts.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
+                        rows.append(i)
+                        phrases.append(p)
+                        occurrences.append(n)
+                keys = batch.select(key).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(phrases, pa.string()), pa.array(occurrences, pa.int64())], names=[*key, "phrase", "occurrences"])
+
+    out = StructType([*[ready.schema[k] for k in key], StructField("phrase", StringType()), StructField("occurrences", LongType())])
+    return ready.mapInArrow(count, out).select(*key, "phrase", "occurrences", F.when(F.col("phrase").rlike(r"\p{IsHan}"), "fallback" if lexicon is None else "lexicon").otherwise("exact").alias("segmentation"))
 
 
 def without_replays(messages: DataFrame, session: str, order: str, role: str = "role", text: str = "text") -> DataFrame:

@@ -59,13 +59,7 @@ SELECT translate(p, 'abcdefghij', '中文分词项目运行测试') AS phrase, c
 def chinese_character_phrases(t):
     """Every run of three or four characters counts, wherever it begins. The texts' letters a to j stand for ten characters."""
     text = F.translate(F.regexp_replace(F.lower("text"), "[^a-j]", ""), "abcdefghij", "中文分词项目运行测试")
-
-    @F.pandas_udf("array<struct<phrase:string,n:long>>")
-    def count(texts):
-        return texts.map(lambda x: [{"phrase": p, "n": n} for p, n in phrases.ngrams(x).items() if len(p) <= 4])
-
-    rows = t.documents.select(text.alias("text")).where("text <> ''").select(F.explode(count("text")).alias("p"))
-    return rows.groupBy("p.phrase").agg(F.sum("p.n").alias("occurrences")).where("occurrences >= 20")
+    return phrases.character_phrases(t.documents.select(text.alias("text")), 4).where("occurrences >= 20")
 
 
 SKILLS = ("grill-me", "pdf", "github:yeet")
