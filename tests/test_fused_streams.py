@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql.datasource import DataSourceStreamReader, SimpleDataSourceStreamReader
 
 from tracelode.streaming import attention, fusion
 
@@ -227,3 +228,34 @@ def test_streams_of_both_kinds_go_on_where_they_ended(spark, tmp_path):
     assert run() == [("s", "waiting", 10_000, 2, "handled", "open"), ("t", "waiting", 10_000, 1, None, "open")]
     land("facts", [said("s", "start", 9_900, 4), said("s", "progress", 10_060, 5), said("s", "waiting", 10_000, 1), said("u", "progress", 200_000, 6)])
     assert run() == [("s", "waiting", 10_000, 1, "handled", "resolved"), ("s", "waiting", 10_100, 1, None, "expired"), ("t", "waiting", 10_000, 1, None, "expired")]
+
+
+def test_a_late_poll_takes_back_a_disappearance_before_a_resume():
+    """What a transcript's fact before a stop adds depends on whether the session was shown, so it stays open."""
+    facts = [fact("hook", "running", 10, 1), poll(100, "a", 20), poll(100, None, None), poll(300, None, None), fact("transcript", "error", 310, 2), fact("hook", "waiting", 320, 3), fact("hook", "running", 330, 4)]
+    late = [poll(300, "a", 290)]
+    want, _ = fused([facts + late])
+    assert want["a"]["actions"] == ["l2", "l3", "l4"]
+    assert fused([facts, late])[0] == want
+
+
+def test_polled_snapshots_are_read_by_tasks(spark, tmp_path):
+    """Two runs over one checkpoint: snapshots as files and as folders, a missing field, and only new names the second time."""
+    import json
+
+    def land(name, *rows):
+        path = tmp_path / "polls" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("".join(json.dumps(r) + "\n" for r in rows))
+
+    def run():
+        out = fusion.run_to_end(fusion.polled(spark, f"file://{tmp_path}/polls"), f"file://{tmp_path}/run")
+        return [(r.batch, r.poll.isoformat(), r.agent, r.session, r.status, r.updated_at and r.updated_at.isoformat()) for r in out.collect()]
+
+    assert issubclass(fusion.SnapshotReader, DataSourceStreamReader) and not issubclass(fusion.SnapshotReader, SimpleDataSourceStreamReader)
+    land("1.json", {"poll": "2026-01-01T00:00:01.000002Z", "agent": "x", "session": "s" * 300_000, "status": "running", "updated_at": "2026-01-01T00:00:00Z"}, {"poll": "2026-01-01T00:00:01.000002Z", "agent": "x"})
+    first = [(0, "2026-01-01T00:00:01.000002", "x", None, None, None), (0, "2026-01-01T00:00:01.000002", "x", "s" * 300_000, "running", "2026-01-01T00:00:00")]
+    assert sorted(run(), key=repr) == sorted(first, key=repr)
+    land("2/part-0.json", {"poll": "2026-01-01T02:00:01+01:00", "agent": "x"})
+    land("2/part-1.json", {"poll": "2026-01-01T02:00:01+01:00", "agent": "y", "session": "t", "status": "idle"})
+    assert sorted(run(), key=repr) == sorted([*first, (1, "2026-01-01T01:00:01", "x", None, None, None), (1, "2026-01-01T01:00:01", "y", "t", "idle", None)], key=repr)

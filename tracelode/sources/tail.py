@@ -89,8 +89,8 @@ def ranges(path: str, low: int, high: int, whole: bool) -> list[Range]:
     return [Range(path, a, min(a + RANGE_BYTES, high), whole and a == low) for a in range(low, high, RANGE_BYTES)]
 
 
-def lines_of(r: Range) -> Iterator[tuple[str, int, str]]:
-    """(path, at, raw) of a range's lines; at is the byte at which a line begins."""
+def lines_of(r: Range, most: int = MAX_LINE) -> Iterator[tuple[str, int, str]]:
+    """(path, at, raw) of a range's lines of at most so many bytes; at is the byte at which a line begins."""
     if not size_of(r.path):
         return
     with open(r.path, "rb") as f:
@@ -101,11 +101,11 @@ def lines_of(r: Range) -> Iterator[tuple[str, int, str]]:
             at += _rest_of_line(f) - 1
         f.seek(at)
         while at < r.high:
-            line = f.readline(MAX_LINE + 1)
+            line = f.readline(most + 1)
             if not line:
                 return
             size = len(line)
-            if size > MAX_LINE and not line.endswith(b"\n"):
+            if size > most and not line.endswith(b"\n"):
                 size += _rest_of_line(f)
             elif text := line.rstrip(b"\r\n"):
                 yield r.path, at, text.decode("utf-8", "replace")

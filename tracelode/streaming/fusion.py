@@ -24,17 +24,19 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from tracelode.functions.hashing import live_session_id, stable_hash
 from tracelode.functions.timefn import instant
 from tracelode.sources.live_logs import SIGNALS
-from tracelode.sources.tail import files_below
+from tracelode.sources.tail import Ranges, files_below, lines_of, packed, ranges, size_of
 
 ACTIVE = ("idle", "running")
 KEPT, SHOWN, BUCKETS = 4096, 3, 64
+#: Bytes of the longest row of a snapshot.
+MAX_ROW = 1 << 30
 FACTS = "bucket int, id string, agent string, origin string, status string, phase string, label string, reason string, live boolean, at timestamp, order_key string, fact_id string"
 #: Instants are microseconds inside the state, so that no zone plays a part there.
 CARD = "id string, agent string, status string, phase string, reason string, started_at long, updated_at long, activity_ended_at long, actions array<string>"
@@ -131,11 +133,16 @@ def with_gone(facts: list[dict], seen: list[int], polls: list[int]) -> list[dict
 def settled(line: list[dict], kept: int) -> int:
     """How many of the first of all facts in order cannot matter any more, whatever arrives after them."""
     n = max(0, len(line) - kept)
+    sure = [f["origin"] in (HOOK, POLL) for f in line]
     for i in range(len(line) - 1, 0, -1):
         a, b = line[i - 1], line[i]
         # Sure to stop and sure to resume, neither by a transcript, whose facts depend on what was before.
-        if b["origin"] in (HOOK, POLL) and b["status"] in ACTIVE and a["origin"] in (HOOK, POLL) and a["status"] not in ACTIVE:
-            return max(n, min(i - 1, len(line) - SHOWN))
+        if sure[i] and b["status"] in ACTIVE and sure[i - 1] and a["status"] not in ACTIVE:
+            # What else is shown of before are actions: none where a completion is resumed, else those from one more sure fact on.
+            if a["status"] == "completed":
+                return max(n, i - 1)
+            if i > 1 and sure[i - 2]:
+                return max(n, i - 2)
     return n
 
 
@@ -239,41 +246,33 @@ def fused_sessions(facts: DataFrame, kept: int = KEPT) -> DataFrame:
     return cards.withColumns({c: F.timestamp_micros(c) for c in TIMES})
 
 
-class SnapshotReader(SimpleDataSourceStreamReader):
-    """Polled snapshots below a folder, one JSON-lines file or folder of such a poll, in the order of their names.
+class SnapshotReader(DataSourceStreamReader):
+    """Lines of polled snapshots below a folder, one JSON-lines file or folder of such a poll, in the order of their names.
 
-    The offset is the name of the last one read. A snapshot is what one machine's runtimes show, so it is small; the driver
-    reads it, as a poller does.
+    The offset is the name of the last one. The driver lists names and sizes; tasks read the lines.
     """
 
     def __init__(self, options: dict):
-        self.folder, self.most = options["path"].removeprefix("file://"), int(options.get("snapshots", "1000"))
+        self.folder = options["path"].removeprefix("file://")
 
-    def initialOffset(self) -> dict:
-        return {"name": ""}
-
-    def _names(self) -> list[str]:
-        found = {}
+    def _names(self) -> dict[str, list[str]]:
+        found: dict[str, list[str]] = {}
         for path in files_below(self.folder, "*.json"):
             found.setdefault(path[len(self.folder) :].strip("/").split("/")[0], []).append(path)
-        return sorted(found.items())
+        return found
+
+    def initialOffset(self) -> dict:
+        return {"name": ""}
 
-    def _rows(self, paths: list[str]) -> Iterator[tuple]:
-        for path in sorted(paths):
-            with open(path, encoding="utf-8") as f:
-                for line in f:
-                    if line.strip():
-                        r = json.loads(line)
-                        stamp = lambda k: pd.to_datetime(r[k], utc=True).to_pydatetime() if r.get(k) else None  # noqa: B023, E731
-                        yield stamp("poll"), r.get("agent"), r.get("session"), r.get("status"), r.get("phase"), r.get("label"), stamp("updated_at")
+    def latestOffset(self) -> dict:
+        return {"name": max(self._names(), default="")}
 
-    def read(self, start: dict):
-        new = [(n, p) for n, p in self._names() if n > start["name"]][: self.most]
-        rows = [r for _, paths in new for r in self._rows(paths)]
-        return iter(rows), {"name": new[-1][0] if new else start["name"]}
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        new = sorted((n, p) for n, paths in self._names().items() if start["name"] < n <= end["name"] for p in paths)
+        return packed(r for _, p in new for r in ranges(p, 0, size_of(p), True))
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([r for n, paths in self._names() if start["name"] < n <= end["name"] for r in self._rows(paths)])
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        return ((raw,) for r in partition.ranges for _, _, raw in lines_of(r, MAX_ROW) if raw.strip())
 
     def commit(self, end: dict) -> None:
         pass
@@ -285,16 +284,18 @@ class PolledSnapshots(DataSource):
         return "polled_snapshots"
 
     def schema(self) -> str:
-        return "poll timestamp, agent string, session string, status string, phase string, label string, updated_at timestamp"
+        return "raw string"
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return SnapshotReader(self.options)
 
 
-def polled(spark: SparkSession, folder: str, snapshots: int = 1000) -> DataFrame:
-    """The snapshots below folder as a stream; at most so many a batch."""
+def polled(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshots below folder as a stream; a line that is no JSON fails it."""
     spark.dataSource.register(PolledSnapshots)
-    return spark.readStream.format("polled_snapshots").option("snapshots", str(snapshots)).load(folder)
+    names = ("poll", "agent", "session", "status", "phase", "label", "updated_at")
+    rows = spark.readStream.format("polled_snapshots").load(folder).select(F.from_json("raw", ", ".join(f"{n} string" for n in names), {"mode": "FAILFAST"}).alias("r"))
+    return rows.select(*[F.to_timestamp(f"r.{n}").alias(n) if n in ("poll", "updated_at") else F.col(f"r.{n}").alias(n) for n in names])
 
 
 def latest_cards(changes: DataFrame) -> DataFrame:
