@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tracelode.operators import increments
@@ -85,3 +86,21 @@ def test_bootstrap_and_tail_equal_one_read_for_cuts_at_every_line(spark):
             s = handover.take(s, r.asDict())
         ends.append({k: v for k, v in s.items() if k != "path"})
     assert all(e == ends[0] for e in ends) and ends[0] == {k: v for k, v in starts["p25"].items() if k != "path"}
+
+
+def test_a_group_of_the_state_holds_many_transcripts():
+    """Lines of several transcripts, mixed and cut anywhere, with and without a state handed over."""
+    states = {}
+
+    class Map:
+        getValue, updateValue = staticmethod(states.get), staticmethod(states.__setitem__)
+
+    turns = handover.Turns()
+    turns.init(type("Handle", (), {"getMapState": lambda *_: Map()})())
+    turns.handleInitialState((0,), pd.DataFrame({"path": ["a", "b"], "body": [json.dumps(handover.unread("a") | {"next": 20, "new_mode": "plan"}), json.dumps(handover.unread("b") | {"next": 10})]}), None)
+    line = lambda path, at, kind=None, mode=None: {"bucket": 0, "path": path, "at": at, "size": 10, "kind": kind, "ts": None if kind is None else at * 1000, "mode": mode}
+    rows = [line("c", 10, "task_complete"), line("a", 30, "error"), line("b", 0, "error"), line("a", 20, "task_started"), line("c", 0, "task_started"), line("b", 10, None, "code")]
+    frame = next(turns.handleInputRows((0,), iter([pd.DataFrame(rows[:2]), pd.DataFrame(rows[2:])]), None))
+    got = {r["path"]: (r["next"], r["open"], r["kind"], r["mode"], r["new_mode"]) for r in frame.to_dict("records")}
+    assert got == {"a": (40, True, "error", "plan", "plan"), "b": (20, False, None, None, "code"), "c": (20, False, "task_complete", None, None)}
+    assert set(states) == {("a",), ("b",), ("c",)} and json.loads(states["a",][0])["signal_at"] == 30_000

@@ -20,6 +20,9 @@ from tracelode.sources.live_logs import CLOSES, OPENS, SIGNALS
 #: What is known of a transcript; `next` is the byte at which reading goes on. Instants are microseconds.
 TURNS = "path string, next long, open boolean, started_at long, kind string, status string, phase string, signal_at long, mode string, new_mode string"
 NAMES = tuple(c.split()[0] for c in TURNS.split(", "))
+LINE = ("path", "at", "size", "kind", "ts", "mode")
+#: Groups of the state; fixed for a checkpoint.
+BUCKETS = 512
 
 
 def signals(lines: DataFrame) -> DataFrame:
@@ -71,28 +74,40 @@ def _plain(record: dict) -> dict:
 
 class Turns(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("turns", "body string")
+        self.turns = handle.getMapState("turns", "path string", "body string")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         # Instants may be missing, so they pass as text.
-        self.state.update((initialState["body"].iloc[0],))
+        for path, body in zip(initialState["path"], initialState["body"]):
+            self.turns.updateValue((path,), (body,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = json.loads(self.state.get()[0]) if self.state.exists() else unread(key[0])
-        lines = [_plain(r) for pdf in rows for r in pdf.to_dict("records")]
-        for line in sorted(lines, key=lambda x: x["at"]):
-            s = take(s, line)
-        self.state.update((json.dumps(s),))
-        yield pd.DataFrame({c: pd.Series([s[c]], dtype="Int64" if c in ("next", "started_at", "signal_at") else "object") for c in NAMES})
+        lines: dict[str, list[tuple]] = {}
+        for pdf in rows:
+            for path, *line in zip(*(pdf[c] for c in LINE)):
+                lines.setdefault(path, []).append(tuple(line))
+        out = []
+        for path, new in lines.items():
+            found = self.turns.getValue((path,))
+            s = json.loads(found[0]) if found else unread(path)
+            for line in sorted(new, key=lambda x: x[0]):
+                s = take(s, _plain(dict(zip(LINE[1:], line))))
+            self.turns.updateValue((path,), (json.dumps(s),))
+            out.append(s)
+        yield pd.DataFrame({c: pd.Series([s[c] for s in out], dtype="Int64" if c in ("next", "started_at", "signal_at") else "object") for c in NAMES})
 
     def close(self) -> None:
         pass
 
 
-def followed(lines: DataFrame, known: DataFrame) -> DataFrame:
-    """Changed TURNS of a stream of lines (path, at, raw) that goes on where known, the TURNS of a batch, ended. Needs the RocksDB state store."""
-    first = known.select("path", F.to_json(F.struct(*NAMES), {"ignoreNullFields": "false"}).alias("body")).groupBy("path")
-    return signals(lines).groupBy("path").transformWithStateInPandas(statefulProcessor=Turns(), outputStructType=TURNS, outputMode="Update", timeMode="None", initialState=first)
+def followed(lines: DataFrame, known: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Changed TURNS of a stream of lines (path, at, raw) that goes on where known, the TURNS of a batch, ended. Needs the RocksDB state store.
+
+    The state is grouped by buckets of paths, as the rows of one key cost far more than a row; a task holds a bucket's lines of a batch.
+    """
+    bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int").alias("bucket")
+    first = known.select(bucket, "path", F.to_json(F.struct(*NAMES), {"ignoreNullFields": "false"}).alias("body")).groupBy("bucket")
+    return signals(lines).select(bucket, *LINE).groupBy("bucket").transformWithStateInPandas(statefulProcessor=Turns(), outputStructType=TURNS, outputMode="Update", timeMode="None", initialState=first)
 
 
 def latest(known: DataFrame, changes: DataFrame) -> DataFrame:
