@@ -259,3 +259,24 @@ def test_polled_snapshots_are_read_by_tasks(spark, tmp_path):
     land("2/part-0.json", {"poll": "2026-01-01T02:00:01+01:00", "agent": "x"})
     land("2/part-1.json", {"poll": "2026-01-01T02:00:01+01:00", "agent": "y", "session": "t", "status": "idle"})
     assert sorted(run(), key=repr) == sorted([*first, (1, "2026-01-01T01:00:01", "x", None, None, None), (1, "2026-01-01T01:00:01", "y", "t", "idle", None)], key=repr)
+
+
+def test_sessions_of_one_group_are_as_each_alone():
+    """Several sessions in one group of the state, cut anywhere, with one timer: what each gives as a group of its own."""
+    rng = random.Random(9)
+    batches = []
+    for watermark in (0, 20_000, 60_000, 90_000):
+        facts = [{"id": i, **said(rng.choice(["failure", "start", "waiting", "progress"]), rng.randrange(watermark, watermark + 60_000), watermark + n, rng.choice("xy"))} for n in range(30) for i in "abc"]
+        batches.append((rng.sample(facts, 60), watermark))
+    want = [(i, *e) for i in "abc" for e in episodes([*[([f for f in rows if f["id"] == i], w) for rows, w in batches], ([], 400_000)])[0]]
+    p = attention.GroupedEpisodes(100)
+    p.init(Handle())
+    last = {}
+    end = type("Expired", (), {"getExpiryTimeInMs": lambda self: max(p.handle.timers)})()
+    for rows, watermark in [*batches, ([], 400_000)]:
+        clock = Clock(watermark * 1000)
+        for pdf in p.handleInputRows((0,), iter([pd.DataFrame(rows[:20]), pd.DataFrame(rows[20:])]), clock) if rows else p.handleExpiredTimer((0,), clock, end):
+            last |= {(r["id"], r["episode_id"]): {k: (None if v is pd.NA else v) for k, v in r.items()} for r in pdf.to_dict("records")}
+        assert len(p.handle.timers) <= 1
+    got = [(e["id"], e["kind"], e["rule"], e["opened_at"] // 10**6, e["facts"], e["feedback"], e["state"], e["closed_at"] and e["closed_at"] // 10**6) for e in last.values() if e["state"] != "withdrawn"]
+    assert sorted(got) == sorted(want) and not p.wakes.d

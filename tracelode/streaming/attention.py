@@ -7,7 +7,7 @@ progress between. Reading and editing may repeat, a failure may stand alone, sil
 second input: it marks the open episode of its kind and resolves nothing.
 
 Late facts are taken up to the watermark: facts behind it are folded into the base for good, those before it stay in a
-list that grows by appending. After each batch the episodes are those of the base and the list, so the order of arrival
+list. After each batch the episodes are those of the base and the list, so the order of arrival
 and repeats do not matter; an episode that a late fact makes vanish is withdrawn. Event-time timers fold and expire.
 """
 
@@ -34,6 +34,8 @@ EPISODE = (
 )
 INSTANTS = ("opened_at", "last_at", "snoozed_until", "closed_at")
 SECOND = 1_000_000
+#: Groups of the state; fixed for a checkpoint.
+BUCKETS = 256
 
 
 def nothing() -> dict:
@@ -93,7 +95,44 @@ def place(f: dict) -> tuple:
     return f["at"], f["order_key"], f["fact_id"]
 
 
+def settle(s: dict, id_: str, fresh: list[dict], watermark: int, window: int) -> list[dict]:
+    """Folds into s (base, pending, shown: all of one session) what the watermark has passed, keeps the rest, and returns the episodes that are new or changed."""
+    line = sorted([*s["pending"], *fresh], key=place)
+    passed = [f for f in line if f["at"] <= watermark]
+    final: list[dict] = []
+    for f in passed:
+        step(s["base"], id_, f, window, final)
+    expire(s["base"], watermark, final)
+    s["pending"] = line[len(passed) :]
+    view, ended = json.loads(json.dumps(s["base"])), []
+    for f in s["pending"]:
+        step(view, id_, f, window, ended)
+    now = {e["episode_id"]: e for e in [*final, *ended, *view["open"].values()]}
+    sure = {e["episode_id"] for e in final}
+    before, s["shown"] = s["shown"], {name: json.dumps(e, sort_keys=True) for name, e in now.items() if name not in sure}
+    out = [{"id": id_, **e} for name, e in now.items() if before.get(name) != json.dumps(e, sort_keys=True)]
+    return out + [{"id": id_, **json.loads(before[name]), "state": "withdrawn"} for name in before.keys() - now.keys()]
+
+
+def wakes(s: dict) -> int | None:
+    """The next millisecond at which something of s passes the watermark for good."""
+    next_ = [f["at"] for f in s["pending"][:1]] + [e["opened_at"] + EXPIRES * SECOND for e in s["base"]["open"].values()]
+    return min(next_) // 1000 + 2 if next_ else None
+
+
+def new_facts(s: dict, rows: list[dict]) -> list[dict]:
+    """rows without those that s knows, each once."""
+    known, fresh = {f["fact_id"] for f in s["pending"]}, []
+    for r in rows:
+        if r["fact_id"] not in known:
+            known.add(r["fact_id"])
+            fresh.append({**r, "at": int(r["at"])})
+    return fresh
+
+
 class Episodes(StatefulProcessor):
+    """One session a group, for streams of few sessions with many facts: its list of facts grows by appending."""
+
     def __init__(self, window: int = WINDOW):
         self.window = window
 
@@ -104,70 +143,95 @@ class Episodes(StatefulProcessor):
         #: Episodes that were given out and may still change.
         self.shown = handle.getMapState("shown", "episode_id string", "body string")
 
-    def _pending(self) -> list[dict]:
-        return [dict(zip(FACT[1:], row)) for row in self.pending.get()] if self.pending.exists() else []
-
-    def _settle(self, id_: str, facts: list[dict], fresh: list[dict], watermark: int) -> list[dict]:
-        """Folds what the watermark has passed, keeps the rest, and returns the episodes that are new or changed."""
-        base = json.loads(self.base.get()[0]) if self.base.exists() else nothing()
-        line = sorted([*facts, *fresh], key=place)
-        passed = [f for f in line if f["at"] <= watermark]
-        final: list[dict] = []
-        for f in passed:
-            step(base, id_, f, self.window, final)
-        expire(base, watermark, final)
-        self.base.update((json.dumps(base),))
-        rest = line[len(passed) :]
-        if passed or len(rest) < len(facts):
+    def _settle(self, id_: str, rows: list[dict], watermark: int) -> list[dict]:
+        s = {
+            "base": json.loads(self.base.get()[0]) if self.base.exists() else nothing(), "shown": {k[0]: v[0] for k, v in self.shown.iterator()},
+            "pending": [dict(zip(FACT[1:], row)) for row in self.pending.get()] if self.pending.exists() else [],
+        }
+        held, before, fresh = len(s["pending"]), s["shown"], new_facts(s, rows)
+        out = settle(s, id_, fresh, watermark, self.window)
+        self.base.update((json.dumps(s["base"]),))
+        if len(s["pending"]) < held + len(fresh):
             self.pending.clear()
-            if rest:
-                self.pending.put([tuple(f[c] for c in FACT[1:]) for f in rest])
+            if s["pending"]:
+                self.pending.put([tuple(f[c] for c in FACT[1:]) for f in s["pending"]])
         elif fresh:
             self.pending.appendList([tuple(f[c] for c in FACT[1:]) for f in fresh])
-        view, ended = json.loads(json.dumps(base)), []
-        for f in rest:
-            step(view, id_, f, self.window, ended)
-        now = {e["episode_id"]: e for e in [*final, *ended, *view["open"].values()]}
-        sure = {e["episode_id"] for e in final}
-        before = {k[0]: v[0] for k, v in self.shown.iterator()}
-        out = []
-        for name, e in now.items():
-            body = json.dumps(e, sort_keys=True)
+        for name in before.keys() - s["shown"].keys():
+            self.shown.removeKey((name,))
+        for name, body in s["shown"].items():
             if before.get(name) != body:
-                out.append({"id": id_, **e})
-            if name in sure:
-                if name in before:
-                    self.shown.removeKey((name,))
-            elif before.get(name) != body:
                 self.shown.updateValue((name,), (body,))
-        for name in before.keys() - now.keys():
-            self.shown.removeKey((name,))
-            out.append({"id": id_, **json.loads(before[name]), "state": "withdrawn"})
-        self._wake(rest, base)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if (at := wakes(s)) is not None:
+            self.handle.registerTimer(at)
         return out
 
-    def _wake(self, rest: list[dict], base: dict) -> None:
-        """One timer, at the next instant at which something passes the watermark for good."""
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out = self._settle(key[0], [r for pdf in rows for r in pdf[list(FACT[1:])].to_dict("records")], timerValues.getCurrentWatermarkInMs() * 1000)
+        if out:
+            yield _frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = self._settle(key[0], [], timerValues.getCurrentWatermarkInMs() * 1000)
+        if out:
+            yield _frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+class GroupedEpisodes(StatefulProcessor):
+    """Many sessions a group, as a group costs far more than a session; one timer a group, at the first instant of any of its sessions."""
+
+    def __init__(self, window: int = WINDOW):
+        self.window = window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sessions = handle.getMapState("sessions", "id string", "body string")
+        self.wakes = handle.getMapState("wakes", "id string", "at long")
+
+    def _settle(self, id_: str, rows: list[dict], watermark: int) -> list[dict]:
+        found = self.sessions.getValue((id_,))
+        s = json.loads(found[0]) if found else {"base": nothing(), "pending": [], "shown": {}}
+        out = settle(s, id_, new_facts(s, rows), watermark, self.window)
+        self.sessions.updateValue((id_,), (json.dumps(s),))
+        if (at := wakes(s)) is not None:
+            self.wakes.updateValue((id_,), (at,))
+        elif self.wakes.containsKey((id_,)):
+            self.wakes.removeKey((id_,))
+        return out
+
+    def _timer(self, at: int | None, ended: int | None = None) -> None:
+        """Registers a timer at the given instant; one that has just expired is deleted by Spark."""
         for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        next_ = [f["at"] for f in rest[:1]] + [e["opened_at"] + EXPIRES * SECOND for e in base["open"].values()]
-        if next_:
-            self.handle.registerTimer(min(next_) // 1000 + 2)
+            if timer != ended:
+                self.handle.deleteTimer(timer)
+        if at is not None:
+            self.handle.registerTimer(at)
+
+    def _first(self) -> int | None:
+        return min((v[0] for _, v in self.wakes.iterator()), default=None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        facts = self._pending()
-        known, fresh = {f["fact_id"] for f in facts}, []
+        facts: dict[str, list[dict]] = {}
         for pdf in rows:
-            for r in pdf[list(FACT[1:])].to_dict("records"):
-                if r["fact_id"] not in known:
-                    known.add(r["fact_id"])
-                    fresh.append({**r, "at": int(r["at"])})
-        out = self._settle(key[0], facts, fresh, timerValues.getCurrentWatermarkInMs() * 1000)
+            for values in zip(*(pdf[c] for c in FACT)):
+                facts.setdefault(values[0], []).append(dict(zip(FACT[1:], values[1:])))
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        out = [e for id_, new in facts.items() for e in self._settle(id_, new, watermark)]
+        self._timer(self._first())
         if out:
             yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._settle(key[0], self._pending(), [], timerValues.getCurrentWatermarkInMs() * 1000)
+        now = timerValues.getCurrentWatermarkInMs()
+        due = [k[0] for k, v in self.wakes.iterator() if v[0] <= now]
+        out = [e for id_ in due for e in self._settle(id_, [], now * 1000)]
+        # What a settled session still waits for lies behind the watermark.
+        self._timer(self._first(), expiredTimerInfo.getExpiryTimeInMs())
         if out:
             yield _frame(out)
 
@@ -180,7 +244,7 @@ def _frame(episodes: list[dict]) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([e.get(c) for e in episodes], dtype="Int64" if t == "long" else "object") for c, t in kinds.items()})
 
 
-def attention_episodes(facts: DataFrame, feedback: DataFrame | None = None, delay: str = "1 hour", window: int = WINDOW) -> DataFrame:
+def attention_episodes(facts: DataFrame, feedback: DataFrame | None = None, delay: str = "1 hour", window: int = WINDOW, buckets: int = BUCKETS) -> DataFrame:
     """Changed episodes of a stream of facts (columns FACT, at a timestamp) and of feedback (id, name: the kind of episode, category: the action).
 
     Facts later than delay are refused. Each change of an episode is a row; the last one counts. Needs the RocksDB state store.
@@ -190,8 +254,9 @@ def attention_episodes(facts: DataFrame, feedback: DataFrame | None = None, dela
         rows = rows.unionByName(feedback.withColumn("kind", F.lit("feedback")).select(*FACT))
     # The event time stays a timestamp for the watermark and goes into the state as microseconds.
     rows = rows.withWatermark("at", delay).withColumn("event_time", F.col("at"))
-    rows = rows.select("id", "event_time", *[c for c in FACT if c not in ("id", "at")], F.unix_micros("at").alias("at"))
-    out = rows.groupBy("id").transformWithStateInPandas(statefulProcessor=Episodes(window), outputStructType=EPISODE, outputMode="Update", timeMode="EventTime")
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = rows.select(bucket, "id", "event_time", *[c for c in FACT if c not in ("id", "at")], F.unix_micros("at").alias("at"))
+    out = rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=GroupedEpisodes(window), outputStructType=EPISODE, outputMode="Update", timeMode="EventTime")
     return out.withColumns({c: F.timestamp_micros(c) for c in INSTANTS})
 
 
