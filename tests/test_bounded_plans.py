@@ -52,3 +52,20 @@ def test_small_files_share_tasks(spark, tmp_path):
     got = tail.tail(spark, str(tmp_path), "*.txt").withColumn("k", F.regexp_extract("path", r"k=(\d+)/", 1).cast("long"))
     lines = [(r.k, r.raw) for r in got.orderBy("k", "at").collect()]
     assert lines == [(k, f"é{i}") for k in range(900) for i in range(k, 3000, 900)]
+
+
+def test_records_of_a_log_are_read_once(spark, data):
+    """Rows are split by the record and not by the events made of it, and what three branches read is a written table."""
+    from tracelode.plans import logs
+    from tracelode.plans.base import Tables
+    from tracelode.sources import adapters
+
+    rows = spark.createDataFrame([("p", i, r) for i, r in enumerate((
+        '{"type":"session_meta","payload":{"id":"s"}}', '{"type":"response_item","payload":{"type":"custom_tool_call","name":"exec","call_id":"c","input":"tools.exec_command({cmd: \\"ls\\"}); tools.exec_command({cmd: \\"pwd\\"})"}}',
+        '{"type":"response_item","payload":{"type":"function_call","name":"shell","call_id":"d","arguments":"{}"}}', '{"type":"event_msg","payload":{"type":"error","name":"exec"}}',
+    ))], "path string, ordinal long, raw string").selectExpr("path", "'codex' AS agent", "ordinal", "try_parse_json(raw) AS record", "false AS malformed")
+    got = {r.ordinal: ([(e.event_type, e.name, e.command) for e in r.events], r.parallel) for r in adapters.codex(rows).collect()}
+    assert got == {0: ([], False), 1: ([("tool", "exec_command", "ls"), ("tool", "exec_command", "pwd")], True), 2: ([("tool", "shell", None)], False), 3: ([("error", None, None)], False)}
+    for build in (logs.log_codex, logs.log_claude, logs.session_records_of_log, logs.session_days_of_log):
+        plan = build(Tables(spark, f"{data}/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "try_parse_json" not in plan.lower() and "InMemoryRelation" not in plan

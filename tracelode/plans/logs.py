@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.operators import assembly
+from tracelode.operators.graph import kept
 from tracelode.plans.base import plan
 from tracelode.sources import adapters, files, live_logs
 from tracelode.streaming import envelopes
@@ -48,6 +49,8 @@ def _texts(lines: DataFrame) -> DataFrame:
 
 def _summary(rows: DataFrame) -> DataFrame:
     """(session_id, what, n): events by type, category and success, prompts, and output tokens."""
+    # Written once, so that three branches do not parse the logs three times.
+    rows = kept(rows, "log-rows")
     success = F.coalesce(F.col("success").cast("string"), F.lit("?"))
     e = adapters.events(rows).select("session_id", F.concat_ws(":", "event_type", "category", success).alias("what"), F.lit(1).cast("long").alias("n"))
     p = adapters.prompts(rows).select("session_id", F.lit("prompt").alias("what"), F.lit(1).cast("long").alias("n"))
@@ -305,7 +308,7 @@ s AS (SELECT session_id, min(ms) AS started, max(ms) AS ended, CAST(sum(CASE WHE
   greatest(arg_min(ms, event_id) FILTER (event_type = 'click') - arg_min(ms, event_id) FILTER (event_type = 'signup'), 0) AS time_to_first_tool_ms, 'Prompt ' || min(event_id) FILTER (event_type = 'signup') AS title FROM e GROUP BY 1)
 SELECT s.*, coalesce(longest_uninterrupted_seconds, 0) AS longest_uninterrupted_seconds FROM s LEFT JOIN longest USING (session_id)""".replace("greatest(arg_min(ms, event_id) FILTER (event_type = 'click') - arg_min(ms, event_id) FILTER (event_type = 'signup'), 0)", "CASE WHEN count(*) FILTER (event_type = 'click') > 0 AND count(*) FILTER (event_type = 'signup') > 0 THEN greatest(arg_min(ms, event_id) FILTER (event_type = 'click') - arg_min(ms, event_id) FILTER (event_type = 'signup'), 0) END"))
 def session_records_of_log(t):
-    s = adapters.sessions(CLAUDE.rows(t).persist())
+    s = adapters.sessions(kept(CLAUDE.rows(t), "log-rows"))
     at = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     counters = ("prompt_count", "prompt_characters", "tool_calls", "test_events", "verification_events", "successful_tools", "failed_tools", "errors", "task_completions", "completed_task_duration_ms", "total_tokens")
     return s.select("session_id", at("started_at").alias("started"), at("ended_at").alias("ended"), "active_seconds", "longest_uninterrupted_seconds", "time_to_first_tool_ms", "title", *counters)
@@ -318,7 +321,7 @@ d AS (SELECT session_id, CAST(make_timestamp(before * 1000) AS DATE) AS date, ga
 SELECT session_id, date, CAST(sum(active_seconds) AS BIGINT) AS active_seconds, CAST(sum(tool_calls) AS BIGINT) AS tool_calls, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(verification_events) AS BIGINT) AS verification_events, CAST(sum(total_tokens) AS BIGINT) AS total_tokens
 FROM d GROUP BY 1, 2 HAVING sum(active_seconds) + sum(tool_calls) + sum(errors) + sum(total_tokens) > 0""")
 def session_days_of_log(t):
-    rows = CLAUDE.rows(t).persist()
+    rows = kept(CLAUDE.rows(t), "log-rows")
     days = assembly.session_days(rows, adapters.events(rows, limit=2**31 - 1), adapters.usage(rows))
     return days.select("session_id", F.col("date").cast("date").alias("date"), "active_seconds", "tool_calls", "errors", "verification_events", "total_tokens")
 

@@ -144,12 +144,14 @@ def codex(b: DataFrame) -> DataFrame:
     known_item = ("custom_tool_call", "function_call", "custom_tool_call_output", "function_call_output", "agent_message", "message", "reasoning", "web_search_call")
     unknown = ~F.coalesce(kind, F.lit("unknown")).isin("session_meta", "turn_context", "event_msg", "response_item", "compacted") | (msg & ~F.coalesce(sub, F.lit("")).isin(*known_msg)) | (item & ~F.coalesce(sub, F.lit("")).isin(*known_item))
     said = F.coalesce(message_text(r, "$.payload.message"), message_text(r, "$.payload.text"))
-    rows = _row(
-        b, session_id=F.when(kind == "session_meta", F.nullif(p("id"), F.lit(""))), cwd=F.when(kind.isin("session_meta", "turn_context"), p("cwd")), ts_raw=get(r, "$.timestamp"), human=is_(msg, "user_message"),
+    given = dict(
+        session_id=F.when(kind == "session_meta", F.nullif(p("id"), F.lit(""))), cwd=F.when(kind.isin("session_meta", "turn_context"), p("cwd")), ts_raw=get(r, "$.timestamp"), human=is_(msg, "user_message"),
         prompt=F.when(is_(msg, "user_message"), said), result=F.when(is_(msg, "agent_message"), said).when(is_(item, "message") & (p("role") == "assistant"), message_text(r, "$.payload.content")), model=F.when(kind == "turn_context", p("model")),
         usage=F.when(is_(msg, "token_count") & p("info.total_token_usage", "variant").isNotNull(), usage), cumulative=F.lit("total"), events=events, unknown=unknown,
     )
-    return expanded(rows, EVENT)
+    # Told by the record, so that other rows' events are made once and not for a test of them.
+    wraps = F.coalesce(p("name") == "exec", F.lit(False))
+    return _row(b.where(~wraps), **given).withColumn("parallel", F.lit(False)).unionByName(expanded(_row(b.where(wraps), **given), EVENT))
 
 
 def cursor(b: DataFrame) -> DataFrame:
