@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tracelode.operators import increments
-from tracelode.sources import files
+from tracelode.sources import files, sinks
 from tracelode.streaming import handover
 
 
@@ -104,3 +104,17 @@ def test_a_group_of_the_state_holds_many_transcripts():
     got = {r["path"]: (r["next"], r["open"], r["kind"], r["mode"], r["new_mode"]) for r in frame.to_dict("records")}
     assert got == {"a": (40, True, "error", "plan", "plan"), "b": (20, False, None, None, "code"), "c": (20, False, "task_complete", None, None)}
     assert set(states) == {("a",), ("b",), ("c",)} and json.loads(states["a",][0])["signal_at"] == 30_000
+
+
+def test_one_file_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(5000).repartition(7).select(F.pmod(F.col("id") * 7919, F.lit(5000)).alias("n"), F.concat(F.lit("é"), (F.pmod(F.col("id") * 7919, F.lit(5000))).cast("string")).alias("value"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small ranges stay apart
+    try:
+        size = sinks.one_file(rows, f"file://{tmp_path}/x/lines.txt", ["n"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    want = "".join(f"é{i}\n" for i in range(5000)).encode()
+    assert (tmp_path / "x" / "lines.txt").read_bytes() == want and size == len(want)
+    assert [p.name for p in (tmp_path / "x").iterdir()] == ["lines.txt"]
+    assert sinks.one_file(rows.limit(0), f"{tmp_path}/y/lines.txt", ["n"]) == 0 and (tmp_path / "y" / "lines.txt").read_bytes() == b""

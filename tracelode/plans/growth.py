@@ -22,7 +22,7 @@ def log_lines_in_ranges(t):
     line = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).otherwise(F.to_json(F.struct(F.col("event_id").alias("id"), F.repeat(F.lit("é"), (F.col("event_id") % 50).cast("int")).alias("text"))))
     rows = t.events.select(F.col("event_id").alias("n"), line.alias("value"))
     end = t.spark.createDataFrame([(1 << 62, '{"id": 1, "te')], "n long, value string")
-    rows.unionByName(end).coalesce(1).sortWithinPartitions("n").select("value").write.option("lineSep", "\n").text(folder)
+    sinks.one_file(rows.unionByName(end), f"{folder}/lines.txt", ["n"])
     name = "spark.sql.files.maxPartitionBytes"
     before = t.spark.conf.get(name)
     t.spark.conf.set(name, "20000")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,5 +125,38 @@ def log_files(rows: DataFrame, folder: str, key: str, order: list[str], name: st
     return placed.mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
 
 
+def one_file(rows: DataFrame, path: str, order: list[str], line: str = "value") -> int:
+    """Writes the lines of all rows in their order as the file path; returns how many bytes it has.
+
+    Ranges of the order are sorted apart and written as parts; each part is then copied to its own place in the file, so that no
+    task sorts or writes the whole. The file lies in a file system that driver and executors have in common, and appears when
+    it is whole.
+    """
+    spark, parts, target = rows.sparkSession, f"{path}.parts-{uuid.uuid4().hex}", path.removeprefix("file://")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(line).write.option("lineSep", "\n").text(parts)
+    # Spark numbers parts by their ranges.
+    files = sorted(f.path for f in os.scandir(parts.removeprefix("file://")) if f.name.startswith("part-"))
+    sizes = [os.path.getsize(f) for f in files]
+    places = list(accumulate(sizes, initial=0))
+    temporary = f"{target}.{uuid.uuid4().hex}"
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    with open(temporary, "wb") as f:
+        f.truncate(places[-1])
+
+    def copy(batches):
+        for b in batches:
+            for source, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with open(source, "rb") as f, open(temporary, "r+b") as out:
+                    out.seek(at)
+                    shutil.copyfileobj(f, out, 1 << 20)
+            yield b
+
+    placed = spark.createDataFrame(list(zip(files, places)), "source string, at long").repartition(max(1, len(files)), "at")
+    placed.mapInArrow(copy, "source string, at long").write.format("noop").mode("overwrite").save()
+    os.replace(temporary, target)
+    shutil.rmtree(parts.removeprefix("file://"))
+    return places[-1]
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
