@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -77,3 +78,40 @@ def test_counts_do_not_depend_on_how_many_a_task_holds(spark, monkeypatch):
         rows = spark.range(5).select("id", F.concat(F.lit("green apple pie number"), F.lit(" ok")).alias("text")).coalesce(1)
         found = phrases.message_phrases(rows, ["id"]).where("phrase = 'apple pie'").collect()
         assert sorted(r.id for r in found) == [0, 1, 2, 3, 4]
+
+
+def test_cloud_sums_all_phrases_once(spark):
+    """Found is read for the sums and for what is shown of them, and no more; sessions, agents and models are those of a fold."""
+    rng = random.Random(5)
+    words = ["ab", "cd", "ef"]
+    rows = [(rng.randrange(6), rng.choice("ua"), rng.choice(["x", "y", None]), rng.choice([None, "m", "n"]), " ".join(rng.choices(words, k=rng.randrange(1, 4))), rng.randrange(1, 9)) for _ in range(600)]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = "session_id long, role string, agent string, model string, phrase string, occurrences long"
+    out = phrases.cloud(spark.createDataFrame(rows, schema).mapInArrow(count, schema), most=7).collect()
+    assert len(rows) < read.value <= 2 * len(rows)
+    want = {}
+    for role in "ua":
+        mine = [r for r in rows if r[1] == role]
+        sums, sessions = Counter(), {}
+        for s, _, _, _, p, n in mine:
+            sums[p] += n
+            sessions.setdefault(p, set()).add(s)
+        sums = {p: n for p, n in sums.items() if len(sessions[p]) >= 2}
+        left = [p for p in sums if not any(f" {p} " in f" {q} " and p != q and sums[q] >= 0.8 * sums[p] for q in sums)]
+        shown = sorted(left, key=lambda p: (-sums[p], -len(p), p))[:7]
+        for rank, p in enumerate(shown, 1):
+            best = []
+            for k in (2, 3):
+                by = Counter()
+                for r in mine:
+                    if r[4] == p and r[k] is not None:
+                        by[r[k]] += r[5]
+                best.append(min(by, key=lambda v: (-by[v], v)) if by else None)
+            want[role, p] = (sums[p], len(sessions[p]), sums[p] / sums[shown[0]], *best, rank)
+    assert {(r.role, r.phrase): tuple(r[2:]) for r in out} == want

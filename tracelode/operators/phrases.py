@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tracelode.functions.hashing import stable_hash
+from tracelode.operators.graph import kept
 
 # Bounds.
 MAX_TOKENS, MAX_PER_MESSAGE, MAX_PER_ROLE_DATE, MAX_CLOUD = 5, 180, 240, 8
@@ -256,18 +257,29 @@ def cloud(found: DataFrame, minimum_sessions: int = 2, most: int = MAX_CLOUD, sh
     found: session_id, role, agent, model, phrase, occurrences. Decisions: weight is occurrences over the role's
     largest; a phrase goes if a longer one of the role holds it with at least `share` of its occurrences. Each phrase names
     the phrases inside it and they meet by equality, so all phrases take part; tasks hand on the first of each role.
+    Of all phrases only sums go through a shuffle (two sessions are a least and a largest one that differ); sessions, agents and
+    models are counted in a second pass over found, for the phrases that are shown.
     """
     by = ["role", "phrase"]
-    sums = found.groupBy(*by).agg(F.sum("occurrences").alias("occurrences"), F.count_distinct("session_id").alias("sessions")).where(F.col("sessions") >= minimum_sessions)
-    longer = sums.select("role", F.explode(parts_of(F.col("phrase"))).alias("phrase"), "occurrences").groupBy(*by).agg(F.max("occurrences").alias("longer"))
-    kept = sums.join(longer, by, "left").where(F.coalesce(F.col("longer") < share * F.col("occurrences"), F.lit(True)))
+    several = F.col("low") != F.col("high") if minimum_sessions == 2 else F.col("sessions") >= minimum_sessions
+    seen = [F.min("session_id").alias("low"), F.max("session_id").alias("high")] if minimum_sessions == 2 else [F.count_distinct("session_id").alias("sessions")]
+    sums = found.groupBy(*by).agg(F.sum("occurrences").alias("occurrences"), *seen).where(several).select(*by, "occurrences")
+    # One read of the sums: each gives its own row and one for each phrase inside it.
+    none = F.lit(None).cast("long")
+    own = F.array(F.struct("phrase", F.col("occurrences").alias("own"), none.alias("longer")))
+    inside = F.transform(parts_of(F.col("phrase")), lambda p: F.struct(p.alias("phrase"), none.alias("own"), F.col("occurrences").alias("longer")))
+    both = sums.select("role", F.inline(F.coalesce(F.concat(own, inside), own))).groupBy(*by).agg(F.max("own").alias("occurrences"), F.max("longer").alias("longer"))
+    left = both.where(F.col("occurrences").isNotNull() & F.coalesce(F.col("longer") < share * F.col("occurrences"), F.lit(True)))
     best = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("occurrences"), F.desc(F.length("phrase")), F.asc("phrase")))
-    final = kept.withColumn("rank", best).where(F.col("rank") <= most)
-
-    def dominant(c: str) -> DataFrame:
-        n = found.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.sum("occurrences").alias("n"))
-        return n.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(c).alias("v"))).getField("v").alias(f"dominant_{c}"))
-
+    final = kept(left.withColumn("rank", best).where(F.col("rank") <= most).select(*by, "occurrences", "rank"), "cloud")
+
+    # A role and a rank are a phrase; each row of found counts for its session, its agent and its model.
+    shown, at = final.select(F.col("role").alias("r"), F.col("phrase").alias("p"), "rank"), ["r", "rank"]
+    values = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("v")) for k, c in enumerate(("session_id", "agent", "model"))])
+    met = found.join(shown, F.col("role").eqNullSafe(F.col("r")) & (F.col("phrase") == F.col("p"))).select(*at, "occurrences", F.inline(values)).where("v IS NOT NULL")
+    n = met.groupBy(*at, "kind", "v").agg(F.sum("occurrences").alias("n"))
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct((-F.col("n")).alias("n"), "v"))).getField("v")
+    told = n.groupBy(*at).agg(F.count_if(F.col("kind") == 0).alias("sessions"), first(1).alias("dominant_agent"), first(2).alias("dominant_model")).withColumnRenamed("rank", "q")
     weight = F.col("occurrences") / F.max("occurrences").over(Window.partitionBy("role"))
-    out = final.join(dominant("agent"), by, "left").join(dominant("model"), by, "left")
-    return out.select(*by, "occurrences", "sessions", weight.alias("weight"), "dominant_agent", "dominant_model", "rank")
+    out = final.join(told, F.col("role").eqNullSafe(F.col("r")) & (F.col("rank") == F.col("q")), "left")
+    return out.select(*by, "occurrences", F.coalesce("sessions", F.lit(0)).alias("sessions"), weight.alias("weight"), "dominant_agent", "dominant_model", "rank")

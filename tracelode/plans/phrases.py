@@ -47,7 +47,7 @@ SELECT role, phrase, CAST(n AS BIGINT) AS occurrences, sessions, n / max(n) OVER
 def phrase_cloud_of_words(t):
     words = t.conversations.select("conv_id", "role", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "").alias("w"))
     runs = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    found = words.select(F.col("conv_id").alias("session_id"), "role", F.explode(runs).alias("phrase")).groupBy("session_id", "role", "phrase").agg(F.count("*").alias("occurrences"))
+    found = words.select(F.col("conv_id").alias("session_id"), "role", F.explode(runs).alias("phrase"), F.lit(1).cast("long").alias("occurrences"))
     found = found.withColumns({"agent": F.concat(F.lit("a"), (F.col("session_id") % 3).cast("string")), "model": F.lit(None).cast("string")})
     return phrases.cloud(found, most=300).select("role", "phrase", "occurrences", "sessions", "weight", "dominant_agent", F.col("rank").cast("long").alias("rank"))
 
