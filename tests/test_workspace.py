@@ -59,3 +59,33 @@ def test_retention_keys_are_in_no_plan(spark):
     said = rows._jdf.queryExecution().toString() + sinks.opened(rows, key, F.lit("2026-01-02").cast("timestamp"))._jdf.queryExecution().toString()
     assert key.hex() not in said.lower() and key.hex().upper() not in said and str(list(key))[1:-1] not in said
     assert [r.value for r in sinks.opened(rows, key, F.lit("2026-01-02").cast("timestamp")).collect()] == ["body"]
+
+
+def test_sessions_and_files_are_read_for_all_links_at_once(spark):
+    """Files are read once, sessions for their links and for their tasks."""
+    read = {"sessions": spark.sparkContext.accumulator(0), "files": spark.sparkContext.accumulator(0)}
+
+    def counted(rows, name):
+        def count(batches):
+            for b in batches:
+                read[name].add(b.num_rows)
+                yield b
+
+        return rows.mapInArrow(count, rows.schema)
+
+    day = lambda c: F.timestamp_seconds(F.lit(86_400) * c)
+    i = F.col("id")
+    sessions = spark.range(60).select(i.alias("session_id"), (i % 3).alias("project"), F.when(i % 5 < 2, "b").alias("branch"), F.when(i % 12 < 6, F.concat(F.lit(" Go: "), (i % 4).cast("string"), F.lit("!"))).alias("objective"), day(3 * i).alias("started_at"), day(3 * i + 1).alias("ended_at"))
+    files = spark.range(120).select((i % 3).alias("project"), (i % 60).alias("session_id"), (i % 7).alias("file"))
+    none = spark.createDataFrame([], "a long, b long")
+    _, tasks = workspace.work_events(counted(sessions, "sessions"), counted(files, "files"), none, none.select(F.col("a").alias("session_id")), pause=0)
+    rows = tasks.collect()
+    assert sum(r.sessions for r in rows) == 60 and {x for r in rows for x in r.reasons} >= {"semantic", "files"}
+    assert read["sessions"].value <= 120 and read["files"].value == 120
+
+
+def test_both_orders_of_a_project_give_links_in_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, 0, "b", 0, 10), (2, 0, None, 12, 20), (3, 0, "b", 60, 70), (4, 0, None, 500, 510), (5, 1, "b", 0, 5)], "session_id long, project long, branch string, s long, e long")
+    links = workspace._chained(rows.select("session_id", "project", "branch", F.timestamp_seconds("s").alias("started_at"), F.timestamp_seconds("e").alias("ended_at")), pause=5, branch_pause=50)
+    assert sorted(map(tuple, links.collect())) == [(2, 1, "time"), (3, 1, "branch")]
+    assert links._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1

@@ -117,11 +117,19 @@ def _latest_accepting(events: DataFrame, spans: DataFrame, key: str, tolerance_s
     return rows.groupBy("k", "b").applyInArrow(walk, out).withColumn("seen", F.timestamp_micros("seen"))
 
 
-def _chained(rows: DataFrame, by: list[str], gap_seconds: int, reason: str) -> DataFrame:
-    """Links of each session to the one before it with the same values, where it begins within gap_seconds of that one's end."""
-    w = Window.partitionBy(*by).orderBy("started_at", "session_id")
-    before = rows.withColumn("b", F.lag("session_id").over(w)).withColumn("end", F.lag("ended_at").over(w))
-    return before.where(F.unix_seconds("started_at") - F.unix_seconds("end") <= gap_seconds).select(F.col("session_id").alias("a"), "b", F.lit(reason).alias("reason"))
+def _chained(rows: DataFrame, pause: int, branch_pause: int) -> DataFrame:
+    """Links of each session to the one before it in its project, and in its branch, where it begins within the pause of that one's end.
+
+    Rows of a project lie together, so that both orders share one shuffle.
+    """
+    order = ["started_at", "session_id"]
+    before = rows.select("project", "branch", *order, "ended_at")
+    for reason, by in (("time", ["project"]), ("branch", ["project", "branch"])):
+        w = Window.partitionBy(*by).orderBy(*order)
+        before = before.withColumns({f"{reason}_b": F.lag("session_id").over(w), f"{reason}_gap": F.unix_seconds("started_at") - F.unix_seconds(F.lag("ended_at").over(w))})
+    link = lambda reason, near: F.when(near, F.struct(F.col("session_id").alias("a"), F.col(f"{reason}_b").alias("b"), F.lit(reason).alias("reason")))
+    found = F.array(link("time", F.col("time_gap") <= pause), link("branch", F.col("branch").isNotNull() & (F.col("branch_gap") <= branch_pause)))
+    return before.select(F.inline(F.filter(found, lambda x: x.isNotNull())))
 
 
 def _starred(rows: DataFrame, by: list[str], reason: str) -> DataFrame:
@@ -133,13 +141,12 @@ def _starred(rows: DataFrame, by: list[str], reason: str) -> DataFrame:
 def shared_files(files: DataFrame, similarity: float = 0.5) -> DataFrame:
     """Links of sessions of one project whose sets of files (project, session_id, file) are at least so similar (Jaccard).
 
-    Equal sets are one. Files are ordered by how few sets hold them; sets that similar share one of the first
+    Sets are made once and written. Equal sets are one. Files are ordered by how few sets hold them; sets that similar share one of the first
     n - ceil(similarity n) + 1, and none is smaller than similarity times the other. What these bounds leave is compared.
     """
-    each = files.select("project", "session_id", "file").distinct()
-    sets = each.groupBy("project", "session_id").agg(F.array_sort(F.collect_set("file")).alias("files"))
-    same = kept(sets.groupBy("project", "files").agg(F.min("session_id").alias("head")), "file-sets")
-    equal = sets.join(same, ["project", "files"]).where("session_id <> head").select(F.col("session_id").alias("a"), F.col("head").alias("b"))
+    sets = kept(files.groupBy("project", "session_id").agg(F.array_sort(F.collect_set("file")).alias("files")), "session-files")
+    same = kept(sets.groupBy("project", "files").agg(F.min("session_id").alias("head"), F.count("*").alias("sessions")), "file-sets")
+    equal = sets.join(same.where("sessions > 1"), ["project", "files"]).where("session_id <> head").select(F.col("session_id").alias("a"), F.col("head").alias("b"))
     rare = same.select("project", F.explode("files").alias("file")).groupBy("project", "file").agg(F.count("*").alias("held"))
     marked = same.select("project", "head", F.size("files").alias("n"), F.explode("files").alias("file")).join(rare, ["project", "file"])
     place = F.row_number().over(Window.partitionBy("project", "head").orderBy("held", "file"))
@@ -161,13 +168,13 @@ def work_events(sessions: DataFrame, files: DataFrame, merges: DataFrame, splits
     (session_id) has only links by hand; the others are linked as if it were not there. The task is named by its least session; reasons are those of its links.
     Decisions: objectives are equal where their words are, whatever case and marks; the pauses and the similarity are parameters.
     """
-    words = F.array_join(F.filter(F.split(F.lower("objective"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ")
+    words = F.trim(F.regexp_replace(F.lower("objective"), r"[^\p{L}\p{N}]+", " "))
     cut = splits.select("session_id").distinct()
-    rows = sessions.join(cut, "session_id", "left_anti").withColumn("goal", words)
+    rows = kept(sessions.join(cut, "session_id", "left_anti").select("session_id", "project", "branch", words.alias("goal"), "started_at", "ended_at"), "linked-sessions")
     files = files.join(cut, "session_id", "left_anti")
     found = [
         _starred(rows.where(F.coalesce("goal", F.lit("")) != ""), ["project", "goal"], "semantic"), shared_files(files, similarity),
-        _chained(rows.where(F.col("branch").isNotNull()), ["project", "branch"], branch_pause, "branch"), _chained(rows, ["project"], pause, "time"),
+        _chained(rows, pause, branch_pause),
     ]
     links = kept(reduce(DataFrame.unionByName, found).unionByName(merges.select("a", "b", F.lit("manual").alias("reason"))), "session-links")
     roots = components(links)
