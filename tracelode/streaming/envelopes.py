@@ -44,27 +44,40 @@ def canonical(envelopes: DataFrame, raw: str = "value", now: Column | None = Non
     updated_at is the source's time where it can be read, else that of receipt; event_id is the source's id, else derived
     from source time, kind and tool, else from the whole payload: equal envelopes have equal ids.
     """
-    e = envelopes.withColumn("j", F.when(F.octet_length(raw) <= MAX_ENVELOPE, F.try_parse_json(raw))).where(F.col("j").isNotNull())
-    g = lambda p, t="string": F.try_variant_get("j", f"$.{p}", t)
-    name, provider = g("payload.hook_event_name"), g("provider")
+    named = {"provider": "string", "received_at": "string", "process_id": "bigint", "origin": "string"}
+    inside = {**dict.fromkeys(("hook_event_name", "timestamp", "session_id", "conversation_id", "tool_use_id", "tool_name", "notification_type", "cwd", "event_id"), "string"), "is_error": "boolean", "sequence": "bigint"}
+    paths = {**named, **{f"payload.{k}": t for k, t in inside.items()}}
+    column = lambda p: "__" + p.replace(".", "_")
+
+    def alien(j: Column, provider: Column) -> Column:
+        out = F.lit(False)
+        for agent, keys in FOREIGN.items():
+            for k in keys:
+                out = out | ((provider == agent) & F.try_variant_get(j, f"$.payload.{k}", "variant").isNotNull())
+        return out
+
+    def fields(j: Column) -> Column:
+        return F.struct(j.alias("__j"), alien(j, F.try_variant_get(j, "$.provider", "string")).alias("__foreign"), *[F.try_variant_get(j, f"$.{p}", t).alias(column(p)) for p, t in paths.items()])
+
+    # Arrays of one element name what each step gives the next, so that an envelope is made and parsed once and not for each of its fields.
+    parsed = F.transform(F.array(F.col(raw)), lambda v: F.when(F.octet_length(v) <= MAX_ENVELOPE, F.try_parse_json(v)))
+    e = envelopes.select("*", F.inline(F.transform(F.filter(parsed, lambda j: j.isNotNull()), fields)))
+    g = lambda p: F.col(column(p))
+    name, provider, foreign = g("payload.hook_event_name"), g("provider"), F.col("__foreign")
     source_time = instant(F.coalesce(g("payload.timestamp"), F.lit("")))
     received = F.coalesce(instant(F.coalesce(g("received_at"), F.lit(""))), now if now is not None else F.current_timestamp())
-    foreign = F.lit(False)
-    for agent, keys in FOREIGN.items():
-        for k in keys:
-            foreign = foreign | ((provider == agent) & g(f"payload.{k}", "variant").isNotNull())
     session = F.coalesce(g("payload.session_id"), g("payload.conversation_id"))
-    digest = stable_hash(F.to_json("j"))
+    digest = stable_hash(F.to_json("__j"))
     derived = stable_hash(F.concat_ws("|", provider, session, name, g("payload.timestamp"), g("payload.tool_use_id"), g("payload.tool_name")))
-    failed = F.coalesce(g("payload.is_error", "boolean"), F.lit(False))
+    failed = F.coalesce(g("payload.is_error"), F.lit(False))
     idle = (name == "Notification") & (g("payload.notification_type") == "idle_prompt")
     status = F.when(failed, "error").when(idle, "waiting").otherwise(_case(name, 1))
     out = e.where(name.isin(*[x[0] for x in EVENTS]) & session.isNotNull() & ~foreign)
     return out.select(
         provider.alias("agent"), session.alias("source_session_id"), live_session_id(provider, session).alias("id"), name.alias("event_name"), status.alias("status"), F.when(failed, "tool-failed").otherwise(_case(name, 2)).alias("phase"),
         tx.tool_name(F.coalesce(g("payload.tool_name"), name)).alias("label"), tx.project_label(g("payload.cwd")).alias("project_label"), F.coalesce(source_time, received).alias("updated_at"),
-        order_key(g("payload.sequence", "bigint"), source_time, _case(name, 3), digest).alias("order_key"),
-        F.coalesce(g("payload.event_id"), F.when(source_time.isNotNull(), derived), digest).alias("event_id"), g("process_id", "bigint").alias("process_id"), g("origin").alias("origin"),
+        order_key(g("payload.sequence"), source_time, _case(name, 3), digest).alias("order_key"),
+        F.coalesce(g("payload.event_id"), F.when(source_time.isNotNull(), derived), digest).alias("event_id"), g("process_id").alias("process_id"), g("origin").alias("origin"),
     )
 
 
