@@ -1,3 +1,4 @@
+import pickle
 import random
 
 from pyspark.sql import functions as F
@@ -32,6 +33,64 @@ def test_a_follower_gives_each_whole_line_once(spark, tmp_path, monkeypatch):
     assert poll() == sorted([*grown, ("a.jsonl", 0, "new")])
 
 
+def test_offsets_and_tasks_do_not_grow_with_the_number_of_files(spark, tmp_path, monkeypatch):
+    """The driver's offset names a listing, and a task its part of a plan; a checkpoint whose offset names files goes on."""
+    monkeypatch.setattr(tail, "RANGE_BYTES", 7)
+    logs, out, listings = tmp_path / "logs", tmp_path / "out", str(tmp_path / "listings")
+    logs.mkdir()
+
+    def poll(listings=listings):
+        stream = tail.follow(spark, str(logs), listings=listings)
+        q = stream.writeStream.format("parquet").option("path", str(out / "rows")).option("checkpointLocation", str(out / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted((r.path.removeprefix(f"{logs}/"), r.at, r.raw) for r in spark.read.schema("path string, at long, raw string").parquet(str(out / "rows")).collect())
+
+    (logs / "0.jsonl").write_text("old\n")
+    want = [("0.jsonl", 0, "old")]
+    assert poll(None) == want
+    for i in range(300):
+        (logs / f"k={i % 7}").mkdir(exist_ok=True)
+        (logs / f"k={i % 7}" / f"{i}.jsonl").write_text(f"one {i}\nhalf")
+        want.append((f"k={i % 7}/{i}.jsonl", 0, f"one {i}"))
+    assert poll() == sorted(want) == poll()
+    with (logs / "k=3" / "3.jsonl").open("a") as f:
+        f.write(" and whole\n")
+    (logs / "0.jsonl").write_text("")
+    assert poll() == sorted([*want, ("k=3/3.jsonl", 6, "half and whole")])
+    (logs / "0.jsonl").write_text("new\n")
+    assert poll() == sorted([*want, ("k=3/3.jsonl", 6, "half and whole"), ("0.jsonl", 0, "new")])
+    offsets = sorted((p for p in (out / "state" / "offsets").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    assert len(offsets) == 4 and all(p.stat().st_size < 1500 for p in offsets)
+    reader = tail.FollowReader({"path": str(logs), "listings": listings})
+    monkeypatch.setattr(tail, "RANGE_BYTES", 1 << 20)
+    parts = reader.partitions({}, reader.latestOffset())
+    assert len(parts) < 20 and sum(len(pickle.dumps(p)) for p in parts) < 300 * len(parts)
+    assert sorted(x for p in parts for x in reader.read(p)) == sorted((str(logs / p), at, raw) for p, at, raw in poll() if raw != "old")
+
+
+def test_files_are_listed_in_one_order_and_old_listings_go(tmp_path, monkeypatch):
+    rng = random.Random(4)
+    for _ in range(200):
+        at = tmp_path.joinpath("logs", *rng.choices(["a", "a.b", "a-b", "b", "B"], k=rng.randrange(0, 4)))
+        at.mkdir(parents=True, exist_ok=True)
+        (at / rng.choice(["a.jsonl", "a.b.jsonl", "c.jsonl", "no.txt"])).write_text("x\n")
+    found = list(tail.files_below(str(tmp_path / "logs"), "*.jsonl"))
+    assert found == sorted(found, key=tail.place) and sorted(found) == sorted(map(str, (tmp_path / "logs").rglob("*.jsonl")))
+    monkeypatch.setattr(tail, "KEPT", 6)
+    reader = tail.FollowReader({"path": str(tmp_path / "logs"), "listings": str(tmp_path / "listings")})
+    before: dict = {}
+    for i in range(9):
+        (tmp_path / "logs" / "grows.jsonl").write_text("x\n" * (i + 1))
+        now = reader.latestOffset()
+        assert now == reader.latestOffset() and now != before
+        got = [x for p in reader.partitions(before, now) for x in reader.read(p)]
+        assert len(got) == (len(found) + 1 if i == 0 else 1)
+        reader.commit(now)
+        before = now
+    assert len(list((tmp_path / "listings").iterdir())) == 6
+    assert list(tail.files_below(str(tmp_path / "none"), "*")) == []
+
+
 def test_ranges_share_out_every_line(tmp_path, monkeypatch):
     rng = random.Random(2)
     lines = ["y" * rng.randrange(0, 30) for _ in range(200)]

@@ -120,7 +120,7 @@ def three_sources_in_one_state(t):
         polls.where(F.pmod("half", F.lit(2)) == 1 - turn).withColumn("name", F.format_string(f"{turn}-%012d", "half")).drop("half").repartition("name").write.mode("append").partitionBy("name").json(f"{folder}/polls")
         facts = (
             fusion.hook_facts(envelopes.canonical(spark.readStream.text(f"{folder}/hooks")))
-            .unionByName(fusion.transcript_facts(tail.follow(spark, f"{folder}/lines".removeprefix("file://"), "*.txt"), "kimi-code", F.regexp_extract("path", "session=([^/]+)/", 1), F.get_json_object("raw", "$.event_id").cast("long") % 4 != 0))
+            .unionByName(fusion.transcript_facts(tail.follow(spark, f"{folder}/lines".removeprefix("file://"), "*.txt", listings=f"{folder}/listings".removeprefix("file://")), "kimi-code", F.regexp_extract("path", "session=([^/]+)/", 1), F.get_json_object("raw", "$.event_id").cast("long") % 4 != 0))
             .unionByName(fusion.poll_facts(fusion.polled(spark, f"{folder}/polls")))
         )
         # The second time this is a new query over the first one's checkpoint.
