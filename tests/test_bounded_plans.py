@@ -42,6 +42,19 @@ def test_commits_of_a_log_need_no_window(spark):
     assert sorted((r.commit, r.subject, r.file, r.added, r.removed) for r in found.collect()) == sorted(x for i in (1, 2, 3) for x in ((f"h{i}", f"S{i}", f"f{i} \x1e x", i, 0), (f"h{i}", f"S{i}", "g", 3, 4)))
 
 
+def test_all_commits_of_a_log_are_read(spark, tmp_path):
+    from tests.against_sql import both
+    from tracelode.sources import files
+
+    log = "".join(f"\x1e h{i} \x1f 2024-01-01 00:00:00 \x1f S{i}\n\n1\t2\tf\n" for i in range(70))
+    found = files.git_log(spark.createDataFrame([("r", log), ("none", "no commit\n"), ("empty", ""), ("null", None)], "path string, text string"))
+    assert sorted(r.commit for r in found.collect()) == sorted(f"h{i}" for i in range(70))
+    orders = "SELECT i AS o_orderkey, i % 2 AS o_custkey, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * i AS o_orderdate FROM range(90) t(i)"
+    lines = "SELECT i AS l_orderkey, i * j AS l_partkey, i + j AS l_suppkey, j::INTEGER AS l_linenumber FROM range(90) t(i), range(1, 5) u(j)"
+    got, want = both(spark, tmp_path, "git_history", {"orders": orders, "lineitem": lines})
+    assert got == want and len({r[1] for r in got}) == 90
+
+
 def test_small_files_share_tasks(spark, tmp_path):
     from tracelode.sources import sinks, tail
 

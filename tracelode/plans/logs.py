@@ -255,9 +255,8 @@ def canonical_envelopes(t):
 
 
 @plan("""
-WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
 SELECT 'c' || CAST(o_custkey AS VARCHAR) AS path, 'h' || CAST(o_orderkey AS VARCHAR) AS "commit", 'Order ' || CAST(o_orderkey AS VARCHAR) AS subject, 'f' || CAST(l_partkey AS VARCHAR) AS file, CAST(sum(CASE WHEN l_linenumber = 3 THEN 0 ELSE l_linenumber END) AS BIGINT) AS added, CAST(sum(l_suppkey) AS BIGINT) AS removed
-FROM o JOIN lineitem ON l_orderkey = o_orderkey WHERE r <= 24 GROUP BY 1, 2, 3, 4""")
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4""")
 def git_history(t):
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate").join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey", "l_linenumber"), "o_orderkey")
     # Binary files have dashes for numbers.

@@ -148,10 +148,11 @@ def skill_files(texts: DataFrame) -> DataFrame:
     return texts.select(F.when(plugin.isNotNull() & ~F.contains(name, F.lit(":")), F.concat_ws(":", F.lower(plugin), name)).otherwise(name).alias("skill")).distinct()
 
 
-def git_log(texts: DataFrame, most: int = 24) -> DataFrame:
-    """(path, commit, committed_at, subject, file, added, removed) from `git log --numstat` texts with header lines `\\x1e hash \\x1f time \\x1f subject`."""
+def git_log(texts: DataFrame, most: int | None = None) -> DataFrame:
+    """(path, commit, committed_at, subject, file, added, removed) from `git log --numstat` texts with header lines `\\x1e hash \\x1f time \\x1f subject`; all commits, or the first `most` of each text."""
     # A line's start with \x1e begins a commit; what stands before the first is none. Commits need no order among them but their place.
-    commits = texts.select("path", F.explode(F.slice(F.split("text", "(?:\\A|\n)\x1e", most + 2), 2, most)).alias("body"))
+    bodies = F.split("text", "(?:\\A|\n)\x1e", -1 if most is None else most + 2)
+    commits = texts.select("path", F.explode(F.slice(bodies, F.lit(2), F.size(bodies) if most is None else F.lit(most))).alias("body"))
     lines = commits.select("path", F.substring_index("body", "\n", 1).alias("header"), F.explode(F.split("body", "\n")).alias("line"))
     parts = F.split("header", "\x1f")
     stat = F.split("line", "\t")
