@@ -6,6 +6,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from tracelode.operators import joins, usage as usage_ops
+from tests.against_sql import both
 from tracelode.sources import adapters, files, sqlite
 
 
@@ -198,3 +199,12 @@ def test_frozen_copies_go_at_once_and_abandoned_ones_after_a_day(spark, tmp_path
         os.utime(tmp_path / "base" / name, (0, __import__("time").time() - age))
     assert [os.path.basename(p) for p in sqlite.remove_abandoned(str(tmp_path / "base"))] == ["sqlite-old"]
     assert sorted(os.listdir(tmp_path / "base")) == ["other", "sqlite-new"]
+
+
+#: A session of more events than a limit ever was, beside small ones.
+LONG_SESSION = "SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * i AS ts, CASE WHEN i % 3000 = 0 THEN i // 3000 ELSE 0 END AS user_id, ['click', 'error', 'view', 'purchase', 'signup'][i % 5 + 1] AS event_type, (i % 900)::DOUBLE AS value FROM range(12000) t(i)"
+
+
+def test_all_events_of_a_long_session_are_summed_up(spark, tmp_path):
+    got, want = both(spark, tmp_path, "log_claude", {"events": LONG_SESSION})
+    assert got == want and sum(n for _, what, n in got if what == "error:error:false") == 2400

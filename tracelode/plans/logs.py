@@ -52,7 +52,7 @@ def _summary(rows: DataFrame) -> DataFrame:
     # Written once, so that three branches do not parse the logs three times.
     rows = kept(rows, "log-rows")
     success = F.coalesce(F.col("success").cast("string"), F.lit("?"))
-    e = adapters.events(rows).select("session_id", F.concat_ws(":", "event_type", "category", success).alias("what"), F.lit(1).cast("long").alias("n"))
+    e = adapters.events(rows, limit=None).select("session_id", F.concat_ws(":", "event_type", "category", success).alias("what"), F.lit(1).cast("long").alias("n"))
     p = adapters.prompts(rows).select("session_id", F.lit("prompt").alias("what"), F.lit(1).cast("long").alias("n"))
     u = adapters.usage(rows).select("session_id", F.lit("tokens").alias("what"), F.col("output_tokens").alias("n"))
     return e.unionByName(p).unionByName(u).groupBy("session_id", "what").agg(F.sum("n").alias("n"))

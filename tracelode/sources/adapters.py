@@ -293,8 +293,8 @@ def usage(rows: DataFrame) -> DataFrame:
     return out.where(sum((F.col(n) for n in USAGE_FIELDS[:5]), F.lit(0)) > 0)
 
 
-def events(rows: DataFrame, limit: int = MAX_EVENTS) -> DataFrame:
-    """Canonical events: one a tool call (once an id), result or lifecycle change, with category, sequence and fingerprint."""
+def events(rows: DataFrame, limit: int | None = MAX_EVENTS) -> DataFrame:
+    """Canonical events: one a tool call (once an id), result or lifecycle change, with category, sequence and fingerprint; a session's first `limit`, or all of them."""
     e = rows.select("path", "agent", "ordinal", "session_id", "ts_raw", "ts", "model", F.posexplode("events").alias("i", "e")).select("path", "agent", "ordinal", "i", "session_id", "ts_raw", "ts", "model", "e.*")
     first = F.row_number().over(Window.partitionBy("session_id", "event_type", "source_event_id").orderBy("path", "ordinal", "i"))
     e = e.withColumn("__n", F.when(F.col("source_event_id").isNotNull() & (F.col("event_type") == "tool"), first).otherwise(1)).where("__n = 1").drop("__n")
@@ -304,7 +304,8 @@ def events(rows: DataFrame, limit: int = MAX_EVENTS) -> DataFrame:
     e = e.withColumn("base", event_fingerprint(F.col("event_type"), F.col("category"), F.col("name"), F.col("success"), F.col("duration_ms"), F.col("ts"), F.col("provenance")))
     again = F.row_number().over(Window.partitionBy("session_id", "event_type", "category", "name", "success", "duration_ms", "ts_raw").orderBy("path", "ordinal", "i")) - 1
     e = e.withColumn("__a", again).withColumn("fingerprint", F.when(F.col("__a") == 0, F.col("base")).otherwise(stable_hash(F.concat_ws("|", "base", F.col("__a").cast("string")))))
-    return e.withColumn("sequence", F.row_number().over(w)).where(F.col("sequence") <= limit).drop("__a", "base", "i", "command")
+    e = e.withColumn("sequence", F.row_number().over(w)).drop("__a", "base", "i", "command")
+    return e if limit is None else e.where(F.col("sequence") <= limit)
 
 
 def sessions(rows: DataFrame, structure: bool = True, committed: DataFrame | None = None) -> DataFrame:
