@@ -208,3 +208,11 @@ LONG_SESSION = "SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND
 def test_all_events_of_a_long_session_are_summed_up(spark, tmp_path):
     got, want = both(spark, tmp_path, "log_claude", {"events": LONG_SESSION})
     assert got == want and sum(n for _, what, n in got if what == "error:error:false") == 2400
+
+
+def test_events_of_a_log_have_no_cut_of_their_own(spark, tmp_path):
+    got, want = both(spark, tmp_path, "log_codex", {"events": LONG_SESSION})
+    assert got == want and sum(n for _, what, n in got if what == "error:error:false") == 2400
+    rows = adapters.normalised({"codex": bronze(spark, tmp_path / "log", "codex", [{"type": "event_msg", "payload": {"type": "error"}}] * 4500)})
+    e = adapters.events(rows).agg(F.count("*"), F.max("sequence"), F.count_distinct("fingerprint")).first()
+    assert tuple(e) == (4500, 4500, 4500) and adapters.events(rows, limit=7).count() == 7

@@ -16,7 +16,7 @@ from tracelode.functions import text as tx
 from tracelode.functions.hashing import event_fingerprint, stable_hash
 from tracelode.functions.timefn import instant
 from tracelode.operators.assembly import session_records
-from tracelode.operators.sequence import MAX_EVENTS, replay_free, same_id_delta
+from tracelode.operators.sequence import replay_free, same_id_delta
 from tracelode.sources.exec_wrapper import expanded
 
 EVENT = "struct<event_type:string,name:string,command:string,success:boolean,duration_ms:bigint,source_event_id:string,detail:string>"
@@ -293,8 +293,8 @@ def usage(rows: DataFrame) -> DataFrame:
     return out.where(sum((F.col(n) for n in USAGE_FIELDS[:5]), F.lit(0)) > 0)
 
 
-def events(rows: DataFrame, limit: int | None = MAX_EVENTS) -> DataFrame:
-    """Canonical events: one a tool call (once an id), result or lifecycle change, with category, sequence and fingerprint; a session's first `limit`, or all of them."""
+def events(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Canonical events: one a tool call (once an id), result or lifecycle change, with category, sequence and fingerprint; all of a session, or its first `limit`."""
     e = rows.select("path", "agent", "ordinal", "session_id", "ts_raw", "ts", "model", F.posexplode("events").alias("i", "e")).select("path", "agent", "ordinal", "i", "session_id", "ts_raw", "ts", "model", "e.*")
     first = F.row_number().over(Window.partitionBy("session_id", "event_type", "source_event_id").orderBy("path", "ordinal", "i"))
     e = e.withColumn("__n", F.when(F.col("source_event_id").isNotNull() & (F.col("event_type") == "tool"), first).otherwise(1)).where("__n = 1").drop("__n")
@@ -313,7 +313,7 @@ def sessions(rows: DataFrame, structure: bool = True, committed: DataFrame | Non
 
     The rows are read by several branches: give a written table (or a persisted one), so that logs are parsed once.
     """
-    every = events(rows, limit=2**31 - 1)
+    every = events(rows)
     return session_records(rows, every, prompts(rows), usage(rows), patches(rows).unionByName(edits(rows)), structure=structure, committed=committed)
 
 

@@ -77,10 +77,11 @@ def json_lines(spark: SparkSession, folder: str, agent: str, pattern: str = "*.j
 def split_lines(texts: DataFrame, agent: str, path: str = "path", text: str = "text") -> DataFrame:
     """Bronze records from whole files' texts."""
     lines = F.split(text, "\n")
-    rows = texts.select(F.col(path).alias("path"), F.size(lines).alias("__n"), F.posexplode(lines).alias("__i", "raw"))
-    ended = F.col("__i") < F.col("__n") - 1
+    # What a line needs to know of its text goes beside it, so that no row carries the whole text.
+    told = F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), lambda raw, after: F.struct(raw.alias("raw"), after.isNotNull().alias("ended")))
+    rows = texts.select(F.col(path).alias("path"), F.posexplode(told).alias("__i", "__l")).select("path", "__i", "__l.raw", "__l.ended")
     parsed = F.when(F.octet_length("raw") <= MAX_RECORD, F.try_parse_json("raw"))
-    rows = rows.where(F.trim("raw") != "").withColumn("record", parsed).where(ended | F.col("record").isNotNull())
+    rows = rows.where(F.trim("raw") != "").withColumn("record", parsed).where(F.col("ended") | F.col("record").isNotNull())
     return rows.select("path", F.lit(agent).alias("agent"), F.col("__i").cast("long").alias("ordinal"), "raw", "record", F.col("record").isNull().alias("malformed"))
 
 
