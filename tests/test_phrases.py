@@ -80,6 +80,18 @@ def test_counts_do_not_depend_on_how_many_a_task_holds(spark, monkeypatch):
         assert sorted(r.id for r in found) == [0, 1, 2, 3, 4]
 
 
+def test_all_phrases_of_long_messages_are_given(spark, monkeypatch):
+    word = lambda i: "x" + "".join("abcdefghij"[int(d)] for d in f"{i:04d}")
+    rows = [(k, " ".join(word(k * 1000 + i) for i in range(500))) for k in range(3)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    want = {(k, " ".join(word(k * 1000 + i + j) for j in range(n))): 1 for k in range(3) for n in range(2, 6) for i in range(500 - n + 1)}
+    for held in (1, 700, 100_000):
+        monkeypatch.setattr(phrases, "PHRASES_AT_ONCE", held)
+        got = phrases.message_phrases(df, ["id"]).collect()
+        assert len(got) == len(want) == 5970 and {(r.id, r.phrase): r.occurrences for r in got} == want
+    assert {r["count"] for r in phrases.message_phrases(df, ["id"], most=180).groupBy("id").count().collect()} == {180}
+
+
 def test_cloud_sums_all_phrases_once(spark):
     """Found is read for the sums and for what is shown of them, and no more; sessions, agents and models are those of a fold."""
     rng = random.Random(5)

@@ -20,10 +20,10 @@ from tracelode.functions.hashing import stable_hash
 from tracelode.operators.graph import kept
 
 # Bounds.
-MAX_TOKENS, MAX_PER_MESSAGE, MAX_PER_ROLE_DATE, MAX_CLOUD = 5, 180, 240, 8
+MAX_TOKENS, MAX_PER_ROLE_DATE, MAX_CLOUD = 5, 240, 8
 ZH_CHARS, EN_TOKENS, EN_BYTES, ZH_TOKEN, EN_TOKEN = (3, 12), (2, 5), 72, 12, 28
 
-#: Messages, and phrases of counted texts, that a task holds as Python values at once.
+#: Messages, and phrases of counted texts, that a task holds as Python values at once; the phrases of one text may be more.
 MESSAGES_AT_ONCE, PHRASES_AT_ONCE = 64, 100_000
 #: Words of a lexicon that may be sent to every task.
 LEXICON_WORDS = 1_000_000
@@ -194,8 +194,8 @@ def ngrams(text: str, segmenter: Segmenter | None = None) -> Counter:
     return counts
 
 
-def message_phrases(messages: DataFrame, key: list[str], text: str = "text", lexicon: dict[str, float] | None = None) -> DataFrame:
-    """(key, phrase, occurrences): at most MAX_PER_MESSAGE phrases of each message, frequent, then long ones first.
+def message_phrases(messages: DataFrame, key: list[str], text: str = "text", lexicon: dict[str, float] | None = None, most: int | None = None) -> DataFrame:
+    """(key, phrase, occurrences): the phrases of each message; all of them, or the `most` frequent, then long ones.
 
     lexicon: Chinese words with their weights, at most LEXICON_WORDS, as they go to every task.
     """
@@ -212,15 +212,24 @@ def message_phrases(messages: DataFrame, key: list[str], text: str = "text", lex
             for at in range(0, whole.num_rows, MESSAGES_AT_ONCE):
                 batch = whole.slice(at, MESSAGES_AT_ONCE)
                 rows, phrases, occurrences = [], [], []
+
+                def given() -> pa.RecordBatch:
+                    keys = batch.select(key).take(pa.array(rows, pa.int64()))  # noqa: B023
+                    return pa.RecordBatch.from_arrays([*keys.columns, pa.array(phrases, pa.string()), pa.array(occurrences, pa.int64())], names=[*key, "phrase", "occurrences"])  # noqa: B023
+
                 for i, (fs, t) in enumerate(zip(batch.column("__f").to_pylist(), batch.column("__t").to_pylist())):
                     counts = ngrams(t, segmenter)
                     counts.update(fs)
-                    for p, n in heapq.nsmallest(MAX_PER_MESSAGE, counts.items(), key=lambda x: (-x[1], -len(x[0]), x[0])):
+                    found = counts.items() if most is None else heapq.nsmallest(most, counts.items(), key=lambda x: (-x[1], -len(x[0]), x[0]))
+                    for p, n in found:
                         rows.append(i)
                         phrases.append(p)
                         occurrences.append(n)
-                keys = batch.select(key).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(phrases, pa.string()), pa.array(occurrences, pa.int64())], names=[*key, "phrase", "occurrences"])
+                    # A text is counted on its own; what many long ones give does not wait for the last of them.
+                    if len(rows) >= PHRASES_AT_ONCE:
+                        yield given()
+                        rows, phrases, occurrences = [], [], []
+                yield given()
 
     out = StructType([*[ready.schema[k] for k in key], StructField("phrase", StringType()), StructField("occurrences", LongType())])
     return ready.mapInArrow(count, out).select(*key, "phrase", "occurrences", F.when(F.col("phrase").rlike(r"\p{IsHan}"), "fallback" if lexicon is None else "lexicon").otherwise("exact").alias("segmentation"))
